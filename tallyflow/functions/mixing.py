@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 MASK31 = 2147483647  # 2**31 - 1
 
 # Odd multipliers of a 31-bit xorshift-multiply mixer.
-_MIX_A = 2146121005 & MASK31
+_MIX_A = 2146121005
 _MIX_B = 73244475
 _MIX_HI = 1640531527
 
