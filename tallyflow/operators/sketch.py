@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from tallyflow.functions.mixing import fold_key, hash31, seed31
 from tallyflow.functions.scalars import median_of, relative_error, wide_product
 from tallyflow.operators.frequency import frequency_vector
+from tallyflow.operators.lanes import lane_table
 from tallyflow.operators.joinsize import _sided, selfjoin_size
 from tallyflow.operators.segments import Segments, running_products
 
@@ -129,16 +130,7 @@ def row_dots(a: DataFrame, b: DataFrame, proj: Projection, by: Sequence[str] = (
     x = a.select(*by, "d", "b", F.col("c").alias("_x"))
     y = b.select(*by, "d", "b", F.col("c").alias("_y"))
     cells = x.join(y, [*by, "d", "b"], "full")
-    found = cells.groupBy(*by).agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("d") == d, wide_product(F.col("_x"), F.col("_y")))), F.lit(0))
-            .cast("double")
-            .alias(f"_r{d}")
-            for d in range(proj.depth)
-        ]
-    )
-    rows = F.array(*[F.struct(F.lit(d).alias("d"), F.col(f"_r{d}").alias("dot")) for d in range(proj.depth)])
-    return found.select(*by, F.inline(rows))
+    return lane_table(cells, proj.depth, {"dot": wide_product(F.col("_x"), F.col("_y"))}, by)
 
 
 def row_squares(sk: DataFrame, proj: Projection, by: Sequence[str] = ("sid",), name: str = "_r") -> DataFrame:
