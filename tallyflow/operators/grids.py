@@ -7,8 +7,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.operators.segments import Segments, positions
-
 # A grid is a list of parameter settings; beyond this it is data, not a grid.
 MAX_GRID_ROWS = 100_000
 
@@ -42,10 +40,9 @@ def cross(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def numbered(grid: DataFrame, order: Sequence[str], name: str = "_i") -> DataFrame:
     """Add the 0-based place of each row in the given order."""
-    if len(order) == 1 and grid.schema[order[0]].dataType.typeName() in ("integer", "long"):
-        return positions(grid, name, segments=Segments.fit(grid, order))
-    listed = grid.sparkSession.range(1).select(F.posexplode(F.sort_array(_listed(grid))).alias(name, "_r"))
-    return listed.select("_r.*", name)
+    ranked = grid.select(*order, *[c for c in grid.columns if c not in order])
+    one = grid.sparkSession.range(1)
+    return one.select(F.posexplode(_listed(ranked)).alias(name, "_r")).select("_r.*", name)
 
 
 def zip_with(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str]) -> DataFrame:
