@@ -12,10 +12,13 @@ import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyflow.functions.scalars import square, wide_product
+from tallyflow.functions import guard_math
+from tallyflow.functions.scalars import wide_product
 from tallyflow.operators.lanes import lane_table
 from tallyflow.operators.sketch import Projection
 
@@ -33,6 +36,20 @@ def majority(depth: int) -> int:
     return (depth + 1) // 2
 
 
+def site_states(anchor: DataFrame, drift: DataFrame, sites: int, site: str = "hid") -> DataFrame:
+    """State of every site: the anchor plus ``sites`` times its drift.
+
+    Scaled this way, the mean of the site states is the state of the whole stream.
+    The anchor (at most D*L rows) is repeated for each site id seen in the drift.
+    """
+    hosts = drift.select(site).distinct().agg(F.collect_list(site).alias("h")).scalar()
+    everywhere = anchor.select(F.explode(hosts).alias(site), *anchor.columns)
+    keys = [c for c in everywhere.columns if c not in ("c", "c1", "c2")]
+    values = [c for c in anchor.columns if c in ("c", "c1", "c2")]
+    scaled = drift.withColumns({v: F.col(v) * sites for v in values})
+    return everywhere.unionByName(scaled).groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+
+
 # -- self-join guards ---------------------------------------------------------
 
 
@@ -139,64 +156,19 @@ def quorum(lanes: DataFrame, depth: int, by: Sequence[str] = (), k: int | None =
 
 # -- bilinear guards ----------------------------------------------------------
 
-_BISECTIONS = 60
-
 
-def nearest_on_hyperbola(p: Column, q: Column, t: Column) -> Column:
-    """x of the point of y = sqrt(x^2 + t), t >= 0, that is nearest to (p, q).
-
-    For t > 0 it solves p/x + q/sqrt(x^2+t) = 2 by a fixed number of bisections.
-    """
-    size = F.abs(p)
-    low = size / (2.1 + F.abs(q) / F.sqrt(t))
-    high = 0.51 * (size + F.greatest(q, F.lit(0.0)))
-
-    def halve(s, _):
-        mid = (s["lo"] + s["hi"]) / 2
-        above = 2 - size / mid - q / F.sqrt(mid * mid + t) > 0
-        lo = F.when(above, s["lo"]).otherwise(mid).alias("lo")
-        hi = F.when(above, mid).otherwise(s["hi"]).alias("hi")
-        return F.struct(lo, hi)
-
-    root = F.aggregate(
-        F.sequence(F.lit(1), F.lit(_BISECTIONS)),
-        F.struct(low.cast("double").alias("lo"), high.cast("double").alias("hi")),
-        halve,
-        lambda s: (s["lo"] + s["hi"]) / 2,
-    )
-    flat = (
-        F.when((p < 0) & (q <= p), 0.0)
-        .when(p < 0, (p - q) / 2)
-        .when(q <= -p, 0.0)
-        .otherwise((p + q) / 2)
-    )
-    on_axis = F.when(q > 2 * F.sqrt(t), F.sqrt(square(q / 2) - t)).otherwise(0.0)
-    return (
-        F.when(t == 0, flat)
-        .when(p == 0, on_axis)
-        .when(q == 0, p / 2)
-        .otherwise(F.signum(p) * root)
-    )
+@F.pandas_udf(T.DoubleType())
+def _bilinear(xi: pd.Series, psi: pd.Series, t: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series(guard_math.bilinear(xi, psi, t, x, y))
 
 
 def guard_bilinear(xi: Column, psi: Column, t: Column, x: Column, y: Column) -> Column:
     """Guard for x^2 - y^2 >= t around the reference (xi, psi).
 
-    For t <= 0 a cone that touches the region at the reference's nearest point,
-    for t > 0 the signed distance to the hyperbola branch on the reference's side.
+    The distance to a hyperbola has no closed form that SQL functions offer, so
+    it is solved by bisection on whole Arrow batches.
     """
-    u0 = nearest_on_hyperbola(xi, F.abs(psi), -t)
-    v0 = F.sqrt(square(u0) - t)
-    norm = F.sqrt(square(u0) + square(v0))
-    cone = (u0 * x - v0 * F.abs(y) - t) / norm
-    flat = (F.when(xi >= 0, x).otherwise(-x) - F.abs(y)) * _SQRT_HALF
-
-    along = x * F.signum(xi)
-    v = nearest_on_hyperbola(y, along, t)
-    u = F.sqrt(square(v) + t)
-    side = F.signum(along - F.sqrt(square(y) + t))
-    distance = side * F.sqrt(square(along - u) + square(y - v))
-    return F.when(t > 0, distance).when(t == 0, flat).otherwise(cone)
+    return _bilinear(*[c.cast("double") for c in (xi, psi, t, x, y)])
 
 
 def polarised_lanes(

@@ -10,6 +10,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -223,10 +225,6 @@ def agms_udaf(proj: Projection):
     Convenient in ``groupBy().agg``, but it gathers each group in one task; use
     :func:`sketch` for anything large.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     seeds = np.array([s[1:] for s in proj.seeds()], dtype=np.int64)
     mask, width, depth = 2147483647, proj.width, proj.depth
 
@@ -234,7 +232,7 @@ def agms_udaf(proj: Projection):
         r = a * x + b
         return ((r >> 31) ^ r) & mask
 
-    @pandas_udf("array<bigint>")
+    @F.pandas_udf("array<bigint>")
     def agms(key: pd.Series, upd: pd.Series) -> list:
         x = np.mod(key.to_numpy(np.int64), mask)
         u = upd.to_numpy(np.int64)

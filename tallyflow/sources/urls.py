@@ -13,7 +13,7 @@ from tallyflow.sources.stored import read_stream
 
 # Fixed patterns of the URL grammar.
 _NAME = r"[A-Za-z0-9 _.-]+"
-_PATH = rf"/?(?:{_NAME}/)*{_NAME}"
+_PATH = rf"(?:[a-z][a-z0-9]*:/+)?/?(?:{_NAME}/)*{_NAME}"
 _ID = r"[A-Za-z_][A-Za-z0-9_]*"
 _VAR = rf"{_ID}={_PATH}"
 _URL = re.compile(rf"(?P<type>{_ID}):(?P<path>(?:{_PATH})?)(?:\?(?P<vars>{_VAR}(?:,{_VAR})*))?")

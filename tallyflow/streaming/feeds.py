@@ -14,11 +14,14 @@ from tallyflow.session import shared_folder
 def stream_files(
     spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Parquet files under ``path`` as a streaming DataFrame; the schema is declared or read once."""
+    """Parquet under ``path``, a folder or one file, as a streaming DataFrame.
+
+    The path is given as a glob, the form in which the file source takes both.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def with_event_time(stream: DataFrame, lateness: str) -> DataFrame:
