@@ -9,7 +9,7 @@ rows by a quorum: the median is safe if a majority of rows is.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 import pandas as pd
@@ -23,6 +23,7 @@ from tallyflow.operators.lanes import lane_table
 from tallyflow.operators.sketch import Projection
 
 MAX_EXACT_ROWS = 19
+MAX_INLINE_ROWS = 11  # up to here the subsets are a literal, beyond a broadcast table
 MAX_BROADCAST_CELLS = 2_000_000
 _SQRT_HALF = math.sqrt(0.5)
 
@@ -100,58 +101,95 @@ def guard_selfjoin_lower(
 def guard_selfjoin(
     lanes: DataFrame, low: float, high: float, proj: Projection, by: Sequence[str], exact: bool = True
 ) -> DataFrame:
-    """The smaller of the two guards."""
-    lo = guard_selfjoin_lower(lanes, low, proj, by, exact).withColumnRenamed("zeta", "zeta_low")
-    hi = guard_selfjoin_upper(lanes, F.lit(high), proj, by, exact).withColumnRenamed("zeta", "zeta_high")
-    return lo.join(hi, list(by)).withColumn("zeta", F.least("zeta_low", "zeta_high"))
+    """The smaller of the two guards, with both: one pass over the lanes."""
+    both = upper_lanes(lanes, F.lit(high)).withColumnsRenamed({"zx": "hx", "ze": "he"})
+    if low <= 0:
+        out = quorums(both, {"zeta_high": ("he", "hx")}, proj.depth, by, exact=exact)
+        return out.withColumns({"zeta_low": F.lit(float("inf")), "zeta": F.col("zeta_high")})
+    both = lower_lanes(both, F.lit(low))
+    out = quorums(both, {"zeta_low": ("ze", "zx"), "zeta_high": ("he", "hx")}, proj.depth, by, exact=exact)
+    return out.withColumn("zeta", F.least("zeta_low", "zeta_high"))
 
 
 # -- quorum -------------------------------------------------------------------
 
 
-def _legal_pairs(lanes: DataFrame, by: Sequence[str], k: int) -> DataFrame:
-    """Per group the rows with ze > 0, in lane order (at most D of them)."""
-    rows = F.sort_array(F.collect_list(F.struct("d", "ze", "zx")))
-    out = lanes.groupBy(*by).agg(F.filter(rows, lambda r: r["ze"] > 0).alias("_legal"))
-    out = out.withColumn("_l", F.size("_legal"))
-    short = F.raise_error(F.lit(f"the reference point is not admissible: fewer than {k} positive rows"))
-    return out.withColumn("_l", F.when(F.col("_l") >= k, F.col("_l")).otherwise(short.cast("int")))
+def _subsets(depth: int, k: int) -> dict[int, list[tuple[int, ...]]]:
+    """For each number l of legal rows, the subsets of l-k+1 of them."""
+    if depth > MAX_EXACT_ROWS:
+        raise ValueError(f"the exact quorum takes at most {MAX_EXACT_ROWS} rows; use the fast one")
+    return {l: list(combinations(range(1, l + 1), l - k + 1)) for l in range(k, depth + 1)}
 
 
-def quorum_fast(lanes: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """Sum of the l-k+1 smallest ``ze*zx`` over the l legal rows."""
-    legal = _legal_pairs(lanes, by, k)
-    products = F.sort_array(F.transform("_legal", lambda r: r["ze"] * r["zx"]))
-    least = F.slice(products, F.lit(1), F.col("_l") - F.lit(k - 1))
-    return legal.select(*by, F.aggregate(least, F.lit(0.0), lambda a, x: a + x).alias("zeta"))
+def _total(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
 
-def subset_table(spark, depth: int, k: int) -> DataFrame:
-    """For each number l of legal rows, the subsets of l-k+1 of them."""
-    if depth > MAX_EXACT_ROWS:
-        raise ValueError(f"the exact quorum takes at most {MAX_EXACT_ROWS} rows; use the fast one")
-    rows = [(l, list(s)) for l in range(k, depth + 1) for s in combinations(range(1, l + 1), l - k + 1)]
-    return spark.createDataFrame(rows, "_l int, _members array<int>")
+def _ratio(legal: Column, members: Column) -> Column:
+    """Normalised sum over the chosen rows."""
+    chosen = F.transform(members, lambda i: F.element_at(legal, i))
+    scale = F.sqrt(_total(F.transform(chosen, lambda r: r["ze"] * r["ze"])))
+    return _total(F.transform(chosen, lambda r: r["ze"] * r["zx"])) / scale
 
 
-def quorum_exact(lanes: DataFrame, depth: int, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """Smallest normalised ``sum(ze*zx)/sqrt(sum(ze^2))`` over those subsets."""
-    legal = _legal_pairs(lanes, by, k)
-    subsets = subset_table(lanes.sparkSession, depth, k)
-    pairs = legal.join(F.broadcast(subsets), "_l")
+def _legal(lanes: Column, ze: str, zx: str) -> Column:
+    pairs = F.transform(lanes, lambda r: F.struct(r[ze].alias("ze"), r[zx].alias("zx")))
+    return F.filter(pairs, lambda r: r["ze"] > 0)
+
 
-    def total(f):
-        parts = F.transform("_members", lambda i: f(F.element_at("_legal", i)))
-        return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+def quorums(
+    lanes: DataFrame,
+    guards: Mapping[str, tuple[str, str]],
+    depth: int,
+    by: Sequence[str] = (),
+    k: int | None = None,
+    exact: bool = True,
+) -> DataFrame:
+    """Combine per-row guards into one value per group, for several guards at once.
 
-    value = total(lambda r: r["ze"] * r["zx"]) / F.sqrt(total(lambda r: r["ze"] * r["ze"]))
-    return pairs.groupBy(*by).agg(F.min(value).alias("zeta"))
+    ``guards`` maps an output column to its (anchor, site) columns in ``lanes``.  A
+    group has at most D lanes.  Exact: the smallest normalised
+    ``sum(ze*zx)/sqrt(sum(ze^2))`` over all subsets of l-k+1 of the l rows with
+    ze > 0.  Fast: the sum of the l-k+1 smallest ``ze*zx``, of the same sign.
+    """
+    k = majority(depth) if k is None else k
+    columns = list(dict.fromkeys(c for pair in guards.values() for c in pair))
+    out = lanes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("d", *columns))).alias("_lanes"))
+    out = out.withColumns({f"_{g}": _legal(F.col("_lanes"), *pair) for g, pair in guards.items()})
+    short = F.raise_error(F.lit(f"the reference point is not admissible: fewer than {k} positive rows"))
+    for g in guards:
+        legal, n = F.col(f"_{g}"), F.size(f"_{g}")
+        checked = F.when(n >= k, n).otherwise(short.cast("int"))
+        if not exact:
+            products = F.sort_array(F.transform(legal, lambda r: r["ze"] * r["zx"]))
+            out = out.withColumn(g, _total(F.slice(products, F.lit(1), checked - F.lit(k - 1))))
+        elif depth <= MAX_INLINE_ROWS:
+            table = ",".join(
+                "array(" + ",".join(f"array({','.join(map(str, s))})" for s in subsets) + ")"
+                for subsets in _subsets(depth, k).values()
+            )
+            options = F.element_at(F.expr(f"array({table})"), checked - F.lit(k - 1))
+            out = out.withColumn(g, F.array_min(F.transform(options, lambda m: _ratio(legal, m))))
+        else:
+            out = out.withColumn("_l", checked)
+            rows = [(l, list(s)) for l, subsets in _subsets(depth, k).items() for s in subsets]
+            subsets = F.broadcast(lanes.sparkSession.createDataFrame(rows, "_l int, _members array<int>"))
+            values = out.join(subsets, "_l").groupBy(*by).agg(F.min(_ratio(legal, F.col("_members"))).alias(g))
+            out = out.drop("_l").join(values, list(by)) if by else out.drop("_l").withColumn(g, values.scalar())
+    return out.select(*by, *guards)
 
 
 def quorum(lanes: DataFrame, depth: int, by: Sequence[str] = (), k: int | None = None, exact: bool = True) -> DataFrame:
-    """Combine per-row guards ``ze`` (anchor) and ``zx`` (site) into one ``zeta`` per group."""
-    k = majority(depth) if k is None else k
-    return quorum_exact(lanes, depth, k, by) if exact else quorum_fast(lanes, k, by)
+    """Combine columns ``ze`` (anchor) and ``zx`` (site) into one ``zeta`` per group."""
+    return quorums(lanes, {"zeta": ("ze", "zx")}, depth, by, k, exact)
+
+
+def quorum_fast(lanes: DataFrame, k: int, by: Sequence[str] = (), depth: int = MAX_EXACT_ROWS) -> DataFrame:
+    return quorum(lanes, depth, by, k, exact=False)
+
+
+def quorum_exact(lanes: DataFrame, depth: int, k: int, by: Sequence[str] = ()) -> DataFrame:
+    return quorum(lanes, depth, by, k, exact=True)
 
 
 # -- bilinear guards ----------------------------------------------------------
@@ -250,7 +288,7 @@ def guard_join(
     """Guard for low <= join estimate <= high, from :func:`polarised_lanes`."""
     if not low < high:
         raise ValueError("the lower bound must be below the upper one")
-    lo = quorum(inner_product_lanes(lanes, F.lit(low), True), proj.depth, by, exact=exact)
-    hi = quorum(inner_product_lanes(lanes, F.lit(high), False), proj.depth, by, exact=exact)
-    both = lo.withColumnRenamed("zeta", "zeta_low").join(hi.withColumnRenamed("zeta", "zeta_high"), list(by))
-    return both.withColumn("zeta", F.least("zeta_low", "zeta_high"))
+    low_lanes = inner_product_lanes(lanes, F.lit(low), True).withColumnsRenamed({"zx": "lx", "ze": "le"})
+    both = inner_product_lanes(low_lanes, F.lit(high), False)
+    out = quorums(both, {"zeta_low": ("le", "lx"), "zeta_high": ("ze", "zx")}, proj.depth, by, exact=exact)
+    return out.withColumn("zeta", F.least("zeta_low", "zeta_high"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyflow.operators.sampling import level_hits
+
 
 def level_changes(
     stream: DataFrame, value: str, p: float, d: float = 0.0, by: Sequence[str] = ("sid",)
@@ -26,14 +28,8 @@ def level_changes(
     def step(key: tuple[Any, ...], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(chunks)).sort_values(["ts", "seq"])
         last = state.get[0] if state.exists else None
-        hits = []
-        for i, f in enumerate(rows["level"].to_numpy()):
-            if last is None:
-                last = f
-            elif abs(f - last) > p * abs(last) + d:
-                hits.append(i)
-                last = f
-        state.update((float(last),))
+        hits, last = level_hits(rows["level"].to_numpy(), last, p, d)
+        state.update((last,))
         yield rows.iloc[hits]
 
     return slim.groupBy(*by).applyInPandasWithState(
