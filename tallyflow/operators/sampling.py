@@ -13,6 +13,9 @@ from tallyflow.operators.segments import Segments, positions
 from tallyflow.schema import order_columns
 
 
+MAX_BROADCAST_SAMPLES = 100_000
+
+
 def every_nth(stream: DataFrame, n: int, segments: Segments | None = None) -> DataFrame:
     """Records n, 2n, 3n … of the stream order."""
     if n < 1:
@@ -46,6 +49,17 @@ def sample_evenly(stream: DataFrame, n: int, segments: Segments | None = None) -
     return out.where(spread_choice(F.col("_pos"), n, total)).drop("_pos")
 
 
+def sample_series(series: DataFrame, stream: DataFrame, n: int, segments: Segments | None = None) -> DataFrame:
+    """The series at n evenly spread records of the stream it was computed from.
+
+    The places are chosen on the bare stream, so the series is evaluated once.
+    """
+    order = order_columns(stream)
+    chosen = sample_evenly(stream.select(*order), n, segments)
+    chosen = F.broadcast(chosen) if n <= MAX_BROADCAST_SAMPLES else chosen
+    return series.join(chosen, order, "left_semi")
+
+
 def level_changed(
     series: DataFrame,
     value: str,

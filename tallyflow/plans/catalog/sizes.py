@@ -120,8 +120,10 @@ def sample_n_of_N(spark, sf):
 )
 def sample_series(spark, sf):
     """100 evenly spread points of the running self-join size of one stream."""
-    series = js.JoinSizeQuery(4).running(events_stream(spark, sf))
-    return sampling.sample_evenly(series.select("ts", "seq", "estimate"), 100)
+    mine = events_stream(spark, sf).where("sid = 4")
+    seg = Segments.fit(mine)
+    series = js.selfjoin_running(mine, seg)
+    return sampling.sample_series(series, mine, 100, seg).select("ts", "seq", "estimate")
 
 
 _LEVELS = """s AS (SELECT sid, seq, ts, estimate AS f, row_number() OVER (PARTITION BY sid ORDER BY ts, seq) AS n FROM r),
@@ -137,7 +139,7 @@ c AS (SELECT sid, n, f AS last FROM s WHERE n = 1 UNION ALL
 )
 def level_changed(spark, sf):
     """Points where the running self-join size moved by more than 10 % + 5."""
-    series = js.selfjoin_running(events_stream(spark, sf))
+    series = js.selfjoin_running(events_stream(spark, sf)).select("sid", "ts", "seq", "estimate")
     return sampling.level_changed(series, "estimate", 0.1, 5.0)
 
 

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from tallyflow.operators.frequency import local_stream_matrix
 from tallyflow.operators.joinsize import JoinSizeQuery
 from tallyflow.operators.monitor import drift_publish, monitor, monitor_summary, published_estimate
-from tallyflow.operators.sampling import sample_evenly
+from tallyflow.operators.sampling import sample_series
 from tallyflow.operators.segments import Segments
 from tallyflow.operators.sketch import Projection, join_estimate_running, selfjoin_estimate_running
 from tallyflow.operators.transforms import Preparation, prepare
+from tallyflow.session import cut_lineage
 from tallyflow.sources.tables import fan_out
 from tallyflow.sources.urls import open_source, parse_url
 
@@ -64,37 +65,31 @@ def _sites(stream: DataFrame) -> int:
     return stream.agg(F.count_distinct("hid")).first()[0]
 
 
-def component_table(stream: DataFrame, component: dict, segments: Segments) -> tuple[str, DataFrame]:
-    """The result table a component feeds, and its rows."""
+def component_table(
+    stream: DataFrame, component: dict, segments: Segments, points: int | None = None
+) -> tuple[str, DataFrame]:
+    """The result table a component feeds, and its rows; a series can be limited to ``points`` rows."""
     kind, name = component["type"], component.get("name", component["type"])
-    live = stream.where(~F.col("warmup")).drop("warmup")
     if kind == "data_source_statistics":
-        return "local_stream_stats", local_stream_matrix(live)
+        return "local_stream_stats", local_stream_matrix(stream.where(~F.col("warmup")))
     query = query_of(component)
+    label = F.lit(name).alias("query")
     if kind in ("exact_query", "agms_query"):
-        if kind == "exact_query":
-            series = query.running(stream.drop("warmup"), segments)
-        else:
-            proj = projection_of(component)
-            if query.is_selfjoin:
-                mine = stream.where(F.col("sid") == query.left)
-                series = selfjoin_estimate_running(mine, proj, segments)
-            else:
-                series = join_estimate_running(stream, query.left, query.right, proj, segments)
+        mine = stream.where(F.col("sid").isin(*query.operands))
         order = list(segments.order)
-        flags = stream.select(*order, "warmup").where("warmup")
-        series = series.select(*order, "estimate").join(flags, order, "left_anti")
-        return "timeseries", series.select(
-            F.col("ts").alias("time"), *order[1:], F.lit(name).alias("query"), "estimate"
-        )
+        live = mine.where(~F.col("warmup")).select(*order)
+        series = _running(mine.drop("warmup"), query, component, segments)
+        if points is not None:
+            series = sample_series(series, live, points, segments)
+        else:
+            series = series.join(mine.where("warmup").select(*order), order, "left_anti")
+        return "timeseries", series.select(F.col("ts").alias("time"), *order[1:], label, "estimate")
     proj, every = projection_of(component), component.get("every", 3600)
     sites = _sites(stream)
     if kind == "TODS":
-        log = drift_publish(stream.drop("warmup"), proj, component["theta"], sites, every)
+        log = cut_lineage(drift_publish(stream.drop("warmup"), proj, component["theta"], sites, every))
         est = published_estimate(log, proj).where(F.col("sid") == query.left)
-        return "timeseries", est.select(
-            (F.col("slice") * every).alias("time"), F.lit(0).cast("bigint").alias("seq"), F.lit(name).alias("query"), "estimate"
-        )
+        return "timeseries", est.select((F.col("slice") * every).alias("time"), label, "estimate")
     if kind in GUARD_RULES:
         rule = GUARD_RULES[kind]
         rounds = monitor(stream.drop("warmup"), query, proj, sites, every, rule)
@@ -102,6 +97,15 @@ def component_table(stream: DataFrame, component: dict, segments: Segments) -> t
     raise ValueError(f"unknown component type {kind!r}")
 
 
+def _running(stream: DataFrame, query: JoinSizeQuery, component: dict, segments: Segments) -> DataFrame:
+    if component["type"] == "exact_query":
+        return query.running(stream, segments)
+    proj = projection_of(component)
+    if query.is_selfjoin:
+        return selfjoin_estimate_running(stream, proj, segments)
+    return join_estimate_running(stream, query.left, query.right, proj, segments)
+
+
 def run_job(spark: SparkSession, job: dict, source: DataFrame | None = None) -> dict[str, DataFrame]:
     """Build all result tables of a job, sample and write them as bound, and return them."""
     stream = build_dataset(spark, job["dataset"], source)
@@ -109,10 +113,7 @@ def run_job(spark: SparkSession, job: dict, source: DataFrame | None = None) ->
     tables: dict[str, DataFrame] = {}
     limits = job.get("sample", {})
     for component in job.get("components", []):
-        table, rows = component_table(stream, component, segments)
-        if table in limits:
-            ordered = rows.withColumnRenamed("time", "ts")
-            rows = sample_evenly(ordered, limits[table]).withColumnRenamed("ts", "time")
+        table, rows = component_table(stream, component, segments, limits.get("timeseries"))
         tables[table] = tables[table].unionByName(rows, allowMissingColumns=True) if table in tables else rows
     files = {name: parse_url(url) for name, url in job.get("files", {}).items()}
     for table, targets in job.get("bind", {}).items():

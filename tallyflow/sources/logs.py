@@ -137,7 +137,7 @@ def wifi_updates(
         hid = F.col("aid").cast("int") - WIFI_FIRST_AP
         key, ts = F.col("shortRet"), wifi_clock(F.col("day"), F.col("moment"))
     elif layout == "parent":
-        f = f.join(F.broadcast(parent_codes(f)), "parent")
+        f = f.join(parent_codes(f), "parent")
         sid, hid, key = F.col("aid").cast("int") % 2, F.col("code"), F.col("longRet")
         ts = wifi_epoch(F.col("day"), F.col("moment"))
     else:
@@ -155,6 +155,6 @@ def wifi_updates(
 
 
 def parent_codes(fields: DataFrame) -> DataFrame:
-    """Dense 0-based code of each parent (host ids are 16-bit, so the list is small)."""
+    """Dense 0-based code of each parent."""
     listed = fields.agg(F.array_sort(F.collect_set("parent")).alias("p"))
     return listed.select(F.posexplode("p").alias("code", "parent"))
