@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions.scalars import wide_product
-from tallyflow.operators.segments import Segments, running_sums
+from tallyflow.operators.segments import Segments, running_groups, running_sums
 
 
 # An input of at most this many rows fits any single group.
@@ -80,11 +80,13 @@ def stream_totals(stream: DataFrame) -> DataFrame:
 
 def active_series(windowed: DataFrame, segments: Segments | None = None) -> DataFrame:
     """Running sum of updates per local stream, per stream and per host."""
-    seg = segments or Segments.fit(windowed)
-    out = windowed
-    for name, by in (("local_active", ["sid", "hid"]), ("stream_active", ["sid"]), ("host_active", ["hid"])):
-        out = running_sums(out, {name: F.col("upd")}, by, seg)
-    return out
+    upd = F.col("upd")
+    specs = [
+        (["sid", "hid"], {"local_active": upd}),
+        (["sid"], {"stream_active": upd}),
+        (["hid"], {"host_active": upd}),
+    ]
+    return running_groups(windowed, specs, segments)
 
 
 def frequency_vector(stream: DataFrame, by: Sequence[str] = ("sid",)) -> DataFrame:

@@ -84,8 +84,8 @@ def join_size(stream: DataFrame, left: int, right: int) -> DataFrame:
 
 def selfjoin_running(stream: DataFrame, segments: Segments | None = None) -> DataFrame:
     """Self-join size of each stream after every update: order columns and ``estimate``."""
-    rows = stream.withColumnRenamed("upd", "u")
     seg = segments or Segments.fit(stream)
+    rows = stream.select("sid", "key", *seg.order, F.col("upd").alias("u"))
     return running_products(rows, ["key"], by=["sid"], segments=seg).withColumnRenamed("p0", "estimate")
 
 
@@ -95,6 +95,7 @@ def join_running(stream: DataFrame, left: int, right: int, segments: Segments |
         return selfjoin_running(stream.where(F.col("sid") == left), segments).drop("sid")
     rows = _sided(stream, left, right)
     seg = segments or Segments.fit(rows.select("ts", *[c for c in ("kind", "seq") if c in rows.columns]))
+    rows = rows.select("key", *seg.order, "u1", "u2")
     out = running_products(rows, ["key"], "u1", "u2", segments=seg)
     return out.withColumnRenamed("p0", "estimate")
 

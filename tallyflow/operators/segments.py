@@ -8,7 +8,8 @@ Work that needs "everything before this row" is then done in two levels:
 
 The carried values travel as extra rows of the same shuffle, so the rows move
 once and no join is needed.  A crowded time cell (one timestamp may hold a third
-of all rows) is cut further by ``(ts, kind, seq div chunk)``, so no segment
+of all rows) is cut further by ``(ts, kind, seq div chunk)``, with the chunk
+chosen from the cell's own range of seq, so no segment
 grows with the data.  Every result is exact for any choice of segments; the fit
 only balances them.
 """
@@ -16,16 +17,17 @@ only balances them.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyflow.functions.scalars import wide_product
 from tallyflow.schema import order_columns
 
-MAX_CELLS = 65536
+MAX_CELLS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,7 @@ class Segments:
     crowded: tuple[int, ...] = field(default=())
     chunk: int = 1_000_000
     splits: tuple[float, ...] = field(default=())
+    chunks: tuple[int, ...] = field(default=())
 
     @classmethod
     def fit(
@@ -69,9 +72,13 @@ class Segments:
         plain = cls(order, low, width, cells, (), target_rows)
         if n <= 4 * target_rows:
             return plain
-        counts = df.groupBy(plain._cell().alias("cell")).count().where(F.col("count") > 4 * target_rows)
-        crowded = tuple(sorted(r["cell"] for r in counts.collect()))
-        return cls(order, low, width, cells, crowded, target_rows)
+        last = F.col(order[-1])
+        counts = df.groupBy(plain._cell().alias("cell")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(last).alias("low"), F.max(last).alias("high")
+        )
+        full = counts.where(F.col("n") > 4 * target_rows).orderBy("cell").collect()
+        chunks = tuple(max(1, math.ceil((r["high"] - r["low"] + 1) * target_rows / r["n"])) for r in full)
+        return cls(order, low, width, cells, tuple(r["cell"] for r in full), target_rows, (), chunks)
 
     @property
     def columns(self) -> list[str]:
@@ -89,12 +96,16 @@ class Segments:
         if not self.crowded:
             return df
         spark = df.sparkSession
-        marks = spark.createDataFrame([(c, True) for c in self.crowded], "_s0 bigint, _full boolean")
+        chunks = self.chunks or (self.chunk,) * len(self.crowded)
+        marks = spark.createDataFrame(list(zip(self.crowded, chunks)), "_s0 bigint, _chunk bigint")
         df = df.join(F.broadcast(marks), "_s0", "left")  # at most MAX_CELLS rows
         *lead, last = self.order
-        parts = [F.col(c).cast("bigint") for c in lead] + [F.expr(f"`{last}` div {self.chunk}L")]
-        fine = {f"_s{i + 1}": F.when(F.col("_full"), p).otherwise(F.lit(0).cast("bigint")) for i, p in enumerate(parts)}
-        return df.withColumns(fine).drop("_full")
+        parts = [F.col(c).cast("bigint") for c in lead] + [F.expr(f"`{last}` div _chunk")]
+        fine = {
+            f"_s{i + 1}": F.when(F.col("_chunk").isNotNull(), p).otherwise(F.lit(0).cast("bigint"))
+            for i, p in enumerate(parts)
+        }
+        return df.withColumns(fine).drop("_chunk")
 
 
 def _window(by: Sequence[str], order: Sequence[str]) -> Window:
@@ -105,10 +116,23 @@ def _window(by: Sequence[str], order: Sequence[str]) -> Window:
 def before(totals: DataFrame, by: Sequence[str], seg: Segments, values: Sequence[str]) -> DataFrame:
     """Replace per-segment totals by the sums over all earlier segments.
 
-    Works on the table of totals: at most one row per group and segment.
+    Works on the table of totals.  A window sees at most one row per cell (at most
+    MAX_CELLS); where crowded cells are cut further, cells and the cuts inside
+    them are summed in two steps.
     """
-    w = _window(by, seg.columns).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.withColumns({v: F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values})
+    cell, *cuts = seg.columns
+
+    def prefix(df, by, order, suffix=""):
+        w = _window(by, order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({f"{v}{suffix}": F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values})
+
+    if not cuts:
+        return prefix(totals, by, [cell])
+    cells = totals.groupBy(*by, cell).agg(*[F.sum(v).alias(v) for v in values])
+    starts = prefix(cells, by, [cell]).withColumnsRenamed({v: f"_c_{v}" for v in values})
+    inside = prefix(totals, [*by, cell], cuts)
+    joined = inside.join(starts, [*by, cell])
+    return joined.withColumns({v: F.col(v) + F.col(f"_c_{v}") for v in values}).drop(*[f"_c_{v}" for v in values])
 
 
 def running_sums(
@@ -118,22 +142,34 @@ def running_sums(
     segments: Segments | None = None,
 ) -> DataFrame:
     """Add running totals of ``sums`` per group ``by``, inclusive of the current row."""
-    seg = segments or Segments.fit(df)
-    values = {f"_v_{n}": e.cast("bigint") for n, e in sums.items()}
-    rows = seg.tag(df.withColumns(values))
-    return _running(rows, list(values), list(sums), list(by), seg, df.columns)
+    return running_groups(df, [(list(by), sums)], segments)
 
 
-def _running(rows, values, names, by, seg, keep) -> DataFrame:
-    totals = rows.groupBy(*by, *seg.columns).agg(*[F.sum(v).alias(v) for v in values])
-    carry = before(totals, by, seg, values).where(" or ".join(f"`{v}` <> 0" for v in values))
-    both = rows.withColumn("_live", F.lit(1)).unionByName(
-        carry.withColumn("_live", F.lit(0)), allowMissingColumns=True
-    )
-    w = Window.partitionBy(*seg.columns, *by).orderBy("_live", *seg.order)
-    w = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumns({n: F.sum(v).over(w) for n, v in zip(names, values)})
-    return out.where("_live = 1").select(*keep, *names)
+def running_groups(
+    df: DataFrame,
+    specs: Sequence[tuple[Sequence[str], Mapping[str, Column]]],
+    segments: Segments | None = None,
+) -> DataFrame:
+    """Running totals for several groupings at once: ``[(by, {name: expression}), …]``.
+
+    The rows are shuffled once, by segment, whatever the number of groupings.
+    """
+    seg = segments or Segments.fit(df)
+    s, names = seg.columns, [n for _, sums in specs for n in sums]
+    rows = seg.tag(df.withColumns({f"_v_{n}": e.cast("bigint") for _, sums in specs for n, e in sums.items()}))
+    both = rows.withColumn("_live", F.lit(1))
+    for by, sums in specs:
+        values = [f"_v_{n}" for n in sums]
+        totals = rows.groupBy(*by, *s).agg(*[F.sum(v).alias(v) for v in values])
+        carry = before(totals, by, seg, values).where(" or ".join(f"`{v}` <> 0" for v in values))
+        both = both.unionByName(carry.withColumn("_live", F.lit(0)), allowMissingColumns=True)
+    if len(specs) > 1:
+        both = both.repartition(*[F.col(c) for c in s])
+    out = {}
+    for by, sums in specs:
+        w = Window.partitionBy(*s, *by).orderBy("_live", *seg.order)
+        out |= {n: F.sum(f"_v_{n}").over(w.rowsBetween(Window.unboundedPreceding, 0)) for n in sums}
+    return both.withColumns(out).where("_live = 1").select(*df.columns, *names)
 
 
 def positions(
@@ -176,56 +212,60 @@ def running_products(
     by: Sequence[str] = (),
     lanes: int = 0,
     segments: Segments | None = None,
+    expand: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
     """After every update: sum over slots of (running left) * (running right), per lane.
 
-    ``rows`` holds one row per update and slot, with the slot's signed changes in
-    ``left`` and ``right`` (one stream against itself if ``right`` is None).  With
-    ``lanes`` > 0, slots carry a lane number ``d`` and each update gets one product
-    per lane: columns ``p0..``; without lanes, the single column ``p0``.
+    ``expand`` turns ``rows`` into one row per update and slot, with the slot's
+    signed changes in ``left`` and ``right`` (one stream against itself if
+    ``right`` is None).  With ``lanes`` > 0, slots carry a lane number ``d`` and
+    each update gets one product per lane: columns ``p0..``; without lanes an
+    update has one slot and one product, ``p0``.
 
     The change of a segment telescopes per slot, so the totals come from the
-    (slot, segment) table and the rows are shuffled once, by segment.
+    (slot, segment) table.  The rows are shuffled once, by segment, and expanded
+    only after that.
     """
     seg = segments or Segments.fit(rows)
     by, slot, s, order = list(by), list(slot), seg.columns, list(seg.order)
     sides = [left] if right is None else [left, right]
+    a, b = sides[0], sides[-1]
     n = max(lanes, 1)
-    extra = ["d"] if lanes else []
-    keep = list(dict.fromkeys([*by, *slot, *extra, *order, *sides]))
-    tagged = seg.tag(rows.select(*keep))
-    group = list(dict.fromkeys([*by, *slot, *extra]))
+    lane = ["d"] if lanes else []
+    group = list(dict.fromkeys([*by, *slot, *lane]))
+    by_segment = [F.col(c) for c in s]
+    tagged = seg.tag(rows)
 
-    totals = tagged.groupBy(*group, *s).agg(*[F.sum(c).alias(c) for c in sides])
-    states = before(totals.withColumns({f"_t_{c}": F.col(c) for c in sides}), group, seg, sides)
+    def per_lane(column, name):
+        return [F.sum(F.when(F.col("d") == i, column) if lanes else column).alias(f"{name}{i}") for i in range(n)]
 
-    def product(prefix_l, prefix_r):
-        return prefix_l.cast("decimal(19,0)") * prefix_r.cast("decimal(19,0)")
+    # State of every slot at the start of each segment that touches it.
+    totals = expand(tagged).groupBy(*group, *s).agg(*[F.sum(c).alias(c) for c in sides])
+    states = before(totals.withColumns({f"_t_{c}": F.col(c) for c in sides}), group, seg, sides)
 
-    a, b = sides[0], sides[-1]
-    grown = product(F.col(a) + F.col(f"_t_{a}"), F.col(b) + F.col(f"_t_{b}")) - product(F.col(a), F.col(b))
-    changes = states.select(*by, *extra, *s, grown.alias("_g"))
-    lane_sums = [
-        F.sum(F.when(F.col("d") == i, F.col("_g")) if lanes else F.col("_g")).alias(f"_b{i}") for i in range(n)
-    ]
-    bases = before(changes.groupBy(*by, *s).agg(*lane_sums), by, seg, [f"_b{i}" for i in range(n)])
-    bases = bases.select(*by, *s, *[F.col(f"_b{i}").cast("double").alias(f"_b{i}") for i in range(n)])
+    # Products at the start of each segment.
+    grown = wide_product(F.col(a) + F.col(f"_t_{a}"), F.col(b) + F.col(f"_t_{b}")) - wide_product(F.col(a), F.col(b))
+    changes = states.withColumn("_g", grown).groupBy(*by, *s).agg(*per_lane(F.col("_g"), "_b"))
+    bases = before(changes, by, seg, [f"_b{i}" for i in range(n)])
+    bases = bases.withColumns({f"_b{i}": F.col(f"_b{i}").cast("double") for i in range(n)})
 
     carry = states.drop(*[f"_t_{c}" for c in sides]).where(" or ".join(f"`{c}` <> 0" for c in sides))
-    live = tagged.withColumn("_live", F.lit(1)).unionByName(
-        carry.withColumn("_live", F.lit(0)), allowMissingColumns=True
+    moved = expand(tagged.repartition(*by_segment)).select(*group, *order, *sides, *s)
+    live = moved.withColumn("_live", F.lit(1)).unionByName(
+        carry.withColumn("_live", F.lit(0)).repartition(*by_segment), allowMissingColumns=True
     )
-    live = live.repartition(*[F.col(c) for c in s])
     w = Window.partitionBy(*s, *group).orderBy("_live", *order).rowsBetween(Window.unboundedPreceding, 0)
     after = live.withColumns({f"_a_{c}": F.sum(c).over(w) for c in sides}).where("_live = 1")
     step = F.col(f"_a_{a}") * F.col(f"_a_{b}") - (F.col(f"_a_{a}") - F.col(a)) * (F.col(f"_a_{b}") - F.col(b))
     after = after.withColumn("_step", step)
+    if lanes:
+        # One row per update; the rows are grouped by segment already.
+        updates = after.groupBy(*s, *by, *order).agg(*per_lane(F.col("_step"), "_p"))
+    else:
+        updates = after.select(*s, *by, *order, F.col("_step").alias("_p0"))
 
-    # One row per update; already grouped by segment, so no further shuffle.
-    steps = [F.sum(F.when(F.col("d") == i, F.col("_step")) if lanes else F.col("_step")).alias(f"_p{i}") for i in range(n)]
-    updates = after.groupBy(*s, *by, *order).agg(*steps)
     anchored = updates.withColumn("_live", F.lit(1)).unionByName(
-        bases.withColumn("_live", F.lit(0)).repartition(*[F.col(c) for c in s]), allowMissingColumns=True
+        bases.withColumn("_live", F.lit(0)).repartition(*by_segment), allowMissingColumns=True
     )
     run = Window.partitionBy(*s, *by).orderBy("_live", *order).rowsBetween(Window.unboundedPreceding, 0)
     estimates = {

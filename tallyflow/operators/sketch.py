@@ -161,8 +161,9 @@ def join_estimate(a: DataFrame, b: DataFrame, proj: Projection, by: Sequence[str
 def selfjoin_estimate_running(stream: DataFrame, proj: Projection, segments: Segments | None = None) -> DataFrame:
     """Self-join estimate of each stream after every update."""
     seg = segments or Segments.fit(stream)
-    rows = hashed(stream, proj).withColumn("u", F.col("sign") * F.col("upd"))
-    out = running_products(rows, ["b"], by=["sid"], lanes=proj.depth, segments=seg)
+    rows = stream.select("sid", "key", *seg.order, F.col("upd").alias("u"))
+    signed = lambda df: hashed(df, proj).withColumn("u", F.col("sign") * F.col("u"))
+    out = running_products(rows, ["b"], by=["sid"], lanes=proj.depth, segments=seg, expand=signed)
     return _with_median(out, proj)
 
 
@@ -175,8 +176,9 @@ def join_estimate_running(
         return selfjoin_estimate_running(one, proj, segments).drop("sid")
     pair = _sided(stream, left, right)
     seg = segments or Segments.fit(pair)
-    rows = hashed(pair, proj).withColumns({u: F.col("sign") * F.col(u) for u in ("u1", "u2")})
-    out = running_products(rows, ["b"], "u1", "u2", lanes=proj.depth, segments=seg)
+    rows = pair.select("key", *seg.order, "u1", "u2")
+    signed = lambda df: hashed(df, proj).withColumns({u: F.col("sign") * F.col(u) for u in ("u1", "u2")})
+    out = running_products(rows, ["b"], "u1", "u2", lanes=proj.depth, segments=seg, expand=signed)
     return _with_median(out, proj)
 
 

@@ -83,3 +83,15 @@ def test_sums_beyond_64_bits_do_not_fail(spark):
     big = 4_000_000_000
     rows = [(0, 0, 1, big, 1, 0), (0, 0, 1, 1, 2, 1), (0, 0, 2, big, 3, 2)]
     assert selfjoin_size(frame(spark, rows)).first()["selfjoin"] == float((big + 1) ** 2 + big**2)
+
+
+def test_crowded_time_with_scattered_ids(spark):
+    rows = [(0, 0, 1, 1, 100, (i * 7919) % 10007 * 10**12) for i in range(300)] + [(0, 0, 1, 1, 5000, 1)]
+    seg = Segments.fit(frame(spark, rows), target_rows=20, min_cells=4)
+    assert seg.chunks and seg.chunks[0] > 10**12
+    pieces = seg.tag(frame(spark, rows)).groupBy(*seg.columns).count()
+    assert pieces.count() < 60 and pieces.agg({"count": "max"}).first()[0] <= 40
+    order = sorted(range(301), key=lambda i: rows[i][4:])
+    assert collect(positions(frame(spark, rows), segments=seg), "ts", "seq", "pos") == [
+        (*rows[i][4:], p) for p, i in enumerate(order)
+    ]
