@@ -28,6 +28,7 @@ from tallyflow.functions.scalars import wide_product
 from tallyflow.schema import order_columns
 
 MAX_CELLS = 1 << 20
+SMALL_PIECE = 100_000  # cells up to this size are never cut
 
 
 @dataclass(frozen=True)
@@ -53,8 +54,8 @@ class Segments:
     ) -> Segments:
         """Choose the cell width from the range and count of the first order column.
 
-        Reads one column.  Only cells beyond four times the target are listed, at
-        most ``count / (4 * target_rows)`` of them.
+        Reads the order columns only.  A cell is crowded beyond four times the target
+        or eight times the average; crowded cells are listed, at most MAX_CELLS.
         """
         order = tuple(order or order_columns(df))
         lead = F.col(order[0])
@@ -70,14 +71,17 @@ class Segments:
         width = max(1, math.ceil((high - low + 1) / cells))
         cells = (high - low) // width + 1
         plain = cls(order, low, width, cells, (), target_rows)
-        if n <= 4 * target_rows:
+        small = min(SMALL_PIECE, target_rows)
+        limit = max(small, min(4 * target_rows, 8 * n // cells))
+        piece = max(small, min(target_rows, n // cells))
+        if n <= limit:
             return plain
         last = F.col(order[-1])
         counts = df.groupBy(plain._cell().alias("cell")).agg(
             F.count(F.lit(1)).alias("n"), F.min(last).alias("low"), F.max(last).alias("high")
         )
-        full = counts.where(F.col("n") > 4 * target_rows).orderBy("cell").collect()
-        chunks = tuple(max(1, math.ceil((r["high"] - r["low"] + 1) * target_rows / r["n"])) for r in full)
+        full = counts.where(F.col("n") > limit).orderBy("cell").collect()
+        chunks = tuple(max(1, math.ceil((r["high"] - r["low"] + 1) * piece / r["n"])) for r in full)
         return cls(order, low, width, cells, tuple(r["cell"] for r in full), target_rows, (), chunks)
 
     @property
