@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 MASK31 = 2147483647  # 2**31 - 1
 
 # Odd multipliers of a 31-bit xorshift-multiply mixer.
-_MIX_A = 2146121005
-_MIX_B = 73244475
-_MIX_HI = 1640531527
+MIX_A = 2146121005
+MIX_B = 73244475
+MIX_HI = 1640531527
 
 
 def seed31(*parts) -> int:
@@ -30,10 +30,12 @@ def fold_key(key: Column) -> Column:
     return F.pmod(key, F.lit(MASK31).cast("bigint"))
 
 
-def hash31(a: Column, b: Column, x: Column) -> Column:
-    """31-bit linear hash of x: high bits of a*x+b folded onto the low ones."""
+def hash31(a: Column, b: Column, x: Column, family: str = "xor") -> Column:
+    """31-bit linear hash of x: the high bits of a*x+b folded onto the low ones, by xor or sum."""
     r = a * x + b
-    return F.shiftright(r, 31).bitwiseXOR(r).bitwiseAND(F.lit(MASK31).cast("bigint"))
+    high = F.shiftright(r, 31)
+    folded = high.bitwiseXOR(r) if family == "xor" else high + r
+    return folded.bitwiseAND(F.lit(MASK31).cast("bigint"))
 
 
 def _xorshift(x: Column, n: int) -> Column:
@@ -51,10 +53,10 @@ def uniform31(row_id: Column, *labels) -> Column:
     can be replayed and recomputed after a lost executor.
     """
     mask = F.lit(MASK31).cast("bigint")
-    hi = F.shiftright(row_id, 31).bitwiseAND(mask) * F.lit(_MIX_HI).cast("bigint")
+    hi = F.shiftright(row_id, 31).bitwiseAND(mask) * F.lit(MIX_HI).cast("bigint")
     x = (row_id.bitwiseAND(mask) + hi + F.lit(seed31(*labels)).cast("bigint")).bitwiseAND(mask)
-    x = _times(_xorshift(x, 15), _MIX_A)
-    x = _times(_xorshift(x, 14), _MIX_B)
+    x = _times(_xorshift(x, 15), MIX_A)
+    x = _times(_xorshift(x, 14), MIX_B)
     return _xorshift(x, 15)
 
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from itertools import combinations
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -292,3 +294,50 @@ def guard_join(
     both = inner_product_lanes(low_lanes, F.lit(high), False)
     out = quorums(both, {"zeta_low": ("le", "lx"), "zeta_high": ("ze", "zx")}, proj.depth, by, exact=exact)
     return out.withColumn("zeta", F.least("zeta_low", "zeta_high"))
+
+
+# -- pluggable guards -------------------------------------------------------------
+
+
+class Guard(Protocol):
+    """What a monitor needs: one ``zeta`` per site, from site states and the anchor.
+
+    Both are cells ``(…, operand, d, b, c)``; operand is 0 or 1.
+    """
+
+    def zeta(self, sites: DataFrame, anchor: DataFrame, by: Sequence[str]) -> DataFrame: ...
+
+
+def _pair(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Both operands side by side as c1, c2."""
+    zero = F.lit(0).cast("bigint")
+    sides = [F.sum(F.when(F.col("operand") == i, F.col("c")).otherwise(zero)).alias(f"c{i + 1}") for i in (0, 1)]
+    return cells.groupBy(*by, "d", "b").agg(*sides)
+
+
+@dataclass(frozen=True)
+class SelfjoinGuard:
+    """Keeps low <= self-join estimate <= high."""
+
+    proj: Projection
+    low: float
+    high: float
+    exact: bool = True
+
+    def zeta(self, sites: DataFrame, anchor: DataFrame, by: Sequence[str]) -> DataFrame:
+        lanes = site_lanes(sites.drop("operand"), anchor.drop("operand"), self.proj, by)
+        return guard_selfjoin(lanes, self.low, self.high, self.proj, by, self.exact)
+
+
+@dataclass(frozen=True)
+class JoinGuard:
+    """Keeps low <= join estimate <= high."""
+
+    proj: Projection
+    low: float
+    high: float
+    exact: bool = True
+
+    def zeta(self, sites: DataFrame, anchor: DataFrame, by: Sequence[str]) -> DataFrame:
+        lanes = polarised_lanes(_pair(sites, by), _pair(anchor, []), self.proj, by)
+        return guard_join(lanes, self.low, self.high, self.proj, by, self.exact)

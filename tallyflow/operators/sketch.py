@@ -16,14 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.functions.mixing import fold_key, hash31, seed31
+from tallyflow.functions.mixing import MASK31, fold_key, hash31, seed31
 from tallyflow.functions.scalars import median_of, relative_error, wide_product
 from tallyflow.operators.frequency import frequency_vector
 from tallyflow.operators.lanes import lane_table
 from tallyflow.operators.joinsize import _sided, selfjoin_size
 from tallyflow.operators.segments import Segments, running_products
 
-_SIGN_BIT = 15
+# How each hash family folds the high bits, and its sign bit.
+FAMILIES = {"xor": 15, "sum": 0}
 
 
 @dataclass(frozen=True)
@@ -34,10 +35,13 @@ class Projection:
     width: int = 1500
     seed: int = 1
     epsilon_override: float | None = None
+    family: str = "xor"
 
     def __post_init__(self):
         if self.depth < 1 or self.width < 1:
             raise ValueError("depth and width must be positive")
+        if self.family not in FAMILIES:
+            raise ValueError(f"unknown hash family {self.family!r}")
 
     @property
     def cells(self) -> int:
@@ -63,7 +67,8 @@ class Projection:
         return F.array(*rows)
 
     def compatible(self, other: Projection) -> bool:
-        return (self.depth, self.width, self.seed) == (other.depth, other.width, other.seed)
+        mine, theirs = ((p.depth, p.width, p.seed, p.family) for p in (self, other))
+        return mine == theirs
 
 
 def hashed(df: DataFrame, proj: Projection) -> DataFrame:
@@ -71,9 +76,10 @@ def hashed(df: DataFrame, proj: Projection) -> DataFrame:
     out = df.select("*", F.inline(proj.seeds_literal())).withColumn("_x", fold_key(F.col("key")))
     x = F.col("_x")
     f = [F.col(f"_f{i}") for i in range(6)]
-    bucket = F.pmod(hash31(f[0], f[1], x), F.lit(proj.width).cast("bigint")).cast("int")
-    mixed = hash31(hash31(hash31(x, f[2], f[3]), x, f[4]), x, f[5])
-    bit = F.shiftright(mixed, _SIGN_BIT).bitwiseAND(F.lit(1).cast("bigint"))
+    fold = lambda a, b, v: hash31(a, b, v, proj.family)
+    bucket = F.pmod(fold(f[0], f[1], x), F.lit(proj.width).cast("bigint")).cast("int")
+    mixed = fold(fold(fold(x, f[2], f[3]), x, f[4]), x, f[5])
+    bit = F.shiftright(mixed, FAMILIES[proj.family]).bitwiseAND(F.lit(1).cast("bigint"))
     out = out.withColumns({"b": bucket, "sign": 2 * bit - 1})
     return out.drop("_x", *[f"_f{i}" for i in range(6)])
 
@@ -228,11 +234,12 @@ def agms_udaf(proj: Projection):
     :func:`sketch` for anything large.
     """
     seeds = np.array([s[1:] for s in proj.seeds()], dtype=np.int64)
-    mask, width, depth = 2147483647, proj.width, proj.depth
+    mask, width, depth, sign_bit = MASK31, proj.width, proj.depth, FAMILIES[proj.family]
 
     def fold(a, b, x):
         r = a * x + b
-        return ((r >> 31) ^ r) & mask
+        high = r >> 31
+        return ((high ^ r) if proj.family == "xor" else (high + r)) & mask
 
     @F.pandas_udf("array<bigint>")
     def agms(key: pd.Series, upd: pd.Series) -> list:
@@ -242,7 +249,7 @@ def agms_udaf(proj: Projection):
         for d in range(depth):
             f = seeds[d]
             h = fold(fold(fold(x, f[2], f[3]), x, f[4]), x, f[5])
-            np.add.at(out[d], fold(f[0], f[1], x) % width, np.where((h >> _SIGN_BIT) & 1 == 1, u, -u))
+            np.add.at(out[d], fold(f[0], f[1], x) % width, np.where((h >> sign_bit) & 1 == 1, u, -u))
         return out.ravel().tolist()
 
     return agms

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyflow.operators.sketch import Projection
+from tallyflow.functions.mixing import MASK31, MIX_A, MIX_B, MIX_HI, seed31
+from tallyflow.operators.sketch import FAMILIES, Projection
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,20 +59,21 @@ def seeds_cte(proj: Projection = PROJ, name: str = "seeds") -> str:
     return f"{name} AS (SELECT CAST(d AS INTEGER) AS d, f0, f1, f2, f3, f4, f5 FROM (VALUES {rows}) t(d, f0, f1, f2, f3, f4, f5))"
 
 
-def _fold(r: str) -> str:
-    return f"(xor({r} >> 31, {r}) & 2147483647)"
-
-
 def hashed_cte(source: str, out: str, proj: Projection = PROJ, seeds: str = "seeds") -> str:
     """CTE ``out``: rows of ``source`` times sketch rows, with bucket b and sign sg of key."""
+
+    def fold(r: str) -> str:
+        mixed = f"xor({r} >> 31, {r})" if proj.family == "xor" else f"(({r} >> 31) + {r})"
+        return f"({mixed} & 2147483647)"
+
     return f"""{out}_0 AS (SELECT s.*, t.*, ((s.key % 2147483647) + 2147483647) % 2147483647 AS x
               FROM {source} s CROSS JOIN {seeds} t),
 {out}_1 AS (SELECT *, f0 * x + f1 AS ra, x * f3 + f2 AS rb FROM {out}_0),
-{out}_2 AS (SELECT *, {_fold('rb')} * f4 + x AS rc FROM {out}_1),
-{out}_3 AS (SELECT *, {_fold('rc')} * f5 + x AS rd FROM {out}_2),
+{out}_2 AS (SELECT *, {fold('rb')} * f4 + x AS rc FROM {out}_1),
+{out}_3 AS (SELECT *, {fold('rc')} * f5 + x AS rd FROM {out}_2),
 {out} AS (SELECT * EXCLUDE (x, ra, rb, rc, rd, f0, f1, f2, f3, f4, f5),
-                 CAST({_fold('ra')} % {proj.width} AS INTEGER) AS b,
-                 2 * (({_fold('rd')} >> 15) & 1) - 1 AS sg
+                 CAST({fold('ra')} % {proj.width} AS INTEGER) AS b,
+                 2 * (({fold('rd')} >> {FAMILIES[proj.family]}) & 1) - 1 AS sg
           FROM {out}_3)"""
 
 
@@ -83,3 +85,19 @@ def sketch_cte(source: str, out: str, by: str = "sid", proj: Projection = PROJ,
         + f""",
 {out} AS (SELECT {group}d, b, CAST(sum(sg * upd) AS BIGINT) AS c FROM {out}_h GROUP BY {group}d, b)"""
     )
+
+
+def _u31(row_id: str, *labels) -> str:
+    """SQL twin of the generator's hash, as nested expressions."""
+    x = f"((({row_id} & {MASK31}) + (({row_id} >> 31) & {MASK31}) * {MIX_HI} + {seed31(*labels)}) & {MASK31})"
+    x = f"((xor({x}, {x} >> 15) * {MIX_A}) & {MASK31})"
+    x = f"((xor({x}, {x} >> 14) * {MIX_B}) & {MASK31})"
+    return f"xor({x}, {x} >> 15)"
+
+
+def uniform_int_sql(row_id: str, high: int, *labels) -> str:
+    return f"((({_u31(row_id, *labels)}) * {high}) >> 31) + 1"
+
+
+def uniform_unit_sql(row_id: str, *labels) -> str:
+    return f"((({_u31(row_id, *labels)})::DOUBLE + 0.5) / 2147483648.0)"

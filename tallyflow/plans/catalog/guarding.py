@@ -33,11 +33,11 @@ def _high(q: str) -> str:
 
 
 @query(
-    "publish_error_bound",
+    "tods_error_bound",
     f"""SELECT DISTINCT l_discount AS theta, round({_EPS!r} + pow(1 + {_EPS!r}, 2) * (2 * l_discount + l_discount * l_discount), 6) AS bound
     FROM lineitem""",
 )
-def publish_error_bound(spark, sf):
+def tods_error_bound(spark, sf):
     thetas = table(spark, sf, "lineitem").select(F.col("l_discount").alias("theta")).distinct()
     return thetas.select("theta", F.round(bounds.publish_error_bound(F.lit(_EPS), F.col("theta")), 6).alias("bound"))
 

@@ -11,10 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.functions.mixing import MASK31, _MIX_A, _MIX_B, _MIX_HI, seed31
 from tallyflow.operators.frequency import duration
 from tallyflow.plans import jobspec
-from tallyflow.plans.catalog.base import EV, query, with_
+from tallyflow.plans.catalog.base import EV, query, uniform_int_sql, uniform_unit_sql, with_
 from tallyflow.schema import LOCAL_STREAM_STATS_SCHEMA
 from tallyflow.session import shared_folder
 from tallyflow.sources import generators as gen
@@ -166,22 +165,6 @@ def materialize(spark, sf):
 # -- generated streams ------------------------------------------------------------------
 
 
-def _u31(row_id: str, *labels) -> str:
-    """SQL twin of the generator's hash, as nested expressions."""
-    x = f"((({row_id} & {MASK31}) + (({row_id} >> 31) & {MASK31}) * {_MIX_HI} + {seed31(*labels)}) & {MASK31})"
-    x = f"((xor({x}, {x} >> 15) * {_MIX_A}) & {MASK31})"
-    x = f"((xor({x}, {x} >> 14) * {_MIX_B}) & {MASK31})"
-    return f"xor({x}, {x} >> 15)"
-
-
-def _uint(row_id: str, high: int, *labels) -> str:
-    return f"((({_u31(row_id, *labels)}) * {high}) >> 31) + 1"
-
-
-def _unit(row_id: str, *labels) -> str:
-    return f"((({_u31(row_id, *labels)})::DOUBLE + 0.5) / 2147483648.0)"
-
-
 def _ids(spark, sf):
     return table(spark, sf, "events").select((F.col("event_id") + 1).alias("id"))
 
@@ -193,8 +176,8 @@ _IDS = "ids AS (SELECT event_id + 1 AS id FROM events)"
     "gen_uniform",
     with_(
         _IDS,
-        f"""SELECT CAST({_uint('id', 10, 3, 'sid')} AS INTEGER) AS sid, CAST({_uint('id', 20, 3, 'hid')} AS INTEGER) AS hid,
-         {_uint('id', 1000000, 3, 'key')} AS key, CAST(1 AS BIGINT) AS upd, id AS ts, id AS seq FROM ids""",
+        f"""SELECT CAST({uniform_int_sql('id', 10, 3, 'sid')} AS INTEGER) AS sid, CAST({uniform_int_sql('id', 20, 3, 'hid')} AS INTEGER) AS hid,
+         {uniform_int_sql('id', 1000000, 3, 'key')} AS key, CAST(1 AS BIGINT) AS upd, id AS ts, id AS seq FROM ids""",
     ),
 )
 def gen_uniform(spark, sf):
@@ -206,9 +189,9 @@ def gen_uniform(spark, sf):
     "gen_poisson",
     with_(
         _IDS,
-        f"g AS (SELECT id, CAST(round(-ln({_unit('id', 3, 'gap')}) * (2.5 * 1000000)) AS BIGINT) AS gap FROM ids)",
-        f"""SELECT CAST({_uint('id', 2, 3, 'sid')} - 1 AS INTEGER) AS sid, CAST({_uint('id', 4, 3, 'hid')} - 1 AS INTEGER) AS hid,
-         {_uint('id', 100, 3, 'key')} - 1 AS key, CAST(1 AS BIGINT) AS upd,
+        f"g AS (SELECT id, CAST(round(-ln({uniform_unit_sql('id', 3, 'gap')}) * (2.5 * 1000000)) AS BIGINT) AS gap FROM ids)",
+        f"""SELECT CAST({uniform_int_sql('id', 2, 3, 'sid')} - 1 AS INTEGER) AS sid, CAST({uniform_int_sql('id', 4, 3, 'hid')} - 1 AS INTEGER) AS hid,
+         {uniform_int_sql('id', 100, 3, 'key')} - 1 AS key, CAST(1 AS BIGINT) AS upd,
          CAST(sum(gap) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS ts, id AS seq FROM g""",
     ),
 )
@@ -224,7 +207,7 @@ _ZIPF_N, _ZIPF_THETA = 1000, 0.8
     with_(
         _IDS,
         f"z AS (SELECT sum(pow(1.0 / i, {_ZIPF_THETA})) AS zn FROM range(1, {_ZIPF_N + 1}) r(i))",
-        f"u AS (SELECT id, zn, {_unit('id', 3, 'zipf')} AS u FROM ids, z)",
+        f"u AS (SELECT id, zn, {uniform_unit_sql('id', 3, 'zipf')} AS u FROM ids, z)",
         f"e AS (SELECT *, (1 - pow(2.0 / {_ZIPF_N}, {1 - _ZIPF_THETA!r})) / (1 - (1 + pow(0.5, {_ZIPF_THETA})) / zn) AS eta FROM u)",
         f"""SELECT id AS seq, CAST(CASE WHEN u * zn < 1 THEN 1 WHEN u * zn < 1 + pow(0.5, {_ZIPF_THETA}) THEN 2
          ELSE least({_ZIPF_N}, 1 + floor({_ZIPF_N} * pow(eta * u - eta + 1, {1 / (1 - _ZIPF_THETA)!r}))) END AS BIGINT) AS key FROM e""",
@@ -238,8 +221,8 @@ def gen_zipf(spark, sf):
     "gen_stable",
     with_(
         _IDS,
-        f"""a AS (SELECT id, {_unit('id', 3, 'r')} AS r, {_unit('id', 3, 'n', 'u')} AS nu, {_unit('id', 3, 'n', 'v')} AS nv,
-             {_unit('id', 3, 'c')} AS c, {_unit('id', 3, 's', 'u')} AS su, {_unit('id', 3, 's', 'v')} AS sv FROM ids)""",
+        f"""a AS (SELECT id, {uniform_unit_sql('id', 3, 'r')} AS r, {uniform_unit_sql('id', 3, 'n', 'u')} AS nu, {uniform_unit_sql('id', 3, 'n', 'v')} AS nv,
+             {uniform_unit_sql('id', 3, 'c')} AS c, {uniform_unit_sql('id', 3, 's', 'u')} AS su, {uniform_unit_sql('id', 3, 's', 'v')} AS sv FROM ids)""",
         """SELECT id, round(-5 + r * 15, 6) AS uniform, round(sqrt(-2 * ln(nu)) * cos(2 * pi() * nv), 6) AS normal,
          round(atan(tan(pi() * (c - 0.5))), 6) AS cauchy_angle,
          round(sin(1.5 * (pi() * (su - 0.5))) / pow(cos(pi() * (su - 0.5)), 1 / 1.5)

@@ -9,7 +9,19 @@ from tallyflow.operators import grids
 from tallyflow.operators import sketch as sk
 from tallyflow.operators.frequency import frequency_vector
 from tallyflow.operators.windows import time_window
-from tallyflow.plans.catalog.base import DAY, EV, LI, PROJ, hashed_cte, query, seeds_cte, sketch_cte, with_
+from tallyflow.plans.catalog.base import (
+    DAY,
+    EV,
+    LI,
+    PROJ,
+    hashed_cte,
+    query,
+    seeds_cte,
+    sketch_cte,
+    uniform_int_sql,
+    with_,
+)
+from tallyflow.session import cut_lineage
 from tallyflow.sources.generators import uniform_updates
 from tallyflow.sources.views import events_stream, lineitem_stream, table
 
@@ -30,6 +42,16 @@ def hash_family(spark, sf):
     return sk.hashed(lineitem_stream(spark, sf).select("key").distinct(), PROJ)
 
 
+_SUM = sk.Projection(PROJ.depth, PROJ.width, PROJ.seed, family="sum")
+
+
+@query("hash_family_sum", with_(LI, seeds_cte(_SUM), "k AS (SELECT DISTINCT key FROM li)", hashed_cte("k", "h", _SUM),
+                                "SELECT key, d, b, CAST(sg AS BIGINT) AS sign FROM h"))
+def hash_family_sum(spark, sf):
+    """The family that folds by sum and takes the low bit as sign."""
+    return sk.hashed(lineitem_stream(spark, sf).select("key").distinct(), _SUM)
+
+
 @query("sketch_build", with_(LI, seeds_cte(), _SK, "SELECT sid, d, b, c FROM sk"))
 def sketch_build(spark, sf):
     return _li_sketch(spark, sf)
@@ -245,31 +267,53 @@ def sketch_accuracy(spark, sf):
 
 
 _SWEEP_TRIALS = 20
+_SWEEP_SEED = 11
+_SWEEP_SIZES = tuple(sk.Projection(d, w, seed=5) for d, w in ((3, 500), (5, 500), (5, 1500), (7, 1500)))
+
+
+def _sweep_sql() -> str:
+    ctes = [
+        f"""t AS (SELECT event_id * {_SWEEP_TRIALS} + i AS id FROM events, range(1, {_SWEEP_TRIALS + 1}) r(i))""",
+        f"""f AS (SELECT CAST((id - 1) % {_SWEEP_TRIALS} AS INTEGER) AS trial, {uniform_int_sql('id', 1000, _SWEEP_SEED, 'key')} AS key, count(*) AS upd
+             FROM t GROUP BY 1, 2)""",
+        "x AS (SELECT trial, sum(upd * upd)::DOUBLE AS exact FROM f GROUP BY trial)",
+    ]
+    rows = []
+    for n, proj in enumerate(_SWEEP_SIZES):
+        ctes += [
+            seeds_cte(proj, f"seeds{n}"),
+            sketch_cte("f", f"s{n}", "trial", proj, f"seeds{n}"),
+            f"q{n} AS (SELECT trial, d, sum(c * c)::DOUBLE AS r FROM s{n} GROUP BY trial, d)",
+            f"m{n} AS (SELECT trial, median(r) AS estimate FROM q{n} GROUP BY trial)",
+        ]
+        rows.append(
+            f"""SELECT {proj.depth} AS depth, {proj.width} AS width,
+            avg(CASE WHEN abs(estimate / exact - 1) > {proj.epsilon / 3!r} THEN 1.0 ELSE 0.0 END) AS failure_rate,
+            CAST({proj.failure_probability!r} AS DOUBLE) AS bound FROM m{n} JOIN x ON x.trial = m{n}.trial"""
+        )
+    return with_(*ctes, " UNION ALL ".join(rows))
 
 
-@query("accuracy_sweep")
+@query("accuracy_sweep", _sweep_sql())
 def accuracy_sweep(spark, sf):
     """Failure rate of the estimate over trials and sketch sizes, against its bound.
 
     Each trial is a uniform stream with as many records as ``events`` has; key
-    counts per trial are hashed once per size.
+    counts per trial are kept and hashed once per size.
     """
-    ids = table(spark, sf, "events").select(F.col("event_id").alias("id"))
-    trials = ids.select("id", F.explode(F.sequence(F.lit(1), F.lit(_SWEEP_TRIALS))).alias("trial"))
-    numbered = trials.select((F.col("id") * _SWEEP_TRIALS + F.col("trial")).alias("id"), "trial")
-    stream = uniform_updates(numbered, 1, 1, 1000, seed=11).withColumn(
-        "trial", F.pmod(F.col("ts") - 1, F.lit(_SWEEP_TRIALS)).cast("int")
-    )
-    freq = frequency_vector(stream, ["trial"])
+    ids = table(spark, sf, "events").select(F.col("event_id"), F.explode(F.sequence(F.lit(1), F.lit(_SWEEP_TRIALS))).alias("i"))
+    ids = ids.select((F.col("event_id") * _SWEEP_TRIALS + F.col("i")).alias("id"))
+    stream = uniform_updates(ids, 1, 1, 1000, seed=_SWEEP_SEED)
+    stream = stream.withColumn("trial", F.pmod(F.col("ts") - 1, F.lit(_SWEEP_TRIALS)).cast("int"))
+    freq = cut_lineage(frequency_vector(stream, ["trial"]))
     exact = freq.groupBy("trial").agg(F.sum(F.col("cnt") * F.col("cnt")).cast("double").alias("exact"))
     out = None
-    for depth, width in ((3, 500), (5, 500), (5, 1500), (7, 1500)):
-        proj = sk.Projection(depth, width, seed=5)
+    for proj in _SWEEP_SIZES:
         est = sk.selfjoin_estimate(sk.sketch_counts(freq, proj, ["trial"]), proj, ["trial"])
         error = F.abs(F.col("estimate") / F.col("exact") - 1)
         part = est.join(exact, "trial").agg(
-            F.lit(depth).alias("depth"),
-            F.lit(width).alias("width"),
+            F.lit(proj.depth).alias("depth"),
+            F.lit(proj.width).alias("width"),
             F.avg(F.when(error > proj.epsilon / 3, 1.0).otherwise(0.0)).alias("failure_rate"),
             F.lit(proj.failure_probability).alias("bound"),
         )

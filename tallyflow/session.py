@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,11 @@ def local_session(cores: int | str = 8, app: str = "tallyflow", shuffle_partitio
     return spark
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="tallyflow-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder under the one the cluster names in ``spark.checkpoint.dir``.
 
@@ -37,8 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tallyflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return os.path.join(root, f"tallyflow-{uuid.uuid4().hex}")
 
 

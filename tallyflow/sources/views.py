@@ -21,7 +21,7 @@ def event_updates(events: DataFrame, sites: int = SITES) -> DataFrame:
     return events.select(
         sid.alias("sid"),
         F.pmod(F.col("user_id"), F.lit(sites)).cast("int").alias("hid"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("key"),
+        F.from_json("props", "k bigint")["k"].alias("key"),
         F.lit(1).cast("bigint").alias("upd"),
         F.unix_timestamp(F.col("ts")).alias("ts"),
         F.col("event_id").alias("seq"),

@@ -30,7 +30,8 @@ def level_changes(
         last = state.get[0] if state.exists else None
         hits, last = level_hits(rows["level"].to_numpy(), last, p, d)
         state.update((last,))
-        yield rows.iloc[hits]
+        if hits:
+            yield rows.iloc[hits]
 
     return slim.groupBy(*by).applyInPandasWithState(
         step,

@@ -10,13 +10,14 @@ ends: a bound may be crossed within a batch before it is reported.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.functions import bounds
+from tallyflow.functions import guard_math
 from tallyflow.functions.scalars import publish_bytes, wide_product
 from tallyflow.operators import guards
 from tallyflow.operators.joinsize import JoinSizeQuery
@@ -118,12 +119,16 @@ class GuardedEstimate:
         sites: int,
         rule: str = "any_site",
         exact: bool = True,
+        guard: Callable[[float, float], guards.Guard] | None = None,
     ):
+        """``guard`` makes the guard for given bounds; by default the query's own."""
         if rule not in RULES:
             raise ValueError(f"unknown rule {rule!r}; use one of {RULES}")
         if proj.epsilon >= query.beta:
             raise ValueError("total error must exceed the sketch error")
-        self.query, self.proj, self.sites, self.rule, self.exact = query, proj, sites, rule, exact
+        self.query, self.proj, self.sites, self.rule = query, proj, sites, rule
+        own = guards.SelfjoinGuard if query.is_selfjoin else guards.JoinGuard
+        self.guard = guard or (lambda low, high: own(proj, low, high, exact))
         self.anchor = VersionedTable(spark, f"{folder}/anchor", "operand int, d int, b int, c bigint")
         self.drift = VersionedTable(spark, f"{folder}/drift", "hid int, operand int, d int, b int, c bigint")
         self.pending = VersionedTable(spark, f"{folder}/pending", "hid int, updates bigint")
@@ -134,12 +139,6 @@ class GuardedEstimate:
         which = F.coalesce(*[F.when(F.col("sid") == s, F.lit(i)) for i, s in enumerate(sids)])
         return batch.where(F.col("sid").isin(*sids)).withColumn("operand", which)
 
-    def _pair(self, cells: DataFrame, by: list[str]) -> DataFrame:
-        """Both operands side by side as c1, c2."""
-        zero = F.lit(0).cast("bigint")
-        one = lambda i: F.sum(F.when(F.col("operand") == i, F.col("c")).otherwise(zero)).alias(f"c{i + 1}")
-        return cells.groupBy(*by, "d", "b").agg(one(0), one(1))
-
     def _estimate(self, anchor: DataFrame) -> float:
         if self.query.is_selfjoin:
             row = selfjoin_estimate(anchor, self.proj, []).first()
@@ -148,19 +147,6 @@ class GuardedEstimate:
             row = join_estimate(side(0), side(1), self.proj).first()
         return float(row[0]) if row and row[0] is not None else 0.0
 
-    def _bounds(self, spark: SparkSession, estimate: float) -> tuple[float, float]:
-        e, beta, eps = F.lit(estimate), self.query.beta, self.proj.epsilon
-        row = spark.range(1).select(bounds.admissible_low(e, beta, eps), bounds.admissible_high(e, beta, eps)).first()
-        return row[0], row[1]
-
-    def _zetas(self, states: DataFrame, anchor: DataFrame, low: float, high: float) -> DataFrame:
-        """Guard of each state in ``states`` (column hid)."""
-        if self.query.is_selfjoin:
-            lanes = guards.site_lanes(states.drop("operand"), anchor.drop("operand"), self.proj, ["hid"])
-            return guards.guard_selfjoin(lanes, low, high, self.proj, ["hid"], self.exact)
-        lanes = guards.polarised_lanes(self._pair(states, ["hid"]), self._pair(anchor, []), self.proj, ["hid"])
-        return guards.guard_join(lanes, low, high, self.proj, ["hid"], self.exact)
-
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         spark, cells = batch.sparkSession, ["hid", "operand", "d", "b"]
         mine = self._operands(batch)
@@ -173,7 +159,7 @@ class GuardedEstimate:
 
         anchor = self.anchor.at(batch_id - 1)
         estimate = self._estimate(anchor)
-        low, high = self._bounds(spark, estimate)
+        low, high = guard_math.bounds(estimate, self.query.beta, self.proj.epsilon)
         if batch_id == 0:
             zeta_anchor = zeta_min = zeta_sum = None
             moved = True
@@ -191,7 +177,7 @@ class GuardedEstimate:
             grown = anchor.unionByName(drift.drop("hid")).groupBy("operand", "d", "b").agg(F.sum("c").alias("c"))
             anchor = self.anchor.write(grown, batch_id)
             estimate = self._estimate(anchor)
-            low, high = self._bounds(spark, estimate)
+            low, high = guard_math.bounds(estimate, self.query.beta, self.proj.epsilon)
             self.drift.write(spark.createDataFrame([], self.drift.schema), batch_id)
             self.pending.write(spark.createDataFrame([], self.pending.schema), batch_id)
         else:
@@ -207,7 +193,7 @@ class GuardedEstimate:
         # Host ids are 16-bit, the anchor has arity*D*L rows; hid -1 stands for the anchor itself.
         everywhere = anchor.select(F.explode(F.array_append(hosts, F.lit(-1))).alias("hid"), "operand", "d", "b", "c")
         states = scaled.unionByName(everywhere).groupBy("hid", "operand", "d", "b").agg(F.sum("c").alias("c"))
-        zetas = self._zetas(states, anchor, low, high)
+        zetas = self.guard(low, high).zeta(states, anchor, ["hid"])
         row = zetas.agg(
             F.max(F.when(F.col("hid") == -1, F.col("zeta"))).alias("anchor"),
             F.min(F.when(F.col("hid") >= 0, F.col("zeta"))).alias("low"),

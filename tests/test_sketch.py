@@ -164,3 +164,14 @@ def test_point_estimate_of_a_lonely_key(spark):
 def test_frequency_vector_adds_signs(spark):
     rows = [(0, 0, 1, 2, 1, 1), (0, 0, 1, -2, 2, 2), (0, 0, 3, 1, 3, 3)]
     assert collect(frequency_vector(frame(spark, rows)), "key", "cnt") == [(1, 0), (3, 1)]
+
+
+def test_udaf_knows_both_hash_families(spark):
+    for family in sk.FAMILIES:
+        proj = sk.Projection(3, 11, seed=2, family=family)
+        flat = frame(spark, ROWS).agg(sk.agms_udaf(proj)("key", "upd").alias("v")).first()["v"]
+        cells = dense(proj, sk.sketch(frame(spark, ROWS), proj, []))
+        assert list(flat) == [c for row in cells for c in row]
+    assert not proj.compatible(sk.Projection(3, 11, seed=2))
+    with pytest.raises(ValueError):
+        sk.Projection(3, 11, family="none")
