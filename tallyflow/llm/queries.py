@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyflow.llm import packing
+from tallyflow.llm import packing, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,3 +34,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     pieces = packing.decompose(_documents(spark, sf_dir), tokenizer)
     return packing.number_sequences(packing.with_digest(pieces))
+
+
+@_query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))

@@ -14,7 +14,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-#: Bytes scanned at a time; a longer text is scanned in pieces that end at white space.
+#: Bytes scanned at a time.
 SCAN_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -32,16 +32,15 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE^i and its inverse powers modulo 2^64, i < n."""
-    inverse = U64(pow(int(_BASE), -1, 1 << 64))
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """_BASE^i and its inverse powers modulo 2^64, i <= SCAN_BYTES."""
 
     def series(x: np.uint64) -> np.ndarray:
-        out = np.full(n, x, dtype=np.uint64)
+        out = np.full(SCAN_BYTES + 1, x, dtype=np.uint64)
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    return series(_BASE), series(inverse)
+    return series(_BASE), series(U64(pow(int(_BASE), -1, 1 << 64)))
 
 
 @cache
@@ -63,12 +62,30 @@ SPACE = _space_table()
 
 
 def substring_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Hashes of ``data[starts[i]:ends[i]]``; the same bytes give the same hash anywhere."""
-    power, inverse = _powers(max(SCAN_BYTES, 1 << int(len(data)).bit_length()))
-    prefix = np.empty(len(data) + 1, dtype=np.uint64)
-    prefix[0] = 0
-    np.cumsum(values[data] * power[: len(data)], out=prefix[1:])
-    return mix64((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """Hashes of ``data[starts[i]:ends[i]]``; the same bytes give the same hash anywhere.
+
+    Starts and ends ascend.  Prefix sums exist for ``SCAN_BYTES`` at a time.
+    """
+    power, inverse = _powers()
+    out = np.zeros(len(starts), dtype=np.uint64)
+    carry, a, b = U64(0), 0, 0
+    for at in range(0, max(len(data), 1), SCAN_BYTES):
+        part = data[at : at + SCAN_BYTES]
+        prefix = np.empty(len(part) + 1, dtype=np.uint64)
+        prefix[0] = carry
+        np.multiply(values[part], power[: len(part)] * U64(pow(int(_BASE), at, 1 << 64)), out=prefix[1:])
+        np.cumsum(prefix, out=prefix)
+        last = at + len(part)
+        a_to = int(np.searchsorted(starts, last, side="right"))
+        b_to = int(np.searchsorted(ends, last, side="right"))
+        out[a:a_to] -= prefix[starts[a:a_to] - at]
+        out[b:b_to] += prefix[ends[b:b_to] - at]
+        carry, a, b = prefix[-1], a_to, b_to
+    out *= inverse[starts % SCAN_BYTES]
+    if len(data) > SCAN_BYTES:
+        far = [pow(int(inverse[SCAN_BYTES]), k, 1 << 64) for k in range(len(data) // SCAN_BYTES + 1)]
+        out *= np.array(far, dtype=np.uint64)[starts // SCAN_BYTES]
+    return mix64(out + (ends - starts).astype(np.uint64))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,33 +122,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends
 
 
-def pieces(data: np.ndarray, most: int = SCAN_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of about ``most`` bytes that end at white space (or anywhere in a longer word's end)."""
-    start = 0
-    while start < len(data):
-        end = min(len(data), start + most)
-        while end < len(data):
-            space = np.flatnonzero(SPACE[data[end : end + most]])
-            if len(space):
-                end += int(space[0])
-                break
-            end = min(len(data), end + most)
-        yield start, end
-        start = end
-
-
 def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and the n + 1 offsets of the rows into them."""
-    values = byte_values(lower)
-    if len(offsets) == 2 and len(data) > SCAN_BYTES:
-        parts = []
-        for start, end in pieces(data):
-            piece = data[start:end]
-            parts.append(substring_hashes(piece, *word_spans(piece, np.array([0, len(piece)])), values))
-        hashes = np.concatenate(parts)
-        return hashes, np.array([0, len(hashes)])
     starts, ends = word_spans(data, offsets)
-    return substring_hashes(data, starts, ends, values), np.searchsorted(starts, offsets)
+    return substring_hashes(data, starts, ends, byte_values(lower)), np.searchsorted(starts, offsets)
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
