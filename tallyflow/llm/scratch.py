@@ -11,9 +11,12 @@ class Scratch:
     """Parquet tables under one fresh folder of ``spark.checkpoint.dir``.
 
     ``keep`` cuts the lineage: what is read back does not depend on the executors
-    that computed it.  ``drop`` deletes a table that nothing reads any more.
+    that computed it.  The shuffle files behind it are deleted at once, as nothing
+    needs them any more.  ``drop`` deletes a table that nothing reads any more.
     """
 
+    _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession) -> None:
         self._spark = spark
         self._root = shared_folder(spark)
@@ -22,7 +25,15 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self._written += 1
         path = f"{self._root}/{name}-{self._written}"
-        df.write.parquet(path)
+        before = self._spark.conf.get(self._CLEANUP, None)
+        self._spark.conf.set(self._CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self._spark.conf.unset(self._CLEANUP)
+            else:
+                self._spark.conf.set(self._CLEANUP, before)
         table = self._spark.read.schema(df.schema).parquet(path)
         table.__dict__["_scratch_path"] = path
         return table
