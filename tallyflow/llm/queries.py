@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import packing, quality_classifier, quality_rules, token_counts
+from tallyflow.llm import line_dedup, packing, quality_classifier, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,3 +53,35 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality_classifier.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+_LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS i
+  FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+w AS (
+  SELECT doc_id, i, line, row_number() OVER (ORDER BY doc_id, i) AS place,
+         regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS ws
+  FROM l),
+f AS (SELECT ws, min(place) AS place FROM w WHERE len(ws) > 0 GROUP BY ws),
+v AS (
+  SELECT place, cut, CASE WHEN cut < 0 THEN ws ELSE list_concat(ws[1:cut], ws[cut + 2:]) END AS v
+  FROM (SELECT place, ws, unnest(range(-1, len(ws))) AS cut FROM f WHERE len(ws) >= 8)),
+near AS (
+  SELECT DISTINCT a.place
+  FROM v a JOIN v b ON a.v = b.v AND b.place < a.place AND (a.cut = b.cut OR a.cut < 0 OR b.cut < 0)),
+gone AS (
+  SELECT w.place FROM w JOIN f ON w.ws = f.ws
+  WHERE w.place <> f.place OR f.place IN (SELECT place FROM near))
+SELECT w.doc_id, count(*) AS n_lines, count(gone.place) AS n_removed,
+       sha256(coalesce(string_agg(w.line, chr(10) ORDER BY w.i) FILTER (WHERE gone.place IS NULL), '')) AS text_sha256
+FROM w LEFT JOIN gone ON w.place = gone.place
+GROUP BY w.doc_id"""
+
+
+@_query("op10_line_dedup", _LINES_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup_lines(_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))

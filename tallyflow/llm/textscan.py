@@ -128,6 +128,29 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     return substring_hashes(data, starts, ends, byte_values(lower)), np.searchsorted(starts, offsets)
 
 
+def range_hashes(
+    values: np.ndarray, first: np.ndarray, last: np.ndarray, without: np.ndarray | None = None
+) -> np.ndarray:
+    """Hashes of the sequences ``values[first:last]``, leaving out entry ``without`` where that is in the range."""
+    power = np.full(len(values) + 1, _BASE, dtype=np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    inverse = np.full(len(values) + 1, U64(pow(int(_BASE), -1, 1 << 64)), dtype=np.uint64)
+    inverse[0] = 1
+    np.multiply.accumulate(inverse, out=inverse)
+    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * power[:-1], out=prefix[1:])
+    length = last - first
+    total = prefix[last] - prefix[first]
+    if without is not None:
+        inside = without >= first
+        cut = np.where(inside, without, first)
+        behind = (prefix[last] - prefix[np.minimum(cut + 1, last)]) * inverse[1]
+        total = np.where(inside, prefix[cut] - prefix[first] + behind, total)
+        length = length - inside
+    return mix64(total * inverse[first] + length.astype(np.uint64))
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` words: entry i covers words i .. i + width - 1."""
     n = len(words) - width + 1
