@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import line_dedup, packing, quality_classifier, quality_rules, token_counts
+from tallyflow.llm import line_dedup, near_dedup, packing, quality_classifier, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,3 +85,8 @@ GROUP BY w.doc_id"""
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.dedup_lines(_documents(spark, sf_dir))
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+@_query("op4_minhash_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_documents(spark, sf_dir))
