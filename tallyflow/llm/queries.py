@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import line_dedup, near_dedup, packing, quality_classifier, quality_rules, token_counts
+from tallyflow.llm import line_dedup, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,3 +90,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_minhash_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_documents(spark, sf_dir))
+
+
+@_query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return suffix_dedup.with_digest(suffix_dedup.remove_repeats(docs))

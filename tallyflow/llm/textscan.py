@@ -88,6 +88,18 @@ def substring_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, val
     return mix64(out + (ends - starts).astype(np.uint64))
 
 
+def prefix_sums(data: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Prefix sums for ``prefix_hash`` of up to ``SCAN_BYTES`` bytes."""
+    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(values[data] * _powers()[0][: len(data)], out=prefix[1:])
+    return prefix
+
+
+def prefix_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from each start to its end."""
+    return mix64((prefix[ends] - prefix[starts]) * _powers()[1][starts] + (ends - starts).astype(np.uint64))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets into them; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")
