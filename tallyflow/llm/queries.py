@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import line_dedup, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, token_counts
+from tallyflow.llm import (
+    license_scan,
+    line_dedup,
+    mixing,
+    near_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    suffix_dedup,
+    token_counts,
+)
+from tallyflow.llm.native_sql import license_sql, mixing_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,3 +107,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return suffix_dedup.with_digest(suffix_dedup.remove_repeats(docs))
+
+
+@_query("op2_license_scan", license_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_documents(spark, sf_dir)).withColumn("notices", F.array_join("notices", ","))
+
+
+@_query("op9_source_mixing", mixing_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_documents(spark, sf_dir))
+    return mixed.select("doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled")
