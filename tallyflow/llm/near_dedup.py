@@ -8,9 +8,10 @@ their full sets.
 
 No bucket emits all its pairs.  First every member meets the bucket's anchor.  Then only
 members of different components meet, and only those that can still be similar: two
-sets of sizes m and n share at least t/(1+t) * (m + n) shingles, and no set shares more
-than the shingles that occur in some other candidate as well.  Pairs within a component
-need no test, as they cannot change it; no link between components is left out.
+similar sets of sizes m and n share at least t/(1+t) * (m + n) shingles, but no more than
+the lesser of what each shares with the anchor and the lesser of what else of each occurs
+in any other candidate.  Pairs within a component need no test, as they cannot change it;
+no link between components is left out.
 """
 
 from __future__ import annotations
@@ -152,11 +153,19 @@ def _lonely(sets: DataFrame) -> DataFrame:
     return once.groupBy("cid").agg(F.count("*").alias("lonely"))
 
 
-def _possible(s: Similarity, m: str, m_shared: str, n: str, n_shared: str) -> Column:
-    """Whether sets of these sizes, with so many shingles that others have too, can be similar."""
-    need = F.lit(s.percent) * (F.col(m) + F.col(n))
-    return (F.lit(100 + s.percent) * F.least(F.col(m_shared), F.col(n_shared)) >= need) & (
-        F.lit(100) * F.least(F.col(m), F.col(n)) >= F.lit(s.percent) * F.greatest(F.col(m), F.col(n))
+def _possible(s: Similarity) -> Column:
+    """Whether two members of a bucket can be similar (see above); ``met`` is null where the anchor's share is unknown."""
+    other = [F.col(f"other_{c}") for c in ("n", "shared", "met")]
+    n, shared, met = F.col("n"), F.col("shared"), F.col("met")
+    most = F.coalesce(
+        F.when(
+            met.isNotNull() & other[2].isNotNull(),
+            F.least(met, other[2]) + F.least(shared - met, other[1] - other[2]),
+        ),
+        F.least(shared, other[1]),
+    )
+    return (F.lit(100 + s.percent) * most >= F.lit(s.percent) * (n + other[0])) & (
+        F.lit(100) * F.least(n, other[0]) >= F.lit(s.percent) * F.greatest(n, other[0])
     )
 
 
@@ -208,45 +217,37 @@ def survivors(pairs: DataFrame, nodes: DataFrame, s: Similarity) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
-    """The pairs whose full sets are similar enough: ``a, b, shared, total``."""
+def compared(pairs: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
+    """``a, b``, the number of shingles both have, and whether the full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for a, b, x, y in zip(*batch.columns, strict=True):
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                total = len(x) + len(y) - shared
-                if 100 * shared >= s.percent * total:
-                    rows.append((a.as_py(), b.as_py(), shared, total))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
+                rows.append((shared, 100 * shared >= s.percent * (len(x) + len(y) - shared)))
+            met, similar = zip(*rows, strict=True) if rows else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], names=["a", "b", "shared", "total"]
+                [batch.column(0), batch.column(1), pa.array(met, pa.int64()), pa.array(similar, pa.bool_())],
+                names=["a", "b", "met", "similar"],
             )
 
     one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("xa"))
     two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("xb"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "xa", "xb")
-    return joined.mapInArrow(run, "a bigint, b bigint, shared bigint, total bigint")
+    return joined.mapInArrow(run, "a bigint, b bigint, met bigint, similar boolean")
 
 
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _anchor_pairs(members: DataFrame, s: Similarity) -> DataFrame:
-    """Every member with its bucket's anchor: the one with the largest share of shingles that others have."""
-    best = F.struct((F.col("shared") / F.col("n")).alias("part"), (-F.col("cid")).alias("last"), "n", "shared")
-    anchors = members.groupBy("key").agg(F.max(best).alias("top"))
-    anchors = anchors.select(
-        "key",
-        (-F.col("top.last")).alias("anchor"),
-        F.col("top.n").alias("anchor_n"),
-        F.col("top.shared").alias("anchor_shared"),
-    )
-    met = members.join(anchors, "key").filter(F.col("cid") != F.col("anchor"))
-    return met.filter(_possible(s, "n", "shared", "anchor_n", "anchor_shared")).select(*_ordered("cid", "anchor")).distinct()
+def _with_anchors(members: DataFrame) -> DataFrame:
+    """``members`` with their bucket's anchor: the one with the largest share of shingles that others have."""
+    best = F.struct((F.col("shared") / F.col("n")).alias("part"), (-F.col("cid")).alias("last"))
+    anchors = members.groupBy("key").agg((-F.max(best)["last"]).alias("anchor"))
+    return members.join(anchors, "key")
 
 
 def _cross_pairs(members: DataFrame, roots: DataFrame, tested: DataFrame, s: Similarity) -> DataFrame:
@@ -261,13 +262,17 @@ def _cross_pairs(members: DataFrame, roots: DataFrame, tested: DataFrame, s: Sim
         .filter("parts > 1")
         .select("key", F.col("top.large").alias("large"))
     )
-    mixed = named.join(largest, "key")
+    # The anchor has met all others.
+    mixed = named.join(largest, "key").filter("cid != anchor").withColumns(
+        {"a": F.least("cid", "anchor"), "b": F.greatest("cid", "anchor")}
+    )
+    mixed = mixed.join(tested.select("a", "b", "met"), ["a", "b"], "left").drop("a", "b")
     rest = mixed.filter("root != large").select(
-        "key", *[F.col(c).alias(f"other_{c}") for c in ("cid", "n", "shared", "root")]
+        "key", *[F.col(c).alias(f"other_{c}") for c in ("cid", "n", "shared", "met", "root")]
     )
-    met = mixed.join(rest, "key").filter(F.col("root") != F.col("other_root"))
-    met = met.filter(_possible(s, "n", "shared", "other_n", "other_shared"))
-    return met.select(*_ordered("cid", "other_cid")).distinct().join(tested, ["a", "b"], "left_anti")
+    pairs = mixed.join(rest, "key").filter((F.col("root") != F.col("other_root")) & _possible(s))
+    pairs = pairs.select(F.least("cid", "other_cid").alias("a"), F.greatest("cid", "other_cid").alias("b")).distinct()
+    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, s: Similarity, scratch: Scratch) -> DataFrame:
@@ -282,15 +287,19 @@ def link_classes(docs: DataFrame, classes: DataFrame, s: Similarity, scratch: Sc
         .select("cid", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("shared"))
         .filter(F.lit(100) * F.col("shared") >= F.lit(s.percent) * F.col("n"))
     )
-    members = scratch.keep(_several(buckets.join(sized, "cid").select("key", "cid", "n", "shared")), "members")
-    tested = scratch.keep(_anchor_pairs(members, s), "pairs")
-    links = scratch.keep(verified(survivors(tested, nodes, s), sets, s), "links")
+    members = _several(buckets.join(sized, "cid").select("key", "cid", "n", "shared"))
+    members = scratch.keep(_with_anchors(members), "members")
+    pairs = members.filter("cid != anchor").select(
+        F.least("cid", "anchor").alias("a"), F.greatest("cid", "anchor").alias("b")
+    )
+    tested = scratch.keep(compared(survivors(pairs.distinct(), nodes, s), sets, s), "tested")
+    links = tested.filter("similar").select("a", "b")
     roots = scratch.keep(components(links, scratch), "roots")
     more = scratch.keep(_cross_pairs(members, roots, tested, s), "pairs")
-    found = scratch.keep(verified(survivors(more, nodes, s), sets, s), "links")
+    found = scratch.keep(compared(survivors(more, nodes, s), sets, s).filter("similar").select("a", "b"), "links")
     if not found.isEmpty():
-        roots = scratch.keep(components(links.select("a", "b").union(found.select("a", "b")), scratch), "roots")
-    scratch.drop(buckets, nodes, sets, lonely, members, tested, links, more, found)
+        roots = scratch.keep(components(links.union(found), scratch), "roots")
+    scratch.drop(buckets, nodes, sets, lonely, members, tested, more, found)
     return roots
 
 
