@@ -66,7 +66,7 @@ def _blobs(rows: list[bytes]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, s: Similarity) -> DataFrame:
-    """``doc_id``, number of shingles, 128-bit digest of the set, and signature (null without words) of every row."""
+    """``doc_id``, a hash of the text, number of shingles, 128-bit digest of the set, and signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,16 +79,19 @@ def sketches(docs: DataFrame, s: Similarity) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[row:end],
+                        batch.column(2)[row:end],
                         pa.array([len(x) for x in sets], pa.int64()),
                         pa.array(digests[:, 0]),
                         pa.array(digests[:, 1]),
                         _blobs([y.tobytes() if len(x) else None for x, y in zip(sets, signatures, strict=True)]),
                     ],
-                    names=["doc_id", "n", "s1", "s2", "signature"],
+                    names=["doc_id", "text_hash", "n", "s1", "s2", "signature"],
                 )
 
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return texts.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, signature binary")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint"), text, F.xxhash64(text)).mapInArrow(
+        run, "doc_id bigint, text_hash bigint, n bigint, s1 bigint, s2 bigint, signature binary"
+    )
 
 
 def band_keys(classes: DataFrame, s: Similarity) -> DataFrame:
@@ -304,7 +307,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, s: Similarity, scratch: Sc
 
 
 def near_groups(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:  # noqa: B008
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
+    """``doc_id, text_hash, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
 
     Words are runs of other bytes than blanks and 0x09-0x0D, A-Z in lower case; a text of
     fewer words than ``width`` has one shingle, a text without words (or null) has none
@@ -329,11 +332,20 @@ def near_groups(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:  #
     names = named.filter("root is null").select("s1", "s2", F.col("doc_id").alias("component_id")).union(
         linked.join(smallest, "root").select("s1", "s2", "component_id")
     )
-    joined = found.select("doc_id", "n", "s1", "s2").join(names, ["s1", "s2"], "left")
+    joined = found.select("doc_id", "text_hash", "n", "s1", "s2").join(names, ["s1", "s2"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select(
         "doc_id",
+        "text_hash",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:  # noqa: B008
+    """The rows of ``docs`` that ``near_groups`` keeps, with all their columns."""
+    kept = near_groups(docs, s).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    keyed = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    return keyed.join(kept, same, "left_semi").drop("_text_hash")

@@ -41,3 +41,35 @@ def near_components(rows, percent=85):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+def one_edit(a, b):
+    """Whether two word lists are within one insertion, deletion or replacement."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def cut_lines(rows, least=8):
+    """{doc_id: text} without lines that stand earlier or are within one edit of an earlier one."""
+    seen, by_length, out = set(), {}, {}
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+        if text is None:
+            out[doc_id] = None
+            continue
+        kept = []
+        for line in text.split("\n"):
+            w = tuple(words(line, lower=True))
+            gone = bool(w) and w in seen
+            if w and not gone and len(w) >= least:
+                near = [x for n in (len(w) - 1, len(w), len(w) + 1) if n >= least for x in by_length.get(n, ())]
+                gone = any(one_edit(w, x) for x in near)
+            if w and w not in seen:
+                seen.add(w)
+                by_length.setdefault(len(w), []).append(w)
+            if not gone:
+                kept.append(line)
+        out[doc_id] = "\n".join(kept)
+    return out
