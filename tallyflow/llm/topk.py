@@ -96,7 +96,7 @@ def top_of_shard(index: ShardIndex, ids: np.ndarray, queries: np.ndarray, own: n
     possible: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
     foreign = own[:, None] != ids[None, :]
     #: Bounds are floating-point sums of integers; this covers their rounding.
-    slack = 1e-9 * (1 + np.abs(weights).sum(axis=1) * (index.step.max() * LEVELS))
+    slack = 1e-9 * (1 + np.abs(weights).sum(axis=1) * (index.step.max(initial=0) * LEVELS))
     for level in range(LEVELS - 1, -1, -1):
         score[active] += weights[active] @ index.segment(level).T
         unseen = np.where(index.levels < level, index.step * level, 0.0)
