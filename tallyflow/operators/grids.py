@@ -51,7 +51,7 @@ def zip_with(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequen
     if na == 1 or nb == 1:
         return cross(a, b)
     if na != nb:
-        raise ValueError("cannot zip grids of different length")
+        raise ValueError("zip_with pairs rows by position, so both grids need the same number of rows")
     x = numbered(a, order_a)
     y = numbered(b, order_b)
     shared = [c for c in a.columns if c in b.columns]

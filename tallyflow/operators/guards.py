@@ -158,7 +158,7 @@ def quorums(
     columns = list(dict.fromkeys(c for pair in guards.values() for c in pair))
     out = lanes.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("d", *columns))).alias("_lanes"))
     out = out.withColumns({f"_{g}": _legal(F.col("_lanes"), *pair) for g, pair in guards.items()})
-    short = F.raise_error(F.lit(f"the reference point is not admissible: fewer than {k} positive rows"))
+    short = F.raise_error(F.lit(f"a quorum of {k} needs as many rows with a positive reference value"))
     for g in guards:
         legal, n = F.col(f"_{g}"), F.size(f"_{g}")
         checked = F.when(n >= k, n).otherwise(short.cast("int"))
@@ -206,7 +206,7 @@ def guard_bilinear(xi: Column, psi: Column, t: Column, x: Column, y: Column) ->
     """Guard for x^2 - y^2 >= t around the reference (xi, psi).
 
     The distance to a hyperbola has no closed form that SQL functions offer, so
-    it is solved by bisection on whole Arrow batches.
+    it is found by Newton steps on whole Arrow batches.
     """
     return _bilinear(*[c.cast("double") for c in (xi, psi, t, x, y)])
 

@@ -19,7 +19,7 @@ MAX_BROADCAST_SAMPLES = 100_000
 def every_nth(stream: DataFrame, n: int, segments: Segments | None = None) -> DataFrame:
     """Records n, 2n, 3n … of the stream order."""
     if n < 1:
-        raise ValueError("n must be at least 1")
+        raise ValueError(f"take every 1st, 2nd, ... record, not every {n}th")
     out = positions(stream, "_pos", segments=segments)
     return out.where((F.col("_pos") + 1) % n == 0).drop("_pos")
 
@@ -30,7 +30,7 @@ def spread_choice(position: Column, n: int, total: int) -> Column:
     Steps have length q = (total-1) div (n-1), the last ones q+1.
     """
     if total == 0:
-        raise ValueError("the period must not be 0")
+        raise ValueError("choose a sampling period other than 0")
     if n >= total:
         return position >= 0
     if n <= 1:
@@ -44,7 +44,7 @@ def sample_evenly(stream: DataFrame, n: int, segments: Segments | None = None) -
     """Exactly n evenly spread records, first and last included."""
     total = stream.count()
     if total == 0:
-        raise ValueError("the period must not be 0")
+        raise ValueError("choose a sampling period other than 0")
     out = positions(stream, "_pos", segments=segments)
     return out.where(spread_choice(F.col("_pos"), n, total)).drop("_pos")
 

@@ -205,33 +205,39 @@ def update_scaling(spark, sf):
 # -- bilinear guards --------------------------------------------------------------
 
 
-def _nearest_sql(rows: str, out: str) -> str:
-    """CTE ``out``: rows (id, p, q, t) with the hyperbola's nearest x, by bisection."""
-    return f"""{out}_i AS (SELECT id, p, q, t, abs(p) / (2.1 + abs(q) / sqrt(t)) AS lo, 0.51 * (abs(p) + greatest(q, 0)) AS hi, 0 AS n
-           FROM {rows} WHERE t > 0 AND p <> 0 AND q <> 0),
-{out}_b AS (SELECT * FROM {out}_i UNION ALL
-     SELECT id, p, q, t, CASE WHEN 2 - abs(p) / ((lo + hi) / 2) - q / sqrt(pow((lo + hi) / 2, 2) + t) > 0 THEN lo ELSE (lo + hi) / 2 END,
-       CASE WHEN 2 - abs(p) / ((lo + hi) / 2) - q / sqrt(pow((lo + hi) / 2, 2) + t) > 0 THEN (lo + hi) / 2 ELSE hi END, n + 1
-     FROM {out}_b WHERE n < 60),
-{out} AS (SELECT r.id, CASE
-     WHEN r.t = 0 AND r.p < 0 THEN CASE WHEN r.q <= r.p THEN 0 ELSE (r.p - r.q) / 2 END
-     WHEN r.t = 0 THEN CASE WHEN r.q <= -r.p THEN 0 ELSE (r.p + r.q) / 2 END
-     WHEN r.p = 0 THEN CASE WHEN r.q > 2 * sqrt(abs(r.t)) THEN sqrt(pow(r.q / 2, 2) - r.t) ELSE 0 END
-     WHEN r.q = 0 THEN r.p / 2 ELSE sign(r.p) * (s.lo + s.hi) / 2 END AS v
-   FROM {rows} r LEFT JOIN (SELECT * FROM {out}_b WHERE n = 60) s ON s.id = r.id)"""
+def _foot_sql(rows: str, out: str) -> str:
+    """CTE ``out``: rows (id, p, q, t) with the x of the nearest point of y = sqrt(x^2 + t).
+
+    For t > 0, x = sqrt(t) (w - 1/w) / 2 turns the condition into the polynomial
+    c w^4 - (|p| + q) w^3 - (|p| - q) w - c = 0 with c = sqrt(t); its largest root is
+    approached from the right, where it is convex.
+    """
+    value = "c * pow(w, 4) - (p + q) * pow(w, 3) - (p - q) * w - c"
+    slope = "4 * c * pow(w, 3) - 3 * (p + q) * pow(w, 2) - (p - q)"
+    return f"""{out}_w AS (SELECT id, abs(p) AS p, q, sqrt(t) AS c, (abs(p) + abs(q)) / sqrt(t) + 2 AS w, 0 AS n
+           FROM {rows} WHERE t > 0
+     UNION ALL
+     SELECT id, p, q, c, CASE WHEN {slope} > 0 THEN greatest(1, w - ({value}) / ({slope})) ELSE w END, n + 1
+     FROM {out}_w WHERE n < 90),
+{out} AS (SELECT r.id, CASE WHEN r.p < 0 THEN -1 ELSE 1 END *
+       CASE WHEN r.t > 0 THEN s.c * (s.w - 1 / s.w) / 2 ELSE greatest(abs(r.p) + r.q, 0) / 2 END AS v
+   FROM {rows} r LEFT JOIN (SELECT * FROM {out}_w WHERE n = 90) s ON s.id = r.id)"""
 
 
 def _bilinear_sql(rows: str, out: str) -> str:
     """CTE ``out``: rows (id, xi, psi, t, x, y) with their guard value."""
-    return f"""{out}_r AS (SELECT id, CASE WHEN t > 0 THEN y ELSE xi END AS p,
-          CASE WHEN t > 0 THEN x * sign(xi) ELSE abs(psi) END AS q, abs(t) AS t FROM {rows}),
-{_nearest_sql(out + '_r', out + '_n')},
-{out} AS (SELECT r.id, CASE
-     WHEN r.t > 0 THEN sign(r.x * sign(r.xi) - sqrt(r.y * r.y + r.t)) *
-        sqrt(pow(r.x * sign(r.xi) - sqrt(n.v * n.v + r.t), 2) + pow(r.y - n.v, 2))
-     WHEN r.t = 0 THEN (CASE WHEN r.xi >= 0 THEN r.x ELSE -r.x END - abs(r.y)) * sqrt(0.5)
-     ELSE (n.v * r.x - sqrt(n.v * n.v - r.t) * abs(r.y) - r.t) / sqrt(n.v * n.v + (n.v * n.v - r.t)) END AS zeta
-   FROM {rows} r JOIN {out}_n n ON n.id = r.id)"""
+    return f"""{out}_in AS (SELECT id, y AS p, x * sign(xi) AS q, t FROM {rows} WHERE t > 0),
+{out}_below AS (SELECT id, xi AS p, abs(psi) AS q, -t AS t FROM {rows} WHERE t <= 0),
+{_foot_sql(out + '_in', out + '_a')},
+{_foot_sql(out + '_below', out + '_b')},
+{out} AS (
+  SELECT r.id, CASE WHEN r.x * sign(r.xi) >= sqrt(r.y * r.y + r.t) THEN 1 ELSE -1 END *
+      sqrt(pow(n.v - r.y, 2) + pow(sqrt(n.v * n.v + r.t) - r.x * sign(r.xi), 2)) AS zeta
+  FROM {rows} r JOIN {out}_a n ON n.id = r.id
+  UNION ALL
+  SELECT id, CASE WHEN h > 0 THEN (v * (x - v) - h * (abs(y) - h)) / sqrt(v * v + h * h)
+                  ELSE (CASE WHEN xi >= 0 THEN x ELSE -x END - abs(y)) / sqrt(2.0) END
+  FROM (SELECT r.*, n.v, sqrt(n.v * n.v - r.t) AS h FROM {rows} r JOIN {out}_b n ON n.id = r.id))"""
 
 
 @query(

@@ -225,19 +225,19 @@ def gen_zipf(spark, sf):
              {uniform_unit_sql('id', 3, 'c')} AS c, {uniform_unit_sql('id', 3, 's', 'u')} AS su, {uniform_unit_sql('id', 3, 's', 'v')} AS sv FROM ids)""",
         """SELECT id, round(-5 + r * 15, 6) AS uniform, round(sqrt(-2 * ln(nu)) * cos(2 * pi() * nv), 6) AS normal,
          round(atan(tan(pi() * (c - 0.5))), 6) AS cauchy_angle,
-         round(sin(1.5 * (pi() * (su - 0.5))) / pow(cos(pi() * (su - 0.5)), 1 / 1.5)
-           * pow(cos(pi() * (su - 0.5) * (1 - 1.5)) / -ln(sv), (1 - 1.5) / 1.5), 4) AS stable FROM a""",
+         round(atan(sin(1.5 * (pi() * (su - 0.5))) / pow(cos(pi() * (su - 0.5)), 1 / 1.5)
+           * pow(cos(pi() * (su - 0.5) * (1 - 1.5)) / -ln(sv), (1 - 1.5) / 1.5)), 6) AS stable_angle FROM a""",
     ),
 )
 def gen_stable(spark, sf):
-    """Deviates per id; the Cauchy one is shown as its angle, as its tails are unbounded."""
+    """Deviates per id; those with heavy tails are shown as angles."""
     i = F.col("id")
     return _ids(spark, sf).select(
         "id",
         F.round(gen.uniform_deviate(i, -5.0, 10.0, 3, "r"), 6).alias("uniform"),
-        F.round(gen.stable_deviate(i, 2, 3, "n"), 6).alias("normal"),
-        F.round(F.atan(gen.stable_deviate(i, 1, 3, "c")), 6).alias("cauchy_angle"),
-        F.round(gen.stable_deviate(i, 1.5, 3, "s"), 4).alias("stable"),
+        F.round(gen.normal_deviate(i, 3, "n"), 6).alias("normal"),
+        F.round(F.atan(gen.cauchy_deviate(i, 3, "c")), 6).alias("cauchy_angle"),
+        F.round(F.atan(gen.stable_deviate(i, 1.5, 3, "s")), 6).alias("stable_angle"),
     )
 
 

@@ -34,10 +34,10 @@ def build_dataset(spark: SparkSession, spec: dict, source: DataFrame | None = No
     """The prepared stream of a ``dataset`` section; ``source`` overrides its URL."""
     unknown = set(spec) - DATASET_KEYWORDS
     if unknown:
-        raise ValueError(f"unknown keyword in dataset section: {sorted(unknown)}")
+        raise ValueError(f"remove {sorted(unknown)} from the dataset; it takes {sorted(DATASET_KEYWORDS)}")
     if source is None:
         if "data_source" not in spec:
-            raise ValueError("the dataset does not specify a data_source")
+            raise ValueError("give the dataset a data_source url, or pass a stream")
         source = open_source(spark, spec["data_source"])
     return prepare(source, Preparation(**{k: v for k, v in spec.items() if k != "data_source"}))
 

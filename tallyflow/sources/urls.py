@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +10,6 @@ from tallyflow.sources.generators import gen_uniform
 from tallyflow.sources.logs import read_web_log, read_wifi_log
 from tallyflow.sources.stored import read_stream
 
-# Fixed patterns of the URL grammar.
-_NAME = r"[A-Za-z0-9 _.-]+"
-_PATH = rf"(?:[a-z][a-z0-9]*:/+)?/?(?:{_NAME}/)*{_NAME}"
-_ID = r"[A-Za-z_][A-Za-z0-9_]*"
-_VAR = rf"{_ID}={_PATH}"
-_URL = re.compile(rf"(?P<type>{_ID}):(?P<path>(?:{_PATH})?)(?:\?(?P<vars>{_VAR}(?:,{_VAR})*))?")
-
 OPEN_MODES = ("truncate", "append")
 TEXT_FORMATS = ("csvtab", "csvrel")
 
@@ -31,24 +23,35 @@ class SourceUrl:
     format: str = "csvtab"
 
 
+def _is_name(word: str) -> bool:
+    return word.isascii() and word.isidentifier()
+
+
 def parse_url(url: str) -> SourceUrl:
-    m = _URL.fullmatch(url)
-    if not m:
-        raise ValueError(f"malformed url {url!r}")
-    options = dict(v.split("=", 1) for v in m["vars"].split(",")) if m["vars"] else {}
+    """Splits at the first ``:``, then at the first ``?``, then options at ``,`` and ``=``."""
+    kind, colon, rest = url.partition(":")
+    path, mark, tail = rest.partition("?")
+    pairs = [option.partition("=") for option in tail.split(",")] if mark else []
+    if not colon or not _is_name(kind):
+        raise ValueError(f"{url!r} does not start with a source type and a colon")
+    if any(not _is_name(name) or not value for name, _, value in pairs):
+        raise ValueError(f"write the options of {url!r} as name=value, with commas between them")
+    options = {name: value for name, _, value in pairs}
     mode, fmt = options.get("open_mode", OPEN_MODES[0]), options.get("format", TEXT_FORMATS[0])
-    if mode not in OPEN_MODES or fmt not in TEXT_FORMATS:
-        raise ValueError(f"unknown open mode or format in {url!r}")
-    return SourceUrl(m["type"], m["path"], options, mode, fmt)
+    if mode not in OPEN_MODES:
+        raise ValueError(f"open_mode is one of {OPEN_MODES}, not {mode!r}")
+    if fmt not in TEXT_FORMATS:
+        raise ValueError(f"format is one of {TEXT_FORMATS}, not {fmt!r}")
+    return SourceUrl(kind, path, options, mode, fmt)
 
 
 def _number(options: dict[str, str], name: str) -> int:
     if name not in options:
-        raise ValueError(f"required option {name!r} is missing")
+        raise ValueError(f"add {name}=<number> to the options of the url")
     try:
         return int(options[name])
     except ValueError:
-        raise ValueError(f"expected a numeric value for {name}") from None
+        raise ValueError(f"{name} must be a whole number, not {options[name]!r}") from None
 
 
 def open_source(spark: SparkSession, url: str) -> DataFrame:
@@ -63,7 +66,7 @@ def open_source(spark: SparkSession, url: str) -> DataFrame:
         return read_stream(spark, f"{u.path}/{dataset}" if dataset else u.path)
     if u.type == "gen":
         if u.path != "uniform":
-            raise ValueError(f"unknown generated source {u.path!r}")
+            raise ValueError(f"no generator is called {u.path!r}; there is uniform")
         n = {o: _number(u.options, o) for o in ("maxsid", "maxhid", "maxkey", "maxts")}
         return gen_uniform(spark, n["maxsid"], n["maxhid"], n["maxkey"], n["maxts"])
-    raise ValueError(f"unknown source type {u.type!r}")
+    raise ValueError(f"no source is called {u.type!r}; there are wcup, crawdad, stream, hdf5 and gen")

@@ -59,19 +59,21 @@ def test_many_rows_use_the_subset_table(spark, monkeypatch):
 
 def test_inadmissible_reference_raises(spark):
     lanes = lanes_frame(spark, np.array([1.0, -1.0, -2.0]), RNG.normal(0, 1, (1, 3)))
-    with pytest.raises(Exception, match="not admissible"):
+    with pytest.raises(Exception, match="quorum"):
         gd.quorum(lanes, 3, ["g"]).collect()
     with pytest.raises(ValueError):
         gm.quorum(np.array([1.0, -1.0, -2.0]), np.zeros(3), 2)
 
 
-def test_hyperbola_closed_forms():
-    cases = [((1, -3), 0), ((1, -0.9), 0.05), ((1, 0), 0.5), ((1, 2), 1.5), ((0, 10), 5)]
-    for (p, q), want in cases:
-        assert gm.nearest_on_hyperbola(p, q, 0.0) == pytest.approx(want)
+def test_branch_foot():
+    # On the pair of rays the foot is a projection; below them it is the corner.
+    for p, q, want in ((3, 5, 4.0), (-3, 5, -4.0), (2, -7, 0.0), (6, -2, 2.0), (0, 4, 2.0)):
+        assert gm.branch_foot(p, q, 0.0) == pytest.approx(want)
+    # On the axis the foot leaves the vertex where the height passes twice its own.
+    assert gm.branch_foot(0, 5.0, 4.0) == pytest.approx(1.5) and gm.branch_foot(0, 3.0, 4.0) == pytest.approx(0, abs=1e-6)
     for _ in range(200):
         p, q, t = RNG.normal(0, 5), RNG.normal(0, 5), RNG.uniform(0.1, 9)
-        x = float(gm.nearest_on_hyperbola(p, q, t))
+        x = float(gm.branch_foot(p, q, t))
         grid = np.linspace(x - 1, x + 1, 2001)
         far = (grid - p) ** 2 + (np.sqrt(grid**2 + t) - q) ** 2
         assert (x - p) ** 2 + (math.sqrt(x * x + t) - q) ** 2 <= far.min() + 1e-9
