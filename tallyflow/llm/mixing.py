@@ -111,6 +111,22 @@ def calibrate(raked: DataFrame, fraction: float) -> DataFrame:
     return raked.withColumn("probability", probability)
 
 
+def measured(
+    docs: DataFrame, topic: Column | None = None, tokens: Column | None = None, seed: int = SEED
+) -> DataFrame:
+    """``docs`` with ``topic, tokens, draw``: all that mixing needs to know of the texts.
+
+    Kept without the texts, it saves mixing a second pass over them.
+    """
+    values = {
+        "topic": topic if topic is not None else topic_of(),
+        "tokens": tokens if tokens is not None else words_of(),
+        "draw": uniform(seed=seed),
+    }
+    named = docs.select(*[F.col(c) for c in docs.columns if c not in values], *[v.alias(c) for c, v in values.items()])
+    return named
+
+
 def mix(
     docs: DataFrame,
     targets: Mapping[str, DataFrame] | None = None,
@@ -120,7 +136,17 @@ def mix(
     rounds: int = ROUNDS,
     seed: int = SEED,
 ) -> DataFrame:
-    """All rows and columns of ``docs`` with ``topic, tokens, probability, sampled``.
+    """All rows and columns of ``docs`` with ``topic, tokens, probability, sampled``: ``draw_sample`` of ``measured``."""
+    return draw_sample(measured(docs, topic, tokens, seed), targets, fraction, rounds).drop("draw")
+
+
+def draw_sample(
+    docs: DataFrame,
+    targets: Mapping[str, DataFrame] | None = None,
+    fraction: float = FRACTION,
+    rounds: int = ROUNDS,
+) -> DataFrame:
+    """All rows and columns of ``measured`` documents with ``probability, sampled``.
 
     ``targets`` gives ``(margin, share)`` for source, lang and topic; by default each is
     the tempered share of tokens.  A null source, language or topic is the value
@@ -128,17 +154,9 @@ def mix(
     are drawn together (without doc_id: those with the same text).  Existing columns
     with the added names are replaced.
     """
-    added = ("topic", "tokens", "probability", "sampled")
-    base = docs.select([c for c in docs.columns if c not in added])
     margins = {m: f"_{m}" for m in MARGINS}
-    base = base.withColumns(
-        {
-            "topic": topic if topic is not None else topic_of(),
-            "tokens": tokens if tokens is not None else words_of(),
-            "_source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)),
-            "_lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)),
-        }
-    ).withColumn("_topic", F.coalesce(F.col("topic").cast("string"), F.lit(NONE)))
+    base = docs.select([c for c in docs.columns if c not in ("probability", "sampled")])
+    base = base.withColumns({c: F.coalesce(F.col(m).cast("string"), F.lit(NONE)) for m, c in margins.items()})
     scratch = Scratch(docs.sparkSession)
     named = [F.col(c).alias(m) for m, c in margins.items()]
     cells = scratch.keep(base.groupBy(*named).agg(F.sum("tokens").alias("tokens")), "cells")
@@ -151,4 +169,4 @@ def mix(
     joined = base.join(known, list(margins.values()), "left").withColumn(
         "probability", F.coalesce("probability", F.lit(0.0))
     )
-    return joined.withColumn("sampled", uniform(seed=seed) < F.col("probability")).drop(*margins.values())
+    return joined.withColumn("sampled", F.col("draw") < F.col("probability")).drop(*margins.values())

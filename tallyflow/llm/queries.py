@@ -21,6 +21,7 @@ from tallyflow.llm import (
     topk,
 )
 from tallyflow.llm.native_sql import license_sql, mixing_sql
+from tallyflow.llm.scratch import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,7 +118,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op9_source_mixing", mixing_sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_documents(spark, sf_dir))
+    measured = Scratch(spark).keep(mixing.measured(_documents(spark, sf_dir)).drop("text"), "measured")
+    mixed = mixing.draw_sample(measured)
     return mixed.select("doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
