@@ -15,10 +15,6 @@ from tallyflow.functions.scalars import wide_product
 from tallyflow.operators.segments import Segments, running_groups, running_sums
 
 
-# An input of at most this many rows fits any single group.
-ROWS_IN_ONE_GROUP = 1_000_000
-
-
 def analyze(stream: DataFrame, name: str = "stream", window: int = 0, warmup: int = 0) -> DataFrame:
     """One metadata row.  The id sets come from 16-bit domains, so they stay small."""
     return stream.agg(
@@ -171,47 +167,34 @@ def dense_norms(a: Column) -> dict[str, Column]:
 
 
 def order_select(df: DataFrame, value: str, k: int, by: Sequence[str] = ()) -> DataFrame:
-    """The k-th smallest value (0-based) of each group.
+    """The k-th smallest value (0-based) of each group; NULLs are no values.
 
-    While the whole input is small enough for one group, a sorted list per group
-    does.  Beyond, counts per distinct value come first, so repeated values never
-    reach one task, and their running count runs in segments of the value's range.
-    A group with at most k values raises.
+    Counts per distinct value come first, so repeated values never reach one task,
+    and their running count is taken in segments of the value's range.  A group with
+    at most k values raises.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     missing = F.raise_error(F.lit(f"order_select: a group has no more than {k} values")).cast(df.schema[value].dataType)
-    if df.count() <= ROWS_IN_ONE_GROUP:
-        listed = F.sort_array(F.collect_list(value))
-        kth = F.when(F.size(listed) > k, F.get(listed, F.lit(k))).otherwise(missing)
-        return df.groupBy(*by).agg(kth.alias(value))
-    return _kth_of_counts(df, value, k, by, missing)
+    hit = F.min(F.when(F.col("_upto") > k, F.col("_value")))
+    return _ranked(df, value, by).groupBy(*by).agg(F.coalesce(hit, missing).alias(value))
 
 
-def _kth_of_counts(df: DataFrame, value: str, k: int, by: Sequence[str], missing: Column) -> DataFrame:
-    counts = df.groupBy(*by, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-    seg = Segments.fit(df.select(F.col(value).alias("_value")), ["_value"])
-    ranked = running_sums(counts, {"_upto": F.col("_n")}, by, seg)
-    hit = F.min(F.when(F.col("_upto") > k, F.col("_value")))
-    return ranked.groupBy(*by).agg(F.coalesce(hit, missing).alias(value))
+def _ranked(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Distinct values of each group with their count ``_n`` and the count ``_upto`` of values up to them."""
+    counts = df.groupBy(*by, F.col(value).alias("_value")).agg(F.count(value).alias("_n"))
+    return running_sums(counts, {"_upto": F.col("_n")}, by, Segments.fit(counts, ["_value"]))
 
 
 def median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Exact median of each group, the mean of the middle two for an even count.
+    """Exact median of each group, the mean of the middle two for an even count; NULL without values.
 
     Works like :func:`order_select`.
     """
-    if df.count() <= ROWS_IN_ONE_GROUP:
-        return df.groupBy(*by).agg(F.median(value).alias("median"))
-    return _median_of_counts(df, value, by)
-
-
-def _median_of_counts(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    counts = df.groupBy(*by, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
-    seg = Segments.fit(df.select(F.col(value).alias("_value")), ["_value"])
-    ranked = running_sums(counts, {"_upto": F.col("_n")}, by, seg)
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    both = ranked.join(totals, list(by)) if by else ranked.withColumn("_total", totals.scalar())
+    ranked = _ranked(df, value, by)
+    # The middle places need the group's total, which is its largest running count.
+    totals = ranked.groupBy(*by).agg(F.max("_upto").alias("_total"))
+    both = ranked.join(totals, list(by)) if by else ranked.crossJoin(totals)
     lower = F.min(F.when(F.col("_upto") > F.expr("(_total - 1) div 2"), F.col("_value")))
     upper = F.min(F.when(F.col("_upto") > F.expr("_total div 2"), F.col("_value")))
     return both.groupBy(*by).agg(((lower + upper) / 2.0).alias("median"))

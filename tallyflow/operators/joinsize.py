@@ -6,8 +6,6 @@ The join itself is never built: counts per key are multiplied and summed.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations_with_replacement
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +13,6 @@ from tallyflow.functions.scalars import wide_product
 from tallyflow.operators.frequency import frequency_vector
 from tallyflow.operators.segments import Segments, running_products
 
-# Up to this many streams the matrix is one conditional aggregation.
-WIDE_STREAMS = 12
 
 
 @dataclass(frozen=True)
@@ -103,32 +99,24 @@ def join_running(stream: DataFrame, left: int, right: int, segments: Segments |
 def join_size_matrix(stream: DataFrame, sids: list[int] | None = None) -> DataFrame:
     """Sizes of all self-joins and all joins of two streams: ``(sid1, sid2, join_size)``.
 
-    With few streams, one row per key holds all counts and every pair is one sum.
-    With more, counts meet in an equi-join on key; a key then has one row per
-    stream, whatever its number of records.
+    Every pair of the given streams (of those that occur, if none are given) has a row,
+    with size 0 if they share no key.  Counts meet in an equi-join on key, so a key has
+    one row per stream and gives one row per pair of streams that have it, as many as
+    the matrix has cells, whatever its number of records.
     """
+    if sids is None:
+        named = stream.select("sid").distinct()
+    else:
+        named = stream.sparkSession.createDataFrame([(s,) for s in sorted(set(sids))], "sid int")
+        stream = stream.where(F.col("sid").isin(*sids))
+    pairs = named.select(F.col("sid").alias("sid1")).crossJoin(named.select(F.col("sid").alias("sid2")))
     freq = frequency_vector(stream)
-    if sids is not None and len(sids) <= WIDE_STREAMS:
-        wide = stream.groupBy("key").agg(
-            *[F.coalesce(F.sum(F.when(F.col("sid") == s, F.col("upd"))), F.lit(0)).alias(f"s{s}") for s in sids]
-        )
-        pairs = list(combinations_with_replacement(sorted(sids), 2))
-        sums = wide.agg(
-            *[
-                F.coalesce(F.sum(wide_product(F.col(f"s{a}"), F.col(f"s{b}"))), F.lit(0)).cast("double").alias(f"{a}_{b}")
-                for a, b in pairs
-            ]
-        )
-        cells = [
-            F.struct(F.lit(a).alias("sid1"), F.lit(b).alias("sid2"), F.col(f"{a}_{b}").alias("join_size"))
-            for a, b in pairs
-        ]
-        return sums.select(F.inline(F.array(*cells))).where("join_size <> 0")
     a = freq.select(F.col("sid").alias("sid1"), "key", F.col("cnt").alias("x"))
     b = freq.select(F.col("sid").alias("sid2"), "key", F.col("cnt").alias("y"))
     joined = a.join(b, "key").where("sid1 <= sid2")
-    total = F.sum(wide_product(F.col("x"), F.col("y"))).cast("double")
-    return joined.groupBy("sid1", "sid2").agg(total.alias("join_size")).where("join_size <> 0")
+    sizes = joined.groupBy("sid1", "sid2").agg(F.sum(wide_product(F.col("x"), F.col("y"))).alias("size"))
+    met = pairs.where("sid1 <= sid2").join(sizes, ["sid1", "sid2"], "left")
+    return met.select("sid1", "sid2", F.coalesce("size", F.lit(0)).cast("double").alias("join_size"))
 
 
 def stream_ids(stream: DataFrame) -> list[int]:

@@ -151,7 +151,7 @@ def published_estimate(published: DataFrame, proj: Projection, segments: Segment
     """The coordinator's self-join estimate after each slice with publications."""
     changes = published_cells(published, proj).groupBy("sid", "slice", "d", "b").agg(F.sum("c").alias("u"))
     seg = segments or Segments.fit(published, ["slice"])
-    out = running_products(changes, ["b"], by=["sid"], lanes=proj.depth, segments=seg)
+    out = running_products(changes, ["b"], by=["sid"], lanes=proj.depth, segments=seg, merged=True)
     lanes = [F.col(f"p{d}") for d in range(proj.depth)]
     return out.select("sid", "slice", median_of(lanes).alias("estimate"))
 

@@ -13,9 +13,6 @@ from tallyflow.operators.segments import Segments, positions
 from tallyflow.schema import order_columns
 
 
-MAX_BROADCAST_SAMPLES = 100_000
-
-
 def every_nth(stream: DataFrame, n: int, segments: Segments | None = None) -> DataFrame:
     """Records n, 2n, 3n … of the stream order."""
     if n < 1:
@@ -56,7 +53,6 @@ def sample_series(series: DataFrame, stream: DataFrame, n: int, segments: Segmen
     """
     order = order_columns(stream)
     chosen = sample_evenly(stream.select(*order), n, segments)
-    chosen = F.broadcast(chosen) if n <= MAX_BROADCAST_SAMPLES else chosen
     return series.join(chosen, order, "left_semi")
 
 

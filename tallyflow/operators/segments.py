@@ -7,109 +7,65 @@ Work that needs "everything before this row" is then done in two levels:
 2. a window inside each segment, started from the prefix that is carried in.
 
 The carried values travel as extra rows of the same shuffle, so the rows move
-once and no join is needed.  A crowded time cell (one timestamp may hold a third
-of all rows) is cut further by ``(ts, kind, seq div chunk)``, with the chunk
-chosen from the cell's own range of seq, so no segment
-grows with the data.  Every result is exact for any choice of segments; the fit
-only balances them.
+once and no join is needed.  Segments are the partitions of a range partitioning
+by the whole order, whose bounds Spark samples from the rows themselves: a crowded
+time, an outlier or a skewed id leaves them as even as any other stream.  The
+tagged rows are written once to the shared folder, so that every later use sees
+the same segments and the source is read once.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyflow.functions.scalars import wide_product
 from tallyflow.schema import order_columns
+from tallyflow.session import cut_lineage
 
-MAX_CELLS = 1 << 20
-SMALL_PIECE = 100_000  # cells up to this size are never cut
+#: Rows of a segment that one task should hold.
+TARGET_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Segments:
-    """Deterministic map from a row's order key to its segment."""
+    """Into how many segments a stream is cut, and by which order."""
 
     order: tuple[str, ...]
-    origin: int = 0
-    width: int = 1
-    cells: int = 1
-    crowded: tuple[int, ...] = field(default=())
-    chunk: int = 1_000_000
-    splits: tuple[float, ...] = field(default=())
-    chunks: tuple[int, ...] = field(default=())
+    pieces: int = 1
 
     @classmethod
     def fit(
         cls,
         df: DataFrame,
         order: Sequence[str] | None = None,
-        target_rows: int = 1_000_000,
-        min_cells: int | None = None,
+        target_rows: int = TARGET_ROWS,
+        least: int | None = None,
     ) -> Segments:
-        """Choose the cell width from the range and count of the first order column.
-
-        Reads the order columns only.  A cell is crowded beyond four times the target
-        or eight times the average; crowded cells are listed, at most MAX_CELLS.
-        """
+        """As many segments as ``target_rows`` asks for, and at least enough to use all cores."""
         order = tuple(order or order_columns(df))
-        lead = F.col(order[0])
-        if isinstance(df.schema[order[0]].dataType, (T.DoubleType, T.FloatType)):
-            cuts = df.approxQuantile(order[0], [i / 64 for i in range(1, 64)], 0.005)
-            return cls(order, splits=tuple(sorted(set(cuts))))
-        low, high, n = df.agg(F.min(lead), F.max(lead), F.count(F.lit(1))).first()
-        if not n:
-            return cls(order)
-        if min_cells is None:
-            min_cells = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        cells = max(1, min(MAX_CELLS, max(min_cells, math.ceil(n / target_rows))))
-        width = max(1, math.ceil((high - low + 1) / cells))
-        cells = (high - low) // width + 1
-        plain = cls(order, low, width, cells, (), target_rows)
-        small = min(SMALL_PIECE, target_rows)
-        limit = max(small, min(4 * target_rows, 8 * n // cells))
-        piece = max(small, min(target_rows, n // cells))
-        if n <= limit:
-            return plain
-        last = F.col(order[-1])
-        counts = df.groupBy(plain._cell().alias("cell")).agg(
-            F.count(F.lit(1)).alias("n"), F.min(last).alias("low"), F.max(last).alias("high")
-        )
-        full = counts.where(F.col("n") > limit).orderBy("cell").collect()
-        chunks = tuple(max(1, math.ceil((r["high"] - r["low"] + 1) * piece / r["n"])) for r in full)
-        return cls(order, low, width, cells, tuple(r["cell"] for r in full), target_rows, (), chunks)
+        n = df.select(*order).count()
+        if least is None:
+            least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return cls(order, max(1, min(n, least), math.ceil(n / target_rows)))
 
     @property
     def columns(self) -> list[str]:
-        return ["_s0"] if not self.crowded else [f"_s{i}" for i in range(len(self.order) + 1)]
-
-    def _cell(self) -> Column:
-        if self.splits:
-            return sum((F.when(F.col(self.order[0]) >= s, 1).otherwise(0) for s in self.splits), F.lit(0)).cast("bigint")
-        lead = f"`{self.order[0]}`"
-        return F.expr(f"least(greatest(({lead} - {self.origin}L) div {self.width}L, 0L), {self.cells - 1}L)")
-
-    def tag(self, df: DataFrame) -> DataFrame:
-        """Add the segment columns."""
-        df = df.withColumn("_s0", self._cell())
-        if not self.crowded:
-            return df
-        spark = df.sparkSession
-        chunks = self.chunks or (self.chunk,) * len(self.crowded)
-        marks = spark.createDataFrame(list(zip(self.crowded, chunks)), "_s0 bigint, _chunk bigint")
-        df = df.join(F.broadcast(marks), "_s0", "left")  # at most MAX_CELLS rows
-        *lead, last = self.order
-        parts = [F.col(c).cast("bigint") for c in lead] + [F.expr(f"`{last}` div _chunk")]
-        fine = {
-            f"_s{i + 1}": F.when(F.col("_chunk").isNotNull(), p).otherwise(F.lit(0).cast("bigint"))
-            for i, p in enumerate(parts)
-        }
-        return df.withColumns(fine).drop("_chunk")
+        return ["_s0"]
+
+    def tag(self, df: DataFrame, together: bool = False) -> DataFrame:
+        """``df`` with its segment number ``_s0``, written to the shared folder.
+
+        Rows that the order does not tell apart are parted at random, unless they are to
+        stay ``together``.
+        """
+        ties = [] if together else [F.rand(7)]
+        ranged = df.repartitionByRange(self.pieces, *self.order, *ties)
+        return cut_lineage(ranged.withColumn("_s0", F.spark_partition_id().cast("bigint")))
 
 
 def _window(by: Sequence[str], order: Sequence[str]) -> Window:
@@ -120,23 +76,10 @@ def _window(by: Sequence[str], order: Sequence[str]) -> Window:
 def before(totals: DataFrame, by: Sequence[str], seg: Segments, values: Sequence[str]) -> DataFrame:
     """Replace per-segment totals by the sums over all earlier segments.
 
-    Works on the table of totals.  A window sees at most one row per cell (at most
-    MAX_CELLS); where crowded cells are cut further, cells and the cuts inside
-    them are summed in two steps.
+    Works on the table of totals; a window sees at most one row per segment.
     """
-    cell, *cuts = seg.columns
-
-    def prefix(df, by, order, suffix=""):
-        w = _window(by, order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({f"{v}{suffix}": F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values})
-
-    if not cuts:
-        return prefix(totals, by, [cell])
-    cells = totals.groupBy(*by, cell).agg(*[F.sum(v).alias(v) for v in values])
-    starts = prefix(cells, by, [cell]).withColumnsRenamed({v: f"_c_{v}" for v in values})
-    inside = prefix(totals, [*by, cell], cuts)
-    joined = inside.join(starts, [*by, cell])
-    return joined.withColumns({v: F.col(v) + F.col(f"_c_{v}") for v in values}).drop(*[f"_c_{v}" for v in values])
+    w = _window(by, seg.columns).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.withColumns({v: F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values})
 
 
 def running_sums(
@@ -217,6 +160,7 @@ def running_products(
     lanes: int = 0,
     segments: Segments | None = None,
     expand: Callable[[DataFrame], DataFrame] = lambda df: df,
+    merged: bool = False,
 ) -> DataFrame:
     """After every update: sum over slots of (running left) * (running right), per lane.
 
@@ -227,8 +171,10 @@ def running_products(
     update has one slot and one product, ``p0``.
 
     The change of a segment telescopes per slot, so the totals come from the
-    (slot, segment) table.  The rows are shuffled once, by segment, and expanded
-    only after that.
+    (slot, segment) table, which is summed per key before it is expanded.  The rows
+    are shuffled once, by segment, and expanded only after that.  Products are exact
+    up to 38 digits.  Rows with the same order are updates of their own, or together
+    one update if ``merged``.
     """
     seg = segments or Segments.fit(rows)
     by, slot, s, order = list(by), list(slot), seg.columns, list(seg.order)
@@ -238,43 +184,49 @@ def running_products(
     lane = ["d"] if lanes else []
     group = list(dict.fromkeys([*by, *slot, *lane]))
     by_segment = [F.col(c) for c in s]
-    tagged = seg.tag(rows)
+    tagged = seg.tag(rows, together=merged)
 
     def per_lane(column, name):
         return [F.sum(F.when(F.col("d") == i, column) if lanes else column).alias(f"{name}{i}") for i in range(n)]
 
     # State of every slot at the start of each segment that touches it.
-    totals = expand(tagged).groupBy(*group, *s).agg(*[F.sum(c).alias(c) for c in sides])
+    named = [c for c in rows.columns if c not in (*order, *sides)]
+    per_key = tagged.groupBy(*named, *s).agg(*[F.sum(c).alias(c) for c in sides])
+    totals = expand(per_key).groupBy(*group, *s).agg(*[F.sum(c).alias(c) for c in sides])
     states = before(totals.withColumns({f"_t_{c}": F.col(c) for c in sides}), group, seg, sides)
 
     # Products at the start of each segment.
     grown = wide_product(F.col(a) + F.col(f"_t_{a}"), F.col(b) + F.col(f"_t_{b}")) - wide_product(F.col(a), F.col(b))
     changes = states.withColumn("_g", grown).groupBy(*by, *s).agg(*per_lane(F.col("_g"), "_b"))
     bases = before(changes, by, seg, [f"_b{i}" for i in range(n)])
-    bases = bases.withColumns({f"_b{i}": F.col(f"_b{i}").cast("double") for i in range(n)})
 
     carry = states.drop(*[f"_t_{c}" for c in sides]).where(" or ".join(f"`{c}` <> 0" for c in sides))
-    moved = expand(tagged.repartition(*by_segment)).select(*group, *order, *sides, *s)
+    numbered = tagged.withColumn("_row", F.lit(0) if merged else F.monotonically_increasing_id())
+    moved = expand(numbered.repartition(*by_segment)).select(*group, *order, *sides, *s, "_row")
     live = moved.withColumn("_live", F.lit(1)).unionByName(
         carry.withColumn("_live", F.lit(0)).repartition(*by_segment), allowMissingColumns=True
     )
-    w = Window.partitionBy(*s, *group).orderBy("_live", *order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*s, *group).orderBy("_live", *order, "_row").rowsBetween(Window.unboundedPreceding, 0)
     after = live.withColumns({f"_a_{c}": F.sum(c).over(w) for c in sides}).where("_live = 1")
-    step = F.col(f"_a_{a}") * F.col(f"_a_{b}") - (F.col(f"_a_{a}") - F.col(a)) * (F.col(f"_a_{b}") - F.col(b))
+    now_a, now_b = F.col(f"_a_{a}"), F.col(f"_a_{b}")
+    if right is None:
+        step = wide_product(2 * now_a - F.col(a), F.col(a))
+    else:
+        step = wide_product(now_a, F.col(b)) + wide_product(F.col(a), now_b - F.col(b))
     after = after.withColumn("_step", step)
     if lanes:
         # One row per update; the rows are grouped by segment already.
-        updates = after.groupBy(*s, *by, *order).agg(*per_lane(F.col("_step"), "_p"))
+        updates = after.groupBy(*s, *by, *order, "_row").agg(*per_lane(F.col("_step"), "_p"))
     else:
-        updates = after.select(*s, *by, *order, F.col("_step").alias("_p0"))
+        updates = after.select(*s, *by, *order, "_row", F.col("_step").alias("_p0"))
 
     anchored = updates.withColumn("_live", F.lit(1)).unionByName(
         bases.withColumn("_live", F.lit(0)).repartition(*by_segment), allowMissingColumns=True
     )
-    run = Window.partitionBy(*s, *by).orderBy("_live", *order).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*s, *by).orderBy("_live", *order, "_row").rowsBetween(Window.unboundedPreceding, 0)
+    zero = F.lit(0).cast("decimal(38,0)")
     estimates = {
-        f"p{i}": F.coalesce(F.sum(f"_b{i}").over(run), F.lit(0.0))
-        + F.coalesce(F.sum(f"_p{i}").over(run), F.lit(0)).cast("double")
+        f"p{i}": (F.coalesce(F.sum(f"_b{i}").over(run), zero) + F.coalesce(F.sum(f"_p{i}").over(run), zero)).cast("double")
         for i in range(n)
     }
     out = anchored.withColumns(estimates).where("_live = 1")

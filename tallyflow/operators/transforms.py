@@ -12,14 +12,8 @@ from tallyflow.operators.segments import Segments, positions, previous_values
 from tallyflow.operators.windows import count_window, time_window
 from tallyflow.schema import order_columns
 
-# Above this, "first n rows" is taken by position instead of in one task.
-TOP_ROWS_IN_ONE_TASK = 100_000
-
-
 def max_length(stream: DataFrame, n: int, segments: Segments | None = None) -> DataFrame:
     """The first n records in stream order."""
-    if n <= TOP_ROWS_IN_ONE_TASK:
-        return stream.orderBy(*order_columns(stream)).limit(n)
     return positions(stream, "_pos", segments=segments).where(F.col("_pos") < n).drop("_pos")
 
 

@@ -1,22 +1,18 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyflow.operators.joinsize import join_running, selfjoin_running, selfjoin_size
+from tallyflow.operators import sketch as sk
+from tallyflow.operators.joinsize import join_running, join_size, selfjoin_running, selfjoin_size
 from tallyflow.operators.segments import Segments, positions, previous_values, running_sums
+from tallyflow.operators.sketch import Projection
 from tests.helpers import collect, frame, random_updates
 
 ROWS = random_updates()
-LOW, HIGH = ROWS[0][4], ROWS[-1][4]
-# One segment, plain cells, and cells cut further because they are crowded.
-CUTS = {
-    "one": Segments(("ts", "seq"), LOW, HIGH - LOW + 1, 1),
-    "cells": Segments(("ts", "seq"), LOW, 9, (HIGH - LOW) // 9 + 1),
-    "crowded": Segments(("ts", "seq"), LOW, 40, (HIGH - LOW) // 40 + 1, tuple(range((HIGH - LOW) // 40 + 1)), 7),
-    "some_crowded": Segments(("ts", "seq"), LOW, 25, (HIGH - LOW) // 25 + 1, tuple(range(0, (HIGH - LOW) // 25 + 1, 2)), 11),
-    "misfit": Segments(("ts", "seq"), LOW + 50, 9, 4),
-}
+# From one segment to more segments than rows.
+CUTS = {n: Segments(("ts", "seq"), n) for n in (1, 2, 9, 60, 700)}
 
 
 @pytest.fixture(params=CUTS, scope="module")
@@ -70,28 +66,60 @@ def test_join_running(spark, seg):
     assert out == expected
 
 
-def test_fit_marks_a_crowded_time(spark):
-    seg = Segments.fit(frame(spark, ROWS), target_rows=10, min_cells=1)
-    assert seg.crowded
-    out = collect(positions(frame(spark, ROWS), segments=seg), "seq", "pos")
-    assert out == [(i, i) for i in range(len(ROWS))]
-    sizes = seg.tag(frame(spark, ROWS)).groupBy(*seg.columns).count().agg({"count": "max"}).first()[0]
-    assert sizes <= 40
+def _sizes(df, seg):
+    return [r["count"] for r in seg.tag(df).groupBy(*seg.columns).count().collect()]
+
+
+def test_an_outlier_and_millisecond_times_leave_even_segments(spark):
+    ids = spark.range(2_000_000)
+    ts = F.when(F.col("id") == 0, 0).otherwise(F.lit(1_700_000_000_000) + F.col("id") * 5)
+    df = ids.select(ts.alias("ts"), F.col("id").alias("seq"))
+    seg = Segments.fit(df, target_rows=50_000, least=1)
+    sizes = _sizes(df, seg)
+    assert seg.pieces == 40 and len(sizes) <= 80 and max(sizes) <= 200_000
+
+
+@pytest.mark.parametrize("kind", ["one time", "one order", "scattered ids", "floats"])
+def test_crowds_are_cut_like_any_other_rows(spark, kind):
+    i, n = F.col("id"), 40_000
+    order = {
+        "one time": [F.when(i % 3 == 0, 7).otherwise(i), i],
+        "one order": [F.when(i % 3 == 0, 7).otherwise(i), F.when(i % 3 == 0, 7).otherwise(i)],
+        "scattered ids": [F.lit(100), (i * 7919) % 10007 * F.lit(10**12)],
+        "floats": [F.exp(F.sqrt(i.cast("double"))), i],
+    }[kind]
+    df = spark.range(n).select(order[0].alias("ts"), order[1].alias("seq"))
+    seg = Segments.fit(df, target_rows=2_000, least=1)
+    assert seg.pieces == 20 and max(_sizes(df, seg)) <= 8_000
+    ranked = positions(df, segments=seg)
+    want = df.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ts", "seq")) - 1)
+    assert ranked.exceptAll(want).count() == 0 and want.exceptAll(ranked).count() == 0
+
+
+@pytest.mark.parametrize("big", [4_000_000_000, 10**11])
+def test_running_values_beyond_64_bits_equal_the_batch(spark, big):
+    rows = [(0, 0, 1, big, 1, 0), (1, 0, 1, big, 2, 1), (0, 0, 1, 1, 3, 2), (0, 0, 2, big, 4, 3)]
+    df = frame(spark, rows)
+    last = {r["sid"]: r["e"] for r in selfjoin_running(df).groupBy("sid").agg(F.max_by("estimate", "seq").alias("e")).collect()}
+    assert last == {r["sid"]: r["selfjoin"] for r in selfjoin_size(df).collect()}
+    both = join_running(df, 0, 1).agg(F.max_by("estimate", "seq")).first()[0]
+    assert both == join_size(df, 0, 1).first()["join_size"] == float(big * (big + 1))
+    proj = Projection(depth=3, width=5)
+    lanes = sk.selfjoin_estimate_running(df, proj).groupBy("sid").agg(F.max_by("estimate", "seq").alias("e")).collect()
+    batch = sk.selfjoin_estimate(sk.sketch(df, proj), proj).collect()
+    assert {r["sid"]: r["e"] for r in lanes} == {r["sid"]: r["estimate"] for r in batch}
+    pair = sk.join_estimate_running(df, 0, 1, proj).agg(F.max_by("estimate", "seq")).first()[0]
+    a, b = (sk.sketch(df.where(F.col("sid") == s), proj, []) for s in (0, 1))
+    assert pair == sk.join_estimate(a, b, proj).first()["estimate"]
+
+
+def test_every_update_has_its_row(spark):
+    df = frame(spark, [(0, 0, 1, 1, 5, 0), (0, 0, 2, 1, 5, 0), (0, 0, 1, 1, 5, 0)])
+    assert sk.selfjoin_estimate_running(df, Projection(depth=3, width=5)).count() == 3
+    assert selfjoin_running(df).count() == 3
 
 
 def test_sums_beyond_64_bits_do_not_fail(spark):
     big = 4_000_000_000
     rows = [(0, 0, 1, big, 1, 0), (0, 0, 1, 1, 2, 1), (0, 0, 2, big, 3, 2)]
     assert selfjoin_size(frame(spark, rows)).first()["selfjoin"] == float((big + 1) ** 2 + big**2)
-
-
-def test_crowded_time_with_scattered_ids(spark):
-    rows = [(0, 0, 1, 1, 100, (i * 7919) % 10007 * 10**12) for i in range(300)] + [(0, 0, 1, 1, 5000, 1)]
-    seg = Segments.fit(frame(spark, rows), target_rows=20, min_cells=4)
-    assert seg.chunks and seg.chunks[0] > 10**12
-    pieces = seg.tag(frame(spark, rows)).groupBy(*seg.columns).count()
-    assert pieces.count() < 60 and pieces.agg({"count": "max"}).first()[0] <= 40
-    order = sorted(range(301), key=lambda i: rows[i][4:])
-    assert collect(positions(frame(spark, rows), segments=seg), "ts", "seq", "pos") == [
-        (*rows[i][4:], p) for p, i in enumerate(order)
-    ]

@@ -6,8 +6,6 @@ from pyspark.sql import functions as F
 from tallyflow.operators import sketch as sk
 from tallyflow.operators import vectors
 from tallyflow.operators.frequency import (
-    _kth_of_counts,
-    _median_of_counts,
     frequency_vector,
     median,
     order_select,
@@ -18,7 +16,7 @@ from tests.helpers import cell, collect, frame, literal_sketch, random_updates
 
 PROJ = sk.Projection(5, 23, seed=3)
 ROWS = random_updates(200, seed=9)
-SEG = Segments(("ts", "seq"), ROWS[0][4], 60, 9, (0, 3, 4), 7)
+SEG = Segments(("ts", "seq"), 13)
 
 
 def dense(proj, cells):
@@ -79,7 +77,7 @@ def test_signs_are_balanced():
 
 def test_running_estimate_equals_from_scratch(spark):
     rows = [(i % 2, 0, i * i + 13 * i + 7, 1, i // 4, i) for i in range(60)]
-    seg = Segments(("ts", "seq"), 0, 3, 6, (1, 2), 5)
+    seg = Segments(("ts", "seq"), 6)
     run = {r["seq"]: r["estimate"] for r in sk.join_estimate_running(frame(spark, rows), 0, 1, PROJ, seg).collect()}
     own = {r["seq"]: r["estimate"] for r in sk.selfjoin_estimate_running(frame(spark, rows), PROJ, seg).collect()}
     for n in (1, 17, 40, 60):
@@ -97,19 +95,22 @@ def test_running_with_deletions_and_crowded_times(spark):
     assert last == batch
 
 
-def test_order_statistics_both_ways(spark):
-    values = [3.0, 1.0, 2.0, 2.0, 2.0, 9.5, -4.0] * 5
-    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)], "g int, v double")
+def test_order_statistics_of_groups(spark):
+    values = [3.0, None, 1.0, 2.0, 2.0, None, 2.0, 9.5, -4.0] * 5
+    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)] + [(2, None)], "g int, v double")
+    medians = {r["g"]: r["median"] for r in median(df, "v", ["g"]).collect()}
+    some = df.where("g < 2")
     for g in (0, 1):
-        mine = sorted(v for i, v in enumerate(values) if i % 2 == g)
-        want = statistics.median(mine)
-        for f in (median, _median_of_counts):
-            got = {r["g"]: r["median"] for r in f(df, "v", ["g"]).collect()}
-            assert got[g] == want
-        missing = F.raise_error(F.lit("short")).cast("double")
+        mine = sorted(v for i, v in enumerate(values) if i % 2 == g and v is not None)
+        assert medians[g] == statistics.median(mine)
         for k in (0, 1, 8):
-            assert {r["g"]: r["v"] for r in order_select(df, "v", k, ["g"]).collect()}[g] == mine[k]
-            assert {r["g"]: r["v"] for r in _kth_of_counts(df, "v", k, ["g"], missing).collect()}[g] == mine[k]
+            assert {r["g"]: r["v"] for r in order_select(some, "v", k, ["g"]).collect()}[g] == mine[k]
+    assert medians[2] is None
+    with pytest.raises(Exception, match="no more than 0"):
+        order_select(df, "v", 0, ["g"]).collect()
+    nulls = spark.createDataFrame([(1,), (2,), (3,), (None,), (None,)], "v bigint")
+    assert median(nulls, "v").first()[0] == 2.0
+    assert [order_select(nulls, "v", k).first()[0] for k in (0, 1, 2)] == [1, 2, 3]
 
 
 def test_order_select_fixture(spark):

@@ -100,8 +100,7 @@ def test_warmup_must_leave_something(spark):
     assert flags.where("warmup").count() == 10
 
 
-def test_max_length_by_position(spark, monkeypatch):
-    monkeypatch.setattr(tr, "TOP_ROWS_IN_ONE_TASK", 5)
+def test_max_length_by_position(spark):
     assert collect(tr.max_length(frame(spark, ROWS), 50), "seq") == [(i,) for i in range(50)]
 
 
