@@ -7,8 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A grid is a list of parameter settings; beyond this it is data, not a grid.
-MAX_GRID_ROWS = 100_000
+from tallyflow.operators.segments import Segments, positions
 
 
 def param(spark: SparkSession, name: str, values: Iterable) -> DataFrame:
@@ -21,28 +20,19 @@ def values_of(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     return df.select(F.col(column).alias(name or column)).distinct()
 
 
-def _listed(grid: DataFrame) -> Column:
-    """A grid as one sorted array of structs; raises when it is too long to be a grid."""
-    rows = F.sort_array(F.collect_list(F.struct(*grid.columns)))
-    too_long = F.raise_error(F.lit(f"a parameter grid has at most {MAX_GRID_ROWS} rows"))
-    counted = grid.limit(MAX_GRID_ROWS + 1).agg(
-        F.when(F.count(F.lit(1)) <= MAX_GRID_ROWS, rows).otherwise(too_long.cast(grid.select(F.array(F.struct(*grid.columns))).schema[0].dataType))
-        .alias("rows")
-    )
-    return counted.scalar()
+def cross(a: DataFrame, b: DataFrame, *more: DataFrame) -> DataFrame:
+    """Every setting of each grid with every setting of the others; on a shared name the later grid wins.
 
-
-def cross(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every setting of ``a`` with every setting of ``b``; on a shared name ``b`` wins."""
+    The result is a product by definition, and has as many rows.
+    """
     keep = [c for c in a.columns if c not in b.columns]
-    return a.select(*keep, F.explode(_listed(b)).alias("_b")).select(*keep, "_b.*")
+    both = a.select(*keep).crossJoin(b)
+    return cross(both, *more) if more else both
 
 
 def numbered(grid: DataFrame, order: Sequence[str], name: str = "_i") -> DataFrame:
     """Add the 0-based place of each row in the given order."""
-    ranked = grid.select(*order, *[c for c in grid.columns if c not in order])
-    one = grid.sparkSession.range(1)
-    return one.select(F.posexplode(_listed(ranked)).alias(name, "_r")).select("_r.*", name)
+    return positions(grid, name, segments=Segments.fit(grid, order))
 
 
 def zip_with(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequence[str]) -> DataFrame:

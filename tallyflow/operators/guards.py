@@ -11,11 +11,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from itertools import combinations
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +23,6 @@ from tallyflow.functions.scalars import wide_product
 from tallyflow.operators.lanes import lane_table
 from tallyflow.operators.sketch import Projection
 
-MAX_EXACT_ROWS = 19
-MAX_INLINE_ROWS = 11  # up to here the subsets are a literal, beyond a broadcast table
 MAX_BROADCAST_CELLS = 2_000_000
 _SQRT_HALF = math.sqrt(0.5)
 
@@ -116,20 +113,21 @@ def guard_selfjoin(
 # -- quorum -------------------------------------------------------------------
 
 
-def _subsets(depth: int, k: int) -> dict[int, list[tuple[int, ...]]]:
-    """For each number l of legal rows, the subsets of l-k+1 of them."""
-    if depth > MAX_EXACT_ROWS:
-        raise ValueError(f"the exact quorum takes at most {MAX_EXACT_ROWS} rows; use the fast one")
-    return {l: list(combinations(range(1, l + 1), l - k + 1)) for l in range(k, depth + 1)}
+def _subsets(spark: SparkSession, depth: int, k: int) -> DataFrame:
+    """``_l, _mask``: for each number l of legal rows, the sets of l-k+1 of them as bit masks."""
+    masks = spark.range(1 << depth).select(F.col("id").alias("_mask"), F.explode(F.sequence(F.lit(k), F.lit(depth))).alias("_l"))
+    fits = (F.bit_count("_mask") == F.col("_l") - F.lit(k - 1)) & (F.col("_mask") < F.pow(F.lit(2), F.col("_l")))
+    return masks.where(fits)
 
 
 def _total(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
 
-def _ratio(legal: Column, members: Column) -> Column:
+def _ratio(legal: Column, mask: Column) -> Column:
     """Normalised sum over the chosen rows."""
-    chosen = F.transform(members, lambda i: F.element_at(legal, i))
+    chosen = F.transform(legal, lambda r, i: F.struct(r["ze"].alias("ze"), r["zx"].alias("zx"), F.getbit(mask, i).alias("on")))
+    chosen = F.filter(chosen, lambda r: r["on"] == 1)
     scale = F.sqrt(_total(F.transform(chosen, lambda r: r["ze"] * r["ze"])))
     return _total(F.transform(chosen, lambda r: r["ze"] * r["zx"])) / scale
 
@@ -152,7 +150,7 @@ def quorums(
     ``guards`` maps an output column to its (anchor, site) columns in ``lanes``.  A
     group has at most D lanes.  Exact: the smallest normalised
     ``sum(ze*zx)/sqrt(sum(ze^2))`` over all subsets of l-k+1 of the l rows with
-    ze > 0.  Fast: the sum of the l-k+1 smallest ``ze*zx``, of the same sign.
+    ze > 0, whose number doubles with each row.  Fast: the sum of the l-k+1 smallest ``ze*zx``, of the same sign.
     """
     k = majority(depth) if k is None else k
     columns = list(dict.fromkeys(c for pair in guards.values() for c in pair))
@@ -165,18 +163,10 @@ def quorums(
         if not exact:
             products = F.sort_array(F.transform(legal, lambda r: r["ze"] * r["zx"]))
             out = out.withColumn(g, _total(F.slice(products, F.lit(1), checked - F.lit(k - 1))))
-        elif depth <= MAX_INLINE_ROWS:
-            table = ",".join(
-                "array(" + ",".join(f"array({','.join(map(str, s))})" for s in subsets) + ")"
-                for subsets in _subsets(depth, k).values()
-            )
-            options = F.element_at(F.expr(f"array({table})"), checked - F.lit(k - 1))
-            out = out.withColumn(g, F.array_min(F.transform(options, lambda m: _ratio(legal, m))))
         else:
             out = out.withColumn("_l", checked)
-            rows = [(l, list(s)) for l, subsets in _subsets(depth, k).items() for s in subsets]
-            subsets = F.broadcast(lanes.sparkSession.createDataFrame(rows, "_l int, _members array<int>"))
-            values = out.join(subsets, "_l").groupBy(*by).agg(F.min(_ratio(legal, F.col("_members"))).alias(g))
+            chosen = out.join(_subsets(lanes.sparkSession, depth, k), "_l")
+            values = chosen.groupBy(*by).agg(F.min(_ratio(legal, F.col("_mask"))).alias(g))
             out = out.drop("_l").join(values, list(by)) if by else out.drop("_l").withColumn(g, values.scalar())
     return out.select(*by, *guards)
 
@@ -186,7 +176,7 @@ def quorum(lanes: DataFrame, depth: int, by: Sequence[str] = (), k: int | None =
     return quorums(lanes, {"zeta": ("ze", "zx")}, depth, by, k, exact)
 
 
-def quorum_fast(lanes: DataFrame, k: int, by: Sequence[str] = (), depth: int = MAX_EXACT_ROWS) -> DataFrame:
+def quorum_fast(lanes: DataFrame, k: int, by: Sequence[str] = (), depth: int = 0) -> DataFrame:
     return quorum(lanes, depth, by, k, exact=False)
 
 

@@ -47,14 +47,14 @@ def test_quorum_extremes(spark):
     assert zetas(gd.quorum(lanes, 7, ["g"], k=1, exact=False)) == pytest.approx(list((zx * ze).sum(axis=1)))
 
 
-def test_many_rows_use_the_subset_table(spark, monkeypatch):
-    ze, zx = RNG.uniform(0.1, 10, 7), RNG.normal(0, 5, (5, 7))
+def test_exact_quorum_of_more_than_nineteen_rows(spark):
+    ze, zx = RNG.uniform(0.1, 10, 21), RNG.normal(0, 5, (1, 21))
     lanes = lanes_frame(spark, ze, zx)
-    inline = zetas(gd.quorum(lanes, 7, ["g"], k=4))
-    monkeypatch.setattr(gd, "MAX_INLINE_ROWS", 3)
-    assert zetas(gd.quorum(lanes, 7, ["g"], k=4)) == pytest.approx(inline)
-    with pytest.raises(ValueError):
-        gd.quorum(lanes, 20, ["g"])
+    # Sets of two rows, so that the literal form stays small: C(21, 2).
+    want = min(
+        (ze[i] * zx[0, i] + ze[j] * zx[0, j]) / math.hypot(ze[i], ze[j]) for i in range(21) for j in range(i)
+    )
+    assert zetas(gd.quorum(lanes, 21, ["g"], k=20)) == pytest.approx([want])
 
 
 def test_inadmissible_reference_raises(spark):
