@@ -1,29 +1,33 @@
 """Drift-triggered monitoring over time slices.
 
 Sites feed a stream; an estimate kept from their sketches is refreshed only when
-a local rule fires.  The rules are sequential in time, so the work is split:
-Spark sums each site's updates into one small sketch per time slice, in
-parallel and with partial aggregation, and only these summaries (at most D*L
-cells per site and slice, however many records) pass through an ordered state
-function.  Rules are checked at slice ends, so a bound may be crossed inside a
-slice before it is reported; slices of one record give the per-record rule.
+a local rule fires.  Spark sums each site's updates into one small sketch per time
+slice, with partial aggregation.  Publications pass an ordered state function per
+local stream, which sees these summaries only; guarded estimates are decided by
+joins and sums over them.  Rules are checked at slice ends, so a bound may be
+crossed inside a slice before it is reported; slices of one record give the
+per-record rule.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.functions import guard_math
-from tallyflow.functions.scalars import KEY_BYTES, UPDATE_BYTES, median_of, publish_bytes, relative_error, tcp_bytes
+from tallyflow.functions.scalars import KEY_BYTES, median_of, publish_bytes, relative_error, tcp_bytes, wide_product
+from tallyflow.operators import guards
 from tallyflow.operators.joinsize import JoinSizeQuery
+from tallyflow.operators.lanes import lane_table
 from tallyflow.operators.segments import Segments, running_products
 from tallyflow.operators.sketch import Projection, hashed
+from tallyflow.session import cut_lineage
 
 
 def time_slice_of(every: int) -> Column:
@@ -188,60 +192,10 @@ ROUND_SCHEMA = T.StructType(
 RULES = ("any_site", "sum")
 _SUM_SHARE = 0.01  # fixed value of the sum rule
 
-
-class GuardState:
-    """Anchor and site drifts of one monitored query; memory is sites * arity * D * L."""
-
-    def __init__(self, proj: Projection, arity: int, beta: float, sites: int, exact: bool = True):
-        self.shape = (arity, proj.depth, proj.width)
-        self.beta, self.epsilon, self.sites, self.exact = beta, proj.epsilon, sites, exact
-        if self.epsilon >= beta:
-            raise ValueError("total error must exceed the sketch error")
-        self.anchor = np.zeros(self.shape)
-        self.drift: dict[int, np.ndarray] = {}
-        self.pending: dict[int, int] = {}
-        self.settle()
-
-    def settle(self) -> None:
-        """Recompute the estimate, its bounds and the anchor's own guard."""
-        first, last = self.anchor[0], self.anchor[-1]
-        self.estimate = float(np.median((first * last).sum(axis=1)))
-        self.low, self.high = guard_math.bounds(self.estimate, self.beta, self.epsilon)
-        self.zeta_anchor = self.zeta(self.anchor)
-
-    def zeta(self, x: np.ndarray) -> float:
-        if self.shape[0] == 1:
-            return guard_math.selfjoin(x[0], self.anchor[0], self.low, self.high, self.exact)
-        return guard_math.join(x, self.anchor, self.low, self.high, self.exact)
-
-    def add(self, site: int, cell: np.ndarray, c: np.ndarray, updates: int) -> None:
-        drift = self.drift.setdefault(site, np.zeros(self.shape))
-        np.add.at(drift.reshape(-1), cell, c)
-        self.pending[site] = self.pending.get(site, 0) + updates
-
-    def site_zetas(self) -> list[float]:
-        """Guard of every site; updates count ``sites`` times, so the sites' mean is the whole."""
-        moved = [self.zeta(self.anchor + self.sites * u) for u in self.drift.values()]
-        return moved + [self.zeta_anchor] * (self.sites - len(moved))
-
-    def shipped(self) -> tuple[int, int]:
-        cells = int(np.prod(self.shape))
-        sizes = [min(4 * cells, UPDATE_BYTES * n) for n in self.pending.values()]
-        return sum(self.pending.values()), sum(sizes)
-
-    def reanchor(self) -> None:
-        for u in self.drift.values():
-            self.anchor = self.anchor + u
-        self.drift, self.pending = {}, {}
-        self.settle()
-
-
-def fires(rule: str, zetas: Sequence[float], zeta_anchor: float, sites: int) -> bool:
-    if rule == "any_site":
-        return min(zetas) <= 0
-    if rule == "sum":
-        return sum(zetas) < _SUM_SHARE * sites * zeta_anchor
-    raise ValueError(f"unknown rule {rule!r}; use one of {RULES}")
+#: Slices that are examined together: every one of them as a possible anchor of the later ones.
+BLOCK_SLICES = 16
+#: The anchor in force when a block of slices begins.
+_CURRENT = -(2**62)
 
 
 def monitor(
@@ -260,45 +214,260 @@ def monitor(
     of the guards falls below 1 % of ``sites`` times the anchor's guard.  The
     first ``warmup_slices`` slices set the first anchor.
     """
-    if rule not in RULES:
-        raise ValueError(f"unknown rule {rule!r}; use one of {RULES}")
-    operands = query.operands
-    which = F.coalesce(*[F.when(F.col("sid") == s, F.lit(i)) for i, s in enumerate(operands)])
-    kept = stream.where(F.col("sid").isin(*operands)).withColumn("operand", which)
-    feed = _feed(kept, proj, every, ["operand", "hid"]).withColumn("query", F.lit(0))
-    arity, size = len(operands), proj.cells
+    return monitor_all(stream, [query], proj, sites, every, rule, warmup_slices, exact).drop("query")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = GuardState(proj, arity, query.beta, sites, exact)
-        first = None
-        rounds = 0
-        for slice_no, part in _slices(batches):
-            first = slice_no if first is None else first
-            for hid, site in part.groupby("hid"):
-                cell, c = site["cell"].to_numpy(), site["c"].to_numpy()
-                real = cell >= 0
-                at = cell[real] + size * site["operand"].to_numpy()[real]
-                state.add(int(hid), at, c[real], int(c[~real].sum()))
-            zetas = state.site_zetas()
-            before = state.zeta_anchor
-            updates = shipped = 0
-            warm = slice_no < first + warmup_slices
-            moved = warm or fires(rule, zetas, before, sites)
-            if moved:
-                updates, shipped = state.shipped()
-                state.reanchor()
-                rounds += 1
-            yield pd.DataFrame(
-                [
-                    (
-                        slice_no, rounds, moved, state.estimate, state.low, state.high,
-                        before, min(zetas), sum(zetas), updates, shipped,
-                    )
-                ],
-                columns=ROUND_SCHEMA.names,
-            )
 
-    return _ordered(feed, ["query"]).applyInPandas(run, ROUND_SCHEMA)
+def monitor_all(
+    stream: DataFrame,
+    queries: Sequence[JoinSizeQuery],
+    proj: Projection,
+    sites: int,
+    every: int,
+    rule: str = "any_site",
+    warmup_slices: int = 1,
+    exact: bool = True,
+) -> DataFrame:
+    """``monitor`` of several queries over one pass of the stream, with column ``query`` (its text).
+
+    The anchor of a slice, should the query re-anchor there, is the state of the whole
+    stream, whatever happened before.  So a block of slices is examined for all its
+    (anchor, later slice) pairs at once, as sums of the slices' sketches between the two,
+    and only then the chain of anchors is followed, over flags of at most
+    ``BLOCK_SLICES``^2 pairs per query.  No group is wider than one site's sketch.
+    """
+    if rule not in RULES:
+        raise ValueError(f"unknown rule {rule!r}; use one of {RULES}")
+    if any(proj.epsilon >= q.beta for q in queries):
+        raise ValueError("total error must exceed the sketch error")
+    if len({q.is_selfjoin for q in queries}) != 1:
+        raise ValueError("watch self-joins and joins in calls of their own")
+    run = _Monitor(proj, queries[0].is_selfjoin, sites, rule, warmup_slices, exact)
+    listed = [(i, str(q), s, k, q.beta) for i, q in enumerate(queries) for k, s in enumerate(q.operands)]
+    spark = stream.sparkSession
+    # The declared queries; two rows each at most.
+    watched = spark.createDataFrame(listed, "q int, query string, sid int, operand int, beta double")
+    parts = stream.join(F.broadcast(watched.select("q", "sid", "operand")), "sid")
+    cells = cut_lineage(slice_sketches(parts, proj, every, ["q", "operand", "hid"]))
+    counts = cut_lineage(slice_updates(parts, every, ["q", "hid"]))
+    place = F.row_number().over(Window.partitionBy("q").orderBy("slice"))
+    slices = counts.select("q", "slice").distinct().withColumn("place", place)
+    slices = cut_lineage(slices.withColumn("block", F.expr(f"(place - 1) div {BLOCK_SLICES}")))
+    last = slices.agg(F.max("block")).first()[0]
+    betas = F.broadcast(watched.select("q", "query", "beta").distinct())
+    held = spark.createDataFrame([], "q int, operand int, hid int, d int, b int, now bigint, then bigint")
+    waiting = spark.createDataFrame([], "q int, hid int, updates bigint")
+    moved = spark.createDataFrame([], "q int, rounds bigint")
+    rows = []
+    for block in range(-1 if last is None else last + 1):
+        here = slices.where(F.col("block") == block).select("q", F.col("slice").alias("t"), "place")
+        own_cells = cells.join(here.select("q", F.col("t").alias("slice")), ["q", "slice"])
+        own_counts = counts.join(here.select("q", F.col("t").alias("slice")), ["q", "slice"])
+        anchors = cut_lineage(run.anchors(here, held, own_cells))
+        checks = cut_lineage(run.checks(here, held, own_cells, anchors, betas))
+        chain = cut_lineage(run.chain(here, checks))
+        rows.append(cut_lineage(run.rounds(chain, checks, anchors, betas, waiting, own_counts, moved)))
+        ends = chain.groupBy("q").agg(F.max_by("next", "t").alias("end"), F.count_if("fired").alias("n"))
+        held, waiting, moved = run.advance(ends, held, own_cells, waiting, own_counts, moved)
+    out = reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame([], ROUND_SCHEMA).withColumn("query", F.lit(""))
+    return out.select("query", *ROUND_SCHEMA.names)
+
+
+@dataclass(frozen=True)
+class _Monitor:
+    """The steps of one block of slices.  ``t`` is a slice, ``a`` a possible anchor before it."""
+
+    proj: Projection
+    selfjoin: bool
+    sites: int
+    rule: str
+    warmup: int
+    exact: bool
+
+    def anchors(self, here: DataFrame, held: DataFrame, cells: DataFrame) -> DataFrame:
+        """Sketch of the whole stream at every possible anchor: ``q, a, operand, d, b, e``."""
+        key = ["q", "operand", "d", "b"]
+        at = here.select("q", F.col("t").alias("a"))
+        parts = [
+            held.select(*key, F.lit(_CURRENT).alias("a"), F.col("then").alias("e")),
+            held.join(at, "q").select(*key, "a", F.col("now").alias("e")),
+            cells.join(at, "q").where("slice <= a").select(*key, "a", F.col("c").alias("e")),
+        ]
+        return reduce(DataFrame.unionByName, parts).groupBy("a", *key).agg(F.sum("e").alias("e")).where("e <> 0")
+
+    def _drifts(self, here: DataFrame, held: DataFrame, cells: DataFrame) -> DataFrame:
+        """Drift of every site since the anchor: ``q, a, t, hid, operand, d, b, u``."""
+        key = ["q", "hid", "operand", "d", "b"]
+        later = here.select("q", "t")
+        between = cells.join(later, "q").where("slice <= t")
+        since = between.join(here.select("q", F.col("t").alias("a")), "q").where("a < slice")
+        parts = [
+            held.where("now <> then").join(later, "q").select(*key, F.lit(_CURRENT).alias("a"), "t", F.expr("now - then").alias("u")),
+            between.select(*key, F.lit(_CURRENT).alias("a"), "t", F.col("c").alias("u")),
+            since.select(*key, "a", "t", F.col("c").alias("u")),
+        ]
+        return reduce(DataFrame.unionByName, parts).groupBy("a", "t", *key).agg(F.sum("u").alias("u")).where("u <> 0")
+
+    def _sides(self, cells: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+        """Both operands side by side: value1, value2 (one side for a self-join)."""
+        if self.selfjoin:
+            return cells.select(*by, "d", "b", F.col(value).alias(f"{value}1"))
+        zero = F.lit(0).cast("bigint")
+        sums = [F.sum(F.when(F.col("operand") == k, F.col(value)).otherwise(zero)).alias(f"{value}{k + 1}") for k in (0, 1)]
+        return cells.groupBy(*by, "d", "b").agg(*sums)
+
+    def bounds(self, anchors: DataFrame, here: DataFrame | None, betas: DataFrame) -> DataFrame:
+        """``q, a, estimate, low, high`` of every possible anchor; 0 for one without cells."""
+        e1, e2 = F.col("e1"), F.col("e1" if self.selfjoin else "e2")
+        dots = lane_table(self._sides(anchors, "e", ["q", "a"]), self.proj.depth, {"dot": wide_product(e1, e2)}, ["q", "a"])
+        known = dots.groupBy("q", "a").agg(F.median("dot").alias("estimate"))
+        if here is not None:
+            every = here.select("q", F.col("t").alias("a")).union(here.select("q", F.lit(_CURRENT)).distinct())
+            known = every.join(known, ["q", "a"], "left").withColumn("estimate", F.coalesce("estimate", F.lit(0.0)))
+        slack = (F.col("beta") - F.lit(self.proj.epsilon)) * F.abs("estimate")
+        low = F.when(F.col("estimate") > 0, F.col("estimate") - slack / (1 + F.col("beta"))).otherwise(-1.0)
+        high = F.when(F.col("estimate") > 0, F.col("estimate") + slack / (1 - F.col("beta"))).otherwise(1.0)
+        return known.join(betas.drop("query"), "q").select("q", "a", "estimate", low.alias("low"), high.alias("high"))
+
+    def _lanes(self, drifts: DataFrame, anchors: DataFrame, bounds: DataFrame) -> DataFrame:
+        """Norms of every site's state by row, and of the anchors themselves as hid -1."""
+        by, s = ["q", "a", "t", "hid"], F.lit(self.sites)
+        e = self._sides(anchors, "e", ["q", "a"])
+        u = self._sides(drifts, "u", by).join(e, ["q", "a", "d", "b"], "left")
+        names = ("e1",) if self.selfjoin else ("e1", "e2")
+        u = u.withColumns({n: F.coalesce(n, F.lit(0)).cast("bigint") for n in names})
+        if self.selfjoin:
+            pairs = {"x": (F.col("u1"), F.col("e1"))}
+            norms = {"e2": wide_product(F.col("e1"), F.col("e1"))}
+        else:
+            pairs = {"p": (F.col("u1") + F.col("u2"), F.col("e1") + F.col("e2")), "m": (F.col("u1") - F.col("u2"), F.col("e1") - F.col("e2"))}
+            norms = {f"{k}e2": wide_product(pairs[k][1], pairs[k][1]) for k in pairs}
+        grown = {}
+        for k, (du, de) in pairs.items():
+            # |e + s u|^2 - |e|^2 and s u . e: cells without drift add nothing.
+            grown[f"_{k}2"] = wide_product(s * du, 2 * de + s * du)
+            grown[f"_{k}e"] = wide_product(s * du, de)
+        lanes = lane_table(u, self.proj.depth, grown, by)
+        own = lane_table(e, self.proj.depth, norms, ["q", "a"])
+        depth = F.explode(F.sequence(F.lit(0), F.lit(self.proj.depth - 1)))
+        idle = bounds.select("q", "a", F.lit(None).cast("bigint").alias("t"), F.lit(-1).alias("hid"), depth.alias("d"))
+        all_lanes = lanes.unionByName(idle, allowMissingColumns=True)
+        joined = all_lanes.join(own, ["q", "a", "d"], "left").join(bounds, ["q", "a"])
+        zero = F.lit(0.0)
+        joined = joined.withColumns({c: F.coalesce(c, zero) for c in [*grown, *norms]})
+        if self.selfjoin:
+            return joined.withColumns({"x2": F.col("e2") + F.col("_x2"), "xe": F.col("e2") + F.col("_xe")})
+        return joined.withColumns(
+            {f"{k}{n}": F.col(f"{k}e2") + F.col(f"_{k}{n}") for k in ("p", "m") for n in ("2", "e")}
+        ).withColumnsRenamed({"p2": "px2", "m2": "mx2", "pe": "pxe", "me": "mxe"})
+
+    def zetas(self, lanes: DataFrame) -> DataFrame:
+        """``q, a, t, hid, zeta``: the guard of every site at every slice under every anchor."""
+        by = ["q", "a", "t", "hid"]
+        if self.selfjoin:
+            both = guards.upper_lanes(lanes, F.col("high")).withColumnsRenamed({"zx": "hx", "ze": "he"})
+            both = guards.lower_lanes(both, F.col("low"))
+            # A bound that is not positive cannot be crossed.
+            free = F.col("low") <= 0
+            both = both.withColumns(
+                {"zx": F.when(free, F.lit(float("inf"))).otherwise(F.col("zx")), "ze": F.when(free, 1.0).otherwise(F.col("ze"))}
+            ).withColumnsRenamed({"zx": "lx", "ze": "le"})
+        else:
+            both = guards.inner_product_lanes(lanes, F.col("low"), True).withColumnsRenamed({"zx": "lx", "ze": "le"})
+            both = guards.inner_product_lanes(both, F.col("high"), False).withColumnsRenamed({"zx": "hx", "ze": "he"})
+        keyed = both.withColumn("t", F.coalesce("t", F.lit(_CURRENT)))
+        out = guards.quorums(keyed, {"zl": ("le", "lx"), "zh": ("he", "hx")}, self.proj.depth, by, exact=self.exact)
+        return out.select(*by, F.least("zl", "zh").alias("zeta"))
+
+    def checks(self, here: DataFrame, held: DataFrame, cells: DataFrame, anchors: DataFrame, betas: DataFrame) -> DataFrame:
+        """``q, a, t, zeta_anchor, zeta_min, zeta_sum, fires`` of every anchor and later slice."""
+        bounds = self.bounds(anchors, here, betas)
+        zetas = cut_lineage(self.zetas(self._lanes(self._drifts(here, held, cells), anchors, bounds)))
+        own = zetas.where("hid = -1").select("q", "a", F.col("zeta").alias("zeta_anchor"))
+        seen = zetas.where("hid >= 0").groupBy("q", "a", "t").agg(
+            F.min("zeta").alias("least"), F.sum("zeta").alias("sum"), F.count(F.lit(1)).alias("n")
+        )
+        pairs = own.join(here, "q").where("a < t")
+        both = pairs.join(seen, ["q", "a", "t"], "left")
+        idle = F.lit(self.sites) - F.coalesce("n", F.lit(0))
+        zeta_min = F.when(idle > 0, F.least("least", "zeta_anchor")).otherwise(F.col("least"))
+        zeta_sum = F.coalesce("sum", F.lit(0.0)) + idle * F.col("zeta_anchor")
+        both = both.withColumns({"zeta_min": zeta_min, "zeta_sum": zeta_sum})
+        if self.rule == "any_site":
+            rule = F.col("zeta_min") <= 0
+        else:
+            rule = F.col("zeta_sum") < F.lit(_SUM_SHARE * self.sites) * F.col("zeta_anchor")
+        return both.select("q", "a", "t", "zeta_anchor", "zeta_min", "zeta_sum", (rule | (F.col("place") <= self.warmup)).alias("fires"))
+
+    def chain(self, here: DataFrame, checks: DataFrame) -> DataFrame:
+        """``q, t, a, fired, next``: the anchor in force at each slice, and the one after it."""
+        flags = checks.where("fires").groupBy("q").agg(F.collect_set(F.struct("a", "t")).alias("flags"))
+        order = here.groupBy("q").agg(F.array_sort(F.collect_list("t")).alias("slices")).join(flags, "q", "left")
+        step = F.struct(F.lit(_CURRENT).cast("bigint").alias("a"), F.expr("cast(array() as array<struct<t:bigint,a:bigint,fired:boolean,next:bigint>>)").alias("out"))
+
+        def follow(state: Column, t: Column) -> Column:
+            fired = F.coalesce(F.array_contains("flags", F.struct(state["a"].alias("a"), t.alias("t"))), F.lit(False))
+            after = F.when(fired, t).otherwise(state["a"])
+            row = F.struct(t.alias("t"), state["a"].alias("a"), fired.alias("fired"), after.alias("next"))
+            return F.struct(after.alias("a"), F.concat(state["out"], F.array(row)).alias("out"))
+
+        return order.select("q", F.inline(F.aggregate("slices", step, follow)["out"]))
+
+    def rounds(
+        self,
+        chain: DataFrame,
+        checks: DataFrame,
+        anchors: DataFrame,
+        betas: DataFrame,
+        waiting: DataFrame,
+        counts: DataFrame,
+        moved: DataFrame,
+    ) -> DataFrame:
+        """The result rows of the block."""
+        size = (1 if self.selfjoin else 2) * self.proj.cells
+        fired = chain.where("fired").select("q", "t", "a")
+        sent = counts.join(fired, "q").where("slice > a and slice <= t").select("q", "t", "hid", "updates")
+        old = waiting.join(fired.where(F.col("a") == _CURRENT), "q").select("q", "t", "hid", "updates")
+        shipped = sent.union(old).groupBy("q", "t", "hid").agg(F.sum("updates").alias("updates"))
+        shipped = shipped.groupBy("q", "t").agg(
+            F.sum("updates").alias("updates"), F.sum(publish_bytes(F.col("updates"), size)).alias("bytes")
+        )
+        in_force = self.bounds(anchors, chain.select("q", "t"), betas).withColumnRenamed("a", "next")
+        number = F.count_if("fired").over(Window.partitionBy("q").orderBy("t"))
+        out = chain.withColumn("new", number).join(checks.drop("fires"), ["q", "a", "t"]).join(in_force, ["q", "next"])
+        out = out.join(shipped, ["q", "t"], "left").join(moved, "q", "left").join(betas.select("q", "query"), "q")
+        return out.select(
+            "query",
+            F.col("t").alias("slice"),
+            (F.col("new") + F.coalesce("rounds", F.lit(0))).alias("round"),
+            F.col("fired").alias("reanchored"),
+            "estimate",
+            "low",
+            "high",
+            "zeta_anchor",
+            "zeta_min",
+            "zeta_sum",
+            F.coalesce("updates", F.lit(0)).alias("updates"),
+            F.coalesce("bytes", F.lit(0)).alias("bytes"),
+        )
+
+    def advance(
+        self, ends: DataFrame, held: DataFrame, cells: DataFrame, waiting: DataFrame, counts: DataFrame, moved: DataFrame
+    ) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """State at the end of the block: prefix sums now and at the anchor, waiting updates, rounds."""
+        key = ["q", "operand", "hid", "d", "b"]
+        kept = F.coalesce(F.col("end"), F.lit(_CURRENT)) == _CURRENT
+        old = held.join(ends.select("q", "end"), "q", "left").select(
+            *key, "now", F.when(kept, F.col("then")).otherwise(F.col("now")).alias("then")
+        )
+        new = cells.join(ends.select("q", "end"), "q").select(
+            *key, F.col("c").alias("now"), F.when(F.col("slice") <= F.col("end"), F.col("c")).otherwise(0).alias("then")
+        )
+        state = old.unionByName(new).groupBy(*key).agg(F.sum("now").alias("now"), F.sum("then").alias("then"))
+        still = waiting.join(ends.select("q", "end"), "q", "left").where(kept).select("q", "hid", "updates")
+        more = counts.join(ends.select("q", "end"), "q").where("slice > end").select("q", "hid", "updates")
+        pending = still.unionByName(more).groupBy("q", "hid").agg(F.sum("updates").alias("updates"))
+        total = moved.unionByName(ends.select("q", F.col("n").alias("rounds"))).groupBy("q").agg(F.sum("rounds").alias("rounds"))
+        return cut_lineage(state), cut_lineage(pending), cut_lineage(total)
 
 
 def monitor_summary(rounds: DataFrame, query: JoinSizeQuery, proj: Projection, sites: int, rule: str) -> DataFrame:

@@ -92,11 +92,28 @@ def sketch(stream: DataFrame, proj: Projection, by: Sequence[str] = ("sid",)) ->
 
 def sketch_counts(freq: DataFrame, proj: Projection, by: Sequence[str] = ("sid",)) -> DataFrame:
     cells = hashed(freq, proj)
-    return cells.groupBy(*by, "d", "b").agg(F.sum(F.col("sign") * F.col("cnt")).alias("c"))
+    mark = {_MARK: f"{proj.depth} x {proj.width}, seed {proj.seed}, family {proj.family}"}
+    return cells.groupBy(*by, "d", "b").agg(F.sum(F.col("sign") * F.col("cnt")).alias("c", metadata=mark))
+
+
+#: Metadata key of counters: the projection they belong to.
+_MARK = "projection"
+
+
+def _mark(*sketches: DataFrame) -> dict[str, str]:
+    """The projection that sketches are marked with; different ones cannot be combined."""
+    marks = {m for m in (s.schema["c"].metadata.get(_MARK) for s in sketches if "c" in s.columns) if m}
+    if len(marks) > 1:
+        raise ValueError(f"sketches of different projections do not combine: {sorted(marks)}")
+    return {_MARK: marks.pop()} if marks else {}
+
+
+def _counters(value: Column, mark: dict[str, str]) -> Column:
+    return value.alias("c", metadata=mark)
 
 
 def add(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _collapse(a.unionByName(b))
+    return _collapse(a.unionByName(b), _mark(a, b))
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -105,27 +122,27 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def merge(sketches: DataFrame, drop: Sequence[str]) -> DataFrame:
     """Sum sketches over the dropped group columns (e.g. hosts)."""
-    return _collapse(sketches.drop(*drop))
+    return _collapse(sketches.drop(*drop), _mark(sketches))
 
 
-def _collapse(cells: DataFrame) -> DataFrame:
+def _collapse(cells: DataFrame, mark: dict[str, str]) -> DataFrame:
     keys = [c for c in cells.columns if c != "c"]
-    return cells.groupBy(*keys).agg(F.sum("c").alias("c"))
+    return cells.groupBy(*keys).agg(_counters(F.sum("c"), mark))
 
 
 def scale(a: DataFrame, by: int | float) -> DataFrame:
-    return a.withColumn("c", F.col("c") * F.lit(by))
+    return a.select(*[c for c in a.columns if c != "c"], _counters(F.col("c") * F.lit(by), _mark(a)))
 
 
 def divide(a: DataFrame, by: int | float) -> DataFrame:
-    return a.withColumn("c", F.col("c") / F.lit(by))
+    return a.select(*[c for c in a.columns if c != "c"], _counters(F.col("c") / F.lit(by), _mark(a)))
 
 
 def blend(a: DataFrame, b: DataFrame, weight: float) -> DataFrame:
     """Move ``a`` towards ``b`` by ``weight`` (exponential smoothing)."""
     part_a = a.withColumn("c", F.col("c") * F.lit(1.0 - weight))
     part_b = b.withColumn("c", F.col("c") * F.lit(weight))
-    return _collapse(part_a.unionByName(part_b))
+    return _collapse(part_a.unionByName(part_b), _mark(a, b))
 
 
 def differing_cells(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -135,6 +152,7 @@ def differing_cells(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def row_dots(a: DataFrame, b: DataFrame, proj: Projection, by: Sequence[str] = ()) -> DataFrame:
     """Dot product of each pair of sketch rows: ``(…, d, dot)``, zero rows included."""
+    _mark(a, b)
     x = a.select(*by, "d", "b", F.col("c").alias("_x"))
     y = b.select(*by, "d", "b", F.col("c").alias("_y"))
     cells = x.join(y, [*by, "d", "b"], "full")

@@ -20,20 +20,23 @@ LOCAL_STREAM = ("sid", "hid")
 def time_window(stream: DataFrame, length: int, flush: bool = False) -> DataFrame:
     """Each record expires ``length`` ticks later; at equal times arrivals come first.
 
-    Column ``kind`` (0 arrival, 1 expiry) joins the order key.  Without ``flush``
+    Column ``kind`` (0 arrival, 1 expiry) joins the order key.  A stream that has one
+    already, as a windowed stream, keeps the order of its own kinds within each of the
+    two: the new kind is twice the old one, plus 1 for an expiry.  Without ``flush``
     only expiries before the last arrival are kept.  Stateless, so it also runs
     on a streaming DataFrame (with ``flush``).
     """
-    arrival = F.struct(F.col("ts").alias("ts"), F.col("upd").alias("upd"), F.lit(0).alias("kind"))
+    old = F.col("kind") * 2 if "kind" in stream.columns else F.lit(0)
+    arrival = F.struct(F.col("ts").alias("ts"), F.col("upd").alias("upd"), old.alias("kind"), F.lit(True).alias("_new"))
     expiry = F.struct(
-        (F.col("ts") + F.lit(length)).alias("ts"), (-F.col("upd")).alias("upd"), F.lit(1).alias("kind")
+        (F.col("ts") + F.lit(length)).alias("ts"), (-F.col("upd")).alias("upd"), (old + 1).alias("kind"), F.lit(False).alias("_new")
     )
-    rest = [c for c in stream.columns if c not in ("ts", "upd")]
+    rest = [c for c in stream.columns if c not in ("ts", "upd", "kind")]
     out = stream.select(*rest, F.inline(F.array(arrival, expiry)))
     if not flush:
         last = stream.agg(F.max("ts").alias("t")).scalar()
-        out = out.where((F.col("kind") == 0) | (F.col("ts") < last))
-    return out.select(*stream.columns, "kind")
+        out = out.where(F.col("_new") | (F.col("ts") < last))
+    return out.select(*[c for c in stream.columns if c != "kind"], "kind")
 
 
 def count_window(

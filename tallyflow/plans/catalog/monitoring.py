@@ -12,7 +12,7 @@ from tallyflow.plans.catalog.base import DAY, EV, PROJ, hashed_cte, query, seeds
 from tallyflow.plans.catalog.guarding import _BETA, _high, _low
 from tallyflow.session import cut_lineage, shared_folder
 from tallyflow.sources.views import SITES, event_updates, events_stream, table
-from tallyflow.streaming.feeds import drain_batches, drain_to_table, stream_files
+from tallyflow.streaming.feeds import drain_batches, drain_to_table, replay, stream_files
 from tallyflow.streaming.levels import level_changes
 from tallyflow.streaming.protocols import DriftPublisher, GuardedEstimate
 
@@ -230,7 +230,7 @@ _VALUE_LEVELS = """s AS (SELECT sid, seq, ts, key AS f, row_number() OVER (PARTI
 c AS (SELECT sid, n, f AS last FROM s WHERE n = 1 UNION ALL
       SELECT sid, n, f FROM (
         SELECT s.sid, s.n, s.f, row_number() OVER (PARTITION BY s.sid ORDER BY s.n) AS k
-        FROM c JOIN s ON s.sid = c.sid AND s.n > c.n AND s.n <= c.n + 400 AND abs(s.f - c.last) > 0.5 * abs(c.last) + 30) t WHERE k = 1)"""
+        FROM c JOIN s ON s.sid = c.sid AND s.n > c.n AND abs(s.f - c.last) > 0.5 * abs(c.last) + 30) t WHERE k = 1)"""
 _LEVEL_ROWS = "SELECT s.sid, s.ts, s.seq, CAST(s.f AS DOUBLE) AS level FROM c JOIN s ON s.sid = c.sid AND s.n = c.n WHERE s.n > 1"
 
 
@@ -246,21 +246,36 @@ def level_changed_values(spark, sf):
     return level_changed(events_stream(spark, sf).select("sid", "ts", "seq", "key"), "key", 0.5, 30.0)
 
 
+_LONG = 9 * DAY
+
+
+def _slowly(sql: str) -> str:
+    """SQL of the batch form with long slices."""
+    return sql.replace(f"// {_EVERY}", f"// {_LONG}")
+
+
+def _slices(spark, sf):
+    """The events as one micro-batch per long slice."""
+    return replay(events_stream(spark, sf).withColumn("slice", mn.time_slice_of(_LONG)), "slice")
+
+
 @query(
     "stream_drift_publish",
     with_(
         EV,
-        _HASHED,
-        "s AS (SELECT sid, d, b, sum(sg * upd) AS c FROM h GROUP BY sid, d, b)",
-        "r AS (SELECT sid, d, sum(c * c)::DOUBLE AS r FROM s GROUP BY sid, d)",
+        _slowly(_DRIFT_SQL),
+        """lst AS (SELECT sid, hid, max(slice) AS p, CAST(sum(updates) AS BIGINT) AS updates, count(*) AS n FROM log GROUP BY sid, hid),
+cells AS (SELECT lst.sid, cum.d, cum.b, sum(cum.c) AS c FROM lst JOIN cum ON cum.sid = lst.sid AND cum.hid = lst.hid
+        AND cum.slice = lst.p GROUP BY lst.sid, cum.d, cum.b),
+r AS (SELECT sid, d, sum(c * c)::DOUBLE AS r FROM cells GROUP BY sid, d)""",
         "SELECT sid, median(r) AS estimate FROM r GROUP BY sid",
     ),
 )
 def stream_drift_publish(spark, sf):
-    """Everything published after the available input; the first batch of a local stream is always published."""
+    """Estimates from all that was published over several micro-batches, some of them without publication."""
     folder = shared_folder(spark)
     site = DriftPublisher(spark, folder, PROJ, _THETA, SITES)
-    drain_batches(_feed(spark, sf), site.handle, folder)
+    drain_batches(_slices(spark, sf), site.handle, folder)
     return site.estimate()
 
 
@@ -268,20 +283,16 @@ def stream_drift_publish(spark, sf):
     "stream_monitor",
     with_(
         EV,
-        _HASHED,
-        "s AS (SELECT d, b, sum(sg * upd) AS c FROM h WHERE sid = 4 GROUP BY d, b)",
-        "r AS (SELECT d, sum(c * c)::DOUBLE AS r FROM s GROUP BY d)",
-        "m AS (SELECT median(r) AS estimate FROM r)",
-        f"""t AS (SELECT sum(k) AS updates, sum(least({4 * _CELLS}, 8 * k)) AS bytes FROM (SELECT hid, count(*) AS k FROM ev WHERE sid = 4 GROUP BY hid) z)""",
-        f"""SELECT CAST(0 AS BIGINT) AS batch, true AS reanchored, estimate, round({_low('estimate')}, 3) AS low, round({_high('estimate')}, 3) AS high,
-         CAST(updates AS BIGINT) AS updates, CAST(bytes AS BIGINT) AS bytes FROM m, t""",
+        _slowly(_guarded("any_site")),
+        """SELECT row_number() OVER (ORDER BY slice) - 1 AS batch, reanchored, estimate, round(low, 3) AS low, round(high, 3) AS high,
+         updates, bytes FROM rounds""",
     ),
 )
 def stream_monitor(spark, sf):
-    """Round log of the streaming monitor; the first batch sets the anchor."""
+    """Round log of the streaming monitor, one micro-batch per slice; the first one sets the anchor."""
     folder = shared_folder(spark)
-    guard = GuardedEstimate(spark, folder, _QUERY, PROJ, SITES, "any_site")
-    drain_batches(_feed(spark, sf), guard.handle, folder)
+    guard = GuardedEstimate(spark, folder, _QUERY, PROJ, SITES, "any_site", exact=False)
+    drain_batches(_slices(spark, sf), guard.handle, folder)
     rounds = guard.rounds.all().drop("v", "zeta_anchor", "zeta_min", "zeta_sum")
     return rounds.withColumns({c: F.round(c, 3) for c in ("low", "high")})
 

@@ -47,8 +47,18 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(root, f"tallyflow-{uuid.uuid4().hex}")
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared scratch space when the driver ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; survives lost executors."""
+    """Write ``df`` to the shared folder and read it back; survives lost executors.
+
+    The copy is deleted when the driver ends.
+    """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

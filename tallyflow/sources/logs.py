@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyflow.operators.segments import Segments, positions
 from tallyflow.schema import UPDATE_SCHEMA
 
 # Layout of one 20-byte web log record, big-endian.
@@ -119,18 +120,19 @@ def read_wifi_log(
     ``access_point``: sid by building (names starting with L are 0), hid = access
     point, key = shortRet, time from the 31-day-month clock.  ``parent``: hid =
     dense code of the parent name, sid = aid % 2, key = longRet, Unix time.
-    ``sites``/``streams`` reduce hid and sid modulo.  ``seq`` orders lines by
-    their text within a second, as lines carry no number.
+    ``sites``/``streams`` reduce hid and sid modulo.  ``seq`` numbers the lines,
+    which carry no number of their own: it is unique, ascends within each split of a
+    file, and is the same whenever the same files are read.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    numbered = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
+    lines = numbered.where(F.trim("value") != "")
     return wifi_updates(lines, layout, sites, streams)
 
 
 def wifi_updates(
     lines: DataFrame, layout: str = "access_point", sites: int | None = None, streams: int | None = None
 ) -> DataFrame:
-    if "seq" not in lines.columns:
-        lines = lines.withColumn("seq", F.abs(F.xxhash64("value")))
+    """Parsed lines ``value, seq`` as updates."""
     f = wifi_fields(lines)
     if layout == "access_point":
         sid = F.when(F.col("site").startswith("L"), 0).otherwise(1)
@@ -155,6 +157,7 @@ def wifi_updates(
 
 
 def parent_codes(fields: DataFrame) -> DataFrame:
-    """Dense 0-based code of each parent."""
-    listed = fields.agg(F.array_sort(F.collect_set("parent")).alias("p"))
-    return listed.select(F.posexplode("p").alias("code", "parent"))
+    """Dense 0-based code of each parent, in the order of names."""
+    names = fields.select("parent").distinct()
+    ranked = positions(names, "code", segments=Segments.fit(names, ["parent"]))
+    return ranked.select(F.col("code").cast("int").alias("code"), "parent")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyflow.session import shared_folder
+from tallyflow.session import delete_at_end, shared_folder
 
 
 def stream_files(
@@ -53,3 +53,17 @@ def drain_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], f
         .start()
     )
     query.awaitTermination()
+
+
+def replay(df: DataFrame, by: str) -> DataFrame:
+    """``df`` as a stream of one micro-batch per value of ``by``, in its order.
+
+    Each value is written to one file of a folder in the shared space, so this is for
+    replaying a few long intervals, not for many short ones.
+    """
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession)
+    for row in df.select(by).distinct().orderBy(by).collect():
+        df.where(F.col(by) == row[0]).drop(by).coalesce(1).write.mode("append").parquet(folder)
+    delete_at_end(spark, folder)
+    # Files are taken in the order of their times.
+    return spark.readStream.schema(df.drop(by).schema).option("maxFilesPerTrigger", 1).parquet(folder)

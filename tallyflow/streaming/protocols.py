@@ -77,9 +77,10 @@ class DriftPublisher:
         waiting = self.counts.at(batch_id - 1).where("not fired").select(*by, "updates")
         arrived = batch.groupBy(*by).agg(F.count(F.lit(1)).alias("updates"))
         pending = waiting.unionByName(arrived).groupBy(*by).agg(F.sum("updates").alias("updates"))
-        fired = (F.col("drift2") >= F.lit(self.limit) * F.col("total2")) & (F.col("drift2") > 0)
+        # As in batch: a local stream is looked at when it has new records, whatever they sum up to.
+        fired = (F.col("drift2") >= F.lit(self.limit) * F.col("total2")) & F.col("_new").isNotNull()
         counts = self.counts.write(
-            sizes.join(pending, by, "left").select(
+            sizes.join(pending, by, "left").join(arrived.select(*by, F.lit(True).alias("_new")), by, "left").select(
                 *by, F.coalesce("updates", F.lit(0)).alias("updates"), fired.alias("fired")
             ),
             batch_id,

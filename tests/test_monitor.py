@@ -75,9 +75,21 @@ def test_monitor_follows_its_rule(spark, rule):
         mn.monitor(frame(spark, ROWS), query, proj, sites, every, "never")
 
 
-def test_error_bound_must_exceed_sketch_error():
+def test_error_bound_must_exceed_sketch_error(spark):
     with pytest.raises(ValueError):
-        mn.GuardState(Projection(3, 10), 1, 0.5, 4)
+        mn.monitor(frame(spark, ROWS), JoinSizeQuery(1, beta=0.5), Projection(3, 10), 4, 40)
+
+
+def test_blocks_and_several_queries_in_one_pass(spark, monkeypatch):
+    queries = [JoinSizeQuery(0, beta=0.8), JoinSizeQuery(1, beta=0.8)]
+    args = (Projection(3, 60), 4, 25, "any_site")
+    want = mn.monitor_all(frame(spark, ROWS), queries, *args).orderBy("query", "slice").collect()
+    monkeypatch.setattr(mn, "BLOCK_SLICES", 3)
+    assert mn.monitor_all(frame(spark, ROWS), queries, *args).orderBy("query", "slice").collect() == want
+    for q in queries:
+        alone = mn.monitor(frame(spark, ROWS), q, *args).orderBy("slice").collect()
+        assert [tuple(r)[1:] for r in want if r["query"] == str(q)] == [tuple(r) for r in alone]
+    assert any(r["reanchored"] for r in want) and not all(r["reanchored"] for r in want)
 
 
 def test_message_sizes(spark):
