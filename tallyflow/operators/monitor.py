@@ -265,7 +265,11 @@ def monitor_all(
         anchors = cut_lineage(run.anchors(here, held, own_cells))
         checks = cut_lineage(run.checks(here, held, own_cells, anchors, betas))
         chain = cut_lineage(run.chain(here, checks))
-        rows.append(cut_lineage(run.rounds(chain, checks, anchors, betas, waiting, own_counts, moved)))
+        found = run.rounds(chain, checks, anchors, betas, waiting, own_counts, moved)
+        if block == last:
+            rows.append(found)
+            break
+        rows.append(cut_lineage(found))
         ends = chain.groupBy("q").agg(F.max_by("next", "t").alias("end"), F.count_if("fired").alias("n"))
         held, waiting, moved = run.advance(ends, held, own_cells, waiting, own_counts, moved)
     out = reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame([], ROUND_SCHEMA).withColumn("query", F.lit(""))
