@@ -14,7 +14,7 @@ from tallyflow.session import cut_lineage, shared_folder
 from tallyflow.sources.views import SITES, event_updates, events_stream, table
 from tallyflow.streaming.feeds import drain_batches, drain_to_table, replay, stream_files
 from tallyflow.streaming.levels import level_changes
-from tallyflow.streaming.protocols import DriftPublisher, GuardedEstimate
+from tallyflow.streaming.protocols import DriftPublisher, GuardedEstimate, StreamedJoinSize
 
 _THETA = 0.5
 _EVERY = 2 * DAY
@@ -352,6 +352,41 @@ def stream_monitor(spark, sf):
     return rounds.withColumns({c: F.round(c, 3) for c in ("low", "high")})
 
 
+def _values_sql(left: int, right: int) -> tuple[str, ...]:
+    """The query's exact and sketched value at the end of every long slice."""
+    side = lambda v, k: f"sum(CASE WHEN sid = {k} THEN {v} ELSE 0 END)"
+    return (
+        EV,
+        _HASHED,
+        f"sl AS (SELECT DISTINCT ts // {_LONG} AS slice FROM ev)",
+        f"""k AS (SELECT sl.slice, key, {side('upd', left)} AS x, {side('upd', right)} AS y FROM sl JOIN ev ON ev.ts // {_LONG} <= sl.slice GROUP BY sl.slice, key)""",
+        f"""c AS (SELECT sl.slice, d, b, {side('sg * upd', left)} AS x, {side('sg * upd', right)} AS y FROM sl JOIN h ON h.ts // {_LONG} <= sl.slice GROUP BY sl.slice, d, b)""",
+        "r AS (SELECT slice, d, sum(x * y)::DOUBLE AS r FROM c GROUP BY slice, d)",
+        "m AS (SELECT slice, median(r) AS estimate FROM r GROUP BY slice)",
+        """SELECT row_number() OVER (ORDER BY slice) - 1 AS batch, exact, estimate
+        FROM (SELECT slice, CAST(sum(x * y) AS DOUBLE) AS exact FROM k GROUP BY slice) JOIN m USING (slice)""",
+    )
+
+
+def _streamed(spark, sf, q):
+    folder = shared_folder(spark)
+    size = StreamedJoinSize(spark, folder, q, PROJ)
+    drain_batches(_slices(spark, sf), size.handle, folder)
+    return size.values.all().drop("v")
+
+
+@query("stream_selfjoin", with_(*_values_sql(4, 4)))
+def stream_selfjoin(spark, sf):
+    """Self-join size after every micro-batch, exact and sketched."""
+    return _streamed(spark, sf, JoinSizeQuery(4))
+
+
+@query("stream_join", with_(*_values_sql(0, 4)))
+def stream_join(spark, sf):
+    """Join size of two streams after every micro-batch, exact and sketched."""
+    return _streamed(spark, sf, JoinSizeQuery(0, 4))
+
+
 @query(
     "running_vs_anchored",
     with_(

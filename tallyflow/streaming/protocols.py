@@ -27,11 +27,12 @@ from tallyflow.operators.sketch import Projection, join_estimate, selfjoin_estim
 
 @dataclass
 class VersionedTable:
-    """One Parquet folder per batch id."""
+    """One Parquet folder per batch id; all of a log, else the last two (a replayed batch needs the one before)."""
 
     spark: SparkSession
     folder: str
     schema: str
+    log: bool = False
 
     def at(self, version: int) -> DataFrame:
         if version < 0:
@@ -40,6 +41,9 @@ class VersionedTable:
 
     def write(self, df: DataFrame, version: int) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.folder}/v={version}")
+        if not self.log:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v={version - 2}")
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
         return self.at(version)
 
     def all(self) -> DataFrame:
@@ -59,7 +63,7 @@ class DriftPublisher:
             spark, f"{folder}/state", "sid int, hid int, d int, b int, total bigint, drift bigint"
         )
         self.counts = VersionedTable(spark, f"{folder}/counts", "sid int, hid int, updates bigint, fired boolean")
-        self.log = VersionedTable(spark, f"{folder}/log", "sid int, hid int, d int, b int, c bigint")
+        self.log = VersionedTable(spark, f"{folder}/log", "sid int, hid int, d int, b int, c bigint", log=True)
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         by = ["sid", "hid"]
@@ -102,6 +106,41 @@ class DriftPublisher:
         return selfjoin_estimate(total, self.proj)
 
 
+def _operands(batch: DataFrame, query: JoinSizeQuery) -> DataFrame:
+    """The records of a query's streams, with their place in it."""
+    which = F.coalesce(*[F.when(F.col("sid") == s, F.lit(i)) for i, s in enumerate(query.operands)])
+    return batch.where(F.col("sid").isin(*query.operands)).withColumn("operand", which)
+
+
+class StreamedJoinSize:
+    """Exact and sketched value of a query after every micro-batch, from counts per key and per sketch cell."""
+
+    def __init__(self, spark: SparkSession, folder: str, query: JoinSizeQuery, proj: Projection):
+        self.query, self.proj = query, proj
+        self.counts = VersionedTable(spark, f"{folder}/counts", "operand int, key bigint, c bigint")
+        self.cells = VersionedTable(spark, f"{folder}/cells", "operand int, d int, b int, c bigint")
+        self.values = VersionedTable(spark, f"{folder}/values", "batch bigint, exact double, estimate double", log=True)
+
+    def handle(self, batch: DataFrame, batch_id: int) -> None:
+        mine = _operands(batch, self.query)
+        counts = self._grown(self.counts, mine.groupBy("operand", "key").agg(F.sum("upd").alias("c")), batch_id)
+        cells = self._grown(self.cells, sketch(mine, self.proj, ["operand"]), batch_id)
+        side = [F.sum(F.when(F.col("operand") == i, F.col("c")).otherwise(F.lit(0))).alias(f"c{i}") for i in (0, 1)]
+        other = "c0" if self.query.is_selfjoin else "c1"
+        product = wide_product(F.col("c0"), F.col(other))
+        exact = counts.groupBy("key").agg(*side).agg(F.coalesce(F.sum(product), F.lit(0)).cast("double").alias("exact"))
+        dots = cells.groupBy("d", "b").agg(*side).groupBy("d").agg(F.sum(product).cast("double").alias("dot"))
+        every = batch.sparkSession.range(self.proj.depth).select(F.col("id").cast("int").alias("d"))
+        lanes = every.join(dots, "d", "left").agg(F.median(F.coalesce("dot", F.lit(0.0))).alias("estimate"))
+        row = exact.crossJoin(lanes).select(F.lit(batch_id).cast("bigint").alias("batch"), "exact", "estimate")
+        self.values.write(row, batch_id)
+
+    def _grown(self, table: VersionedTable, new: DataFrame, batch_id: int) -> DataFrame:
+        both = table.at(batch_id - 1).unionByName(new)
+        keys = [c for c in new.columns if c != "c"]
+        return table.write(both.groupBy(*keys).agg(F.sum("c").alias("c")).where("c <> 0"), batch_id)
+
+
 _ROUND = (
     "batch bigint, reanchored boolean, estimate double, low double, high double, zeta_anchor double, "
     "zeta_min double, zeta_sum double, updates bigint, bytes bigint"
@@ -133,12 +172,7 @@ class GuardedEstimate:
         self.anchor = VersionedTable(spark, f"{folder}/anchor", "operand int, d int, b int, c bigint")
         self.drift = VersionedTable(spark, f"{folder}/drift", "hid int, operand int, d int, b int, c bigint")
         self.pending = VersionedTable(spark, f"{folder}/pending", "hid int, updates bigint")
-        self.rounds = VersionedTable(spark, f"{folder}/rounds", _ROUND)
-
-    def _operands(self, batch: DataFrame) -> DataFrame:
-        sids = self.query.operands
-        which = F.coalesce(*[F.when(F.col("sid") == s, F.lit(i)) for i, s in enumerate(sids)])
-        return batch.where(F.col("sid").isin(*sids)).withColumn("operand", which)
+        self.rounds = VersionedTable(spark, f"{folder}/rounds", _ROUND, log=True)
 
     def _estimate(self, anchor: DataFrame) -> float:
         if self.query.is_selfjoin:
@@ -150,7 +184,7 @@ class GuardedEstimate:
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         spark, cells = batch.sparkSession, ["hid", "operand", "d", "b"]
-        mine = self._operands(batch)
+        mine = _operands(batch, self.query)
         new = sketch(mine, self.proj, ["hid", "operand"])
         drift = self.drift.at(batch_id - 1).unionByName(new.select(*cells, "c"))
         drift = self.drift.write(drift.groupBy(*cells).agg(F.sum("c").alias("c")), batch_id)
