@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyflow.session import shared_folder
+from tallyflow.session import delete_at_end, shared_folder
 
 
 class Scratch:
@@ -12,10 +12,15 @@ class Scratch:
 
     ``keep`` cuts the lineage: what is read back does not depend on the executors
     that computed it.  The shuffle files behind it are deleted at once, as nothing
-    needs them any more.  ``drop`` deletes a table that nothing reads any more.
+    needs them any more, and Python workers get their rows in batches of bounded size.
+    ``drop`` deletes a table that nothing reads any more; the rest goes when the driver ends.
     """
 
-    _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    #: Session settings while a table is written.
+    _SETTINGS = {
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    }
 
     def __init__(self, spark: SparkSession) -> None:
         self._spark = spark
@@ -25,15 +30,17 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self._written += 1
         path = f"{self._root}/{name}-{self._written}"
-        before = self._spark.conf.get(self._CLEANUP, None)
-        self._spark.conf.set(self._CLEANUP, "true")
+        conf = self._spark.conf
+        before = {k: conf.get(k, None) for k in self._SETTINGS}
         try:
+            for k, v in self._SETTINGS.items():
+                conf.set(k, v)
             df.write.parquet(path)
         finally:
-            if before is None:
-                self._spark.conf.unset(self._CLEANUP)
-            else:
-                self._spark.conf.set(self._CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
+        if self._written == 1:
+            delete_at_end(self._spark, self._root)
         table = self._spark.read.schema(df.schema).parquet(path)
         table.__dict__["_scratch_path"] = path
         return table
