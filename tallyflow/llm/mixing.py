@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyflow.llm.scratch import Scratch
@@ -73,19 +73,22 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], scratch: Scratch, r
     """``cells`` with ``weight``: as tokens, scaled to the target shares of every margin in turn.
 
     A value without target has weight 0.  Targets that no cell can meet leave the
-    margins as near as ``rounds`` rounds bring them.
+    margins as near as ``rounds`` rounds bring them.  A margin's sums are taken over the
+    cells of one value, as many as the other margins have combinations.
     """
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for margin, target in targets.items():
+        now = now.join(target.withColumnRenamed("share", f"_to_{margin}"), margin, "left")
+    now = scratch.keep(now, "raked")
     for _ in range(rounds):
-        for margin, target in targets.items():
-            sums = now.groupBy(margin).agg(F.sum("weight").alias("sum")).join(target, margin).filter("sum > 0")
-            factor = sums.select(margin, (F.col("share") / F.col("sum")).alias("factor"))
-            now = now.join(factor, margin, "left").withColumn(
-                "weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))
-            )
-            now = now.drop("factor")
+        before = now
+        for margin in targets:
+            total = F.sum("weight").over(Window.partitionBy(margin))
+            scaled = F.when(total > 0, F.col("weight") * F.col(f"_to_{margin}") / total)
+            now = now.withColumn("weight", F.coalesce(scaled, F.lit(0.0)))
         now = scratch.keep(now, "raked")
-    return now
+        scratch.drop(before)
+    return now.drop(*[f"_to_{margin}" for margin in targets])
 
 
 def calibrate(raked: DataFrame, fraction: float) -> DataFrame:
