@@ -53,6 +53,21 @@ def test_near_copies(stages):
     assert {r.doc_id for r in after.collect()} == {d for d, (n, c) in groups.items() if d == c}
 
 
+def test_near_copies_from_80_percent_on(spark, data, stages):
+    before, _ = stages[2]
+    rows = [(r.doc_id, r.text) for r in before.collect()]
+    top = max(d for d, _ in rows)
+    # 100 words have 96 shingles; n words in a row replaced at the end leave 96 - n: 86/106 = 0.81 and 84/108 = 0.78.
+    for k, n in ((1, 10), (3, 12)):
+        text = [f"edited{k}x{i}" for i in range(100)]
+        rows += [(top + k, " ".join(text)), (top + k + 1, " ".join(text[: 100 - n] + [f"other{k}x{i}" for i in range(n)]))]
+    docs = spark.createDataFrame([(d, t, "en", "web", 1) for d, t in rows], before.schema)
+    got = {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs, data).collect()}
+    groups = near_components(rows, percent=80)
+    assert got == {d for d, (n, c) in groups.items() if d == c}
+    assert top + 2 not in got and {top + 1, top + 3, top + 4} <= got
+
+
 def test_mixing(stages):
     before, after = stages[3]
     want = {r.doc_id for r in mixing.mix(before).collect() if r.sampled}
