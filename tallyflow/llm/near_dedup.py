@@ -323,8 +323,8 @@ def near_groups(docs: DataFrame, s: Similarity = Similarity()) -> DataFrame:  #
         .groupBy("s1", "s2")
         .agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("signature").alias("signature"))
     )
-    # Ids follow the rows of fixed files, so they stay the same however often they are read.
-    classes = scratch.keep(grouped, "classes").withColumn("cid", F.monotonically_increasing_id())
+    # Ids depend on how rows are dealt to tasks, so they are written with the classes.
+    classes = scratch.keep(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     roots = link_classes(docs, classes, s, scratch)
     named = classes.select("cid", "s1", "s2", "doc_id").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     linked = named.filter("root is not null")

@@ -77,3 +77,26 @@ def test_pruning_bounds():
     bounds = least_matches(Similarity())
     assert [n for n, _ in bounds] == [25, 50, 75, 100, 125]
     assert all(0 < m < 0.85 * n for n, m in bounds) and bounds[-1][1] > 0.6 * 125
+
+
+def test_class_ids_do_not_follow_the_splits_of_files(spark, monkeypatch):
+    """Files are cut otherwise in every job, as when executors come and go."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(0, 200, 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    keep, kept = Scratch.keep, []
+
+    def cut_otherwise(self, df, name):
+        kept.append(name)
+        spark.conf.set("spark.sql.files.minPartitionNum", str(1 + 3 * len(kept)))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Scratch, "keep", cut_otherwise)
+    try:
+        got = _got(near_groups(docs))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == near_components(rows) and {c for _, c in got.values()} == {0}
