@@ -3,7 +3,9 @@
 A document's histograms of character classes and of common words are compared with
 those of its language by Jensen-Shannon distance (the square root of the divergence in
 bits, from 0 to 1).  The references are summed over all documents that pass the base
-rules.  Short documents have noisy histograms, so a comparison needs a minimum length.
+rules.  Every value of ``lang`` has its own class reference; common words are compared in
+the languages that have a list of them.  Short documents have noisy histograms, so a
+comparison needs a minimum length.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from tallyflow.llm.docstats import CLASS_NAMES, statistics
 from tallyflow.llm.scratch import Scratch
 from tallyflow.llm.textscan import slices
 
-#: Reference of documents in another language, or in none.
+#: Reference of documents in no language, or in one with too little text.
 ANY = "*"
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -48,6 +50,8 @@ class Rules:
     #: Base rules: fewest words, and highest percentage of words in repeated windows.
     base_words: int = 10
     base_repeat_percent: int = 20
+    #: Fewest words that make a class reference of a language without a word list.
+    reference_words: int = 1000
 
 
 def _list(rows: np.ndarray) -> pa.Array:
@@ -74,18 +78,29 @@ def document_counts(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # no
                     names=["doc_id", "lang", *BASE, "base_failed", "classes", "commons"],
                 )
 
-    lang = F.when(F.col("lang").isin(sorted(COMMON_WORDS)), F.col("lang")).otherwise(ANY)
-    return docs.select(F.col("doc_id").cast("bigint"), lang.alias("lang"), F.col("text").cast("string")).mapInArrow(
-        run, STATS
-    )
+    return docs.select(
+        F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string")
+    ).mapInArrow(run, STATS)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def class_references(counts: DataFrame, rules: Rules) -> DataFrame:
+    """``ref_lang, reference``: summed class histogram of every language with enough text."""
+    sums = [F.sum(F.col("classes")[i]) for i in range(len(CLASS_NAMES))]
+    summed = (
+        counts.filter(~F.col("base_failed") & F.col("lang").isNotNull())
+        .groupBy(F.col("lang").alias("ref_lang"))
+        .agg(F.array(*sums).alias("reference"), F.sum("n_words").alias("words"))
+    )
+    enough = (F.col("words") >= rules.reference_words) | F.col("ref_lang").isin(sorted(COMMON_WORDS))
+    return summed.filter(enough).select("ref_lang", "reference")
+
+
 def references(counts: DataFrame) -> dict[str, np.ndarray]:
-    """Summed histograms by language: the listed languages and ``ANY``, so at most five rows reach the driver."""
+    """Summed histograms of the listed languages and of all texts (``ANY``), so at most five rows reach the driver."""
     width = len(CLASS_NAMES) + len(common_hashes()) + 1
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +118,7 @@ def references(counts: DataFrame) -> dict[str, np.ndarray]:
 
     rows = (
         counts.filter(~F.col("base_failed"))
-        .select("lang", "classes", "commons")
+        .select(F.when(F.col("lang").isin(sorted(COMMON_WORDS)), F.col("lang")).otherwise(ANY).alias("lang"), "classes", "commons")
         .mapInArrow(partial, "lang string, sums array<bigint>")
         .select("lang", F.posexplode("sums").alias("at", "n"))
         .groupBy("lang", "at")
@@ -132,7 +147,12 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(empty, 0.0, np.sqrt(np.clip(gap, 0, 1)))
 
 
-def judge(counts: DataFrame, refs: dict[str, np.ndarray], rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+def judge(
+    counts: DataFrame,
+    classes: DataFrame,
+    refs: dict[str, np.ndarray],
+    rules: Rules = Rules(),  # noqa: B008
+) -> DataFrame:
     """Distances and verdict of every row of ``document_counts``."""
     split = len(CLASS_NAMES)
 
@@ -140,9 +160,13 @@ def judge(counts: DataFrame, refs: dict[str, np.ndarray], rules: Rules = Rules()
         width = len(common_hashes()) + 1
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            wanted = np.array([refs.get(x, refs[ANY]) for x in langs]).reshape(len(langs), -1)
-            by_class = jensen_shannon(_matrix(batch.column("classes"), split), wanted[:, :split])
-            by_word = jensen_shannon(_matrix(batch.column("commons"), width), wanted[:, split:])
+            reference = batch.column("reference")
+            wanted = np.tile(refs[ANY][:split], (len(langs), 1))
+            wanted[reference.is_valid().to_numpy(zero_copy_only=False)] = _matrix(reference, split)
+            by_class = jensen_shannon(_matrix(batch.column("classes"), split), wanted)
+            none = np.zeros(width)
+            spoken = [refs.get(x, refs[ANY])[split:] if x in COMMON_WORDS else none for x in langs]
+            by_word = jensen_shannon(_matrix(batch.column("commons"), width), np.array(spoken).reshape(-1, width))
             n = batch.column("n_words").to_numpy(zero_copy_only=False)
             failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
             odd = (n >= rules.class_words) & (by_class > rules.class_distance)
@@ -153,16 +177,21 @@ def judge(counts: DataFrame, refs: dict[str, np.ndarray], rules: Rules = Rules()
                 names=["doc_id", *BASE, "base_failed", "class_distance", "word_distance", "kept"],
             )
 
-    return counts.mapInArrow(run, VERDICTS)
+    joined = counts.join(classes, F.col("lang") == F.col("ref_lang"), "left").drop("ref_lang")
+    return joined.mapInArrow(run, VERDICTS)
 
 
 def score_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """Base counts, distances and ``kept`` of every row of ``docs`` (``doc_id, lang, text``).
 
-    A null or empty text has no words and fails the base rules.  A null or unlisted
-    language is compared with the sum of all references.  Repeated rows and null doc_ids
+    A null or empty text has no words and fails the base rules.  The classes of a null
+    language, or of one without a word list and with fewer than ``reference_words`` words,
+    are compared with those of all documents; without a word list the word distance is 0.
+    Languages are values of ``lang`` as they stand.  Repeated rows and null doc_ids
     are judged as they stand; other columns are ignored; without any document that passes
     the base rules there is nothing to compare with and the distances are 0.
     """
-    counts = Scratch(docs.sparkSession).keep(document_counts(docs, rules), "counts")
-    return judge(counts, references(counts), rules)
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.keep(document_counts(docs, rules), "counts")
+    classes = scratch.keep(class_references(counts, rules), "classes")
+    return judge(counts, classes, references(counts), rules)

@@ -62,6 +62,32 @@ def test_rule_edge_rows(spark):
     assert score_quality(docs.limit(0)).count() == 0
 
 
+def test_every_language_has_its_own_reference(spark):
+    """Clean texts in other scripts and in other spellings of a code stand beside many English ones."""
+    rng = random.Random(8)
+
+    def texts(n, vocabulary, size):
+        return [" ".join(rng.choice(vocabulary) for _ in range(size)) for _ in range(n)]
+
+    def made(letters):
+        return ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+
+    english = COMMON_WORDS["en"].split() + ["tree", "house", "sky"]
+    rows = [(t, "en") for t in texts(60, english, 300)]
+    rows += [(t, "ru") for t in texts(8, made("абвгдежзийклмнопрст"), 300)]
+    rows += [(t, "el") for t in texts(8, made("αβγδεζηθικλμνξοπρστ"), 300)]
+    rows += [(t, "zh") for t in texts(8, made("的一是不了人我在有他这中大来上"), 300)]
+    rows += [(t, "EN-us") for t in texts(8, english, 300)]
+    clean = len(rows)
+    rows += [("#$ %& <> ** || ## " * 4 + " ".join(f"{i}{rng.randrange(10**6)}" for i in range(200)), "ru")]
+    rows += [(texts(1, made("абвгдежзий"), 300)[0], None), (texts(1, made("абвгдежзий"), 300)[0], "bg")]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in score_quality(docs).collect()}
+    assert len(got) == len(rows) and all(got[k].kept for k in range(clean))
+    assert not any(got[k].kept for k in range(clean, len(rows)))
+    assert all((r.word_distance > 0) == (rows[k][1] == "en") for k, r in got.items())
+
+
 def test_classifier_on_held_out_labels(spark, data):
     docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
     labels = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/labels.parquet")
