@@ -1,7 +1,7 @@
 """License scans by canonical digests.
 
-A text is brought to a canonical form (lower case, no copyright lines, no punctuation,
-one spelling of words that have several) and its digest is joined to the digests of
+A text is brought to a canonical form (lower case, no copyright statements, no
+punctuation, one spelling of words that have several) and its digest is joined to the digests of
 known licences, treated the same way.  Single lines are compared with known notices in
 the same manner.  Only DataFrame functions are used.
 """
@@ -36,8 +36,35 @@ SPELLINGS = {
     "percent": ["per cent"],
     "http": ["https"],
 }
+#: Comment and list marks before a line.
+_MARKS = r"[ \t]*(?:(?:[#*/;%!>|•-]+|<!--|[0-9]{1,2}[.)])[ \t]*)*"
+#: Between two words of a commented text.
+_GAP = r"[\s#*/;%!>|•-]*"
+
+
+def _signed(gap: str) -> str:
+    """The sign, a year or a placeholder makes a statement of a holder."""
+    named = r"(?:[0-9]{4}|[<\[{])"
+    return rf"(?:copyright[:,]?{gap}(?:\(c\)|©|{named})|\(c\){gap}(?:copyright|{named})|©)"
+
+
+#: Words that follow "copyright" or a list's "(c)" inside a licence, never a holder's name.
+_BODY = (
+    r"(?:notices?|holders?|owners?|laws?|acts?|licen[cs]\w*|statements?|protect\w*|interests?|claims?|information"
+    r"|and|or|in|on|to|of|for|from|is|are|as|that|which|with|if|you|your|a(?!\.)|an|any|all|no|each|every|such|this"
+    r"|must|may|shall|it|when|where|use|cause|give|include|retain|redistribut\w*|modif\w*)\b"
+)
+#: Words with which a licence goes on behind a holder's name.
+_OPENING = (
+    rf"(?:permission{_GAP}(?:is{_GAP}hereby|to{_GAP}use)|redistribution{_GAP}and{_GAP}use"
+    rf"|this{_GAP}software{_GAP}is{_GAP}provided|everyone{_GAP}is{_GAP}permitted)"
+)
+#: Words of a title.
+_TITLE = r"(?:licen[cs]e|attribution)\b"
+#: A statement up to the licence's opening, however the text is wrapped; a title between the two ends it.
+COPYRIGHT_STATEMENT = rf"(?s){_signed(_GAP)}(?:(?!{_TITLE}|{_OPENING}).){{0,300}}(?={_OPENING})"
 #: A line that names a copyright holder, in lower case.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
+COPYRIGHT_LINE = rf"(?m)^{_MARKS}(?:{_signed('[ \\t]*')}|(?:copyright[:,]?|\(c\))[ \t]+(?!{_BODY})(?=\S))[^\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 #: A line without any of these is no known notice.
 NOTICE_WORDS = "licen|rights|public domain"
@@ -47,7 +74,8 @@ BROADCAST_KNOWN = 20_000
 
 def canonical(text: Column) -> Column:
     """The canonical form; null gives an empty one."""
-    x = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
+    x = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_STATEMENT, " ")
+    x = F.regexp_replace(x, COPYRIGHT_LINE, "")
     x = F.trim(F.regexp_replace(x, PUNCTUATION, " "))
     pairs = [(old, new) for new, olds in SPELLINGS.items() for old in olds]
     return reduce(lambda y, p: F.replace(y, F.lit(p[0]), F.lit(p[1])), pairs, x)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from tallyflow.llm.known_licenses import LICENSES, NOTICES
-from tallyflow.llm.license_scan import COPYRIGHT_LINE, NOTICE_WORDS, PUNCTUATION, SPELLINGS
+from tallyflow.llm.license_scan import NOTICE_WORDS, PUNCTUATION, SPELLINGS
 from tallyflow.llm.mixing import FRACTION, MARGINS, NONE, ROUNDS, SEED, TEMPER
 
+#: The SQL's own rule: unlike the query's, it takes every line that begins so, also one of a licence's body.
+COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
+
 
 def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"

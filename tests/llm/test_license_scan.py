@@ -1,3 +1,5 @@
+import textwrap
+
 from pyspark.sql import functions as F
 
 from tallyflow.llm.known_licenses import LICENSES, NOTICES
@@ -26,6 +28,29 @@ def test_spellings_and_copyright_lines(spark):
         assert a == b
 
 
+def test_known_texts_are_found_at_any_width(spark):
+    rows = []
+    for name, text in sorted(LICENSES.items()):
+        paragraphs = text.split("\n\n")
+        for width in (20, 33, 47, 60, 79, 120, 100_000):
+            wrapped = "\n\n".join(textwrap.fill(x, width, break_long_words=False) for x in paragraphs)
+            whole = textwrap.fill(text, width, break_long_words=False)
+            rows += [(name, wrapped), (name, whole), (name, textwrap.indent(wrapped, " * ")), (name, textwrap.indent(whole, "# "))]
+            if "(without title)" in name or "BSD" in name and "title" not in name or name == "0BSD":
+                rows += [(name, textwrap.fill(f"Copyright (c) 2020 John Doe. All rights reserved. {text}", width))]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    got = {r.doc_id: r.license for r in scan_licenses(docs).collect()}
+    assert [(k, name) for k, (name, _) in enumerate(rows) if got[k] != name] == []
+
+
+def test_only_lines_that_name_a_holder_go(spark):
+    gone = ["# Copyright (c) 2020 A", " * © 2021 B", "// copyright 1999 C", "Copyright The Authors", "(c) D", "Copyright [yyyy] E"]
+    kept = ["copyright notice and", "# copyright holders be liable", "(c) You must retain", "copyright", "copyright law applies"]
+    frame = spark.createDataFrame([(x,) for x in gone + kept], "a string").select("a", canonical(F.col("a")).alias("c"))
+    got = {r.a: r.c for r in frame.collect()}
+    assert all(got[x] == "" for x in gone) and all(got[x] for x in kept)
+
+
 def test_edge_rows(spark):
     mit = LICENSES["MIT"]
     rows = [(None, 1), ("", 2), ("...\ncopyright me", 3), (mit, None), (mit, 4), (mit, 4), (mit + " more", 5)]
