@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.llm import (
+    brown_lm,
     license_scan,
     line_dedup,
     mixing,
@@ -19,6 +20,7 @@ from tallyflow.llm import (
     suffix_dedup,
     token_counts,
     topk,
+    whitening,
 )
 from tallyflow.llm.native_sql import license_sql, mixing_sql
 from tallyflow.llm.scratch import Scratch
@@ -139,3 +141,16 @@ WHERE rank <= 5"""
 @_query("op8_exact_topk", _TOP_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+@_query("op11_lm_scoring")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    model = brown_lm.train(docs, F.coalesce(~held_out, F.lit(True)))
+    return brown_lm.score_texts(docs, F.coalesce(held_out, F.lit(False)).alias("held_out"), model)
+
+
+@_query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
