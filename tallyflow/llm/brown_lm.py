@@ -267,7 +267,7 @@ def best_moves(n: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarr
 
     ``left`` and ``right`` count the classes before and behind each word, ``own`` is its class.
     """
-    rows, total, size = np.arange(len(own)), right.sum(axis=1), len(n)
+    rows, size = np.arange(len(own)), len(n)
     one = np.arange(classes)
 
     def without(matrix: np.ndarray, along: np.ndarray, across: np.ndarray) -> np.ndarray:
@@ -280,13 +280,13 @@ def best_moves(n: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarr
     def joined(base: np.ndarray, more: np.ndarray) -> np.ndarray:
         return (_xlogx(base + more[:, None, :]) - _xlogx(base)).sum(axis=2)
 
-    def marginal(counts: np.ndarray) -> np.ndarray:
+    def marginal(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
         base = np.repeat(counts[None, :size], len(own), axis=0)
         base[rows, own] = np.maximum(base[rows, own] - total, 0)
         return (_xlogx(base + total[:, None]) - _xlogx(base))[:, :classes]
 
     by_row, by_column = without(n, right, left), without(n.T, left, right)
-    gain = joined(by_row, right) + joined(by_column, left) - marginal(n.sum(axis=1)) - marginal(n.sum(axis=0))
+    gain = joined(by_row, right) + joined(by_column, left) - marginal(n.sum(axis=1), right.sum(axis=1)) - marginal(n.sum(axis=0), left.sum(axis=1))
     # The cell of a class with itself gets both sides at once.
     cell, behind, ahead = by_row[:, one, one], right[:, :classes], left[:, :classes]
     gain += _xlogx(cell + behind + ahead) - _xlogx(cell + behind) - _xlogx(cell + ahead) + _xlogx(cell)
