@@ -17,6 +17,7 @@ from tallyflow.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    spelling,
     suffix_dedup,
     token_counts,
     topk,
@@ -151,6 +152,50 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score_texts(docs, F.coalesce(held_out, F.lit(False)).alias("held_out"), model)
 
 
+_SPELLING_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]{7,}')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+hashed AS (
+  SELECT run, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 | (unicode(c) >> 6), 128 | (unicode(c) & 63)] END))),
+    lambda c, b: xor(c >> 8, t.t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM runs, t),
+w AS (
+  SELECT word, count(*) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, CAST(h % length(run) AS INT)) || substring(run, CAST(h % length(run) AS INT) + 2)
+                    ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+v AS (
+  SELECT word, n, cut, CASE WHEN cut < 1 THEN word ELSE substring(word, 1, cut - 1) || substring(word, cut + 1) END AS v
+  FROM (SELECT word, n, unnest(range(0, length(word) + 1)) AS cut FROM w)),
+near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n
+  FROM v a JOIN v b ON a.v = b.v AND a.word <> b.word AND (a.cut = b.cut OR a.cut = 0 OR b.cut = 0)),
+best AS (
+  SELECT word, n, other, other_n, count(*) OVER (PARTITION BY word) AS n_near,
+         row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS rank
+  FROM near),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+         CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM w LEFT JOIN (SELECT * FROM best WHERE rank = 1) b ON w.word = b.word),
+r AS (
+  SELECT word, form, word AS root, form AS further FROM f
+  UNION ALL
+  SELECT r.word, r.form, f.word, f.form FROM r JOIN f ON r.further = f.word)
+SELECT f.word, f.form, r.root, CAST(f.n AS BIGINT) AS n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM f JOIN r ON f.word = r.word WHERE r.further IS NULL"""
+
+
+@_query("op12_spelling_variants", _SPELLING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_documents(spark, sf_dir))
+
+
 @_query("op13_embedding_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
