@@ -36,7 +36,7 @@ LONGEST = 64
 #: Shapes of words: with a digit, ending in a symbol, else four lengths in ASCII and in other scripts.
 SHAPES = 10
 #: Entries that a task collects before it hands partial counts on.
-_HELD = 1 << 20
+_HELD = 1 << 18
 
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
@@ -262,36 +262,46 @@ def likelihood(transitions: np.ndarray) -> float:
     return float(_xlogx(transitions).sum() - _xlogx(transitions.sum(axis=0)).sum() - _xlogx(transitions.sum(axis=1)).sum())
 
 
-def best_moves(n: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+def best_moves(
+    n: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, classes: int, candidates: int = 8
+) -> tuple[np.ndarray, np.ndarray]:
     """The best class of each word and what moving there gains, the other words staying.
 
-    ``left`` and ``right`` count the classes before and behind each word, ``own`` is its class.
+    ``left`` and ``right`` count the classes before and behind each word, ``own`` is its class.  Gains are
+    exact; they are computed for the classes whose words have the likest neighbours.
     """
-    rows, size = np.arange(len(own)), len(n)
-    one = np.arange(classes)
+    rows = np.arange(len(own))[:, None]
+    alike = right @ np.log(n[:classes].T + 1) + left @ np.log(n[:, :classes] + 1)
+    alike -= right.sum(axis=1)[:, None] * np.log(n.sum(axis=1)[:classes] + 1) + left.sum(axis=1)[:, None] * np.log(n.sum(axis=0)[:classes] + 1)
+    alike[rows[:, 0], own] = np.inf
+    most = min(candidates + 1, classes)
+    tried = np.argpartition(-alike, most - 1, axis=1)[:, :most]
+    # The own class comes first.
+    tried = np.take_along_axis(tried, np.argsort(tried != own[:, None], axis=1, kind="stable"), axis=1)
 
     def without(matrix: np.ndarray, along: np.ndarray, across: np.ndarray) -> np.ndarray:
-        """Rows of ``matrix`` for every word once its own counts are taken out."""
-        out = np.repeat(matrix[None, :classes], len(own), axis=0)
-        out[rows, own] -= along
-        out[rows, :, own] -= across[:, :classes]
+        """The rows tried for every word once its own counts are taken out."""
+        out = matrix[tried]
+        out[:, 0] -= along
+        out[rows[:, 0], :, own] -= across[rows, tried]
         return np.maximum(out, 0)
 
     def joined(base: np.ndarray, more: np.ndarray) -> np.ndarray:
         return (_xlogx(base + more[:, None, :]) - _xlogx(base)).sum(axis=2)
 
     def marginal(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
-        base = np.repeat(counts[None, :size], len(own), axis=0)
-        base[rows, own] = np.maximum(base[rows, own] - total, 0)
-        return (_xlogx(base + total[:, None]) - _xlogx(base))[:, :classes]
+        base = counts[tried]
+        base[:, 0] = np.maximum(base[:, 0] - total, 0)
+        return _xlogx(base + total[:, None]) - _xlogx(base)
 
     by_row, by_column = without(n, right, left), without(n.T, left, right)
-    gain = joined(by_row, right) + joined(by_column, left) - marginal(n.sum(axis=1), right.sum(axis=1)) - marginal(n.sum(axis=0), left.sum(axis=1))
+    gain = joined(by_row, right) + joined(by_column, left)
+    gain -= marginal(n.sum(axis=1), right.sum(axis=1)) + marginal(n.sum(axis=0), left.sum(axis=1))
     # The cell of a class with itself gets both sides at once.
-    cell, behind, ahead = by_row[:, one, one], right[:, :classes], left[:, :classes]
+    cell, behind, ahead = np.take_along_axis(by_row, tried[:, :, None], axis=2)[:, :, 0], right[rows, tried], left[rows, tried]
     gain += _xlogx(cell + behind + ahead) - _xlogx(cell + behind) - _xlogx(cell + ahead) + _xlogx(cell)
     best = gain.argmax(axis=1)
-    return best, gain[rows, best] - gain[rows, own]
+    return tried[rows[:, 0], best], gain[rows[:, 0], best] - gain[:, 0]
 
 
 def _propose(table: DataFrame, token_class: np.ndarray, n: np.ndarray, frequent: int, classes: int, chosen: np.ndarray) -> np.ndarray:
@@ -302,8 +312,8 @@ def _propose(table: DataFrame, token_class: np.ndarray, n: np.ndarray, frequent:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, matrix, moving = shared.value
         for whole in batches:
-            for start in range(0, len(whole), 256):
-                w, row, place, count = _flat(whole.slice(start, 256))
+            for start in range(0, len(whole), 1024):
+                w, row, place, count = _flat(whole.slice(start, 1024))
                 mine = w < frequent
                 mine[mine] = moving[w[mine]]
                 if not mine.any():
@@ -362,7 +372,9 @@ def train(docs: DataFrame, training: Column, settings: Settings = Settings()) ->
     for r in rare:
         shape_tokens[r["shape"]], shape_words[r["shape"]] = r["n"], r["v"]
     table = scratch.keep(contexts(count_bigrams(learn, words)), "contexts")
-    token_class, transitions, likelihoods = exchange(table, len(words), settings)
+    # A row of contexts may be long, so batches are bounded by bytes.
+    with scratch.bounded():
+        token_class, transitions, likelihoods = exchange(table, len(words), settings)
     scratch.drop(table)
     return BrownModel(
         settings, counts, tokens, int(whole.v), int(whole.ends or 0), words, top.column("n").to_numpy(),

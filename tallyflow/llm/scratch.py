@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyflow.session import delete_at_end, shared_folder
@@ -27,18 +30,24 @@ class Scratch:
         self._root = shared_folder(spark)
         self._written = 0
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self._written += 1
-        path = f"{self._root}/{name}-{self._written}"
+    @contextmanager
+    def bounded(self) -> Iterator[None]:
+        """The settings hold for what runs inside."""
         conf = self._spark.conf
         before = {k: conf.get(k, None) for k in self._SETTINGS}
         try:
             for k, v in self._SETTINGS.items():
                 conf.set(k, v)
-            df.write.parquet(path)
+            yield
         finally:
             for k, v in before.items():
                 conf.unset(k) if v is None else conf.set(k, v)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self._written += 1
+        path = f"{self._root}/{name}-{self._written}"
+        with self.bounded():
+            df.write.parquet(path)
         if self._written == 1:
             delete_at_end(self._spark, self._root)
         table = self._spark.read.schema(df.schema).parquet(path)
