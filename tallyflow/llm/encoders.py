@@ -14,12 +14,25 @@ BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 
 #: A text longer than this is encoded in parts.
 PART_CHARS = 1 << 18
+#: A run of white space longer than this is not shown to the pattern, whose look-ahead tries
+#: every shorter run too and gives up on very long ones.
+LONG_BLANKS = 1 << 14
+
+#: Fixed value: white space as the pattern knows it (the Unicode property).
+_WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 
 #: A lone blank between two other characters: the split pattern always starts a new piece
 #: there, whatever stands before, so the ids of both sides do not depend on each other.
 _SAFE_CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
 
 
+def long_runs(text: str) -> list[tuple[int, int]]:
+    """Starts and ends of the runs of more than ``LONG_BLANKS`` white-space characters."""
+    if len(text) <= LONG_BLANKS:
+        return []
+    return [m.span() for m in _WHITE.finditer(text) if m.end() - m.start() > LONG_BLANKS]
+
+
 def _byte_of_symbol() -> dict[str, int]:
     """Byte-level vocabularies show printable bytes as themselves and the others from U+0100 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -73,7 +86,7 @@ def byte_bpe_encoder(path: str) -> Callable[[str], np.ndarray]:
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
-    def encode(text: str) -> np.ndarray:
+    def of_span(text: str) -> list[np.ndarray]:
         parts, start = [], 0
         while len(text) - start > PART_CHARS:
             cut = _SAFE_CUT.search(text, start + PART_CHARS)
@@ -81,7 +94,19 @@ def byte_bpe_encoder(path: str) -> Callable[[str], np.ndarray]:
                 break
             parts.append(fast.encode_to_numpy(text[start : cut.start()], allowed_special="all"))
             start = cut.start()
-        parts.append(fast.encode_to_numpy(text[start:], allowed_special="all"))
+        return [*parts, fast.encode_to_numpy(text[start:], allowed_special="all")]
+
+    def encode(text: str) -> np.ndarray:
+        parts, start = [], 0
+        for begin, end in long_runs(text):
+            # The pattern makes one piece of the run; before other characters its last one is left
+            # to what follows.  The end of the text and special tokens leave it all.
+            if end < len(text) and not text.startswith(tuple(special), end):
+                end -= 1
+            parts += of_span(text[start:begin])
+            parts.append(np.asarray(fast._encode_single_piece(text[begin:end]), dtype=np.uint32))
+            start = end
+        parts += of_span(text[start:])
         return np.concatenate(parts).astype(np.uint32, copy=False)
 
     return encode

@@ -65,3 +65,20 @@ def test_edge_rows_and_buckets(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "buckets"))
     assert back.count() == len(rows) and {r.length for r in back.collect()} == {r.length for r in rows}
     assert number_sequences(decompose(docs.limit(0), PATH)).count() == 0
+
+
+def test_runs_of_white_space_of_any_length(monkeypatch):
+    plain, fast = Tokenizer.from_file(PATH), byte_bpe_encoder(PATH)
+    monkeypatch.setattr("tallyflow.llm.encoders.LONG_BLANKS", 50)
+    special = "<|endoftext|>"
+    for blank in (" ", "\t", "\n", "\r\n", "　", " \n", "\x85", " ", "\x1c"):
+        for text in ("{}", "x{}", "{}y", "x{}y", "x{}'s", "x{}" + special + "{}z", special + "{}", "a {}b{}1{}.", "{}\x1c{}"):
+            text = text.replace("{}", blank * 120)
+            assert fast(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_two_million_blanks():
+    plain, fast = Tokenizer.from_file(PATH), byte_bpe_encoder(PATH)
+    for blank in (" ", "\t", "\n", " \n"):
+        text = f"x{blank * 1_000_000}y{blank * 1_000_000}"
+        assert fast(text).tolist() == plain.encode(text, add_special_tokens=False).ids
