@@ -7,12 +7,13 @@ text if and only if every two neighbours in it encode their own concatenation (t
 first merge across a boundary would depend on nothing but the two tokens beside it),
 and each two neighbours of a splice at a common token are neighbours in one of the
 two chunks.  Where an overlap holds no common token it is widened, in the end to the
-whole text.
+whole text.  Widening doubles the left chunk, so the work stays linear in the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -68,14 +69,26 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def _common(encoder: PieceEncoder, left: tuple, right: tuple) -> tuple[int, int] | None:
+@dataclass
+class _Chunk:
+    """``text[start:end]`` encoded: ids, and where each ends in the text; ``since`` ids come from the chunk before."""
+
+    start: int
+    end: int
+    ids: np.ndarray
+    ends: np.ndarray
+    since: int = 0
+
+
+def _common(encoder: PieceEncoder, left: _Chunk, right: _Chunk) -> tuple[int, int] | None:
     """Positions after a token that both encodings hold at the same place, in the middle of all such."""
-    (a, a_ends), (b, b_ends) = left, right
     # Only tokens that follow another one are compared: the first one of a chunk may hold
     # a blank that the text has not, and a token starts where the one before it ends.
-    _, i, j = np.intersect1d(a_ends[1:], b_ends[1:], return_indices=True)
-    i, j = i + 1, j + 1
-    same = (a[i] == b[j]) & (a_ends[i - 1] == b_ends[j - 1]) & (j > 1) & ~encoder.is_byte[a[i]]
+    skip = max(int(np.searchsorted(left.ends, right.start)), left.since, 1)
+    stop = int(np.searchsorted(right.ends, left.end, side="right"))
+    _, i, j = np.intersect1d(left.ends[skip:], right.ends[1:stop], return_indices=True)
+    i, j = i + skip, j + 1
+    same = (left.ids[i] == right.ids[j]) & (left.ends[i - 1] == right.ends[j - 1]) & (j > 1) & ~encoder.is_byte[left.ids[i]]
     at = np.flatnonzero(same)
     if not len(at):
         return None
@@ -85,41 +98,50 @@ def _common(encoder: PieceEncoder, left: tuple, right: tuple) -> tuple[int, int]
 def encode_long(encoder: PieceEncoder, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> np.ndarray:
     """Ids of the whole text, encoded chunk by chunk.
 
-    ``parts`` is always the exact encoding of ``text[:end]``; one more chunk is encoded,
-    and what follows the common token replaces what followed it before.
+    Where two neighbours hold no common token, the overlap is widened forwards: the left chunk is encoded
+    anew to twice its length, and the right one starts before its new end.  A region without common
+    tokens thus costs about twice its own length, however long it is.
     """
-    end = min(len(text), chunk)
-    first = encoder.placed(text, 0, end)
+
+    def placed(start: int, end: int) -> _Chunk | None:
+        found = encoder.placed(text, start, end)
+        return None if found is None else _Chunk(start, end, *found)
+
+    first = placed(0, min(len(text), chunk))
     if first is None:
         return encoder.encode(text)
-    parts = [first]
-    while end < len(text):
-        shared, goal = overlap, min(len(text), end + chunk - overlap)
+    #: Chunks, and for each but the last how many of its ids count.
+    chunks, counts = [first], []
+    while chunks[-1].end < len(text):
+        last = chunks[-1]
+        start = last.end - min(overlap, last.end - last.start)
+        right = placed(start, min(len(text), start + chunk))
+        if right is None:
+            return encoder.encode(text)
+        cut = _common(encoder, last, right)
+        if cut is not None:
+            counts.append(cut[0])
+            right.since = cut[1]
+            chunks.append(right)
+            continue
+        begin, goal = last.start, min(len(text), last.end + max(last.end - last.start, chunk))
+        chunks.pop()
         while True:
-            if shared >= end:
-                whole = encoder.placed(text, 0, goal)
-                if whole is None:
-                    return encoder.encode(text)
-                parts = [whole]
-                break
-            right = encoder.placed(text, end - shared, goal)
-            if right is None:
+            wide = placed(begin, goal)
+            if wide is None:
                 return encoder.encode(text)
-            tail = [parts.pop()]
-            while parts and tail[-1][1][0] > end - shared:
-                tail.append(parts.pop())
-            left = tuple(np.concatenate([t[k] for t in reversed(tail)]) for k in (0, 1))
-            cut = _common(encoder, left, right)
-            if cut is not None:
-                i, j = cut
-                parts.append((left[0][:i], left[1][:i]))
-                if j < len(right[0]):
-                    parts.append((right[0][j:], right[1][j:]))
-                break
-            parts.append(left)
-            shared *= 2
-        end = goal
-    return np.concatenate([ids for ids, _ in parts])
+            if chunks:
+                counts.pop()
+                cut = _common(encoder, chunks[-1], wide)
+                if cut is None:
+                    begin = chunks.pop().start
+                    continue
+                counts.append(cut[0])
+                wide.since = cut[1]
+            chunks.append(wide)
+            break
+    counts.append(len(chunks[-1].ids))
+    return np.concatenate([c.ids[c.since : n] for c, n in zip(chunks, counts, strict=True)])
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT) -> DataFrame:

@@ -28,6 +28,24 @@ def test_chunks_give_the_ids_of_the_whole_text(chunk, overlap):
         assert encode_long(encoder, text, chunk, overlap).tolist() == encoder.model.encode(text)
 
 
+def test_long_runs_cost_little_more_than_the_whole_text():
+    encoder = piece_encoder(MODEL)
+
+    class Counted:
+        chars, is_byte = 0, encoder.is_byte
+
+        def placed(self, text, start, end):
+            Counted.chars += end - start
+            return encoder.placed(text, start, end)
+
+        encode = encoder.encode
+
+    for text in (" " * 5_000_000, "a" + " " * 600_000 + "b", "word " * 30_000 + " " * 400_000 + "x" * 300_000 + "more " * 30_000):
+        Counted.chars = 0
+        assert encode_long(Counted(), text).tolist() == encoder.model.encode(text)
+        assert Counted.chars < 5 * len(text)
+
+
 def test_counts_equal_the_library(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     model = piece_encoder(MODEL).model
