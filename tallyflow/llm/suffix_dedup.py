@@ -7,7 +7,8 @@ have equal anchors at the same offset.  Consecutive windows with one anchor form
 and a run is one row:
 
 * a gram that occurs once in the corpus has no repeated windows;
-* a run whose bytes all occur earlier, around the same gram, is repeated as a whole;
+* a run whose bytes all occur earlier, around the same gram, is repeated as a whole: runs are
+  the same if 128-bit cryptographic digests of their bytes are;
 * the first runs of a gram that has several different ones go through the suffix sort.
   Suffixes are compared by the longest common extension, found by binary search over
   prefix polynomial hashes in about seven steps, and are merge-sorted; windows found
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyflow.llm.scratch import Scratch
-from tallyflow.llm.textscan import SCAN_BYTES, U64, byte_values, mix64, prefix_hash, prefix_sums, utf8
+from tallyflow.llm.textscan import SCAN_BYTES, U64, byte_values, mix64, utf8
 
 #: Length of a repeated string, and of the grams that anchor it.
 WINDOW = 100
@@ -39,6 +41,30 @@ HOT_RUNS = 20_000
 KEY = ["id", "text_hash"]
 
 
+_BASE = U64(0x9E3779B97F4A7C15)
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """_BASE^i and its inverse powers modulo 2^64, i <= SCAN_BYTES."""
+
+    def series(x: np.uint64) -> np.ndarray:
+        out = np.full(SCAN_BYTES + 1, x, dtype=np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    return series(_BASE), series(U64(pow(int(_BASE), -1, 1 << 64)))
+
+
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the ``gram`` bytes at every place."""
+    power, inverse = _powers()
+    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(byte_values(False)[data] * power[: len(data)], out=prefix[1:])
+    n = len(data) - gram + 1
+    return mix64((prefix[gram:] - prefix[:n]) * inverse[:n] + U64(gram))
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive entries."""
     n = len(values)
@@ -55,17 +81,17 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def runs(
     data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: row, first window, last window, anchor, gram hash, hash of the run.
+    """Runs of windows with one anchor: row, first window, last window, anchor, gram hash, digest of the run.
 
     ``data`` is no longer than ``SCAN_BYTES``.  Positions count from the start of ``data``.
-    The hash of a run covers its bytes and the place of the anchor among them.
+    The digest (two longs) is a cryptographic one of the run's bytes, tied to the place of the
+    anchor among them.
     """
     none = np.zeros(0, np.int64)
     if len(data) < window:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    prefix = prefix_sums(data, byte_values(False))
+        return none, none, none, none, none.astype(np.uint64), np.zeros((0, 2), np.uint64)
     at = np.arange(len(data) - gram + 1)
-    grams = prefix_hash(prefix, at, at + gram)
+    grams = _gram_hashes(data, gram)
     place = U64(SCAN_BYTES - 1)
     least = sliding_min((grams & ~place) | at.astype(np.uint64), window - gram + 1)
     anchor = (least & place).astype(np.int64)
@@ -78,8 +104,9 @@ def runs(
     start = np.flatnonzero(new)
     first, anchor, row = windows[start], anchor[start], row[start]
     last = windows[np.append(start[1:], len(windows)) - 1] if len(start) else none
-    whole = prefix_hash(prefix, first, last + window)
-    whole = mix64(whole ^ ((anchor - first) * 256 + (last - first)).astype(np.uint64))
+    raw, blake = data.tobytes(), hashlib.blake2b
+    whole = b"".join([blake(raw[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (last + window).tolist(), strict=True)])
+    whole = np.frombuffer(whole, "<u8").reshape(-1, 2) ^ mix64((anchor - first).astype(np.uint64) + U64(1))[:, None]
     return row, first, last, anchor, grams[anchor], whole
 
 
@@ -108,7 +135,7 @@ def _parts(column: pa.Array, window: int) -> Iterator[tuple[int, int, np.ndarray
 
 
 def all_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``gram, whole, id, text_hash, place`` of every run of windows.
+    """``gram, whole, check, id, text_hash, place`` of every run of windows.
 
     ``place`` holds the first window's start, the anchor's distance from it and the last
     window's (7 bits each), so that places of a document sort by start.
@@ -121,14 +148,15 @@ def all_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
                 place = ((first - offsets[row] + before) << 14) | ((anchor - first) << 7) | (last - first)
                 take = pa.array(row + row0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams.view(np.int64)), pa.array(whole.view(np.int64))]
+                    [pa.array(grams.view(np.int64))]
+                    + [pa.array(whole[:, k].copy().view(np.int64)) for k in (0, 1)]
                     + [batch.column(c).take(take) for c in (0, 1)]
                     + [pa.array(place)],
-                    names=["gram", "whole", *KEY, "place"],
+                    names=["gram", "whole", "check", *KEY, "place"],
                 )
 
     return docs.select(*_key_columns()).mapInArrow(
-        run, "gram bigint, whole bigint, id bigint, text_hash bigint, place bigint"
+        run, "gram bigint, whole bigint, check bigint, id bigint, text_hash bigint, place bigint"
     )
 
 
@@ -185,11 +213,10 @@ class Suffixes:
     def __init__(self, data: np.ndarray, limit: int) -> None:
         self.data = data
         self.limit = limit
-        base = U64(0x9E3779B97F4A7C15)
-        power = np.full(len(data) + 1, base, dtype=np.uint64)
+        power = np.full(len(data) + 1, _BASE, dtype=np.uint64)
         power[0] = 1
         np.multiply.accumulate(power, out=power)
-        back = np.full(len(data) + 1, U64(pow(int(base), -1, 1 << 64)), dtype=np.uint64)
+        back = np.full(len(data) + 1, U64(pow(int(_BASE), -1, 1 << 64)), dtype=np.uint64)
         back[0] = 1
         self._back = np.multiply.accumulate(back)
         self._prefix = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -418,15 +445,16 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     scratch = Scratch(docs.sparkSession)
     found = all_runs(docs, window, gram)
     grams = found.groupBy("gram").agg(
-        F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")
+        F.count("*").alias("n"), F.min(F.struct("whole", "check")).alias("low"), F.max(F.struct("whole", "check")).alias("high")
     )
     grams = scratch.keep(grams.filter("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed")), "grams")
     shared = scratch.keep(found.join(grams, "gram"), "shared")
-    firsts = shared.groupBy("gram", "whole").agg(
+    run = ["gram", "whole", "check"]
+    firsts = shared.groupBy(*run).agg(
         F.min(_place()).alias("first"), F.count("*").alias("n"), F.max("mixed").alias("mixed")
     )
     firsts = scratch.keep(firsts, "firsts")
-    again = shared.join(firsts.filter("n > 1").select("gram", "whole", "first"), ["gram", "whole"])
+    again = shared.join(firsts.filter("n > 1").select(*run, "first"), run)
     again = scratch.keep(again.filter(F.col("first") != _place()).select(*_range_columns(window)), "again")
     several = firsts.filter("mixed").select("gram", "first.*")
     most = several.groupBy("gram").agg((F.count("*") > (hot or HOT_RUNS)).alias("hot"))
