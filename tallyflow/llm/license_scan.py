@@ -15,29 +15,39 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm.known_licenses import LICENSES, NOTICES
 
-#: Words with several spellings in public licence texts, by the spelling kept.
-SPELLINGS = {
-    "license": ["licence"],
-    "sublicense": ["sub license"],
-    "copyright holder": ["copyright owner"],
-    "noncommercial": ["non commercial"],
-    "noninfringement": ["non infringement"],
-    "authorize": ["authorise"],
-    "organization": ["organisation"],
-    "recognize": ["recognise"],
-    "utilize": ["utilise"],
-    "favor": ["favour"],
-    "labor": ["labour"],
-    "program": ["programme"],
-    "judgment": ["judgement"],
-    "acknowledgment": ["acknowledgement"],
-    "fulfill": ["fulfil "],
-    "while": ["whilst"],
-    "percent": ["per cent"],
-    "http": ["https"],
-}
-#: Comment and list marks before a line.
-_MARKS = r"[ \t]*(?:(?:[#*/;%!>|•-]+|<!--|[0-9]{1,2}[.)])[ \t]*)*"
+#: Endings of verbs in -ize.
+_IZE = "e|es|ed|er|ers|ing|ation|ations"
+#: Words with several spellings in public licence texts: the spelling kept, another
+#: one (a pattern), and the endings that may follow both.
+SPELLINGS = [
+    ("license", "licence", "[a-z]*"),
+    ("sublicense", r"\bsub license", "[a-z]*"),
+    ("copyright holder", "copyright owner", "s?"),
+    ("noncommercial", r"\bnon commercial", "[a-z]*"),
+    ("noninfring", r"\bnon infring", "[a-z]+"),
+    ("authoriz", "authoris", _IZE),
+    ("organiz", "organis", _IZE),
+    ("recogniz", "recognis", _IZE),
+    ("utiliz", "utilis", _IZE),
+    ("favor", "favour", "[a-z]*"),
+    ("labor", "labour", "s?"),
+    ("program", "programme", "s?"),
+    ("judgment", "judgement", "s?"),
+    ("acknowledgment", "acknowledgement", "s?"),
+    ("fulfill", "fulfil", "s|ment|ments|"),
+    ("while", "whilst", ""),
+    ("percent", r"\bper cent", ""),
+    ("http", "https", ""),
+]
+
+
+def spelling_rules() -> list[tuple[str, str]]:
+    """(pattern, spelling kept); what the pattern's group holds follows it."""
+    return [(rf"{old}({ends})\b", new) for new, old, ends in SPELLINGS]
+
+
+#: Comment marks, and up to three numbers of a list, before a line.
+_MARKS = r"[ \t#*/;%!>|•-]*(?:(?:<!--|[0-9]{1,2}[.)])[ \t#*/;%!>|•-]*){0,3}"
 #: Between two words of a commented text.
 _GAP = r"[\s#*/;%!>|•-]*"
 
@@ -49,11 +59,13 @@ def _signed(gap: str) -> str:
 
 
 #: Words that follow "copyright" or a list's "(c)" inside a licence, never a holder's name.
-_BODY = (
+_BODY_WORDS = (
     r"(?:notices?|holders?|owners?|laws?|acts?|licen[cs]\w*|statements?|protect\w*|interests?|claims?|information"
-    r"|and|or|in|on|to|of|for|from|is|are|as|that|which|with|if|you|your|a(?!\.)|an|any|all|no|each|every|such|this"
+    r"|and|or|in|on|to|of|for|from|is|are|as|that|which|with|if|you|your|an|any|all|no|each|every|such|this"
     r"|must|may|shall|it|when|where|use|cause|give|include|retain|redistribut\w*|modif\w*)\b"
 )
+#: "a", unless it is an initial.
+_BODY = rf"(?:{_BODY_WORDS}|a(?:[^.\w]|$))"
 #: Words with which a licence goes on behind a holder's name.
 _OPENING = (
     rf"(?:permission{_GAP}(?:is{_GAP}hereby|to{_GAP}use)|redistribution{_GAP}and{_GAP}use"
@@ -61,10 +73,15 @@ _OPENING = (
 )
 #: Words of a title.
 _TITLE = r"(?:licen[cs]e|attribution)\b"
-#: A statement up to the licence's opening, however the text is wrapped; a title between the two ends it.
-COPYRIGHT_STATEMENT = rf"(?s){_signed(_GAP)}(?:(?!{_TITLE}|{_OPENING}).){{0,300}}(?={_OPENING})"
+#: The beginning of a statement in running text, and of one that is a line.
+SIGNED = _signed(_GAP)
+SIGNED_LINE = rf"{_MARKS}{_signed('[ \\t]*')}"
+#: "copyright" or "(c)" before a name at the start of a line, or before a word of a licence's body.
+NAMED_LINE = rf"{_MARKS}(?:copyright[:,]?|\(c\))[ \t]+"
 #: A line that names a copyright holder, in lower case.
-COPYRIGHT_LINE = rf"(?m)^{_MARKS}(?:{_signed('[ \\t]*')}|(?:copyright[:,]?|\(c\))[ \t]+(?!{_BODY})(?=\S))[^\n]*$"
+COPYRIGHT_LINE = rf"(?md)^(?:{SIGNED_LINE}|{NAMED_LINE}(?!{_BODY})(?=\S))[^\n]*$"
+#: Marks put before titles and openings, and between a statement and the opening it leads to.
+_CUT, _LEADS = "\x01", "\x02"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 #: A line without any of these is no known notice.
 NOTICE_WORDS = "licen|rights|public domain"
@@ -72,13 +89,26 @@ NOTICE_WORDS = "licen|rights|public domain"
 BROADCAST_KNOWN = 20_000
 
 
+def without_statements(text: Column) -> Column:
+    """Lower-case text without what stands from a holder's statement to a licence's opening.
+
+    However the text is wrapped, and however long the statement; a title between the two ends
+    it.  The text is cut at titles and openings, and every piece before an opening is
+    shortened by itself, so the work grows with the text alone.
+    """
+    x = F.translate(text, _CUT + _LEADS, "")
+    x = F.regexp_replace(x, _OPENING, f"{_LEADS}{_CUT}$0")
+    x = F.regexp_replace(x, _TITLE, f"{_CUT}$0")
+    shortened = lambda s: F.when(s.endswith(_LEADS), F.regexp_replace(s, f"(?s){SIGNED}.*", " ")).otherwise(s)
+    return F.translate(F.array_join(F.transform(F.split(x, _CUT), shortened), ""), _LEADS, "")
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; null gives an empty one."""
-    x = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_STATEMENT, " ")
+    x = without_statements(F.lower(F.coalesce(text, F.lit(""))))
     x = F.regexp_replace(x, COPYRIGHT_LINE, "")
     x = F.trim(F.regexp_replace(x, PUNCTUATION, " "))
-    pairs = [(old, new) for new, olds in SPELLINGS.items() for old in olds]
-    return reduce(lambda y, p: F.replace(y, F.lit(p[0]), F.lit(p[1])), pairs, x)
+    return reduce(lambda y, rule: F.regexp_replace(y, rule[0], f"{rule[1]}$1"), spelling_rules(), x)
 
 
 def digest(text: Column) -> Column:

@@ -3,23 +3,36 @@
 from __future__ import annotations
 
 from tallyflow.llm.known_licenses import LICENSES, NOTICES
-from tallyflow.llm.license_scan import NOTICE_WORDS, PUNCTUATION, SPELLINGS
+from tallyflow.llm.license_scan import (
+    _BODY,
+    _OPENING,
+    _TITLE,
+    NAMED_LINE,
+    NOTICE_WORDS,
+    PUNCTUATION,
+    SIGNED,
+    SIGNED_LINE,
+    spelling_rules,
+)
 from tallyflow.llm.mixing import FRACTION, MARGINS, NONE, ROUNDS, SEED, TEMPER
 
-#: The SQL's own rule: unlike the query's, it takes every line that begins so, also one of a licence's body.
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©)[^\n]*$"
-
-
 def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
 def _canonical(text: str) -> str:
-    x = f"regexp_replace(lower(coalesce({text}, '')), {_literal(COPYRIGHT_LINE)}, '', 'g')"
+    x = f"translate(lower(coalesce({text}, '')), chr(1) || chr(2), '')"
+    x = f"regexp_replace({x}, {_literal(f'({_OPENING})')}, chr(2) || chr(1) || '\\1', 'g')"
+    x = f"regexp_replace({x}, {_literal(f'({_TITLE})')}, chr(1) || '\\1', 'g')"
+    shortened = f"CASE WHEN suffix(s, chr(2)) THEN regexp_replace(s, {_literal(f'(?s){SIGNED}.*')}, ' ') ELSE s END"
+    x = f"translate(array_to_string(list_transform(string_split({x}, chr(1)), lambda s: {shortened}), ''), chr(2), '')"
+    line = lambda rule: f"regexp_matches(l, {_literal('^(?:' + rule + ')')})"
+    named = f"{line(NAMED_LINE + r'[^\s]')} AND NOT {line(NAMED_LINE + _BODY)}"
+    kept = f"CASE WHEN {line(SIGNED_LINE)} OR ({named}) THEN '' ELSE l END"
+    x = f"array_to_string(list_transform(string_split({x}, chr(10)), lambda l: {kept}), chr(10))"
     x = f"trim(regexp_replace({x}, {_literal(PUNCTUATION)}, ' ', 'g'))"
-    for new, olds in SPELLINGS.items():
-        for old in olds:
-            x = f"replace({x}, {_literal(old)}, {_literal(new)})"
+    for pattern, new in spelling_rules():
+        x = f"regexp_replace({x}, {_literal(pattern)}, {_literal(new)} || '\\1', 'g')"
     return x
 
 

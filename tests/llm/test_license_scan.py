@@ -3,7 +3,7 @@ import textwrap
 from pyspark.sql import functions as F
 
 from tallyflow.llm.known_licenses import LICENSES, NOTICES
-from tallyflow.llm.license_scan import canonical, scan_licenses, scan_texts
+from tallyflow.llm.license_scan import SPELLINGS, canonical, scan_licenses, scan_texts
 
 
 def test_known_texts_are_found_in_other_dress(spark):
@@ -75,3 +75,41 @@ def test_own_tables_of_known_texts(spark):
 def test_no_python_in_the_plan(spark, data):
     plan = scan_licenses(spark.read.parquet(f"{data}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_long_statements_and_odd_lines(spark):
+    mit = LICENSES["MIT (without title)"] if "MIT (without title)" in LICENSES else LICENSES["MIT"]
+    holders = ", ".join(f"{1990 + i} Holder Number {i}" for i in range(30))
+    texts = [f"Copyright (c) {holders}\nand others {mit}", f"Copyright (c) 2020 {'Some Name and ' * 150} Sons. {mit}"]
+    texts += [f"Copyright (c) 2020 {'Name ' * 200_000}\n{mit}"]
+    odd = ["-" * 100_000 + "x", "# " * 50_000, "copyright (c) 2001 a. " * 20_000, "1. " * 20_000, "permission is hereby " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts + odd)), "doc_id bigint, text string")
+    got = {r.doc_id: r.license for r in scan_licenses(docs).collect()}
+    assert all((got[k] or "").startswith("MIT") for k in range(len(texts)))
+    assert all(got[k] is None for k in range(len(texts), len(got)))
+
+
+def test_every_spelling_inside_a_sentence(spark):
+    pairs = []
+    for new, old, ends in SPELLINGS:
+        endings = ["", "s"] if "*" in ends or ends == "s?" else [e for e in ends.split("|")] if "+" not in ends else ["ement"]
+        for end in endings:
+            pairs.append((f"you {old.replace(chr(92) + 'b', '')}{end} the work", f"you {new}{end} the work"))
+    pairs += [("they fulfilled it", "they fulfilled it"), ("a paper cent counts", "a paper cent counts"), ("programmed whilstling", "programmed whilstling")]
+    frame = spark.createDataFrame(pairs, "a string, b string").select("a", "b", canonical(F.col("a")).alias("c"))
+    assert [(r.a, r.c) for r in frame.collect() if r.c != r.b] == []
+
+
+def test_sql_has_the_same_rule(spark):
+    import duckdb
+
+    from tallyflow.llm.native_sql import _canonical
+
+    texts = [t for t in LICENSES.values()]
+    texts += [textwrap.indent(textwrap.fill(t, 50), " * ") for t in LICENSES.values()]
+    texts += [f"Copyright (c) 2020 A, B and a. Sons\n{t}" for t in LICENSES.values()]
+    texts += ["# Copyright A. B", "copyright a.b", "copyright a work", "(c) You must", "© x", "1. (c) 2020 z", "sub-licence, per cent; fulfils HTTPS", None, ""]
+    ours = [r.c for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(canonical(F.col("t")).alias("c")).collect()]
+    con = duckdb.connect()
+    theirs = [con.execute(f"SELECT {_canonical('t')} FROM (SELECT CAST(? AS VARCHAR) AS t)", [t]).fetchone()[0] for t in texts]
+    assert [(a, b) for a, b in zip(ours, theirs, strict=True) if a != b] == []
