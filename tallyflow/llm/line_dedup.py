@@ -15,6 +15,7 @@ two lines is the same, so only lines that share a half with another one emit var
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 from tallyflow.llm.scratch import Scratch
-from tallyflow.llm.textscan import U64, mix64, range_hashes, slices, word_hashes, word_spans
+from tallyflow.llm.textscan import SPACE, U64, mix64, range_hashes, slices, word_hashes, word_spans
 
 #: A line with fewer words must be the same to count as repeated.
 LEAST_WORDS = 8
@@ -61,9 +62,23 @@ def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[order], rows[order]
 
 
-def _second(words: np.ndarray) -> np.ndarray:
-    """A second, independent value of each word."""
-    return mix64(words ^ U64(0x5851F42D4C957F2D))
+def line_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a cryptographic digest of each line's words, in lower case, one blank between them.
+
+    A line reaches from the start of its first word to the end of its last; lines ascend.
+    """
+    blank = SPACE[data]
+    kept = ~blank
+    kept[1:] |= blank[1:] & ~blank[:-1]
+    place = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum(kept, out=place[1:])
+    text = np.where(blank, np.uint8(32), data)[kept]
+    text[(text >= 65) & (text <= 90)] += np.uint8(32)
+    raw = text.tobytes()
+    spans = zip(place[starts].tolist(), place[ends].tolist(), strict=True)
+    digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in spans)
+    halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -85,14 +100,14 @@ def half_keys(words: np.ndarray, first: np.ndarray, last: np.ndarray, least: int
 
 
 def occurrences(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """Every line with a word: its place, hash (k1, k2), number of words and half keys."""
+    """Every line with a word: its place, digest (k1, k2) of its words, number of words and half keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in slices(batch.column(3)):
                 starts, rows = line_starts(data, offsets)
                 words, _ = word_hashes(data, offsets, lower=True)
-                at, _ = word_spans(data, offsets)
+                at, stop = word_spans(data, offsets)
                 first = np.searchsorted(at, starts)
                 last = np.append(first[1:], len(at))
                 number = np.arange(len(starts)) - np.searchsorted(rows, rows)
@@ -103,13 +118,14 @@ def occurrences(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
                     pa.array(np.concatenate(([0], np.cumsum(valid.sum(axis=1)))), pa.int32()), _signed(keys[valid])
                 )
                 take = pa.array(rows)
+                k1, k2 = line_digests(data, at[first], stop[last - 1])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c)[row:end].take(take) for c in range(3)]
                     + [
                         pa.array(number, pa.int32()),
                         pa.array(last - first, pa.int32()),
-                        _signed(range_hashes(words, first, last)),
-                        _signed(range_hashes(_second(words), first, last)),
+                        _signed(k1),
+                        _signed(k2),
                         lists,
                     ],
                     names=[*PLACE, "words", "k1", "k2", "halves"],
@@ -180,7 +196,7 @@ def variants(texts: DataFrame) -> DataFrame:
                 of = np.repeat(np.arange(len(n)), n + 1)
                 at = np.arange(len(of)) - (rows[:-1] + np.arange(len(n)))[of] - 1
                 first, last = rows[:-1][of], rows[1:][of]
-                keys = [range_hashes(w, first, last, first + at) for w in (words, _second(words))]
+                keys = [range_hashes(words, first, last, first + at, which) for which in (0, 1)]
                 take = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c)[row:end].take(take) for c in range(4)]

@@ -1,9 +1,10 @@
 """Vectorised scans of text columns: words, lines, hashes and character counts.
 
 All functions work on the UTF-8 bytes of an Arrow column.  Words are maximal runs
-of bytes other than space and 0x09-0x0D.  Strings are hashed by polynomials modulo
-2^64 over random byte values, so the hash of any substring is a difference of two
-prefix sums times an inverse power.
+of bytes other than space and 0x09-0x0D.  Strings are hashed by polynomials modulo the
+prime 2^61 - 1 over random byte values, so the hash of any substring is a difference of two
+prefix sums times an inverse power.  Modulo a power of two, long regular strings would
+agree whatever the base; modulo a prime, two strings of n symbols agree for n bases at most.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ import pyarrow as pa
 #: Bytes scanned at a time.
 SCAN_BYTES = 1 << 20
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 U64 = np.uint64
+#: Modulus of the hashes, and two independent bases.
+PRIME = (1 << 61) - 1
+BASES = (0x0B7C93E2D4F16A85, 0x12E9A4C85F3D7B61)
+#: Entries multiplied at a time, so that intermediate arrays stay in the cache.
+_CACHED = 1 << 14
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -31,22 +36,79 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo ``PRIME`` for any 64-bit values (new array)."""
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    x -= (x >= U64(PRIME)) * U64(PRIME)
+    return x
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo ``PRIME`` of values below it (arrays of one length, or ``b`` of length one)."""
+    out = np.empty(len(a), dtype=np.uint64)
+    half, quarter = U64((1 << 31) - 1), U64((1 << 30) - 1)
+    for at in range(0, len(a), _CACHED):
+        x = a[at : at + _CACHED]
+        y = b[at : at + _CACHED] if len(b) > 1 else b
+        x1, x0, y1, y0 = x >> U64(31), x & half, y >> U64(31), y & half
+        # 2^62 counts as 2, and 2^61 as 1.
+        middle = x1 * y0
+        middle += x0 * y1
+        total = x0 * y0
+        total += (x1 * y1) << U64(1)
+        total += middle >> U64(30)
+        total += (middle & quarter) << U64(31)
+        out[at : at + _CACHED] = reduced(total)
+    return out
+
+
+def sums(values: np.ndarray, carry: int = 0) -> np.ndarray:
+    """``len(values) + 1`` prefix sums modulo ``PRIME``, the first one ``carry``; up to 2^30 values."""
+    out = np.empty(len(values) + 1, dtype=np.uint64)
+    out[0] = 0
+    low = np.cumsum(values & U64((1 << 31) - 1))
+    high = np.cumsum(values >> U64(31))
+    low += high >> U64(30)
+    low += (high & U64((1 << 30) - 1)) << U64(31)
+    out[1:] = reduced(low)
+    return reduced(out + U64(carry)) if carry else out
+
+
+def minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differences modulo ``PRIME``."""
+    return a + (a < b) * U64(PRIME) - b
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^i for i <= n."""
+    out = np.ones(n + 1, dtype=np.uint64)
+    have = 1
+    while have <= n:
+        more = min(have, n + 1 - have)
+        out[have : have + more] = times(out[:more], np.array([pow(base, have, PRIME)], dtype=np.uint64))
+        have += more
+    return out
+
+
 @cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """_BASE^i and its inverse powers modulo 2^64, i <= SCAN_BYTES."""
+def _scan_powers(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^i and its inverse powers, i <= SCAN_BYTES."""
+    base = BASES[which]
+    return powers(base, SCAN_BYTES), powers(pow(base, -1, PRIME), SCAN_BYTES)
 
-    def series(x: np.uint64) -> np.ndarray:
-        out = np.full(SCAN_BYTES + 1, x, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
 
-    return series(_BASE), series(U64(pow(int(_BASE), -1, 1 << 64)))
+def _power_arrays(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n + 1 powers and inverse powers of a base."""
+    if n <= SCAN_BYTES:
+        return _scan_powers(which)
+    base = BASES[which]
+    return powers(base, n), powers(pow(base, -1, PRIME), n)
 
 
 @cache
 def byte_values(lower: bool) -> np.ndarray:
-    """A random 64-bit value of each byte; with ``lower`` A-Z have the values of a-z."""
-    values = mix64(np.arange(1, 257, dtype=np.uint64) * U64(0xD1342543DE82EF95))
+    """A random value of each byte below ``PRIME``; with ``lower`` A-Z have the values of a-z."""
+    values = mix64(np.arange(1, 257, dtype=np.uint64) * U64(0xD1342543DE82EF95)) >> U64(4)
     if lower:
         values[65:91] = values[97:123]
     return values
@@ -66,40 +128,31 @@ def substring_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, val
 
     Starts and ends ascend.  Prefix sums exist for ``SCAN_BYTES`` at a time.
     """
-    power, inverse = _powers()
+    power, inverse = _scan_powers(0)
     out = np.zeros(len(starts), dtype=np.uint64)
-    carry, a, b = U64(0), 0, 0
+    carry, shift, a, b = 0, 1, 0, 0
+    step = int(power[SCAN_BYTES])
     for at in range(0, max(len(data), 1), SCAN_BYTES):
         part = data[at : at + SCAN_BYTES]
-        prefix = np.empty(len(part) + 1, dtype=np.uint64)
-        prefix[0] = carry
-        np.multiply(values[part], power[: len(part)] * U64(pow(int(_BASE), at, 1 << 64)), out=prefix[1:])
-        np.cumsum(prefix, out=prefix)
+        terms = times(values[part], power[: len(part)])
+        if at:
+            shift = shift * step % PRIME
+            terms = times(terms, np.array([shift], dtype=np.uint64))
+        prefix = sums(terms, carry)
         last = at + len(part)
         a_to = int(np.searchsorted(starts, last, side="right"))
         b_to = int(np.searchsorted(ends, last, side="right"))
-        out[a:a_to] -= prefix[starts[a:a_to] - at]
-        out[b:b_to] += prefix[ends[b:b_to] - at]
-        carry, a, b = prefix[-1], a_to, b_to
-    out *= inverse[starts % SCAN_BYTES]
+        out[a:a_to] = minus(out[a:a_to], prefix[starts[a:a_to] - at])
+        out[b:b_to] = reduced(out[b:b_to] + prefix[ends[b:b_to] - at])
+        carry, a, b = int(prefix[-1]), a_to, b_to
+    out = times(out, inverse[starts % SCAN_BYTES])
     if len(data) > SCAN_BYTES:
-        far = [pow(int(inverse[SCAN_BYTES]), k, 1 << 64) for k in range(len(data) // SCAN_BYTES + 1)]
-        out *= np.array(far, dtype=np.uint64)[starts // SCAN_BYTES]
+        back = int(inverse[SCAN_BYTES])
+        far = [pow(back, k, PRIME) for k in range(len(data) // SCAN_BYTES + 1)]
+        out = times(out, np.array(far, dtype=np.uint64)[starts // SCAN_BYTES])
     return mix64(out + (ends - starts).astype(np.uint64))
 
 
-def prefix_sums(data: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Prefix sums for ``prefix_hash`` of up to ``SCAN_BYTES`` bytes."""
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(values[data] * _powers()[0][: len(data)], out=prefix[1:])
-    return prefix
-
-
-def prefix_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes from each start to its end."""
-    return mix64((prefix[ends] - prefix[starts]) * _powers()[1][starts] + (ends - starts).astype(np.uint64))
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets into them; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -141,26 +194,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
 
 
 def range_hashes(
-    values: np.ndarray, first: np.ndarray, last: np.ndarray, without: np.ndarray | None = None
+    values: np.ndarray, first: np.ndarray, last: np.ndarray, without: np.ndarray | None = None, which: int = 0
 ) -> np.ndarray:
-    """Hashes of the sequences ``values[first:last]``, leaving out entry ``without`` where that is in the range."""
-    power = np.full(len(values) + 1, _BASE, dtype=np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    inverse = np.full(len(values) + 1, U64(pow(int(_BASE), -1, 1 << 64)), dtype=np.uint64)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    prefix = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * power[:-1], out=prefix[1:])
+    """Hashes of the sequences ``values[first:last]``, leaving out entry ``without`` where that is in the range.
+
+    ``which`` names one of two independent bases.
+    """
+    power, inverse = _power_arrays(len(values), which)
+    prefix = sums(times(reduced(values), power[: len(values)]))
     length = last - first
-    total = prefix[last] - prefix[first]
+    total = minus(prefix[last], prefix[first])
     if without is not None:
         inside = without >= first
         cut = np.where(inside, without, first)
-        behind = (prefix[last] - prefix[np.minimum(cut + 1, last)]) * inverse[1]
-        total = np.where(inside, prefix[cut] - prefix[first] + behind, total)
+        behind = times(minus(prefix[last], prefix[np.minimum(cut + 1, last)]), inverse[1:2])
+        total = np.where(inside, reduced(minus(prefix[cut], prefix[first]) + behind), total)
         length = length - inside
-    return mix64(total * inverse[first] + length.astype(np.uint64))
+    return mix64(times(total, inverse[first]) + length.astype(np.uint64))
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
