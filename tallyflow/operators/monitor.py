@@ -2,30 +2,34 @@
 
 Sites feed a stream; an estimate kept from their sketches is refreshed only when
 a local rule fires.  Spark sums each site's updates into one small sketch per time
-slice, with partial aggregation.  Publications pass an ordered state function per
-local stream, which sees these summaries only; guarded estimates are decided by
-joins and sums over them.  Rules are checked at slice ends, so a bound may be
-crossed inside a slice before it is reported; slices of one record give the
-per-record rule.
+slice, with partial aggregation; all else is joins and sums over these sketches.
+Rules are checked at slice ends, so a bound may be crossed inside a slice before it is
+reported; slices of one record give the per-record rule.
+
+What happens after a refresh depends on nothing before it: the new reference is the state
+of the whole stream.  So every slice is taken as a possible reference, and the next slice
+at which the rule fires is searched for all of them at once, in spans that grow fourfold
+for those that have found none.  The true chain of refreshes is then followed by doubling.
+The number of jobs grows with the logarithm of the slices, and a slice's cells are copied
+only to references whose search has come so far.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyflow.functions.scalars import KEY_BYTES, median_of, publish_bytes, relative_error, tcp_bytes, wide_product
 from tallyflow.operators import guards
+from tallyflow.operators.chains import reached
 from tallyflow.operators.joinsize import JoinSizeQuery
 from tallyflow.operators.lanes import lane_table
-from tallyflow.operators.segments import Segments, running_products
+from tallyflow.operators.segments import Segments, positions, running_products
 from tallyflow.operators.sketch import Projection, hashed
 from tallyflow.session import cut_lineage
 
@@ -48,31 +52,43 @@ def slice_updates(stream: DataFrame, every: int, by: Sequence[str] = ("sid", "hi
     return stream.groupBy(*by, time_slice_of(every).alias("slice")).agg(F.count(F.lit(1)).alias("updates"))
 
 
-def _feed(stream: DataFrame, proj: Projection, every: int, by: Sequence[str]) -> DataFrame:
-    """Cells as (…, slice, cell, c), plus one row with cell -1 holding the record count."""
-    cells = slice_sketches(stream, proj, every, by)
-    cells = cells.select(*by, "slice", (F.col("d") * F.lit(proj.width) + F.col("b")).cast("int").alias("cell"), "c")
-    counts = slice_updates(stream, every, by).select(
-        *by, "slice", F.lit(-1).alias("cell"), F.col("updates").alias("c")
-    )
-    return counts.unionByName(cells)
-
-
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
-    """Re-cut ordered batches into whole slices; holds one slice at a time."""
-    held: list[pd.DataFrame] = []
-    current = None
-    for batch in batches:
-        if batch.empty:
-            continue
-        for slice_no, part in batch.groupby("slice", sort=False):
-            if current is not None and slice_no != current:
-                yield current, pd.concat(held)
-                held = []
-            current = slice_no
-            held.append(part)
-    if held:
-        yield current, pd.concat(held)
+#: Slices after a reference that are looked at first, and how the span grows for those that found nothing.
+FIRST_SPAN = 16
+_GROWTH = 4
+
+
+def numbered(slices: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """``slices`` (by…, slice, …; one row each) with their number within the group, from 1."""
+    out = positions(slices, name, by=by, segments=Segments.fit(slices, ["slice"]))
+    return cut_lineage(out.withColumn(name, F.col(name) + 1))
+
+
+def _searched(spans: DataFrame, keys: Sequence[str], last: int, look: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``look`` says of every reference and each slice after it up to the first that fires.
+
+    ``spans`` has keys…, a (the reference) and end (the last slice there is).  ``look`` gets
+    pairs keys…, a, t and returns rows with these columns and ``fires``.  Slices after the one that fires may be there too.
+    """
+    keys = list(keys)
+    found, span = [], FIRST_SPAN
+    while True:
+        stop = F.least(F.col("a") + span, F.col("end"))
+        pairs = spans.where("a < end").select(*keys, "a", F.explode(F.sequence(F.col("a") + 1, stop)).alias("t"))
+        seen = cut_lineage(look(pairs))
+        if span >= last:
+            found.append(seen)
+            return reduce(DataFrame.unionByName, found)
+        fired = seen.where("fires").select(*keys, "a").distinct()
+        short = spans.where(F.col("a") + span < F.col("end")).join(fired, [*keys, "a"], "left_anti")
+        spans = cut_lineage(short)
+        found.append(seen.join(spans.select(*keys, "a"), [*keys, "a"], "left_anti"))
+        span *= _GROWTH
+
+
+def _next(seen: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
+    """``keys…, a, b``: the first slice that fires after each reference, with other columns of that slice."""
+    first = F.min(F.struct(F.col("t").alias("b"), *more)).alias("first")
+    return seen.where("fires").groupBy(*keys, "a").agg(first).select(*keys, "a", "first.*")
 
 
 PUBLISH_SCHEMA = T.StructType(
@@ -96,46 +112,50 @@ def drift_publish(stream: DataFrame, proj: Projection, theta: float, sites: int,
     zero, once its squared norm reaches ``theta^2/sites`` of the squared norm of
     the local stream's whole sketch.  Published cells are listed sparsely.
     """
-    limit = theta * theta / sites
-    size = proj.cells
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, drift = np.zeros(size), np.zeros(size)
-        pending = published = 0
-        for slice_no, part in _slices(batches):
-            cell, c = part["cell"].to_numpy(), part["c"].to_numpy()
-            real = cell >= 0
-            total[cell[real]] += c[real]
-            drift[cell[real]] += c[real]
-            pending += int(c[~real].sum())
-            drift2 = float(drift @ drift)
-            if drift2 < limit * float(total @ total):
-                continue
-            published += 1
-            at = np.flatnonzero(drift)
-            yield pd.DataFrame(
-                {
-                    "sid": [part["sid"].iloc[0]],
-                    "hid": [part["hid"].iloc[0]],
-                    "slice": [slice_no],
-                    "publication": [published],
-                    "updates": [pending],
-                    "drift2": [drift2],
-                    "cells": [at.astype(np.int32)],
-                    "values": [drift[at].astype(np.int64)],
-                }
-            )
-            drift[:] = 0
-            pending = 0
-
-    return _ordered(_feed(stream, proj, every, ["sid", "hid"]), ["sid", "hid"]).applyInPandas(run, PUBLISH_SCHEMA)
-
-
-def _ordered(feed: DataFrame, by: Sequence[str]):
-    placed = feed.repartition(*[F.col(c) for c in by]).sortWithinPartitions(*by, "slice", *[
-        c for c in ("hid",) if c not in by
-    ])
-    return placed.groupBy(*by)
+    key, limit = ["sid", "hid"], theta * theta / sites
+    counts = numbered(slice_updates(stream, every), key, "t")
+    cells = slice_sketches(stream, proj, every)
+    cell = (F.col("d") * F.lit(proj.width) + F.col("b")).cast("int").alias("cell")
+    # A row without change for every slice, so that none is missed.
+    idle = counts.select(*key, "t", F.lit(0).alias("cell"), F.lit(0).cast("bigint").alias("c"))
+    cells = cells.select(*key, "slice", cell, "c").join(counts.select(*key, "slice", "t"), [*key, "slice"]).drop("slice")
+    cells = cut_lineage(cells.unionByName(idle).groupBy(*key, "t", "cell").agg(F.sum("c").alias("c")))
+    ends = counts.groupBy(*key).agg(F.max("t").alias("end"))
+    last = ends.agg(F.max("end")).first()[0] or 0
+    lane = cells.withColumn("d", F.lit(0))
+    whole = running_products(lane, ["cell"], left="c", by=key, lanes=1, segments=Segments.fit(cells, ["t"]), merged=True)
+    whole = cut_lineage(whole.select(*key, "t", F.col("p0").alias("total2")))
+
+    def look(pairs: DataFrame) -> DataFrame:
+        moved = pairs.join(cells, [*key, "t"])
+        x = F.sum("c").over(Window.partitionBy(*key, "a", "cell").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+        grown = moved.select(*key, "a", "t", wide_product(2 * x - F.col("c"), F.col("c")).alias("g"))
+        steps = grown.groupBy(*key, "a", "t").agg(F.sum("g").alias("g"))
+        run = Window.partitionBy(*key, "a").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+        drift2 = F.sum("g").over(run).cast("double").alias("drift2")
+        both = steps.select(*key, "a", "t", drift2).join(whole, [*key, "t"])
+        return both.select(*key, "a", "t", "drift2", (F.col("drift2") >= limit * F.col("total2")).alias("fires"))
+
+    every_slice = ends.select(*key, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("end") - 1)).alias("a"), "end")
+    links = cut_lineage(_next(_searched(every_slice, key, last, look), key, "drift2"))
+    chain = reached(links.select(*key, "a", "b"), ends.select(*key, F.lit(0).cast("bigint").alias("a")), key, last)
+    log = links.join(chain, [*key, "a"])
+    log = cut_lineage(positions(log, "publication", by=key, segments=Segments.fit(log, ["b"])))
+    covered = log.select(*key, "b", F.explode(F.sequence(F.col("a") + 1, F.col("b"))).alias("t"))
+    updates = covered.join(counts, [*key, "t"]).groupBy(*key, "b").agg(F.sum("updates").alias("updates"))
+    sent = covered.join(cells, [*key, "t"]).groupBy(*key, "b", "cell").agg(F.sum("c").alias("c")).where("c <> 0")
+    sent = sent.groupBy(*key, "b").agg(F.sort_array(F.collect_list(F.struct("cell", "c"))).alias("sent"))
+    at = counts.select(*key, F.col("t").alias("b"), "slice")
+    out = log.join(updates, [*key, "b"]).join(at, [*key, "b"]).join(sent, [*key, "b"], "left")
+    return out.select(
+        *key,
+        "slice",
+        (F.col("publication") + 1).alias("publication"),
+        "updates",
+        "drift2",
+        F.coalesce("sent.cell", F.array().cast("array<int>")).alias("cells"),
+        F.coalesce("sent.c", F.array().cast("array<bigint>")).alias("values"),
+    )
 
 
 def published_cells(published: DataFrame, proj: Projection) -> DataFrame:
@@ -192,12 +212,6 @@ ROUND_SCHEMA = T.StructType(
 RULES = ("any_site", "sum")
 _SUM_SHARE = 0.01  # fixed value of the sum rule
 
-#: Slices that are examined together: every one of them as a possible anchor of the later ones.
-BLOCK_SLICES = 16
-#: The anchor in force when a block of slices begins.
-_CURRENT = -(2**62)
-
-
 def monitor(
     stream: DataFrame,
     query: JoinSizeQuery,
@@ -229,11 +243,8 @@ def monitor_all(
 ) -> DataFrame:
     """``monitor`` of several queries over one pass of the stream, with column ``query`` (its text).
 
-    The anchor of a slice, should the query re-anchor there, is the state of the whole
-    stream, whatever happened before.  So a block of slices is examined for all its
-    (anchor, later slice) pairs at once, as sums of the slices' sketches between the two,
-    and only then the chain of anchors is followed, over flags of at most
-    ``BLOCK_SLICES``^2 pairs per query.  No group is wider than one site's sketch.
+    Every slice is a possible anchor of the later ones.  The chain of anchors is found as
+    the module describes, for all queries together.  No group is wider than one site's sketch.
     """
     if rule not in RULES:
         raise ValueError(f"unknown rule {rule!r}; use one of {RULES}")
@@ -247,38 +258,32 @@ def monitor_all(
     # The declared queries; two rows each at most.
     watched = spark.createDataFrame(listed, "q int, query string, sid int, operand int, beta double")
     parts = stream.join(F.broadcast(watched.select("q", "sid", "operand")), "sid")
-    cells = cut_lineage(slice_sketches(parts, proj, every, ["q", "operand", "hid"]))
-    counts = cut_lineage(slice_updates(parts, every, ["q", "hid"]))
-    place = F.row_number().over(Window.partitionBy("q").orderBy("slice"))
-    slices = counts.select("q", "slice").distinct().withColumn("place", place)
-    slices = cut_lineage(slices.withColumn("block", F.expr(f"(place - 1) div {BLOCK_SLICES}")))
-    last = slices.agg(F.max("block")).first()[0]
-    betas = F.broadcast(watched.select("q", "query", "beta").distinct())
-    held = spark.createDataFrame([], "q int, operand int, hid int, d int, b int, now bigint, then bigint")
-    waiting = spark.createDataFrame([], "q int, hid int, updates bigint")
-    moved = spark.createDataFrame([], "q int, rounds bigint")
-    rows = []
-    for block in range(-1 if last is None else last + 1):
-        here = slices.where(F.col("block") == block).select("q", F.col("slice").alias("t"), "place")
-        own_cells = cells.join(here.select("q", F.col("t").alias("slice")), ["q", "slice"])
-        own_counts = counts.join(here.select("q", F.col("t").alias("slice")), ["q", "slice"])
-        anchors = cut_lineage(run.anchors(here, held, own_cells))
-        checks = cut_lineage(run.checks(here, held, own_cells, anchors, betas))
-        chain = cut_lineage(run.chain(here, checks))
-        found = run.rounds(chain, checks, anchors, betas, waiting, own_counts, moved)
-        if block == last:
-            rows.append(found)
-            break
-        rows.append(cut_lineage(found))
-        ends = chain.groupBy("q").agg(F.max_by("next", "t").alias("end"), F.count_if("fired").alias("n"))
-        held, waiting, moved = run.advance(ends, held, own_cells, waiting, own_counts, moved)
-    out = reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame([], ROUND_SCHEMA).withColumn("query", F.lit(""))
-    return out.select("query", *ROUND_SCHEMA.names)
+    slices = numbered(parts.select("q", time_slice_of(every).alias("slice")).distinct(), ["q"], "t")
+    ends = slices.groupBy("q").agg(F.max("t").alias("end"))
+    last = ends.agg(F.max("end")).first()[0]
+    if last is None:
+        return spark.createDataFrame([], ROUND_SCHEMA).withColumn("query", F.lit("")).select("query", *ROUND_SCHEMA.names)
+    cells = cut_lineage(slice_sketches(parts, proj, every, ["q", "operand", "hid"]).join(slices, ["q", "slice"]).drop("slice"))
+    counts = cut_lineage(slice_updates(parts, every, ["q", "hid"]).join(slices, ["q", "slice"]).drop("slice"))
+    # One row per declared query.
+    ends = F.broadcast(ends.join(F.broadcast(watched.select("q", "query", "beta").distinct()), "q"))
+    anchors = cut_lineage(run.anchors(cells, ends))
+    every_slice = ends.select("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("end"))).alias("a"), "end")
+    bounds = cut_lineage(run.bounds(anchors, every_slice, ends))
+    norms = cut_lineage(run.norms(anchors, bounds))
+    own = cut_lineage(run.zetas(norms, idle=True))
+    seen = _searched(every_slice, ["q"], last, lambda pairs: run.checks(pairs, cells, anchors, norms, own, ends))
+    seen = cut_lineage(seen)
+    links = cut_lineage(_next(seen, ["q"]))
+    chain = reached(links, ends.select("q", F.lit(0).cast("bigint").alias("a")), ["q"], last)
+    chain = chain.join(links, ["q", "a"], "left")
+    chain = cut_lineage(positions(chain, "rank", by=["q"], segments=Segments.fit(chain, ["a"])))
+    return run.rounds(chain, seen, bounds, counts, slices, ends)
 
 
 @dataclass(frozen=True)
 class _Monitor:
-    """The steps of one block of slices.  ``t`` is a slice, ``a`` a possible anchor before it."""
+    """The steps of a search.  ``t`` is a slice, ``a`` the slice of a possible anchor before it, 0 before the first one."""
 
     proj: Projection
     selfjoin: bool
@@ -287,29 +292,15 @@ class _Monitor:
     warmup: int
     exact: bool
 
-    def anchors(self, here: DataFrame, held: DataFrame, cells: DataFrame) -> DataFrame:
-        """Sketch of the whole stream at every possible anchor: ``q, a, operand, d, b, e``."""
+    def anchors(self, cells: DataFrame, ends: DataFrame) -> DataFrame:
+        """Sketch of the whole stream after every slice: ``q, a, d, b, e1`` (and ``e2``)."""
         key = ["q", "operand", "d", "b"]
-        at = here.select("q", F.col("t").alias("a"))
-        parts = [
-            held.select(*key, F.lit(_CURRENT).alias("a"), F.col("then").alias("e")),
-            held.join(at, "q").select(*key, "a", F.col("now").alias("e")),
-            cells.join(at, "q").where("slice <= a").select(*key, "a", F.col("c").alias("e")),
-        ]
-        return reduce(DataFrame.unionByName, parts).groupBy("a", *key).agg(F.sum("e").alias("e")).where("e <> 0")
-
-    def _drifts(self, here: DataFrame, held: DataFrame, cells: DataFrame) -> DataFrame:
-        """Drift of every site since the anchor: ``q, a, t, hid, operand, d, b, u``."""
-        key = ["q", "hid", "operand", "d", "b"]
-        later = here.select("q", "t")
-        between = cells.join(later, "q").where("slice <= t")
-        since = between.join(here.select("q", F.col("t").alias("a")), "q").where("a < slice")
-        parts = [
-            held.where("now <> then").join(later, "q").select(*key, F.lit(_CURRENT).alias("a"), "t", F.expr("now - then").alias("u")),
-            between.select(*key, F.lit(_CURRENT).alias("a"), "t", F.col("c").alias("u")),
-            since.select(*key, "a", "t", F.col("c").alias("u")),
-        ]
-        return reduce(DataFrame.unionByName, parts).groupBy("a", "t", *key).agg(F.sum("u").alias("u")).where("u <> 0")
+        changes = cells.groupBy(*key, "t").agg(F.sum("c").alias("c")).join(ends.select("q", "end"), "q")
+        w = Window.partitionBy(*key).orderBy("t")
+        e = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        until = F.coalesce(F.lead("t").over(w) - 1, F.col("end"))
+        held = changes.select(*key, e.alias("e"), F.sequence("t", until).alias("a")).where("e <> 0")
+        return self._sides(held.select(*key, "e", F.explode("a").alias("a")), "e", ["q", "a"])
 
     def _sides(self, cells: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
         """Both operands side by side: value1, value2 (one side for a self-join)."""
@@ -319,54 +310,59 @@ class _Monitor:
         sums = [F.sum(F.when(F.col("operand") == k, F.col(value)).otherwise(zero)).alias(f"{value}{k + 1}") for k in (0, 1)]
         return cells.groupBy(*by, "d", "b").agg(*sums)
 
-    def bounds(self, anchors: DataFrame, here: DataFrame | None, betas: DataFrame) -> DataFrame:
+    def bounds(self, anchors: DataFrame, every: DataFrame, ends: DataFrame) -> DataFrame:
         """``q, a, estimate, low, high`` of every possible anchor; 0 for one without cells."""
         e1, e2 = F.col("e1"), F.col("e1" if self.selfjoin else "e2")
-        dots = lane_table(self._sides(anchors, "e", ["q", "a"]), self.proj.depth, {"dot": wide_product(e1, e2)}, ["q", "a"])
+        dots = lane_table(anchors, self.proj.depth, {"dot": wide_product(e1, e2)}, ["q", "a"])
         known = dots.groupBy("q", "a").agg(F.median("dot").alias("estimate"))
-        if here is not None:
-            every = here.select("q", F.col("t").alias("a")).union(here.select("q", F.lit(_CURRENT)).distinct())
-            known = every.join(known, ["q", "a"], "left").withColumn("estimate", F.coalesce("estimate", F.lit(0.0)))
+        known = every.select("q", "a").join(known, ["q", "a"], "left").withColumn("estimate", F.coalesce("estimate", F.lit(0.0)))
         slack = (F.col("beta") - F.lit(self.proj.epsilon)) * F.abs("estimate")
         low = F.when(F.col("estimate") > 0, F.col("estimate") - slack / (1 + F.col("beta"))).otherwise(-1.0)
         high = F.when(F.col("estimate") > 0, F.col("estimate") + slack / (1 - F.col("beta"))).otherwise(1.0)
-        return known.join(betas.drop("query"), "q").select("q", "a", "estimate", low.alias("low"), high.alias("high"))
+        return known.join(ends.select("q", "beta"), "q").select("q", "a", "estimate", low.alias("low"), high.alias("high"))
 
-    def _lanes(self, drifts: DataFrame, anchors: DataFrame, bounds: DataFrame) -> DataFrame:
-        """Norms of every site's state by row, and of the anchors themselves as hid -1."""
-        by, s = ["q", "a", "t", "hid"], F.lit(self.sites)
-        e = self._sides(anchors, "e", ["q", "a"])
-        u = self._sides(drifts, "u", by).join(e, ["q", "a", "d", "b"], "left")
-        names = ("e1",) if self.selfjoin else ("e1", "e2")
-        u = u.withColumns({n: F.coalesce(n, F.lit(0)).cast("bigint") for n in names})
+    def _pairs(self, one: str, two: str) -> dict[str, Column]:
+        """What is squared: the sketch itself, or sum and difference of both operands."""
         if self.selfjoin:
-            pairs = {"x": (F.col("u1"), F.col("e1"))}
-            norms = {"e2": wide_product(F.col("e1"), F.col("e1"))}
-        else:
-            pairs = {"p": (F.col("u1") + F.col("u2"), F.col("e1") + F.col("e2")), "m": (F.col("u1") - F.col("u2"), F.col("e1") - F.col("e2"))}
-            norms = {f"{k}e2": wide_product(pairs[k][1], pairs[k][1]) for k in pairs}
-        grown = {}
-        for k, (du, de) in pairs.items():
-            # |e + s u|^2 - |e|^2 and s u . e: cells without drift add nothing.
-            grown[f"_{k}2"] = wide_product(s * du, 2 * de + s * du)
-            grown[f"_{k}e"] = wide_product(s * du, de)
-        lanes = lane_table(u, self.proj.depth, grown, by)
-        own = lane_table(e, self.proj.depth, norms, ["q", "a"])
-        depth = F.explode(F.sequence(F.lit(0), F.lit(self.proj.depth - 1)))
-        idle = bounds.select("q", "a", F.lit(None).cast("bigint").alias("t"), F.lit(-1).alias("hid"), depth.alias("d"))
-        all_lanes = lanes.unionByName(idle, allowMissingColumns=True)
-        joined = all_lanes.join(own, ["q", "a", "d"], "left").join(bounds, ["q", "a"])
-        zero = F.lit(0.0)
-        joined = joined.withColumns({c: F.coalesce(c, zero) for c in [*grown, *norms]})
-        if self.selfjoin:
-            return joined.withColumns({"x2": F.col("e2") + F.col("_x2"), "xe": F.col("e2") + F.col("_xe")})
-        return joined.withColumns(
-            {f"{k}{n}": F.col(f"{k}e2") + F.col(f"_{k}{n}") for k in ("p", "m") for n in ("2", "e")}
-        ).withColumnsRenamed({"p2": "px2", "m2": "mx2", "pe": "pxe", "me": "mxe"})
-
-    def zetas(self, lanes: DataFrame) -> DataFrame:
-        """``q, a, t, hid, zeta``: the guard of every site at every slice under every anchor."""
-        by = ["q", "a", "t", "hid"]
+            return {"": F.col(one)}
+        return {"p": F.col(one) + F.col(two), "m": F.col(one) - F.col(two)}
+
+    def norms(self, anchors: DataFrame, bounds: DataFrame) -> DataFrame:
+        """Squared norms of every anchor by row, with its bounds: ``q, a, low, high, d, e2`` (or ``pe2, me2``)."""
+        squares = {f"{k}e2": wide_product(e, e) for k, e in self._pairs("e1", "e2").items()}
+        own = lane_table(anchors, self.proj.depth, squares, ["q", "a"])
+        depth = F.explode(F.sequence(F.lit(0), F.lit(self.proj.depth - 1))).alias("d")
+        lanes = bounds.select("q", "a", "low", "high", depth).join(own, ["q", "a", "d"], "left")
+        return lanes.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in squares})
+
+    def lanes(self, pairs: DataFrame, cells: DataFrame, anchors: DataFrame, norms: DataFrame) -> DataFrame:
+        """Norms by row of the state of every site at every slice in which it changes, under every anchor.
+
+        |e + s u|^2 and (e + s u) . e grow by what each slice adds to the drift u, so a cell is
+        read once per anchor and slice.
+        """
+        by, s = ["q", "a", "t", "hid"], F.lit(self.sites)
+        steps = self._sides(pairs.join(cells, ["q", "t"]), "c", by)
+        steps = steps.join(anchors, ["q", "a", "d", "b"], "left")
+        sides = ("1",) if self.selfjoin else ("1", "2")
+        w = Window.partitionBy("q", "a", "hid", "d", "b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+        steps = steps.withColumns({f"e{i}": F.coalesce(f"e{i}", F.lit(0)).cast("bigint") for i in sides})
+        steps = steps.withColumns({f"u{i}": F.sum(f"c{i}").over(w) for i in sides})
+        c, u, e = self._pairs("c1", "c2"), self._pairs("u1", "u2"), self._pairs("e1", "e2")
+        grown = {f"{k}x2": wide_product(s * c[k], 2 * e[k] + s * (2 * u[k] - c[k])) for k in c}
+        grown |= {f"{k}xe": wide_product(s * c[k], e[k]) for k in c}
+        run = Window.partitionBy("q", "a", "hid", "d").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+        lanes = lane_table(steps, self.proj.depth, grown, by).join(norms, ["q", "a", "d"])
+        return lanes.withColumns({n: F.col(f"{n[:-2]}e2") + F.sum(n).over(run) for n in grown})
+
+    def zetas(self, lanes: DataFrame, idle: bool = False) -> DataFrame:
+        """The guard of every site at every slice under every anchor: ``q, a, t, hid, zeta``.
+
+        With ``idle``, of the anchors themselves, from their ``norms``: ``q, a, zeta_anchor``.
+        """
+        by = ["q", "a"] if idle else ["q", "a", "t", "hid"]
+        if idle:
+            lanes = lanes.withColumns({f"{k}{x}": F.col(f"{k}e2") for k in self._pairs("e1", "e2") for x in ("x2", "xe")})
         if self.selfjoin:
             both = guards.upper_lanes(lanes, F.col("high")).withColumnsRenamed({"zx": "hx", "ze": "he"})
             both = guards.lower_lanes(both, F.col("low"))
@@ -378,20 +374,22 @@ class _Monitor:
         else:
             both = guards.inner_product_lanes(lanes, F.col("low"), True).withColumnsRenamed({"zx": "lx", "ze": "le"})
             both = guards.inner_product_lanes(both, F.col("high"), False).withColumnsRenamed({"zx": "hx", "ze": "he"})
-        keyed = both.withColumn("t", F.coalesce("t", F.lit(_CURRENT)))
-        out = guards.quorums(keyed, {"zl": ("le", "lx"), "zh": ("he", "hx")}, self.proj.depth, by, exact=self.exact)
-        return out.select(*by, F.least("zl", "zh").alias("zeta"))
-
-    def checks(self, here: DataFrame, held: DataFrame, cells: DataFrame, anchors: DataFrame, betas: DataFrame) -> DataFrame:
-        """``q, a, t, zeta_anchor, zeta_min, zeta_sum, fires`` of every anchor and later slice."""
-        bounds = self.bounds(anchors, here, betas)
-        zetas = cut_lineage(self.zetas(self._lanes(self._drifts(here, held, cells), anchors, bounds)))
-        own = zetas.where("hid = -1").select("q", "a", F.col("zeta").alias("zeta_anchor"))
-        seen = zetas.where("hid >= 0").groupBy("q", "a", "t").agg(
+        out = guards.quorums(both, {"zl": ("le", "lx"), "zh": ("he", "hx")}, self.proj.depth, by, exact=self.exact)
+        return out.select(*by, F.least("zl", "zh").alias("zeta_anchor" if idle else "zeta"))
+
+    def checks(
+        self, pairs: DataFrame, cells: DataFrame, anchors: DataFrame, norms: DataFrame, own: DataFrame, ends: DataFrame
+    ) -> DataFrame:
+        """``q, a, t, zeta_anchor, zeta_min, zeta_sum, fires`` of every pair."""
+        zetas = self.zetas(self.lanes(pairs, cells, anchors, norms))
+        # A site keeps its guard until it changes again, or to the end of the span.
+        stops = pairs.groupBy("q", "a").agg(F.max("t").alias("stop"))
+        until = F.coalesce(F.lead("t").over(Window.partitionBy("q", "a", "hid").orderBy("t")) - 1, F.col("stop"))
+        held = zetas.join(stops, ["q", "a"]).select("q", "a", "hid", "zeta", F.sequence("t", until).alias("t"))
+        seen = held.select("q", "a", "zeta", F.explode("t").alias("t")).groupBy("q", "a", "t").agg(
             F.min("zeta").alias("least"), F.sum("zeta").alias("sum"), F.count(F.lit(1)).alias("n")
         )
-        pairs = own.join(here, "q").where("a < t")
-        both = pairs.join(seen, ["q", "a", "t"], "left")
+        both = pairs.join(own, ["q", "a"]).join(seen, ["q", "a", "t"], "left")
         idle = F.lit(self.sites) - F.coalesce("n", F.lit(0))
         zeta_min = F.when(idle > 0, F.least("least", "zeta_anchor")).otherwise(F.col("least"))
         zeta_sum = F.coalesce("sum", F.lit(0.0)) + idle * F.col("zeta_anchor")
@@ -400,49 +398,28 @@ class _Monitor:
             rule = F.col("zeta_min") <= 0
         else:
             rule = F.col("zeta_sum") < F.lit(_SUM_SHARE * self.sites) * F.col("zeta_anchor")
-        return both.select("q", "a", "t", "zeta_anchor", "zeta_min", "zeta_sum", (rule | (F.col("place") <= self.warmup)).alias("fires"))
-
-    def chain(self, here: DataFrame, checks: DataFrame) -> DataFrame:
-        """``q, t, a, fired, next``: the anchor in force at each slice, and the one after it."""
-        flags = checks.where("fires").groupBy("q").agg(F.collect_set(F.struct("a", "t")).alias("flags"))
-        order = here.groupBy("q").agg(F.array_sort(F.collect_list("t")).alias("slices")).join(flags, "q", "left")
-        step = F.struct(F.lit(_CURRENT).cast("bigint").alias("a"), F.expr("cast(array() as array<struct<t:bigint,a:bigint,fired:boolean,next:bigint>>)").alias("out"))
-
-        def follow(state: Column, t: Column) -> Column:
-            fired = F.coalesce(F.array_contains("flags", F.struct(state["a"].alias("a"), t.alias("t"))), F.lit(False))
-            after = F.when(fired, t).otherwise(state["a"])
-            row = F.struct(t.alias("t"), state["a"].alias("a"), fired.alias("fired"), after.alias("next"))
-            return F.struct(after.alias("a"), F.concat(state["out"], F.array(row)).alias("out"))
-
-        return order.select("q", F.inline(F.aggregate("slices", step, follow)["out"]))
+        return both.select("q", "a", "t", "zeta_anchor", "zeta_min", "zeta_sum", (rule | (F.col("t") <= self.warmup)).alias("fires"))
 
     def rounds(
-        self,
-        chain: DataFrame,
-        checks: DataFrame,
-        anchors: DataFrame,
-        betas: DataFrame,
-        waiting: DataFrame,
-        counts: DataFrame,
-        moved: DataFrame,
+        self, chain: DataFrame, seen: DataFrame, bounds: DataFrame, counts: DataFrame, slices: DataFrame, ends: DataFrame
     ) -> DataFrame:
-        """The result rows of the block."""
+        """The result rows: every slice under the anchor in force."""
         size = (1 if self.selfjoin else 2) * self.proj.cells
-        fired = chain.where("fired").select("q", "t", "a")
-        sent = counts.join(fired, "q").where("slice > a and slice <= t").select("q", "t", "hid", "updates")
-        old = waiting.join(fired.where(F.col("a") == _CURRENT), "q").select("q", "t", "hid", "updates")
-        shipped = sent.union(old).groupBy("q", "t", "hid").agg(F.sum("updates").alias("updates"))
+        fired = chain.where("b is not null")
+        covered = fired.select("q", F.col("b").alias("t"), F.explode(F.sequence(F.col("a") + 1, F.col("b"))).alias("s"))
+        shipped = counts.withColumnRenamed("t", "s").join(covered, ["q", "s"]).groupBy("q", "t", "hid").agg(F.sum("updates").alias("updates"))
         shipped = shipped.groupBy("q", "t").agg(
             F.sum("updates").alias("updates"), F.sum(publish_bytes(F.col("updates"), size)).alias("bytes")
         )
-        in_force = self.bounds(anchors, chain.select("q", "t"), betas).withColumnRenamed("a", "next")
-        number = F.count_if("fired").over(Window.partitionBy("q").orderBy("t"))
-        out = chain.withColumn("new", number).join(checks.drop("fires"), ["q", "a", "t"]).join(in_force, ["q", "next"])
-        out = out.join(shipped, ["q", "t"], "left").join(moved, "q", "left").join(betas.select("q", "query"), "q")
+        moved = F.col("t") == F.coalesce("b", F.lit(0))
+        out = seen.drop("fires").join(chain, ["q", "a"]).where("b is null or t <= b")
+        out = out.withColumns({"fired": moved, "now": F.when(moved, F.col("t")).otherwise(F.col("a"))})
+        out = out.join(bounds.withColumnRenamed("a", "now"), ["q", "now"]).join(slices, ["q", "t"])
+        out = out.join(shipped, ["q", "t"], "left").join(ends.select("q", "query"), "q")
         return out.select(
             "query",
-            F.col("t").alias("slice"),
-            (F.col("new") + F.coalesce("rounds", F.lit(0))).alias("round"),
+            "slice",
+            (F.col("rank") + F.col("fired").cast("bigint")).alias("round"),
             F.col("fired").alias("reanchored"),
             "estimate",
             "low",
@@ -454,40 +431,24 @@ class _Monitor:
             F.coalesce("bytes", F.lit(0)).alias("bytes"),
         )
 
-    def advance(
-        self, ends: DataFrame, held: DataFrame, cells: DataFrame, waiting: DataFrame, counts: DataFrame, moved: DataFrame
-    ) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """State at the end of the block: prefix sums now and at the anchor, waiting updates, rounds."""
-        key = ["q", "operand", "hid", "d", "b"]
-        kept = F.coalesce(F.col("end"), F.lit(_CURRENT)) == _CURRENT
-        old = held.join(ends.select("q", "end"), "q", "left").select(
-            *key, "now", F.when(kept, F.col("then")).otherwise(F.col("now")).alias("then")
-        )
-        new = cells.join(ends.select("q", "end"), "q").select(
-            *key, F.col("c").alias("now"), F.when(F.col("slice") <= F.col("end"), F.col("c")).otherwise(0).alias("then")
-        )
-        state = old.unionByName(new).groupBy(*key).agg(F.sum("now").alias("now"), F.sum("then").alias("then"))
-        still = waiting.join(ends.select("q", "end"), "q", "left").where(kept).select("q", "hid", "updates")
-        more = counts.join(ends.select("q", "end"), "q").where("slice > end").select("q", "hid", "updates")
-        pending = still.unionByName(more).groupBy("q", "hid").agg(F.sum("updates").alias("updates"))
-        total = moved.unionByName(ends.select("q", F.col("n").alias("rounds"))).groupBy("q").agg(F.sum("rounds").alias("rounds"))
-        return cut_lineage(state), cut_lineage(pending), cut_lineage(total)
-
 
-def monitor_summary(rounds: DataFrame, query: JoinSizeQuery, proj: Projection, sites: int, rule: str) -> DataFrame:
+def monitor_summaries(rounds: DataFrame, queries: Sequence[JoinSizeQuery], proj: Projection, sites: int, rule: str) -> DataFrame:
     """One result row per monitored query: rounds, checked slices, updates and bytes shipped."""
-    return rounds.agg(
+    listed = [(str(q), float(q.beta), len(q.operands) * proj.cells, q.left) for q in queries]
+    watched = rounds.sparkSession.createDataFrame(listed, "run_id string, max_error double, statevec_size bigint, sid int")
+    sums = rounds.groupBy(F.col("query").alias("run_id")).agg(
         F.count_if("reanchored").alias("rounds"),
         F.count(F.lit(1)).alias("subrounds"),
         F.sum("updates").alias("updates_shipped"),
         F.sum("bytes").alias("bytes_shipped"),
-    ).select(
-        F.lit(str(query)).alias("run_id"),
+    )
+    return sums.join(F.broadcast(watched), "run_id").select(
+        "run_id",
         F.lit(rule).alias("protocol"),
-        F.lit(float(query.beta)).alias("max_error"),
-        F.lit(len(query.operands) * proj.cells).cast("bigint").alias("statevec_size"),
+        "max_error",
+        "statevec_size",
         F.lit(sites).alias("sites"),
-        F.lit(query.left).alias("sid"),
+        "sid",
         "rounds",
         "subrounds",
         "updates_shipped",
@@ -495,6 +456,11 @@ def monitor_summary(rounds: DataFrame, query: JoinSizeQuery, proj: Projection, s
     )
 
 
+def monitor_summary(rounds: DataFrame, query: JoinSizeQuery, proj: Projection, sites: int, rule: str) -> DataFrame:
+    """The same of ``monitor`` for one query."""
+    return monitor_summaries(rounds.withColumn("query", F.lit(str(query))), [query], proj, sites, rule)
+
+
 def error_series(exact: DataFrame, estimated: DataFrame, on: Sequence[str], value: str = "estimate") -> DataFrame:
     """Join two series on their time key and add the relative error of the second."""
     e = exact.select(*on, F.col(value).alias("exact"))

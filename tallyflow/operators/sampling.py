@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyflow.operators.levels import level_chain
 from tallyflow.operators.segments import Segments, positions
 from tallyflow.schema import order_columns
 
@@ -63,50 +62,14 @@ def level_changed(
     d: float = 0.0,
     by: Sequence[str] = ("sid",),
     first: float | None = None,
+    segments: Segments | None = None,
 ) -> DataFrame:
     """Rows where ``value`` has left the band ``p*|last| + d`` around the last emitted level.
 
     ``last`` starts at ``first`` or else at the group's first value, and moves only
-    when a row is emitted.  The rule is sequential, so each group is one ordered
-    run; rows stream through it in Arrow batches and its state is one number, so
-    memory does not grow with the group.  ``streaming.levels`` is the incremental
-    form for unbounded series.
+    when a row is emitted.  A group may be of any length: it is cut into segments, and the
+    level in force at the start of each is found without running through those before
+    (see ``operators.levels``).  Rows without a value, or with one that is not a number,
+    neither have nor leave a level.  ``streaming.levels`` is the incremental form.
     """
-    by = list(by)
-    order = order_columns(series)
-    slim = series.select(*by, *order, F.col(value).cast("double").alias("level"))
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = first
-        for batch in batches:
-            hits, last = level_hits(batch["level"].to_numpy(), last, p, d)
-            yield batch[[*by, *order, "level"]].iloc[hits]
-
-    keys = by or ["_all"]
-    schema = slim.schema
-    if not by:
-        slim = slim.withColumn("_all", F.lit(0))
-    placed = slim.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
-    return placed.groupBy(*keys).applyInPandas(emit, schema)
-
-
-def level_hits(values: np.ndarray, last: float | None, p: float, d: float, step: int = 1024) -> tuple[list[int], float | None]:
-    """Places that leave the band around the last level, and the last level after them.
-
-    Looks for the next such place in whole stretches of the array.
-    """
-    hits: list[int] = []
-    at = 0
-    if last is None and len(values):
-        last, at = float(values[0]), 1
-    while at < len(values):
-        stretch = values[at : at + step]
-        out = np.abs(stretch - last) > p * abs(last) + d
-        i = int(out.argmax())
-        if not out[i]:
-            at += len(stretch)
-            continue
-        hits.append(at + i)
-        last = float(stretch[i])
-        at += i + 1
-    return hits, last
+    return level_chain(series, value, p, d, by, first, segments)

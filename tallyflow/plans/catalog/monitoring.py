@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.functions import scalars
@@ -117,61 +120,83 @@ def message_bytes(spark, sf):
 _MK = (PROJ.depth + 1) // 2
 _CELLS = PROJ.cells
 
-_GUARDED_SQL = (
-    _HASHED
-    + f""",
-s AS (SELECT hid, ts // {_EVERY} AS slice, d, b, sum(sg * upd) AS c FROM h WHERE sid = 4 GROUP BY hid, ts // {_EVERY}, d, b),
-n AS (SELECT hid, ts // {_EVERY} AS slice, count(*) AS n FROM ev WHERE sid = 4 GROUP BY hid, ts // {_EVERY}),
-sl AS (SELECT DISTINCT slice FROM n),
-lanes0 AS (SELECT CAST(i AS INTEGER) AS d FROM range({PROJ.depth}) r(i)),
-ea AS (SELECT CAST(-1 AS BIGINT) AS a, d, 0 AS b, CAST(0 AS HUGEINT) AS c FROM lanes0 UNION ALL
-       SELECT sl.slice, d, b, sum(c) FROM sl JOIN s ON s.slice <= sl.slice GROUP BY sl.slice, d, b),
-en AS (SELECT a, d, sum(c * c)::DOUBLE AS e2 FROM ea GROUP BY a, d),
-q AS (SELECT a, median(e2) AS estimate FROM en GROUP BY a),
-bb AS (SELECT a, estimate, {_low('estimate')} AS low, {_high('estimate')} AS high FROM q),
-pt AS (SELECT bb.a, sl.slice AS t FROM bb JOIN sl ON sl.slice > bb.a),
-u AS (SELECT pt.a, pt.t, s.hid, s.d, s.b, sum(s.c) AS c FROM pt JOIN s ON s.slice > pt.a AND s.slice <= pt.t GROUP BY pt.a, pt.t, s.hid, s.d, s.b),
-site AS (SELECT DISTINCT a, t, hid FROM u),
-x AS (SELECT a, t, hid, d, b, sum(c) AS c FROM (
-        SELECT site.a, site.t, site.hid, ea.d, ea.b, ea.c FROM site JOIN ea ON ea.a = site.a UNION ALL
-        SELECT a, t, hid, d, b, {SITES} * c FROM u) z GROUP BY a, t, hid, d, b),
-ln AS (SELECT x.a, x.t, x.hid, x.d, sum(x.c * x.c)::DOUBLE AS x2, sum(x.c * coalesce(ea.c, 0))::DOUBLE AS xe
-       FROM x LEFT JOIN ea ON ea.a = x.a AND ea.d = x.d AND ea.b = x.b GROUP BY x.a, x.t, x.hid, x.d
-       UNION ALL SELECT a, CAST(-9 AS BIGINT), -9, d, e2, e2 FROM en),
-up AS (SELECT ln.a, ln.t, ln.hid, ln.d, sqrt(high) - sqrt(e2) AS ze, sqrt(high) - sqrt(x2) AS zx
-       FROM ln JOIN en ON en.a = ln.a AND en.d = ln.d JOIN bb ON bb.a = ln.a),
-lo AS (SELECT ln.a, ln.t, ln.hid, ln.d, sqrt(e2) - sqrt(low) AS ze, xe / sqrt(e2) - sqrt(low) AS zx
-       FROM ln JOIN en ON en.a = ln.a AND en.d = ln.d JOIN bb ON bb.a = ln.a WHERE low > 0 AND e2 > 0),
-ug AS (SELECT *, count(*) OVER w AS l, row_number() OVER (PARTITION BY a, t, hid ORDER BY ze * zx) AS rn FROM up WHERE ze > 0
-       WINDOW w AS (PARTITION BY a, t, hid)),
-lg AS (SELECT *, count(*) OVER w AS l, row_number() OVER (PARTITION BY a, t, hid ORDER BY ze * zx) AS rn FROM lo WHERE ze > 0
-       WINDOW w AS (PARTITION BY a, t, hid)),
-zu AS (SELECT a, t, hid, sum(ze * zx) AS z FROM ug WHERE rn <= l - {_MK} + 1 GROUP BY a, t, hid),
-zl AS (SELECT a, t, hid, sum(ze * zx) AS z FROM lg WHERE rn <= l - {_MK} + 1 GROUP BY a, t, hid),
-zs AS (SELECT zu.a, zu.t, zu.hid, least(zu.z, coalesce(zl.z, zu.z)) AS z FROM zu LEFT JOIN zl ON zl.a = zu.a AND zl.t = zu.t AND zl.hid = zu.hid),
-za AS (SELECT a, z AS zeta_anchor FROM zs WHERE t = -9),
-ck AS (SELECT zs.a, zs.t, zeta_anchor, least(min(z), CASE WHEN count(*) < {SITES} THEN zeta_anchor ELSE min(z) END) AS zeta_min,
+_LEAST = f"""masks AS (SELECT CAST(i AS INTEGER) AS mask FROM range(1, {1 << PROJ.depth}) r(i))"""
+
+
+def _quorum_sql(lanes: str, out: str) -> str:
+    """CTE ``out``: the smallest normalised sum over all sets of l - k + 1 of the l rows of ``lanes`` (ze, zx, l, rn)."""
+    return f"""{out}_m AS (SELECT q, a, t, hid, mask, sum(ze * zx) / sqrt(sum(ze * ze)) AS v FROM {lanes} JOIN masks
+       ON mask < (1 << l) AND bit_count(mask) = l - {_MK} + 1 AND (mask >> (rn - 1)) & 1 = 1 GROUP BY q, a, t, hid, mask),
+{out} AS (SELECT q, a, t, hid, min(v) AS z FROM {out}_m GROUP BY q, a, t, hid)"""
+
+
+#: From the guards of sites (zs) and anchors to the log of rounds.
+_CHAIN_SQL = f"""za AS (SELECT q, a, z AS zeta_anchor FROM zs WHERE t = -9),
+ck AS (SELECT zs.q, zs.a, zs.t, zeta_anchor, least(min(z), CASE WHEN count(*) < {SITES} THEN zeta_anchor ELSE min(z) END) AS zeta_min,
          sum(z) + ({SITES} - count(*)) * zeta_anchor AS zeta_sum
-       FROM zs JOIN za ON za.a = zs.a WHERE zs.t >= 0 GROUP BY zs.a, zs.t, zeta_anchor),
-fire AS (SELECT a, min(t) AS t FROM ck WHERE a = -1 OR RULE GROUP BY a),
-anchors AS (SELECT a, t, CAST(1 AS BIGINT) AS round FROM fire WHERE a = -1 UNION ALL
-       SELECT fire.a, fire.t, anchors.round + 1 FROM anchors JOIN fire ON fire.a = anchors.t),
-inforce AS (SELECT sl.slice, coalesce(max(anchors.t), -1) AS a FROM sl LEFT JOIN anchors ON anchors.t < sl.slice GROUP BY sl.slice),
-sent AS (SELECT v.slice, sum(m) AS updates, sum(least({4 * _CELLS}, 8 * m)) AS bytes FROM (
-       SELECT i.slice, n.hid, sum(n.n) AS m FROM inforce i JOIN n ON n.slice > i.a AND n.slice <= i.slice GROUP BY i.slice, n.hid) v GROUP BY v.slice),
-rounds AS (SELECT i.slice, CAST((SELECT count(*) FROM anchors WHERE anchors.t <= i.slice) AS BIGINT) AS round, f.t IS NOT NULL AS reanchored,
-       bb.estimate, bb.low, bb.high, ck.zeta_anchor, ck.zeta_min, ck.zeta_sum,
+       FROM zs JOIN za ON za.q = zs.q AND za.a = zs.a WHERE zs.t >= 0 GROUP BY zs.q, zs.a, zs.t, zeta_anchor),
+fire AS (SELECT q, a, min(t) AS t FROM ck WHERE a = -1 OR RULE GROUP BY q, a),
+anchors AS (SELECT q, a, t, CAST(1 AS BIGINT) AS round FROM fire WHERE a = -1 UNION ALL
+       SELECT fire.q, fire.a, fire.t, anchors.round + 1 FROM anchors JOIN fire ON fire.q = anchors.q AND fire.a = anchors.t),
+inforce AS (SELECT sl.q, sl.slice, coalesce(max(anchors.t), -1) AS a FROM sl LEFT JOIN anchors ON anchors.q = sl.q AND anchors.t < sl.slice
+       GROUP BY sl.q, sl.slice),
+sent AS (SELECT v.q, v.slice, sum(m) AS updates, sum(least(PAYLOAD, 8 * m)) AS bytes FROM (
+       SELECT i.q, i.slice, n.hid, sum(n.n) AS m FROM inforce i JOIN n ON n.q = i.q AND n.slice > i.a AND n.slice <= i.slice
+       GROUP BY i.q, i.slice, n.hid) v GROUP BY v.q, v.slice),
+rounds AS (SELECT i.q, i.slice, CAST((SELECT count(*) FROM anchors WHERE anchors.q = i.q AND anchors.t <= i.slice) AS BIGINT) AS round,
+       f.t IS NOT NULL AS reanchored, bb.estimate, bb.low, bb.high, ck.zeta_anchor, ck.zeta_min, ck.zeta_sum,
        CAST(CASE WHEN f.t IS NULL THEN 0 ELSE sent.updates END AS BIGINT) AS updates,
        CAST(CASE WHEN f.t IS NULL THEN 0 ELSE sent.bytes END AS BIGINT) AS bytes
-     FROM inforce i LEFT JOIN anchors f ON f.t = i.slice JOIN bb ON bb.a = CASE WHEN f.t IS NULL THEN i.a ELSE i.slice END
-     JOIN ck ON ck.a = i.a AND ck.t = i.slice JOIN sent ON sent.slice = i.slice)"""
+     FROM inforce i LEFT JOIN anchors f ON f.q = i.q AND f.t = i.slice
+     JOIN bb ON bb.q = i.q AND bb.a = CASE WHEN f.t IS NULL THEN i.a ELSE i.slice END
+     JOIN ck ON ck.q = i.q AND ck.a = i.a AND ck.t = i.slice JOIN sent ON sent.q = i.q AND sent.slice = i.slice)"""
+
+_GUARDED_SQL = ",\n".join(
+    [
+        _HASHED,
+        _LEAST,
+        f"""s AS (SELECT sid AS q, hid, ts // {_EVERY} AS slice, d, b, sum(sg * upd) AS c FROM h GROUP BY sid, hid, ts // {_EVERY}, d, b),
+n AS (SELECT sid AS q, hid, ts // {_EVERY} AS slice, count(*) AS n FROM ev GROUP BY sid, hid, ts // {_EVERY}),
+sl AS (SELECT DISTINCT q, slice FROM n),
+lanes0 AS (SELECT q, CAST(i AS INTEGER) AS d FROM (SELECT DISTINCT q FROM n) x, range({PROJ.depth}) r(i)),
+ea AS (SELECT q, CAST(-1 AS BIGINT) AS a, d, 0 AS b, CAST(0 AS HUGEINT) AS c FROM lanes0 UNION ALL
+       SELECT sl.q, sl.slice, d, b, sum(c) FROM sl JOIN s ON s.q = sl.q AND s.slice <= sl.slice GROUP BY sl.q, sl.slice, d, b),
+en AS (SELECT q, a, d, sum(c * c)::DOUBLE AS e2 FROM ea GROUP BY q, a, d),
+es AS (SELECT q, a, median(e2) AS estimate FROM en GROUP BY q, a),
+bb AS (SELECT q, a, estimate, {_low('estimate')} AS low, {_high('estimate')} AS high FROM es),
+pt AS (SELECT bb.q, bb.a, sl.slice AS t FROM bb JOIN sl ON sl.q = bb.q AND sl.slice > bb.a),
+u AS (SELECT pt.q, pt.a, pt.t, s.hid, s.d, s.b, sum(s.c) AS c FROM pt JOIN s ON s.q = pt.q AND s.slice > pt.a AND s.slice <= pt.t
+      GROUP BY pt.q, pt.a, pt.t, s.hid, s.d, s.b),
+site AS (SELECT DISTINCT q, a, t, hid FROM u),
+x AS (SELECT q, a, t, hid, d, b, sum(c) AS c FROM (
+        SELECT site.q, site.a, site.t, site.hid, ea.d, ea.b, ea.c FROM site JOIN ea ON ea.q = site.q AND ea.a = site.a UNION ALL
+        SELECT q, a, t, hid, d, b, {SITES} * c FROM u) z GROUP BY q, a, t, hid, d, b),
+ln AS (SELECT x.q, x.a, x.t, x.hid, x.d, sum(x.c * x.c)::DOUBLE AS x2, sum(x.c * coalesce(ea.c, 0))::DOUBLE AS xe
+       FROM x LEFT JOIN ea ON ea.q = x.q AND ea.a = x.a AND ea.d = x.d AND ea.b = x.b GROUP BY x.q, x.a, x.t, x.hid, x.d
+       UNION ALL SELECT q, a, CAST(-9 AS BIGINT), -9, d, e2, e2 FROM en),
+up AS (SELECT ln.q, ln.a, ln.t, ln.hid, ln.d, sqrt(high) - sqrt(e2) AS ze, sqrt(high) - sqrt(x2) AS zx
+       FROM ln JOIN en ON en.q = ln.q AND en.a = ln.a AND en.d = ln.d JOIN bb ON bb.q = ln.q AND bb.a = ln.a),
+lo AS (SELECT ln.q, ln.a, ln.t, ln.hid, ln.d, sqrt(e2) - sqrt(low) AS ze, xe / sqrt(e2) - sqrt(low) AS zx
+       FROM ln JOIN en ON en.q = ln.q AND en.a = ln.a AND en.d = ln.d JOIN bb ON bb.q = ln.q AND bb.a = ln.a WHERE low > 0 AND e2 > 0),
+ug AS (SELECT *, count(*) OVER w AS l, row_number() OVER (PARTITION BY q, a, t, hid ORDER BY d) AS rn FROM up WHERE ze > 0
+       WINDOW w AS (PARTITION BY q, a, t, hid)),
+lg AS (SELECT *, count(*) OVER w AS l, row_number() OVER (PARTITION BY q, a, t, hid ORDER BY d) AS rn FROM lo WHERE ze > 0
+       WINDOW w AS (PARTITION BY q, a, t, hid))""",
+        _quorum_sql("ug", "zu"),
+        _quorum_sql("lg", "zl"),
+        """zs AS (SELECT zu.q, zu.a, zu.t, zu.hid, least(zu.z, coalesce(zl.z, zu.z)) AS z FROM zu
+       LEFT JOIN zl ON zl.q = zu.q AND zl.a = zu.a AND zl.t = zu.t AND zl.hid = zu.hid)""",
+        _CHAIN_SQL.replace("PAYLOAD", str(4 * _CELLS)),
+    ]
 )
 
 _RULE_SQL = {"any_site": "zeta_min <= 0", "sum": f"zeta_sum < {0.01 * SITES!r} * zeta_anchor"}
-_ROUND_SQL = """SELECT slice, round, reanchored, estimate, round(low, 3) AS low, round(high, 3) AS high, updates, bytes,
+_ROUND_COLUMNS = """slice, round, reanchored, estimate, round(low, 3) AS low, round(high, 3) AS high, updates, bytes,
  round(zeta_anchor, 1) AS zeta_anchor, round(zeta_min, 1) AS zeta_min, round(zeta_sum, 1) AS zeta_sum FROM rounds"""
+_ROUND_SQL = f"SELECT 'selfjoin(' || q || ')' AS query, {_ROUND_COLUMNS}"
 
-_QUERY = JoinSizeQuery(4, beta=_BETA)
+#: Every stream is watched, all in one pass.
+_QUERIES = [JoinSizeQuery(sid, beta=_BETA) for sid in range(5)]
 
 
 def _guarded(rule: str) -> str:
@@ -179,7 +204,7 @@ def _guarded(rule: str) -> str:
 
 
 def _rounds(spark, sf, rule):
-    return mn.monitor(events_stream(spark, sf), _QUERY, PROJ, SITES, _EVERY, rule, exact=False)
+    return mn.monitor_all(events_stream(spark, sf), _QUERIES, PROJ, SITES, _EVERY, rule)
 
 
 def _rounded(rounds):
@@ -204,26 +229,28 @@ def _join_guard(out: str, xi: str, psi: str, t: str, x: str, y: str) -> str:
 
 
 def _join_quorum(out: str, site: str, anchor: str) -> str:
-    """CTE ``out``: (a, t, hid, z), the sum of the smallest products of the rows with a positive anchor guard."""
-    return f"""{out}_p AS (SELECT l.a, l.t, l.hid, e.zeta * x.zeta / 2 AS p FROM lanes l JOIN {site} x ON x.id = l.id JOIN {anchor} e ON e.id = l.id WHERE e.zeta > 0),
-{out}_r AS (SELECT *, count(*) OVER (PARTITION BY a, t, hid) AS l, row_number() OVER (PARTITION BY a, t, hid ORDER BY p) AS rn FROM {out}_p),
-{out} AS (SELECT a, t, hid, sum(p) AS z FROM {out}_r WHERE rn <= l - {_MK} + 1 GROUP BY a, t, hid)"""
+    """CTE ``out``: (q, a, t, hid, z), the exact quorum of the rows with a positive anchor guard."""
+    return f"""{out}_p AS (SELECT l.q, l.a, l.t, l.hid, e.zeta / sqrt(2) AS ze, x.zeta / sqrt(2) AS zx, l.d FROM lanes l JOIN {site} x ON x.id = l.id
+       JOIN {anchor} e ON e.id = l.id WHERE e.zeta > 0),
+{out}_r AS (SELECT *, count(*) OVER (PARTITION BY q, a, t, hid) AS l, row_number() OVER (PARTITION BY q, a, t, hid ORDER BY d) AS rn FROM {out}_p),
+""" + _quorum_sql(f"{out}_r", out)
 
 
 _PAIR_GUARDED_SQL = ",\n".join(
     [
         _HASHED,
-        f"""s AS (SELECT hid, ts // {_EVERY} AS slice, d, b, sum(CASE WHEN sid = 0 THEN sg * upd ELSE 0 END) AS c1,
+        _LEAST,
+        f"""s AS (SELECT 0 AS q, hid, ts // {_EVERY} AS slice, d, b, sum(CASE WHEN sid = 0 THEN sg * upd ELSE 0 END) AS c1,
         sum(CASE WHEN sid = 4 THEN sg * upd ELSE 0 END) AS c2 FROM h WHERE sid IN (0, 4) GROUP BY hid, ts // {_EVERY}, d, b)""",
-        f"n AS (SELECT hid, ts // {_EVERY} AS slice, count(*) AS n FROM ev WHERE sid IN (0, 4) GROUP BY hid, ts // {_EVERY})",
-        f"""sl AS (SELECT DISTINCT slice FROM n),
+        f"n AS (SELECT 0 AS q, hid, ts // {_EVERY} AS slice, count(*) AS n FROM ev WHERE sid IN (0, 4) GROUP BY hid, ts // {_EVERY})",
+        f"""sl AS (SELECT DISTINCT q, slice FROM n),
 lanes0 AS (SELECT CAST(i AS INTEGER) AS d FROM range({PROJ.depth}) r(i)),
 ea AS (SELECT CAST(-1 AS BIGINT) AS a, d, 0 AS b, CAST(0 AS HUGEINT) AS c1, CAST(0 AS HUGEINT) AS c2 FROM lanes0 UNION ALL
        SELECT sl.slice, d, b, sum(c1), sum(c2) FROM sl JOIN s ON s.slice <= sl.slice GROUP BY sl.slice, d, b),
 en AS (SELECT a, d, sqrt(sum((c1 + c2) * (c1 + c2))::DOUBLE) AS pe, sqrt(sum((c1 - c2) * (c1 - c2))::DOUBLE) AS me,
          sum(c1 * c2)::DOUBLE AS dot FROM ea GROUP BY a, d),
-q AS (SELECT a, median(dot) AS estimate FROM en GROUP BY a),
-bb AS (SELECT a, estimate, {_low('estimate')} AS low, {_high('estimate')} AS high FROM q),
+es AS (SELECT a, median(dot) AS estimate FROM en GROUP BY a),
+bb AS (SELECT 0 AS q, a, estimate, {_low('estimate')} AS low, {_high('estimate')} AS high FROM es),
 pt AS (SELECT bb.a, sl.slice AS t FROM bb JOIN sl ON sl.slice > bb.a),
 u AS (SELECT pt.a, pt.t, s.hid, s.d, s.b, sum(s.c1) AS c1, sum(s.c2) AS c2 FROM pt JOIN s ON s.slice > pt.a AND s.slice <= pt.t
       GROUP BY pt.a, pt.t, s.hid, s.d, s.b),
@@ -236,7 +263,7 @@ l0 AS (SELECT x.a, x.t, x.hid, x.d, sqrt(sum((x.c1 + x.c2) * (x.c1 + x.c2))::DOU
          sum((x.c1 - x.c2) * (coalesce(ea.c1, 0) - coalesce(ea.c2, 0)))::DOUBLE AS mxe
        FROM x LEFT JOIN ea ON ea.a = x.a AND ea.d = x.d AND ea.b = x.b GROUP BY x.a, x.t, x.hid, x.d
        UNION ALL SELECT a, CAST(-9 AS BIGINT), -9, d, pe, me, pe * pe, me * me FROM en),
-lanes AS (SELECT l0.*, row_number() OVER () AS id, en.pe, en.me, bb.low, bb.high,
+lanes AS (SELECT l0.*, 0 AS q, row_number() OVER () AS id, en.pe, en.me, bb.low, bb.high,
             CASE WHEN en.pe > 0 THEN l0.pxe / en.pe ELSE 0 END AS pa, CASE WHEN en.me > 0 THEN l0.mxe / en.me ELSE 0 END AS ma
           FROM l0 JOIN en ON en.a = l0.a AND en.d = l0.d JOIN bb ON bb.a = l0.a)""",
         _join_guard("lx", "pe", "me", "4 * low", "pa", "mx"),
@@ -245,18 +272,18 @@ lanes AS (SELECT l0.*, row_number() OVER () AS id, en.pe, en.me, bb.low, bb.high
         _join_guard("he", "me", "pe", "-4 * high", "me", "pe"),
         _join_quorum("zl", "lx", "le"),
         _join_quorum("zu", "hx", "he"),
-        "zs AS (SELECT zu.a, zu.t, zu.hid, least(zu.z, zl.z) AS z FROM zu JOIN zl ON zl.a = zu.a AND zl.t = zu.t AND zl.hid = zu.hid)",
+        "zs AS (SELECT zu.q, zu.a, zu.t, zu.hid, least(zu.z, zl.z) AS z FROM zu JOIN zl ON zl.a = zu.a AND zl.t = zu.t AND zl.hid = zu.hid)",
         # The chain of anchors and the log of rounds are the same as for one stream.
-        _GUARDED_SQL[_GUARDED_SQL.index("za AS (") :].replace(f"least({4 * _CELLS},", f"least({8 * _CELLS},"),
+        _CHAIN_SQL.replace("PAYLOAD", str(8 * _CELLS)),
     ]
 )
 
 
-@query("monitor_join", with_(EV, _PAIR_GUARDED_SQL.replace("RULE", _RULE_SQL["any_site"]), _ROUND_SQL))
+@query("monitor_join", with_(EV, _PAIR_GUARDED_SQL.replace("RULE", _RULE_SQL["any_site"]), f"SELECT {_ROUND_COLUMNS}"))
 def monitor_join(spark, sf):
-    """The any-site rule for the join of two streams."""
+    """The any-site rule for the join of two streams, with the exact quorum."""
     q = JoinSizeQuery(0, 4, beta=_BETA)
-    return _rounded(mn.monitor(events_stream(spark, sf), q, PROJ, SITES, _EVERY, "any_site", exact=False))
+    return _rounded(mn.monitor(events_stream(spark, sf), q, PROJ, SITES, _EVERY, "any_site"))
 
 
 @query(
@@ -264,13 +291,13 @@ def monitor_join(spark, sf):
     with_(
         EV,
         _guarded("sum"),
-        f"""SELECT 'selfjoin(4)' AS run_id, 'sum' AS protocol, CAST({_BETA} AS DOUBLE) AS max_error, CAST({_CELLS} AS BIGINT) AS statevec_size,
-         {SITES} AS sites, 4 AS sid, CAST(count(*) FILTER (WHERE reanchored) AS BIGINT) AS rounds, CAST(count(*) AS BIGINT) AS subrounds,
-         CAST(sum(updates) AS BIGINT) AS updates_shipped, CAST(sum(bytes) AS BIGINT) AS bytes_shipped FROM rounds""",
+        f"""SELECT 'selfjoin(' || q || ')' AS run_id, 'sum' AS protocol, CAST({_BETA} AS DOUBLE) AS max_error, CAST({_CELLS} AS BIGINT) AS statevec_size,
+         {SITES} AS sites, q AS sid, CAST(count(*) FILTER (WHERE reanchored) AS BIGINT) AS rounds, CAST(count(*) AS BIGINT) AS subrounds,
+         CAST(sum(updates) AS BIGINT) AS updates_shipped, CAST(sum(bytes) AS BIGINT) AS bytes_shipped FROM rounds GROUP BY q""",
     ),
 )
 def gm_summary(spark, sf):
-    return mn.monitor_summary(_rounds(spark, sf, "sum"), _QUERY, PROJ, SITES, "sum")
+    return mn.monitor_summaries(_rounds(spark, sf, "sum"), _QUERIES, PROJ, SITES, "sum")
 
 
 # -- streaming ------------------------------------------------------------------------
@@ -339,16 +366,22 @@ def stream_drift_publish(spark, sf):
     with_(
         EV,
         _slowly(_guarded("any_site")),
-        """SELECT row_number() OVER (ORDER BY slice) - 1 AS batch, reanchored, estimate, round(low, 3) AS low, round(high, 3) AS high,
-         updates, bytes FROM rounds""",
+        """SELECT 'selfjoin(' || q || ')' AS query, dense_rank() OVER (ORDER BY slice) - 1 AS batch, reanchored, estimate,
+         round(low, 3) AS low, round(high, 3) AS high, updates, bytes FROM rounds""",
     ),
 )
 def stream_monitor(spark, sf):
-    """Round log of the streaming monitor, one micro-batch per slice; the first one sets the anchor."""
-    folder = shared_folder(spark)
-    guard = GuardedEstimate(spark, folder, _QUERY, PROJ, SITES, "any_site", exact=False)
-    drain_batches(_slices(spark, sf), guard.handle, folder)
-    rounds = guard.rounds.all().drop("v", "zeta_anchor", "zeta_min", "zeta_sum")
+    """Round logs of streaming monitors of every stream, one micro-batch per slice; the first one sets the anchors."""
+    folders = {q: f"{shared_folder(spark)}-{q.left}" for q in _QUERIES}
+    watch = {q: GuardedEstimate(spark, folder, q, PROJ, SITES, "any_site") for q, folder in folders.items()}
+
+    def handle(batch, batch_id):
+        for guard in watch.values():
+            guard.handle(batch, batch_id)
+
+    drain_batches(_slices(spark, sf), handle, shared_folder(spark))
+    logs = [guard.rounds.all().withColumn("query", F.lit(str(q))) for q, guard in watch.items()]
+    rounds = reduce(DataFrame.unionByName, logs).drop("v", "zeta_anchor", "zeta_min", "zeta_sum")
     return rounds.withColumns({c: F.round(c, 3) for c in ("low", "high")})
 
 
@@ -375,10 +408,30 @@ def _streamed(spark, sf, q):
     return size.values.all().drop("v")
 
 
-@query("stream_selfjoin", with_(*_values_sql(4, 4)))
+_EVERY_VALUE = (
+    EV,
+    _HASHED,
+    f"sl AS (SELECT DISTINCT ts // {_LONG} AS slice FROM ev)",
+    f"k AS (SELECT sl.slice, sid, key, sum(upd) AS x FROM sl JOIN ev ON ev.ts // {_LONG} <= sl.slice GROUP BY sl.slice, sid, key)",
+    f"c AS (SELECT sl.slice, sid, d, b, sum(sg * upd) AS x FROM sl JOIN h ON h.ts // {_LONG} <= sl.slice GROUP BY sl.slice, sid, d, b)",
+    "r AS (SELECT slice, sid, d, sum(x * x)::DOUBLE AS r FROM c GROUP BY slice, sid, d)",
+    "m AS (SELECT slice, sid, median(r) AS estimate FROM r GROUP BY slice, sid)",
+    """SELECT sid, dense_rank() OVER (ORDER BY slice) - 1 AS batch, exact, estimate
+    FROM (SELECT slice, sid, CAST(sum(x * x) AS DOUBLE) AS exact FROM k GROUP BY slice, sid) JOIN m USING (slice, sid)""",
+)
+
+
+@query("stream_selfjoin", with_(*_EVERY_VALUE))
 def stream_selfjoin(spark, sf):
-    """Self-join size after every micro-batch, exact and sketched."""
-    return _streamed(spark, sf, JoinSizeQuery(4))
+    """Self-join size of every stream after every micro-batch, exact and sketched."""
+    sizes = {q.left: StreamedJoinSize(spark, f"{shared_folder(spark)}-{q.left}", q, PROJ) for q in _QUERIES}
+
+    def handle(batch, batch_id):
+        for size in sizes.values():
+            size.handle(batch, batch_id)
+
+    drain_batches(_slices(spark, sf), handle, shared_folder(spark))
+    return reduce(DataFrame.unionByName, [x.values.all().drop("v").withColumn("sid", F.lit(sid)) for sid, x in sizes.items()])
 
 
 @query("stream_join", with_(*_values_sql(0, 4)))
@@ -393,16 +446,17 @@ def stream_join(spark, sf):
         EV,
         """y0 AS (SELECT *, coalesce(sum(upd) OVER (PARTITION BY sid, key ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS y FROM ev)""",
         """r0 AS (SELECT sid, ts, seq, CAST(sum((2 * y + upd) * upd) OVER (PARTITION BY sid ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS v FROM y0)""",
-        f"""le AS (SELECT ts // {_EVERY} AS slice, max_by(v, seq) AS v FROM r0 WHERE sid = 4 GROUP BY ts // {_EVERY})""",
+        f"""le AS (SELECT sid, ts // {_EVERY} AS slice, max_by(v, seq) AS v FROM r0 GROUP BY sid, ts // {_EVERY})""",
         _guarded("any_site"),
-        """SELECT le.slice, le.v AS exact, rounds.estimate AS approx,
+        """SELECT le.sid, le.slice, le.v AS exact, rounds.estimate AS approx,
         CASE WHEN le.v = 0 THEN rounds.estimate ELSE abs((le.v - rounds.estimate) / le.v) END AS rel_error
-        FROM le JOIN rounds ON rounds.slice = le.slice""",
+        FROM le JOIN rounds ON rounds.q = le.sid AND rounds.slice = le.slice""",
     ),
 )
 def running_vs_anchored(spark, sf):
-    """Error of the anchored estimate at each slice end, against the exact running value."""
-    ev = events_stream(spark, sf)
-    exact = selfjoin_running(ev.where("sid = 4")).groupBy(mn.time_slice_of(_EVERY).alias("slice"))
+    """Error of the anchored estimate of every stream at each slice end, against the exact running value."""
+    exact = selfjoin_running(events_stream(spark, sf)).groupBy("sid", mn.time_slice_of(_EVERY).alias("slice"))
     exact = exact.agg(F.max_by("estimate", F.struct("ts", "seq")).alias("estimate"))
-    return mn.error_series(exact, _rounds(spark, sf, "any_site"), ["slice"])
+    names = F.create_map(*[F.lit(v) for q in _QUERIES for v in (str(q), q.left)])
+    anchored = _rounds(spark, sf, "any_site").withColumn("sid", names[F.col("query")])
+    return mn.error_series(exact, anchored, ["sid", "slice"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyflow.operators.sampling import level_hits
+from tallyflow.operators.levels import level_hits
 
 
 def level_changes(

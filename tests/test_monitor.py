@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tallyflow.functions import guard_math as gm
 from tallyflow.operators import monitor as mn
 from tallyflow.operators.joinsize import JoinSizeQuery
-from tallyflow.operators.sampling import level_changed, level_hits
+from tallyflow.operators.levels import level_hits, next_exits, record_ends
+from tallyflow.operators.sampling import level_changed
 from tallyflow.operators.sketch import Projection
 from tallyflow.session import shared_folder
 from tallyflow.streaming.feeds import drain_batches, drain_to_table, stream_files
@@ -80,11 +81,11 @@ def test_error_bound_must_exceed_sketch_error(spark):
         mn.monitor(frame(spark, ROWS), JoinSizeQuery(1, beta=0.5), Projection(3, 10), 4, 40)
 
 
-def test_blocks_and_several_queries_in_one_pass(spark, monkeypatch):
+def test_short_spans_and_several_queries_in_one_pass(spark, monkeypatch):
     queries = [JoinSizeQuery(0, beta=0.8), JoinSizeQuery(1, beta=0.8)]
     args = (Projection(3, 60), 4, 25, "any_site")
     want = mn.monitor_all(frame(spark, ROWS), queries, *args).orderBy("query", "slice").collect()
-    monkeypatch.setattr(mn, "BLOCK_SLICES", 3)
+    monkeypatch.setattr(mn, "FIRST_SPAN", 1)
     assert mn.monitor_all(frame(spark, ROWS), queries, *args).orderBy("query", "slice").collect() == want
     for q in queries:
         alone = mn.monitor(frame(spark, ROWS), q, *args).orderBy("slice").collect()
