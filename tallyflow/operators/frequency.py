@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions.scalars import wide_product
 from tallyflow.operators.segments import Segments, running_groups, running_sums
+from tallyflow.session import cut_lineage
 
 
 def analyze(stream: DataFrame, name: str = "stream", window: int = 0, warmup: int = 0) -> DataFrame:
@@ -180,10 +181,17 @@ def order_select(df: DataFrame, value: str, k: int, by: Sequence[str] = ()) -> D
     return _ranked(df, value, by).groupBy(*by).agg(F.coalesce(hit, missing).alias(value))
 
 
-def _ranked(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Distinct values of each group with their count ``_n`` and the count ``_upto`` of values up to them."""
-    counts = df.groupBy(*by, F.col(value).alias("_value")).agg(F.count(value).alias("_n"))
-    return running_sums(counts, {"_upto": F.col("_n")}, by, Segments.fit(counts, ["_value"]))
+def _ranked(df: DataFrame, value: str, by: Sequence[str], totals: bool = False) -> DataFrame:
+    """Distinct values of each group with their count ``_n`` and the count ``_upto`` of values up to them.
+
+    With ``totals``, ``_total`` is the group's number of values; it comes from the counts, so they are ranked once.
+    """
+    counts = cut_lineage(df.groupBy(*by, F.col(value).alias("_value")).agg(F.count(value).alias("_n")))
+    ranked = running_sums(counts, {"_upto": F.col("_n")}, by, Segments.fit(counts, ["_value"]))
+    if not totals:
+        return ranked
+    whole = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    return ranked.join(whole, list(by)) if by else ranked.crossJoin(whole)
 
 
 def median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -191,10 +199,7 @@ def median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
     Works like :func:`order_select`.
     """
-    ranked = _ranked(df, value, by)
-    # The middle places need the group's total, which is its largest running count.
-    totals = ranked.groupBy(*by).agg(F.max("_upto").alias("_total"))
-    both = ranked.join(totals, list(by)) if by else ranked.crossJoin(totals)
+    both = _ranked(df, value, by, totals=True)
     lower = F.min(F.when(F.col("_upto") > F.expr("(_total - 1) div 2"), F.col("_value")))
     upper = F.min(F.when(F.col("_upto") > F.expr("_total div 2"), F.col("_value")))
     return both.groupBy(*by).agg(((lower + upper) / 2.0).alias("median"))

@@ -36,14 +36,19 @@ def majority(depth: int) -> int:
     return (depth + 1) // 2
 
 
-def site_states(anchor: DataFrame, drift: DataFrame, sites: int, site: str = "hid") -> DataFrame:
-    """State of every site: the anchor plus ``sites`` times its drift.
+def site_states(
+    anchor: DataFrame, drift: DataFrame, sites: int, site: str = "hid", group: Sequence[str] = ()
+) -> DataFrame:
+    """State of every site (of every ``group``): the anchor plus ``sites`` times its drift.
 
     Scaled this way, the mean of the site states is the state of the whole stream.
-    The anchor (at most D*L rows) is repeated for each site id seen in the drift.
+    The anchor (at most D*L rows a group) is repeated for each site id seen in the drift.
     """
-    hosts = drift.select(site).distinct().agg(F.collect_list(site).alias("h")).scalar()
-    everywhere = anchor.select(F.explode(hosts).alias(site), *anchor.columns)
+    hosts = drift.select(*group, site).distinct()
+    if group:
+        everywhere = hosts.join(anchor, list(group)).select(site, *anchor.columns)
+    else:
+        everywhere = anchor.select(F.explode(hosts.agg(F.collect_list(site)).scalar()).alias(site), *anchor.columns)
     keys = [c for c in everywhere.columns if c not in ("c", "c1", "c2")]
     values = [c for c in anchor.columns if c in ("c", "c1", "c2")]
     scaled = drift.withColumns({v: F.col(v) * sites for v in values})
@@ -53,16 +58,18 @@ def site_states(anchor: DataFrame, drift: DataFrame, sites: int, site: str = "hi
 # -- self-join guards ---------------------------------------------------------
 
 
-def site_lanes(sites: DataFrame, anchor: DataFrame, proj: Projection, by: Sequence[str]) -> DataFrame:
-    """Per site and row: ``x2`` = |X_d|^2, ``xe`` = X_d . E_d, and ``e2`` = |E_d|^2 of the anchor."""
-    e = _small(anchor.select("d", "b", F.col("c").alias("_e")), proj)
-    joined = sites.join(e, ["d", "b"], "left")
+def site_lanes(
+    sites: DataFrame, anchor: DataFrame, proj: Projection, by: Sequence[str], group: Sequence[str] = ()
+) -> DataFrame:
+    """Per site and row: ``x2`` = |X_d|^2, ``xe`` = X_d . E_d, and ``e2`` = |E_d|^2 of the anchor (of the ``group``)."""
+    e = anchor.select(*group, "d", "b", F.col("c").alias("_e"))
+    joined = sites.join(e if group else _small(e, proj), [*group, "d", "b"], "left")
     x = F.col("c")
     lanes = lane_table(
         joined, proj.depth, {"x2": wide_product(x, x), "xe": wide_product(x, F.col("_e"))}, by
     )
-    norms = lane_table(anchor, proj.depth, {"e2": wide_product(x, x)})
-    return lanes.join(F.broadcast(norms), "d")
+    norms = lane_table(anchor, proj.depth, {"e2": wide_product(x, x)}, group)
+    return lanes.join(norms, [*group, "d"]) if group else lanes.join(F.broadcast(norms), "d")
 
 
 def guard_ball(anchor_guard: Column, drift_norm: Column) -> Column:
@@ -88,24 +95,31 @@ def guard_selfjoin_upper(
     return quorum(upper_lanes(lanes, high), proj.depth, by, exact=exact)
 
 
+def free_lower_lanes(lanes: DataFrame, low: Column) -> DataFrame:
+    """``lower_lanes``, with guard +infinity where the bound is not positive and cannot be crossed."""
+    free = low <= 0
+    return lower_lanes(lanes, low).withColumns(
+        {"zx": F.when(free, F.lit(float("inf"))).otherwise(F.col("zx")), "ze": F.when(free, 1.0).otherwise(F.col("ze"))}
+    )
+
+
+def _column(value: Column | float) -> Column:
+    return value if isinstance(value, Column) else F.lit(float(value))
+
+
 def guard_selfjoin_lower(
-    lanes: DataFrame, low: float, proj: Projection, by: Sequence[str], exact: bool = True
+    lanes: DataFrame, low: Column | float, proj: Projection, by: Sequence[str], exact: bool = True
 ) -> DataFrame:
     """+infinity where the lower bound is not positive."""
-    if low <= 0:
-        return lanes.groupBy(*by).agg(F.lit(float("inf")).alias("zeta"))
-    return quorum(lower_lanes(lanes, F.lit(low)), proj.depth, by, exact=exact)
+    return quorum(free_lower_lanes(lanes, _column(low)), proj.depth, by, exact=exact)
 
 
 def guard_selfjoin(
-    lanes: DataFrame, low: float, high: float, proj: Projection, by: Sequence[str], exact: bool = True
+    lanes: DataFrame, low: Column | float, high: Column | float, proj: Projection, by: Sequence[str], exact: bool = True
 ) -> DataFrame:
     """The smaller of the two guards, with both: one pass over the lanes."""
-    both = upper_lanes(lanes, F.lit(high)).withColumnsRenamed({"zx": "hx", "ze": "he"})
-    if low <= 0:
-        out = quorums(both, {"zeta_high": ("he", "hx")}, proj.depth, by, exact=exact)
-        return out.withColumns({"zeta_low": F.lit(float("inf")), "zeta": F.col("zeta_high")})
-    both = lower_lanes(both, F.lit(low))
+    both = upper_lanes(lanes, _column(high)).withColumnsRenamed({"zx": "hx", "ze": "he"})
+    both = free_lower_lanes(both, _column(low))
     out = quorums(both, {"zeta_low": ("ze", "zx"), "zeta_high": ("he", "hx")}, proj.depth, by, exact=exact)
     return out.withColumn("zeta", F.least("zeta_low", "zeta_high"))
 

@@ -365,12 +365,7 @@ class _Monitor:
             lanes = lanes.withColumns({f"{k}{x}": F.col(f"{k}e2") for k in self._pairs("e1", "e2") for x in ("x2", "xe")})
         if self.selfjoin:
             both = guards.upper_lanes(lanes, F.col("high")).withColumnsRenamed({"zx": "hx", "ze": "he"})
-            both = guards.lower_lanes(both, F.col("low"))
-            # A bound that is not positive cannot be crossed.
-            free = F.col("low") <= 0
-            both = both.withColumns(
-                {"zx": F.when(free, F.lit(float("inf"))).otherwise(F.col("zx")), "ze": F.when(free, 1.0).otherwise(F.col("ze"))}
-            ).withColumnsRenamed({"zx": "lx", "ze": "le"})
+            both = guards.free_lower_lanes(both, F.col("low")).withColumnsRenamed({"zx": "lx", "ze": "le"})
         else:
             both = guards.inner_product_lanes(lanes, F.col("low"), True).withColumnsRenamed({"zx": "lx", "ze": "le"})
             both = guards.inner_product_lanes(both, F.col("high"), False).withColumnsRenamed({"zx": "hx", "ze": "he"})

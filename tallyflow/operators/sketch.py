@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -245,12 +246,8 @@ def seeds_table(spark, proj: Projection) -> DataFrame:
     return spark.createDataFrame(proj.seeds(), T.StructType(fields))
 
 
-def agms_udaf(proj: Projection):
-    """Grouped-aggregate function (key, upd) -> flat array of D*L counters, for ad-hoc use.
-
-    Convenient in ``groupBy().agg``, but it gathers each group in one task; use
-    :func:`sketch` for anything large.
-    """
+def counters(proj: Projection):
+    """NumPy function (keys, counts) -> D x L counters."""
     seeds = np.array([s[1:] for s in proj.seeds()], dtype=np.int64)
     mask, width, depth, sign_bit = MASK31, proj.width, proj.depth, FAMILIES[proj.family]
 
@@ -259,15 +256,53 @@ def agms_udaf(proj: Projection):
         high = r >> 31
         return ((high ^ r) if proj.family == "xor" else (high + r)) & mask
 
-    @F.pandas_udf("array<bigint>")
-    def agms(key: pd.Series, upd: pd.Series) -> list:
-        x = np.mod(key.to_numpy(np.int64), mask)
-        u = upd.to_numpy(np.int64)
+    def count(key: np.ndarray, upd: np.ndarray) -> np.ndarray:
+        x = np.mod(key, mask)
         out = np.zeros((depth, width), dtype=np.int64)
         for d in range(depth):
             f = seeds[d]
             h = fold(fold(fold(x, f[2], f[3]), x, f[4]), x, f[5])
-            np.add.at(out[d], fold(f[0], f[1], x) % width, np.where((h >> sign_bit) & 1 == 1, u, -u))
-        return out.ravel().tolist()
+            np.add.at(out[d], fold(f[0], f[1], x) % width, np.where((h >> sign_bit) & 1 == 1, upd, -upd))
+        return out
+
+    return count
+
+
+def agms_udaf(proj: Projection):
+    """Grouped-aggregate function (key, upd) -> flat array of D*L counters, for ad-hoc use.
+
+    Convenient in ``groupBy().agg``, but it gathers each group in one task; use
+    :func:`sketch` for anything large.
+    """
+    count = counters(proj)
+
+    @F.pandas_udf("array<bigint>")
+    def agms(key: pd.Series, upd: pd.Series) -> list:
+        return count(key.to_numpy(np.int64), upd.to_numpy(np.int64)).ravel().tolist()
 
     return agms
+
+
+def selfjoin_estimates(freq: DataFrame, projections: Sequence[Projection], by: Sequence[str]) -> DataFrame:
+    """Exact and estimated self-join size of every group under many projections: ``by…, n, exact, depth, width, estimate``.
+
+    For many groups with keys from a small domain (``freq`` has one row per group and key): each
+    group is shuffled once and hashed by NumPy for all sizes.
+    """
+    by = list(by)
+    count = [(p.depth, p.width, counters(p)) for p in projections]
+    more = "n bigint, exact double, depth int, width int, estimate double"
+    schema = T.StructType([*[freq.schema[c] for c in by], *T._parse_datatype_string(more).fields])
+
+    def run(table: pa.Table) -> pa.Table:
+        key, cnt = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "cnt"))
+        rows = []
+        for depth, width, f in count:
+            norms = (f(key, cnt).astype(np.float64) ** 2).sum(axis=1)
+            rows.append((int(cnt.sum()), float((cnt * cnt).sum()), depth, width, float(np.median(norms))))
+        columns = [pa.array([table.column(c)[0].as_py()] * len(rows), table.schema.field(c).type) for c in by]
+        kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64())
+        columns += [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.table(columns, names=schema.names)
+
+    return freq.groupBy(*by).applyInArrow(run, schema)

@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyflow.operators.segments import Segments, positions, previous_values
+from tallyflow.operators.selection import between_positions
 from tallyflow.operators.windows import count_window, time_window
 from tallyflow.schema import order_columns
 
-def max_length(stream: DataFrame, n: int, segments: Segments | None = None) -> DataFrame:
-    """The first n records in stream order."""
-    return positions(stream, "_pos", segments=segments).where(F.col("_pos") < n).drop("_pos")
+
+def max_length(stream: DataFrame, n: int) -> DataFrame:
+    """The first n records in stream order, by a bound on their order."""
+    return between_positions(stream, 0, n)
 
 
 def max_timestamp(stream: DataFrame, last: int) -> DataFrame:
@@ -61,10 +63,9 @@ def time_slice(stream: DataFrame, start: int, end: int) -> DataFrame:
     return stream.where((F.col("ts") >= start) & (F.col("ts") < end))
 
 
-def position_slice(stream: DataFrame, start: int, end: int, segments: Segments | None = None) -> DataFrame:
+def position_slice(stream: DataFrame, start: int, end: int) -> DataFrame:
     """Records at positions start..end-1 of the stream order."""
-    at = F.col("_pos")
-    return positions(stream, "_pos", segments=segments).where((at >= start) & (at < end)).drop("_pos")
+    return between_positions(stream, start, end)
 
 
 def time_index(stream: DataFrame, *times: int) -> DataFrame:
@@ -119,8 +120,21 @@ def warmup_split(
     return out
 
 
-def record_map(stream: DataFrame, edit: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Apply a record-wise DataFrame function; it must keep the update columns."""
+def record_map(
+    stream: DataFrame, edit: Callable[[DataFrame], DataFrame], ends: Callable[[DataFrame], Column] | None = None
+) -> DataFrame:
+    """Apply a record-wise DataFrame function; it must keep the update columns.
+
+    With ``ends``, the stream stops before the first record for which that condition holds,
+    whatever the records behind it: its order key is the least that meets the condition.
+    """
+    if ends is not None:
+        order = order_columns(stream)
+        key = F.struct(*order)
+        first = stream.where(ends(stream)).agg(F.min(key).alias("first"))
+        time = first.select(f"first.{order[0]}").scalar()
+        before = (F.col(order[0]) <= time) & (key < first.select("first").scalar())
+        stream = stream.where(first.select(F.col("first").isNull()).scalar() | before)
     out = stream.transform(edit)
     missing = [c for c in stream.columns if c not in out.columns]
     if missing:

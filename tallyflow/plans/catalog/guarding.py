@@ -75,21 +75,23 @@ _SITES_SQL = (
     + ",\n"
     + hashed_cte("li", "h")
     + f""",
-e AS (SELECT d, b, sum(sg * upd) AS c FROM h WHERE sid = 0 AND ts < {_CUT} GROUP BY d, b),
-u AS (SELECT hid, d, b, sum(sg * upd) AS c FROM h WHERE sid = 0 AND ts >= {_CUT} GROUP BY hid, d, b),
-hosts AS (SELECT DISTINCT hid FROM u),
-x AS (SELECT hid, d, b, sum(c) AS c FROM (SELECT hid, d, b, c FROM hosts CROSS JOIN e UNION ALL
-      SELECT hid, d, b, {SITES} * c FROM u) t GROUP BY hid, d, b),
-n AS (SELECT d, CAST(sum(c * c) AS DOUBLE) AS e2 FROM e GROUP BY d),
-a AS (SELECT median(e2) AS q FROM n),
-bb AS (SELECT {_low('q')} AS low, {_high('q')} AS high FROM a),
-l0 AS (SELECT x.hid, x.d, CAST(sum(x.c * x.c) AS DOUBLE) AS x2, CAST(sum(x.c * coalesce(e.c, 0)) AS DOUBLE) AS xe
-      FROM x LEFT JOIN e ON e.d = x.d AND e.b = x.b GROUP BY x.hid, x.d),
-lanes AS (SELECT l0.*, n.e2 FROM l0 JOIN n ON n.d = l0.d),
-up AS (SELECT hid, d, sqrt(high) - sqrt(x2) AS zx, sqrt(high) - sqrt(e2) AS ze FROM lanes, bb),
-lo AS (SELECT hid, d, xe / sqrt(e2) - sqrt(low) AS zx, sqrt(e2) - sqrt(low) AS ze FROM lanes, bb)"""
+e AS (SELECT sid, d, b, sum(sg * upd) AS c FROM h WHERE ts < {_CUT} GROUP BY sid, d, b),
+u AS (SELECT sid, hid, d, b, sum(sg * upd) AS c FROM h WHERE ts >= {_CUT} GROUP BY sid, hid, d, b),
+hosts AS (SELECT DISTINCT sid, hid FROM u),
+x AS (SELECT sid, hid, d, b, sum(c) AS c FROM (SELECT e.sid, hid, d, b, c FROM hosts JOIN e ON e.sid = hosts.sid UNION ALL
+      SELECT sid, hid, d, b, {SITES} * c FROM u) t GROUP BY sid, hid, d, b),
+n AS (SELECT sid, d, CAST(sum(c * c) AS DOUBLE) AS e2 FROM e GROUP BY sid, d),
+a AS (SELECT sid, median(e2) AS q FROM n GROUP BY sid),
+bb AS (SELECT sid, {_low('q')} AS low, {_high('q')} AS high FROM a),
+l0 AS (SELECT x.sid, x.hid, x.d, CAST(sum(x.c * x.c) AS DOUBLE) AS x2, CAST(sum(x.c * coalesce(e.c, 0)) AS DOUBLE) AS xe
+      FROM x LEFT JOIN e ON e.sid = x.sid AND e.d = x.d AND e.b = x.b GROUP BY x.sid, x.hid, x.d),
+lanes AS (SELECT l0.*, n.e2, low, high FROM l0 JOIN n ON n.sid = l0.sid AND n.d = l0.d JOIN bb ON bb.sid = l0.sid),
+up AS (SELECT sid, hid, d, sqrt(high) - sqrt(x2) AS zx, sqrt(high) - sqrt(e2) AS ze FROM lanes),
+lo AS (SELECT sid, hid, d, xe / sqrt(e2) - sqrt(low) AS zx, sqrt(e2) - sqrt(low) AS ze FROM lanes)"""
 )
 
+_BY = ["sid", "hid"]
+
 
 def _exact(lanes: str, out: str, by: str = "hid") -> str:
     """CTEs for the exact quorum: subsets of legal rows as bit masks."""
@@ -112,57 +114,61 @@ def _cells(li, by):
 
 
 def _setup(spark, sf):
-    """Site lanes, bounds and the anchor of stream 0."""
-    cells = _cells(lineitem_stream(spark, sf).where("sid = 0"), [])
+    """Site lanes with the bounds of their stream, and anchor and drift of every stream."""
+    cells = _cells(lineitem_stream(spark, sf), ["sid"])
     anchor = sk.merge(cells.where("not late"), ["late", "hid"])
     drift = cells.where("late").drop("late")
-    estimate = sk.selfjoin_estimate(anchor, PROJ, []).first()[0]
-    low = estimate - (_BETA - _EPS) * abs(estimate) / (1 + _BETA)
-    high = estimate + (_BETA - _EPS) * abs(estimate) / (1 - _BETA)
-    sites = gd.site_states(anchor, drift, SITES)
-    return gd.site_lanes(sites, anchor, PROJ, ["hid"]), low, high, anchor, drift
+    q = F.col("estimate")
+    limits = sk.selfjoin_estimate(anchor, PROJ, ["sid"]).select(
+        "sid",
+        (q - (_BETA - _EPS) * F.abs(q) / (1 + _BETA)).alias("low"),
+        (q + (_BETA - _EPS) * F.abs(q) / (1 - _BETA)).alias("high"),
+    )
+    sites = gd.site_states(anchor, drift, SITES, group=["sid"])
+    return gd.site_lanes(sites, anchor, PROJ, _BY, ["sid"]).join(limits, "sid"), limits, anchor, drift
 
 
-def _rounded(df):
-    return df.select("hid", F.round("zeta", 4).alias("zeta"))
+def _rounded(df, by=_BY):
+    return df.select(*by, F.round("zeta", 4).alias("zeta"))
 
 
-_ZETA = "SELECT hid, round(zeta, 4) AS zeta FROM z"
+_GROUP = "sid, hid"
+_ZETA = "SELECT sid, hid, round(zeta, 4) AS zeta FROM z"
 
 
-@query("guard_selfjoin_upper", with_(LI, _SITES_SQL, _exact("up", "z"), _ZETA))
+@query("guard_selfjoin_upper", with_(LI, _SITES_SQL, _exact("up", "z", _GROUP), _ZETA))
 def guard_selfjoin_upper(spark, sf):
-    lanes, _, high, _, _ = _setup(spark, sf)
-    return _rounded(gd.guard_selfjoin_upper(lanes, F.lit(high), PROJ, ["hid"]))
+    lanes, *_ = _setup(spark, sf)
+    return _rounded(gd.guard_selfjoin_upper(lanes, F.col("high"), PROJ, _BY))
 
 
-@query("guard_selfjoin_lower", with_(LI, _SITES_SQL, _exact("lo", "z"), _ZETA))
+@query("guard_selfjoin_lower", with_(LI, _SITES_SQL, _exact("lo", "z", _GROUP), _ZETA))
 def guard_selfjoin_lower(spark, sf):
-    lanes, low, _, _, _ = _setup(spark, sf)
-    return _rounded(gd.guard_selfjoin_lower(lanes, low, PROJ, ["hid"]))
+    lanes, *_ = _setup(spark, sf)
+    return _rounded(gd.guard_selfjoin_lower(lanes, F.col("low"), PROJ, _BY))
 
 
 @query(
     "guard_selfjoin",
-    with_(LI, _SITES_SQL, _exact("up", "zu"), _exact("lo", "zl"),
-          "SELECT zu.hid, round(least(zu.zeta, zl.zeta), 4) AS zeta FROM zu JOIN zl ON zl.hid = zu.hid"),
+    with_(LI, _SITES_SQL, _exact("up", "zu", _GROUP), _exact("lo", "zl", _GROUP),
+          "SELECT sid, hid, round(least(zu.zeta, zl.zeta), 4) AS zeta FROM zu JOIN zl USING (sid, hid)"),
 )
 def guard_selfjoin(spark, sf):
-    lanes, low, high, _, _ = _setup(spark, sf)
-    return _rounded(gd.guard_selfjoin(lanes, low, high, PROJ, ["hid"]))
+    lanes, *_ = _setup(spark, sf)
+    return _rounded(gd.guard_selfjoin(lanes, F.col("low"), F.col("high"), PROJ, _BY))
 
 
-@query("quorum_fast", with_(LI, _SITES_SQL, _fast("up", "z"), "SELECT hid, round(zeta, 1) AS zeta FROM z"))
+@query("quorum_fast", with_(LI, _SITES_SQL, _fast("up", "z", _GROUP), "SELECT sid, hid, round(zeta, 1) AS zeta FROM z"))
 def quorum_fast(spark, sf):
-    lanes, _, high, _, _ = _setup(spark, sf)
-    out = gd.quorum_fast(gd.upper_lanes(lanes, F.lit(high)), _K, ["hid"])
-    return out.select("hid", F.round("zeta", 1).alias("zeta"))
+    lanes, *_ = _setup(spark, sf)
+    out = gd.quorum_fast(gd.upper_lanes(lanes, F.col("high")), _K, _BY)
+    return out.select(*_BY, F.round("zeta", 1).alias("zeta"))
 
 
-@query("quorum_exact", with_(LI, _SITES_SQL, _exact("lo", "z"), _ZETA))
+@query("quorum_exact", with_(LI, _SITES_SQL, _exact("lo", "z", _GROUP), _ZETA))
 def quorum_exact(spark, sf):
-    lanes, low, _, _, _ = _setup(spark, sf)
-    return _rounded(gd.quorum_exact(gd.lower_lanes(lanes, F.lit(low)), PROJ.depth, _K, ["hid"]))
+    lanes, *_ = _setup(spark, sf)
+    return _rounded(gd.quorum_exact(gd.lower_lanes(lanes, F.col("low")), PROJ.depth, _K, _BY))
 
 
 @query(
@@ -170,20 +176,21 @@ def quorum_exact(spark, sf):
     with_(
         LI,
         _SITES_SQL,
-        "ue AS (SELECT 0 AS hid, d, sqrt(high) - sqrt(e2) AS zx, sqrt(high) - sqrt(e2) AS ze FROM n, bb)",
-        "le AS (SELECT 0 AS hid, d, sqrt(e2) - sqrt(low) AS zx, sqrt(e2) - sqrt(low) AS ze FROM n, bb)",
-        _exact("ue", "zu"),
-        _exact("le", "zl"),
-        "ze AS (SELECT least(zu.zeta, zl.zeta) AS zeta FROM zu JOIN zl ON zl.hid = zu.hid)",
-        f"""SELECT hid, round(max(ze.zeta) - sqrt(CAST(sum({SITES} * c * {SITES} * c) AS DOUBLE)), 4) AS zeta FROM u, ze GROUP BY hid""",
+        "ue AS (SELECT n.sid, 0 AS hid, d, sqrt(high) - sqrt(e2) AS zx, sqrt(high) - sqrt(e2) AS ze FROM n JOIN bb ON bb.sid = n.sid)",
+        "le AS (SELECT n.sid, 0 AS hid, d, sqrt(e2) - sqrt(low) AS zx, sqrt(e2) - sqrt(low) AS ze FROM n JOIN bb ON bb.sid = n.sid)",
+        _exact("ue", "zu", _GROUP),
+        _exact("le", "zl", _GROUP),
+        "ze AS (SELECT zu.sid, least(zu.zeta, zl.zeta) AS zeta FROM zu JOIN zl ON zl.sid = zu.sid)",
+        f"""SELECT u.sid, hid, round(max(ze.zeta) - sqrt(CAST(sum({SITES} * c * {SITES} * c) AS DOUBLE)), 4) AS zeta
+        FROM u JOIN ze ON ze.sid = u.sid GROUP BY u.sid, hid""",
     ),
 )
 def guard_ball(spark, sf):
-    _, low, high, anchor, drift = _setup(spark, sf)
-    own = gd.site_lanes(anchor.withColumn("hid", F.lit(0)), anchor, PROJ, ["hid"])
-    at_anchor = gd.guard_selfjoin(own, low, high, PROJ, ["hid"]).select("zeta").scalar()
-    norms = sk.sketch_norm(sk.scale(drift, SITES), ["hid"])
-    return _rounded(norms.select("hid", gd.guard_ball(at_anchor, F.col("norm")).alias("zeta")))
+    _, limits, anchor, drift = _setup(spark, sf)
+    own = gd.site_lanes(anchor.withColumn("hid", F.lit(0)), anchor, PROJ, _BY, ["sid"]).join(limits, "sid")
+    at_anchor = gd.guard_selfjoin(own, F.col("low"), F.col("high"), PROJ, _BY).select("sid", F.col("zeta").alias("at_anchor"))
+    norms = sk.sketch_norm(sk.scale(drift, SITES), _BY).join(at_anchor, "sid")
+    return _rounded(norms.withColumn("zeta", gd.guard_ball(F.col("at_anchor"), F.col("norm"))))
 
 
 @query(
@@ -336,7 +343,7 @@ def _pair_setup(spark, sf):
 def guard_join(spark, sf):
     sites, anchor, low, high = _pair_setup(spark, sf)
     lanes = gd.polarised_lanes(sites, anchor, PROJ, ["hid"])
-    return _rounded(gd.guard_join(lanes, low, high, PROJ, ["hid"]))
+    return _rounded(gd.guard_join(lanes, low, high, PROJ, ["hid"]), ["hid"])
 
 
 @query(
@@ -354,4 +361,4 @@ def guard_join(spark, sf):
 def guard_inner_product(spark, sf):
     """Both operands' whole sketches as plain vectors, whose product must stay above D times the lower bound."""
     sites, anchor, low, _ = _pair_setup(spark, sf)
-    return _rounded(gd.guard_inner_product(sites, anchor, PROJ, PROJ.depth * low, ["hid"]))
+    return _rounded(gd.guard_inner_product(sites, anchor, PROJ, PROJ.depth * low, ["hid"]), ["hid"])

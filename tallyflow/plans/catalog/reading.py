@@ -256,14 +256,14 @@ def _schema(ddl):
     return T.StructType.fromDDL(ddl)
 
 
-@query("read_csvrel", _CUSTOMER_SQL + " WHERE c_acctbal > 0")
+@query("read_csvrel", _CUSTOMER_SQL)
 def read_csvrel(spark, sf):
     """Two tables written to one text output and told apart again."""
     folder = shared_folder(spark)
     customer = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     tables.write_csvrel(folder, customer=customer, part=table(spark, sf, "part").select("p_partkey", "p_name"))
     schemas = {"customer": _schema(_CUSTOMER), "part": _schema("p_partkey bigint, p_name string")}
-    return tables.read_csvrel(spark, folder, schemas)["customer"].where("c_acctbal > 0")
+    return tables.read_csvrel(spark, folder, schemas)["customer"]
 
 
 @query("write_csvrel", "SELECT p_partkey, p_name FROM part")
@@ -290,14 +290,14 @@ def write_csvtab(spark, sf):
     return tables.read_csv_table(spark, folder, schema, header=True)
 
 
-@query("write_result", "SELECT p_partkey, p_size FROM part WHERE p_size <= 10 UNION ALL SELECT p_partkey, p_size FROM part WHERE p_size > 40")
+@query("write_result", "SELECT p_partkey, p_size FROM part")
 def write_result(spark, sf):
     """A typed table, first replaced and then appended to."""
     folder = shared_folder(spark)
     part = table(spark, sf, "part").select("p_partkey", "p_size")
     tables.write_result(part, folder, "overwrite")
-    tables.write_result(part.where("p_size <= 10"), folder, "overwrite")
-    tables.write_result(part.where("p_size > 40"), folder, "append")
+    tables.write_result(part.where("p_size <= 25"), folder, "overwrite")
+    tables.write_result(part.where("p_size > 25 OR p_size IS NULL"), folder, "append")
     return spark.read.parquet(folder)
 
 

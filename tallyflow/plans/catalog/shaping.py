@@ -131,6 +131,20 @@ def record_map(spark, sf):
     return tr.record_map(events_stream(spark, sf), edit)
 
 
+@query(
+    "record_map_end",
+    with_(
+        EV,
+        "stop AS (SELECT min(seq) AS seq FROM ev WHERE key = 99 AND sid = 4 AND hid = 7)",
+        "SELECT sid, hid, -key AS key, upd, ts, seq FROM ev WHERE seq < coalesce((SELECT seq FROM stop), 9223372036854775807)",
+    ),
+)
+def record_map_end(spark, sf):
+    """A record function that ends the stream at a certain record."""
+    ends = lambda s: (F.col("key") == 99) & (F.col("sid") == 4) & (F.col("hid") == 7)
+    return tr.record_map(events_stream(spark, sf), lambda s: s.withColumn("key", -F.col("key")), ends)
+
+
 # -- windows --------------------------------------------------------------------
 
 

@@ -13,6 +13,7 @@ from tallyflow.operators.sketch import selfjoin_estimate_running
 from tallyflow.operators.windows import time_window
 from tallyflow.plans.catalog.base import DAY, EV, LI, PROJ, query, with_
 from tallyflow.plans.catalog.sketches import RUNNING_SELFJOIN_SQL
+from tallyflow.session import cut_lineage
 from tallyflow.sources.views import events_stream, lineitem_stream
 
 _SELFJOIN = "f AS (SELECT sid, key, sum(upd) AS cnt FROM li GROUP BY sid, key)"
@@ -168,16 +169,16 @@ def estimate_error_series(spark, sf):
         EV,
         _EV_FREQ,
         """SELECT 'join(' || a.sid || ',' || b.sid || ')' AS query, CAST(sum(a.cnt * b.cnt) AS DOUBLE) AS answer
-        FROM f a JOIN f b ON a.key = b.key WHERE a.sid < b.sid AND b.sid <= 2 GROUP BY a.sid, b.sid
-        UNION ALL SELECT 'selfjoin(' || sid || ')', CAST(sum(cnt * cnt) AS DOUBLE) FROM f WHERE sid <= 2 GROUP BY sid""",
+        FROM f a JOIN f b ON a.key = b.key WHERE a.sid < b.sid GROUP BY a.sid, b.sid
+        UNION ALL SELECT 'selfjoin(' || sid || ')', CAST(sum(cnt * cnt) AS DOUBLE) FROM f GROUP BY sid""",
     ),
 )
 def query_text(spark, sf):
-    """Query objects over three streams, with their answers from one shared frequency table."""
-    freq = frequency_vector(events_stream(spark, sf)).withColumnRenamed("cnt", "upd")
+    """Query objects over all pairs of streams, with their answers from one shared frequency table."""
+    freq = cut_lineage(frequency_vector(events_stream(spark, sf)).withColumnRenamed("cnt", "upd"))
     out = None
-    for a in range(3):
-        for b in range(a, 3):
+    for a in range(5):
+        for b in range(a, 5):
             q = js.JoinSizeQuery(a, b)
             answer = q.exact(freq)
             row = answer.select(F.lit(str(q)).alias("query"), F.col(answer.columns[-1]).alias("answer"))

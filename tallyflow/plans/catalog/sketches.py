@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyflow.functions import bounds
+from tallyflow.functions.mixing import uniform31
 from tallyflow.operators import grids
 from tallyflow.operators import sketch as sk
 from tallyflow.operators.frequency import frequency_vector
@@ -21,8 +22,6 @@ from tallyflow.plans.catalog.base import (
     uniform_int_sql,
     with_,
 )
-from tallyflow.session import cut_lineage
-from tallyflow.sources.generators import uniform_updates
 from tallyflow.sources.views import events_stream, lineitem_stream, table
 
 _SK = sketch_cte("li", "sk")
@@ -266,59 +265,71 @@ def sketch_accuracy(spark, sf):
     return sk.accuracy(events_stream(spark, sf), PROJ)
 
 
-_SWEEP_TRIALS = 20
+#: The grid of sketch sizes and key ranges, and the trials of each setting.
+_SWEEP_SIZES = tuple(sk.Projection(d, w, seed=5) for d in (3, 5, 7) for w in (500, 1000, 1500, 2000, 2500))
+_SWEEP_KEYS = (1_000, 10_000, 100_000)
+_SWEEP_TRIALS = 100
+#: In how many of the trials a record takes part: streams of n / 100, n / 10 and n records.
+_SWEEP_SHARES = (1, 10, 100)
 _SWEEP_SEED = 11
-_SWEEP_SIZES = tuple(sk.Projection(d, w, seed=5) for d, w in ((3, 500), (5, 500), (5, 1500), (7, 1500)))
 
 
 def _sweep_sql() -> str:
+    keys = ", ".join(f"({m})" for m in _SWEEP_KEYS)
+    shares = ", ".join(f"({f})" for f in _SWEEP_SHARES)
     ctes = [
-        f"""t AS (SELECT event_id * {_SWEEP_TRIALS} + i AS id FROM events, range(1, {_SWEEP_TRIALS + 1}) r(i))""",
-        f"""f AS (SELECT CAST((id - 1) % {_SWEEP_TRIALS} AS INTEGER) AS trial, {uniform_int_sql('id', 1000, _SWEEP_SEED, 'key')} AS key, count(*) AS upd
-             FROM t GROUP BY 1, 2)""",
-        "x AS (SELECT trial, sum(upd * upd)::DOUBLE AS exact FROM f GROUP BY trial)",
+        f"""t AS (SELECT max_key, share, CAST((event_id + i * ({_SWEEP_TRIALS} // share)) % {_SWEEP_TRIALS} AS INTEGER) AS trial,
+             ((event_id * 1000003 + max_key) * 101 + share) * {_SWEEP_TRIALS} + i AS id
+           FROM events, (VALUES {keys}) m(max_key), (VALUES {shares}) l(share), range(0, {_SWEEP_TRIALS}) r(i) WHERE i < share)""",
+        f"""f AS (SELECT max_key, share, trial, {uniform_int_sql('id', 'max_key', _SWEEP_SEED, 'key')} AS key, count(*) AS upd
+             FROM t GROUP BY 1, 2, 3, 4)""",
+        "x AS (SELECT max_key, share, trial, CAST(sum(upd) AS BIGINT) AS n, sum(upd * upd)::DOUBLE AS exact FROM f GROUP BY 1, 2, 3)",
     ]
     rows = []
     for n, proj in enumerate(_SWEEP_SIZES):
         ctes += [
             seeds_cte(proj, f"seeds{n}"),
-            sketch_cte("f", f"s{n}", "trial", proj, f"seeds{n}"),
-            f"q{n} AS (SELECT trial, d, sum(c * c)::DOUBLE AS r FROM s{n} GROUP BY trial, d)",
-            f"m{n} AS (SELECT trial, median(r) AS estimate FROM q{n} GROUP BY trial)",
+            sketch_cte("f", f"s{n}", "max_key, share, trial", proj, f"seeds{n}"),
+            f"q{n} AS (SELECT max_key, share, trial, d, sum(c * c)::DOUBLE AS r FROM s{n} GROUP BY 1, 2, 3, 4)",
+            f"m{n} AS (SELECT max_key, share, trial, median(r) AS estimate FROM q{n} GROUP BY 1, 2, 3)",
         ]
         rows.append(
-            f"""SELECT {proj.depth} AS depth, {proj.width} AS width,
+            f"""SELECT {proj.depth} AS depth, {proj.width} AS width, x.max_key, x.share, CAST(count(*) AS BIGINT) AS trials, CAST(max(n) AS BIGINT) AS length,
             avg(CASE WHEN abs(estimate / exact - 1) > {proj.epsilon / 3!r} THEN 1.0 ELSE 0.0 END) AS failure_rate,
-            CAST({proj.failure_probability!r} AS DOUBLE) AS bound FROM m{n} JOIN x ON x.trial = m{n}.trial"""
+            CAST({proj.failure_probability!r} AS DOUBLE) AS bound FROM m{n} JOIN x USING (max_key, share, trial) GROUP BY x.max_key, x.share"""
         )
     return with_(*ctes, " UNION ALL ".join(rows))
 
 
 @query("accuracy_sweep", _sweep_sql())
 def accuracy_sweep(spark, sf):
-    """Failure rate of the estimate over trials and sketch sizes, against its bound.
+    """Failure rate of the estimate over trials, sketch sizes, key ranges and lengths, against its bound.
 
-    Each trial is a uniform stream with as many records as ``events`` has; key
-    counts per trial are kept and hashed once per size.
+    A trial is a uniform stream with keys of its own.  Every record of ``events`` takes part in 1, 10
+    or all of the 100 trials of a setting, so lengths are n / 100, n / 10 and n.  Key counts of
+    all settings and trials are shuffled once by trial and hashed there for all sizes.
     """
-    ids = table(spark, sf, "events").select(F.col("event_id"), F.explode(F.sequence(F.lit(1), F.lit(_SWEEP_TRIALS))).alias("i"))
-    ids = ids.select((F.col("event_id") * _SWEEP_TRIALS + F.col("i")).alias("id"))
-    stream = uniform_updates(ids, 1, 1, 1000, seed=_SWEEP_SEED)
-    stream = stream.withColumn("trial", F.pmod(F.col("ts") - 1, F.lit(_SWEEP_TRIALS)).cast("int"))
-    freq = cut_lineage(frequency_vector(stream, ["trial"]))
-    exact = freq.groupBy("trial").agg(F.sum(F.col("cnt") * F.col("cnt")).cast("double").alias("exact"))
-    out = None
-    for proj in _SWEEP_SIZES:
-        est = sk.selfjoin_estimate(sk.sketch_counts(freq, proj, ["trial"]), proj, ["trial"])
-        error = F.abs(F.col("estimate") / F.col("exact") - 1)
-        part = est.join(exact, "trial").agg(
-            F.lit(proj.depth).alias("depth"),
-            F.lit(proj.width).alias("width"),
-            F.avg(F.when(error > proj.epsilon / 3, 1.0).otherwise(0.0)).alias("failure_rate"),
-            F.lit(proj.failure_probability).alias("bound"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    events = table(spark, sf, "events").select("event_id")
+    settings = F.array(*[F.struct(F.lit(m).alias("max_key"), F.lit(f).alias("share")) for m in _SWEEP_KEYS for f in _SWEEP_SHARES])
+    rows = events.select("event_id", F.inline(settings))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("share") - 1)).alias("i"))
+    trial = (F.col("event_id") + F.col("i") * F.expr(f"{_SWEEP_TRIALS} div share")) % _SWEEP_TRIALS
+    name = ((F.col("event_id") * 1000003 + F.col("max_key")) * 101 + F.col("share")) * _SWEEP_TRIALS + F.col("i")
+    rows = rows.select("max_key", "share", trial.cast("int").alias("trial"), name.cast("bigint").alias("id"))
+    key = F.shiftright(uniform31(F.col("id"), _SWEEP_SEED, "key") * F.col("max_key").cast("bigint"), 31) + 1
+    by = ["max_key", "share", "trial"]
+    freq = rows.groupBy(*by, key.alias("key")).agg(F.count(F.lit(1)).alias("cnt"))
+    found = sk.selfjoin_estimates(freq, _SWEEP_SIZES, by)
+    size = F.concat_ws("x", "depth", "width")
+    limits = {f"{p.depth}x{p.width}": (p.epsilon / 3, p.failure_probability) for p in _SWEEP_SIZES}
+    epsilon, bound = (F.create_map(*[F.lit(v) for k, x in limits.items() for v in (k, x[i])])[size] for i in (0, 1))
+    error = F.abs(F.col("estimate") / F.col("exact") - 1)
+    return found.groupBy("depth", "width", "max_key", "share").agg(
+        F.count(F.lit(1)).alias("trials"),
+        F.max("n").alias("length"),
+        F.avg(F.when(error > epsilon, 1.0).otherwise(0.0)).alias("failure_rate"),
+        F.first(bound).alias("bound"),
+    )
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyflow.schema import require_schema
+from tallyflow.session import cut_lineage
 
 # Kinds of arithmetic columns that are floating point.
 FLOAT_KINDS = ("float", "double", "long double")
@@ -90,16 +91,13 @@ WRITERS = {
 def fan_out(df: DataFrame, bindings: Sequence[tuple[str, str, str, bool]]) -> list[str]:
     """Write one table to several places: (format, path, mode, enabled).
 
-    The table is computed once for all enabled bindings.  Returns their paths.
+    The table is computed once: for several enabled bindings it is written once to the shared folder, and
+    the outputs are made from that copy, which no executor has to hold.  Returns their paths.
     """
     active = [b for b in bindings if b[3]]
-    shared = df.persist() if len(active) > 1 else df
-    try:
-        for fmt, path, mode, _ in active:
-            WRITERS[fmt](shared, path, mode)
-    finally:
-        if len(active) > 1:
-            shared.unpersist()
+    shared = cut_lineage(df) if len(active) > 1 else df
+    for fmt, path, mode, _ in active:
+        WRITERS[fmt](shared, path, mode)
     return [b[1] for b in active]
 
 

@@ -46,5 +46,9 @@ def test_runs_without_sql(spark, data, name):
 
 
 def test_accuracy_sweep_stays_below_its_bound(spark, data):
-    for row in QUERIES["accuracy_sweep"](spark, data).collect():
-        assert row["failure_rate"] <= row["bound"]
+    rows = QUERIES["accuracy_sweep"](spark, data).collect()
+    assert len(rows) == 15 * 3 * 3 and {r["trials"] for r in rows} == {100}
+    for row in rows:
+        # The rate of 100 trials may exceed the probability by its own sampling error.
+        error = math.sqrt(row["bound"] * (1 - row["bound"]) / row["trials"])
+        assert row["failure_rate"] <= row["bound"] + 3 * error
