@@ -21,6 +21,7 @@ from tallyflow.sources import stored, tables
 from tallyflow.sources.logs import read_web_log, read_wifi_log
 from tallyflow.sources.urls import open_source
 from tallyflow.sources.views import events_stream, table
+from tallyflow.streaming.feeds import drain_as_it_comes
 
 _COLS = "sid, hid, key, upd, ts, seq"
 
@@ -51,20 +52,33 @@ def _write_web_log(events, path: str) -> None:
     events.select(body.alias("body")).mapInArrow(save, "n bigint").agg(F.sum("n")).collect()
 
 
-@query(
-    "read_wcup",
-    with_(
-        EV,
-        """SELECT CAST(ev.sid AS INTEGER) AS sid, CAST(ev.hid AS INTEGER) AS hid, e.user_id AS key, CAST(1 AS BIGINT) AS upd, ev.ts
-        FROM ev JOIN events e ON e.event_id = ev.seq""",
-    ),
+_WCUP_SQL = with_(
+    EV,
+    """SELECT CAST(ev.sid AS INTEGER) AS sid, CAST(ev.hid AS INTEGER) AS hid, e.user_id AS key, CAST(1 AS BIGINT) AS upd, ev.ts
+    FROM ev JOIN events e ON e.event_id = ev.seq""",
 )
-def read_wcup(spark, sf):
-    """Events written as binary web log records and read back."""
+
+
+def _web_log(spark, sf):
+    """Events written as binary web log records."""
     users = table(spark, sf, "events").select(F.col("event_id").alias("seq"), "user_id")
     folder = shared_folder(spark)
     _write_web_log(events_stream(spark, sf).join(users, "seq"), folder)
-    return read_web_log(spark, folder).drop("seq")
+    return folder
+
+
+@query("read_wcup", _WCUP_SQL)
+def read_wcup(spark, sf):
+    """Events written as binary web log records and read back."""
+    return read_web_log(spark, _web_log(spark, sf)).drop("seq")
+
+
+@query("open_source_live", _WCUP_SQL)
+def open_source_live(spark, sf):
+    """The same log opened by its URL as a live source, in micro-batches of a bounded number of records."""
+    most = max(1, table(spark, sf, "events").count() // 3)
+    stream = open_source(spark, f"wcup:{_web_log(spark, sf)}?max_records={most}", streaming=True)
+    return drain_as_it_comes(stream)[0].drop("seq")
 
 
 def _wifi_lines(spark, sf):

@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import accumulate, islice
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.operators.segments import Segments, positions
-from tallyflow.schema import UPDATE_SCHEMA
-
-# Layout of one 20-byte web log record, big-endian.
-WEB_RECORD = np.dtype(
-    [
-        ("time", ">u4"),
-        ("client", ">u4"),
-        ("object", ">u4"),
-        ("size", ">u4"),
-        ("method", "u1"),
-        ("status", "u1"),
-        ("type", "u1"),
-        ("server", "u1"),
-    ]
-)
+from tallyflow.shipping import ship
+from tallyflow.sources.weblog import WebLogSource
 
 # The fields of one WiFi access log line, in file order.
 WIFI_FIELDS = (
@@ -36,51 +18,27 @@ WIFI_FIRST_AP = 29
 WIFI_BASE_DAY = (2, 7, 20)
 
 
+def _web_log(reader, path: str, **options):
+    ship(SparkSession.getActiveSession())
+    SparkSession.getActiveSession().dataSource.register(WebLogSource)
+    return reader.format(WebLogSource.name()).options(**options).load(path)
+
+
 def read_web_log(
     spark: SparkSession, path: str, sid_field: str = "type", hid_field: str = "server", key_field: str = "client"
 ) -> DataFrame:
-    """Binary web log as an update stream; ``seq`` is the record's place in the file set.
+    """Binary web log (a file or a folder) as an update stream; ``seq`` is the record's place in the file set.
 
-    Files are read as fixed-length records, so one large file is split over tasks,
-    and each block of records is decoded in one step.
-    """
-    blocks = _record_blocks(spark, path, WEB_RECORD.itemsize)
-    fields = (sid_field, hid_field, key_field)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body, start in zip(batch.column("body").to_pylist(), batch.column("start").to_pylist()):
-                records = np.frombuffer(body, dtype=WEB_RECORD)
-                sid, hid, key = (records[f].astype(np.int64) for f in fields)
-                columns = [
-                    sid.astype(np.int32),
-                    hid.astype(np.int32),
-                    key,
-                    np.ones(len(records), dtype=np.int64),
-                    records["time"].astype(np.int64),
-                    np.arange(start, start + len(records), dtype=np.int64),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=UPDATE_SCHEMA.names)
-
-    return blocks.mapInArrow(decode, UPDATE_SCHEMA)
-
-
-def _record_blocks(spark: SparkSession, path: str, length: int, per_block: int = 16384) -> DataFrame:
-    """Fixed-length records packed into blocks, with the place of each block's first record.
-
-    Splits follow file order; a first pass counts the records of each split.
+    One scan: splits and numbers are planned from the files' lengths (see ``sources.weblog``).
+    The store must be one that ``pyarrow.fs`` knows.
     """
-    records = spark.sparkContext.binaryRecords(path, length)
-    counts = records.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()  # one number per split
-    starts = [0, *accumulate(counts)]
+    return _web_log(spark.read, path, sid_field=sid_field, hid_field=hid_field, key_field=key_field)
 
-    def pack(split: int, part: Iterator[bytes]):
-        at = starts[split]
-        while chunk := list(islice(part, per_block)):
-            yield bytearray(b"".join(chunk)), at
-            at += len(chunk)
 
-    return spark.createDataFrame(records.mapPartitionsWithIndex(pack), "body binary, start bigint")
+def stream_web_log(spark: SparkSession, path: str, max_records: int | None = None, **fields: str) -> DataFrame:
+    """The same as a streaming DataFrame, with at most ``max_records`` in a micro-batch."""
+    bound = {"max_records": str(max_records)} if max_records else {}
+    return _web_log(spark.readStream, path, **bound, **fields)
 
 
 def wifi_clock(day: Column, moment: Column, base: tuple[int, int, int] = WIFI_BASE_DAY) -> Column:

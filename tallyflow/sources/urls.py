@@ -6,9 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyflow.schema import UPDATE_SCHEMA
 from tallyflow.sources.generators import gen_uniform
-from tallyflow.sources.logs import read_web_log, read_wifi_log
-from tallyflow.sources.stored import read_stream
+from tallyflow.sources.logs import read_web_log, read_wifi_log, stream_web_log
+from tallyflow.sources.stored import DATA, read_stream
+from tallyflow.streaming.feeds import stream_files
 
 OPEN_MODES = ("truncate", "append")
 TEXT_FORMATS = ("csvtab", "csvrel")
@@ -54,9 +56,21 @@ def _number(options: dict[str, str], name: str) -> int:
         raise ValueError(f"{name} must be a whole number, not {options[name]!r}") from None
 
 
-def open_source(spark: SparkSession, url: str) -> DataFrame:
-    """The update stream behind a URL: ``wcup``, ``crawdad``, ``stream`` (also ``hdf5``) or ``gen``."""
+def open_source(spark: SparkSession, url: str, streaming: bool = False) -> DataFrame:
+    """The update stream behind a URL: ``wcup``, ``crawdad``, ``stream`` (also ``hdf5``) or ``gen``.
+
+    With ``streaming``, ``wcup`` and ``stream`` give a streaming DataFrame that takes records as they come;
+    options ``max_records`` and ``max_files`` bound a micro-batch.
+    """
     u = parse_url(url)
+    if streaming:
+        if u.type == "wcup":
+            return stream_web_log(spark, u.path, _number(u.options, "max_records") if "max_records" in u.options else None)
+        if u.type in ("stream", "hdf5"):
+            dataset = u.options.get("dataset")
+            path = f"{u.path}/{dataset}" if dataset else u.path
+            return stream_files(spark, f"{path}/{DATA}", UPDATE_SCHEMA, _number(u.options, "max_files") if "max_files" in u.options else None)
+        raise ValueError(f"a {u.type!r} source has no live form; wcup, stream and hdf5 have")
     if u.type == "wcup":
         return read_web_log(spark, u.path)
     if u.type == "crawdad":

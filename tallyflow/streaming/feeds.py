@@ -44,6 +44,20 @@ def drain_to_table(stream: DataFrame, mode: str = "append", folder: str | None =
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def drain_as_it_comes(stream: DataFrame, folder: str | None = None) -> tuple[DataFrame, int]:
+    """Process all input that is there, in as many micro-batches as the source gives; what was written, and their number."""
+    folder = folder or shared_folder(stream.sparkSession)
+    query = (
+        stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress").start()
+    )
+    try:
+        query.processAllAvailable()
+        batches = query.lastProgress["batchId"] if query.lastProgress else 0
+    finally:
+        query.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out"), batches
+
+
 def drain_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], folder: str) -> None:
     """Process all available input through a micro-batch handler."""
     query = (

@@ -18,6 +18,7 @@ from tallyflow.sources import generators as gen
 from tallyflow.sources import stored, tables
 from tallyflow.sources.logs import read_web_log, read_wifi_log
 from tallyflow.sources.urls import open_source, parse_url
+from tallyflow.streaming.feeds import drain_as_it_comes
 from tests.helpers import collect, frame, random_updates
 
 ROWS = random_updates(120, seed=2)
@@ -34,6 +35,45 @@ def test_web_log(spark, tmp_path):
     assert collect(got, "sid", "hid", "key", "upd", "ts", "seq") == sorted(want)
     other = read_web_log(spark, str(tmp_path), "method", "server", "object")
     assert collect(other, "sid", "key") == sorted((1, r[2]) for r in rows)
+    small = spark.read.format("web_log").option("split_records", 77).load(str(tmp_path))
+    assert small.rdd.getNumPartitions() == 14 and collect(small, "seq") == [(i,) for i in range(1000)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "RDD" not in plan and "MapInArrow" not in plan
+
+
+def test_web_log_as_it_grows(spark, tmp_path):
+    def record(i):
+        return struct.pack(">IIIIBBBB", 1000 + i, i, 0, 0, 1, 200, i % 5, i % 3)
+
+    folder, out = tmp_path / "log", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a").write_bytes(b"".join(map(record, range(100))))
+    live = lambda: open_source(spark, f"wcup:{folder}?max_records=40", streaming=True)
+    rows, batches = drain_as_it_comes(live(), out)
+    assert batches >= 2 and collect(rows, "seq", "ts") == [(i, 1000 + i) for i in range(100)]
+    with open(folder / "a", "ab") as f:
+        f.write(b"".join(map(record, range(100, 130))))
+    (folder / "b").write_bytes(b"".join(map(record, range(130, 150))))
+    rows, _ = drain_as_it_comes(live(), out)
+    assert collect(rows, "seq", "key") == [(i, i) for i in range(150)]
+
+
+def test_web_log_of_broken_records(spark, tmp_path):
+    (tmp_path / "x").write_bytes(b"1" * 21)
+    with pytest.raises(Exception, match="whole records"):
+        read_web_log(spark, str(tmp_path)).count()
+    (tmp_path / "x").write_bytes(b"")
+    assert read_web_log(spark, str(tmp_path)).count() == 0
+    for bad in ("gen:uniform?maxsid=1,maxhid=1,maxkey=1,maxts=1", "crawdad:x"):
+        with pytest.raises(ValueError, match="live"):
+            open_source(spark, bad, streaming=True)
+
+
+def test_stored_stream_as_it_grows(spark, tmp_path):
+    path = str(tmp_path / "s")
+    stored.write_stream(frame(spark, [(0, 1, 2, 1, 3, 4)]), path)
+    rows, _ = drain_as_it_comes(open_source(spark, f"stream:{path}?max_files=1", streaming=True))
+    assert collect(rows, "sid", "hid", "key", "upd", "ts", "seq") == [(0, 1, 2, 1, 3, 4)]
 
 
 WIFI = [
