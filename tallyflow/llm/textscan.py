@@ -38,9 +38,10 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 def reduced(x: np.ndarray) -> np.ndarray:
     """``x`` modulo ``PRIME`` for any 64-bit values (new array)."""
-    x = (x & U64(PRIME)) + (x >> U64(61))
-    x -= (x >= U64(PRIME)) * U64(PRIME)
-    return x
+    out = x & U64(PRIME)
+    out += x >> U64(61)
+    # Below the prime, the difference wraps around and is the larger one.
+    return np.minimum(out, out - U64(PRIME))
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -62,16 +63,39 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def small_times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``times`` where ``a`` is below 2^31, below 2^62 and not yet reduced."""
+    out = np.empty(len(a), dtype=np.uint64)
+    half, quarter = U64((1 << 31) - 1), U64((1 << 30) - 1)
+    for at in range(0, len(a), _CACHED):
+        x, y = a[at : at + _CACHED], b[at : at + _CACHED]
+        middle = x * (y >> U64(31))
+        total = x * (y & half)
+        total += middle >> U64(30)
+        middle &= quarter
+        middle <<= U64(31)
+        total += middle
+        np.bitwise_and(total, U64(PRIME), out=out[at : at + _CACHED])
+        out[at : at + _CACHED] += total >> U64(61)
+    return out
+
+
 def sums(values: np.ndarray, carry: int = 0) -> np.ndarray:
-    """``len(values) + 1`` prefix sums modulo ``PRIME``, the first one ``carry``; up to 2^30 values."""
+    """``len(values) + 1`` prefix sums modulo ``PRIME`` of values below 2^62, the first one ``carry``."""
     out = np.empty(len(values) + 1, dtype=np.uint64)
-    out[0] = 0
-    low = np.cumsum(values & U64((1 << 31) - 1))
-    high = np.cumsum(values >> U64(31))
-    low += high >> U64(30)
-    low += (high & U64((1 << 30) - 1)) << U64(31)
-    out[1:] = reduced(low)
-    return reduced(out + U64(carry)) if carry else out
+    out[0] = carry
+    half, quarter = U64((1 << 31) - 1), U64((1 << 30) - 1)
+    for at in range(0, len(values), _CACHED):
+        part = values[at : at + _CACHED]
+        total = np.cumsum(part & half)
+        high = np.cumsum(part >> U64(31))
+        total += high >> U64(30)
+        high &= quarter
+        high <<= U64(31)
+        total += high
+        total += out[at]
+        out[at + 1 : at + 1 + len(part)] = reduced(total)
+    return out
 
 
 def minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,8 +131,8 @@ def _power_arrays(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
 
 @cache
 def byte_values(lower: bool) -> np.ndarray:
-    """A random value of each byte below ``PRIME``; with ``lower`` A-Z have the values of a-z."""
-    values = mix64(np.arange(1, 257, dtype=np.uint64) * U64(0xD1342543DE82EF95)) >> U64(4)
+    """A random value of each byte, below 2^31; with ``lower`` A-Z have the values of a-z."""
+    values = mix64(np.arange(1, 257, dtype=np.uint64) * U64(0xD1342543DE82EF95)) >> U64(33)
     if lower:
         values[65:91] = values[97:123]
     return values
@@ -134,10 +158,10 @@ def substring_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, val
     step = int(power[SCAN_BYTES])
     for at in range(0, max(len(data), 1), SCAN_BYTES):
         part = data[at : at + SCAN_BYTES]
-        terms = times(values[part], power[: len(part)])
+        terms = small_times(values[part], power[: len(part)])
         if at:
             shift = shift * step % PRIME
-            terms = times(terms, np.array([shift], dtype=np.uint64))
+            terms = times(reduced(terms), np.array([shift], dtype=np.uint64))
         prefix = sums(terms, carry)
         last = at + len(part)
         a_to = int(np.searchsorted(starts, last, side="right"))

@@ -20,6 +20,8 @@ def test_arithmetic_modulo_the_prime():
     ends = np.array([[0, ts.PRIME - 1, ts.PRIME - 1], [5, ts.PRIME - 1, 1]], dtype=np.uint64)
     a, b = (np.concatenate((rng.integers(0, ts.PRIME, 50_000, dtype=np.uint64), e)) for e in ends)
     assert ts.times(a, b).tolist() == [int(x) * int(y) % ts.PRIME for x, y in zip(a, b, strict=True)]
+    small = a & np.uint64((1 << 31) - 1)
+    assert ts.reduced(ts.small_times(small, b)).tolist() == [int(x) * int(y) % ts.PRIME for x, y in zip(small, b, strict=True)]
     total, expected = 7, [7]
     for x in a.tolist():
         total = (total + x) % ts.PRIME
