@@ -1,13 +1,14 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
 Vectors are turned into integers and dealt to shards.  A shard's index holds, for each
-dimension, the postings' impacts quantised to ``LEVELS`` equal steps; the postings of one
-step are a segment.  Queries are processed in blocks against each shard.  Segments come
-by descending quantised impact (for a negative weight, by descending negated impact),
-all dimensions of a step together.  After each step every vector has a lower bound, its
-score so far, and an upper bound, which adds the step's lower edge for each dimension
-not seen yet.  A query stops on proof: when no more than a few vectors have an upper
-bound that reaches the k-th best lower bound.  These are rescored exactly.
+dimension (as it is, for positive weights, and negated, for negative ones), a list of
+postings: vector and impact.  Impacts are quantised to ``LEVELS`` equal steps, and the postings
+of one dimension and step are a segment.  A block of queries reads the segments by
+descending step; a query reads only those of dimensions in which it has a weight.  After each step
+a vector's score so far is a lower bound, and the weights not yet met at it, times the
+next step's upper edge, bound what may come.  A query stops on proof: when no more than a
+few vectors can still reach the k-th best lower bound.  These are rescored exactly.  A task goes
+through several shards and hands the k-th best score of one to the next.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SHARD = 4096
 BLOCK = 512
 LEVELS = 16
 SCALE = 256
+#: Shards that a task goes through for one block of queries.
+LOT = 8
 
 PACKED = "dim int, part bigint, rows binary, ids binary, vectors binary"
 
@@ -41,8 +44,8 @@ def integer_vectors(table: DataFrame, scale: int = SCALE) -> DataFrame:
     )
 
 
-def _pack(numbered: DataFrame, size: int) -> DataFrame:
-    """Vectors of one dimension count in parts of about ``size``, one row per part.
+def _pack(numbered: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Vectors of one dimension count in parts of about ``size``, one row per part; and the number of parts.
 
     Parts are dealt by row number, so repeated rows and ids do not crowd one of them.
     """
@@ -60,16 +63,19 @@ def _pack(numbered: DataFrame, size: int) -> DataFrame:
         ))
 
     dealt = numbered.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
-    return dealt.groupBy("dim", "part").applyInArrow(pack, PACKED)
+    return dealt.groupBy("dim", "part").applyInArrow(pack, PACKED), parts
 
 
 @dataclass
 class ShardIndex:
-    """Impacts of a shard's postings (dimensions twice: as they are and negated), from 0 up, and their levels."""
+    """Postings of a shard in segments, one after the other by falling level and then by dimension."""
 
     vectors: np.ndarray
+    #: Vector and impact (from 0 up) of every posting, and where segment (level, dimension) starts.
+    members: np.ndarray
     impacts: np.ndarray
-    levels: np.ndarray
+    starts: np.ndarray
+    #: Least value and step of each dimension.
     base: np.ndarray
     step: np.ndarray
 
@@ -80,36 +86,69 @@ class ShardIndex:
         impacts = both - base
         step = np.maximum(impacts.max(axis=0), 1) / LEVELS
         levels = np.minimum((impacts / step).astype(np.int64), LEVELS - 1)
-        return cls(vectors, impacts, levels, base, step)
+        wide = both.shape[1]
+        segment = (LEVELS - 1 - levels) * wide + np.arange(wide)
+        order = np.argsort(segment.ravel(), kind="stable")
+        starts = np.searchsorted(segment.ravel()[order], np.arange(LEVELS * wide + 1))
+        return cls(vectors, order // wide, impacts.ravel()[order], starts, base, step)
 
-    def segment(self, level: int) -> np.ndarray:
-        """The postings of one level; dense, as the vectors are."""
-        return np.where(self.levels == level, self.impacts, 0.0)
+    def segment(self, level: int, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors, each once, and impacts of one segment."""
+        at = (LEVELS - 1 - level) * len(self.base) + dimension
+        cut = slice(self.starts[at], self.starts[at + 1])
+        return self.members[cut], self.impacts[cut]
 
 
-def top_of_shard(index: ShardIndex, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the positions of its k best vectors in the shard, by score and then id; ``own`` is left out."""
+@dataclass
+class Work:
+    """Postings read by all queries, of all that their weights ask for."""
+
+    read: int = 0
+    of: int = 0
+
+
+def top_of_shard(
+    index: ShardIndex, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray | None = None, work: Work | None = None
+) -> list[np.ndarray]:
+    """For each query the positions and scores of its k best vectors in the shard, by score and then id.
+
+    ``own`` is left out.  Vectors that cannot reach the query's ``floor``, a score that k others have, may be missing.
+    """
     weights = np.hstack([np.maximum(queries, 0), np.maximum(-queries, 0)]).astype(np.float64)
     few = max(4 * k, len(ids) // 100)
-    active = np.arange(len(queries))
+    # Impacts count from the least value, so a score is this much more.
+    offset = weights @ index.base
+    known = np.full(len(queries), -np.inf) if floor is None else floor - offset
+    #: Bounds are floating-point sums of integers; this covers their rounding.
+    slack = 1e-9 * (1 + np.abs(weights).sum(axis=1) * (index.step.max(initial=0) * LEVELS + np.abs(index.base).max(initial=0)))
     score = np.zeros((len(queries), len(ids)))
-    possible: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+    unmet = np.repeat((weights @ index.step)[:, None], len(ids), axis=1)
     foreign = own[:, None] != ids[None, :]
-    #: Bounds are floating-point sums of integers; this covers their rounding.
-    slack = 1e-9 * (1 + np.abs(weights).sum(axis=1) * (index.step.max(initial=0) * LEVELS))
+    possible: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+    active = np.arange(len(queries))
     for level in range(LEVELS - 1, -1, -1):
-        score[active] += weights[active] @ index.segment(level).T
-        unseen = np.where(index.levels < level, index.step * level, 0.0)
-        upper = score[active] + weights[active] @ unseen.T
+        for dimension in range(len(index.base)):
+            members, impacts = index.segment(level, dimension)
+            asking = active[weights[active, dimension] > 0]
+            if not len(members) or not len(asking):
+                continue
+            cells, weight = np.ix_(asking, members), weights[asking, dimension][:, None]
+            score[cells] += weight * impacts
+            unmet[cells] -= weight * index.step[dimension]
+            if work is not None:
+                work.read += len(asking) * len(members)
+        upper = score[active] + np.maximum(unmet[active], 0) * level
         lower = np.where(foreign[active], score[active], -np.inf)
         best = np.partition(lower, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(active), -np.inf)
-        reach = (upper >= (best - slack[active])[:, None]) & foreign[active]
+        reach = (upper >= (np.maximum(best, known[active]) - slack[active])[:, None]) & foreign[active]
         done = (reach.sum(axis=1) <= few) if level else np.ones(len(active), dtype=bool)
         for row in np.flatnonzero(done):
             possible[active[row]] = np.flatnonzero(reach[row])
         active = active[~done]
         if not len(active):
             break
+    if work is not None:
+        work.of += int((weights > 0).sum()) * len(ids)
     out = []
     for query, members in zip(queries, possible, strict=True):
         exact = index.vectors[members] @ query
@@ -124,39 +163,57 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE) ->
     A vector that is null or holds a null or non-finite component takes no part, nor does
     one without vec_id; vectors are compared with those of the same length.  Rows with
     the query's own vec_id are not its candidates.  Repeated rows are candidates (and
-    queries) each.  Scores must fit in 64 bits.  ``is_query`` is a condition on vec_id;
+    queries) each.  Scores must fit in 64 bits: components beyond 2^62 / scale become
+    that large and their scores are not exact.  ``is_query`` is a condition on vec_id;
     other columns are ignored.
     """
     scratch = Scratch(table.sparkSession)
     vectors = scratch.keep(integer_vectors(table, scale), "vectors")
     # Row numbers follow fixed files.
     numbered = vectors.withColumn("row", F.monotonically_increasing_id())
-    index = scratch.keep(_pack(numbered, SHARD), "index")
-    query_rows = numbered.filter(F.coalesce(is_query, F.lit(False)))
-    blocks = scratch.keep(_pack(query_rows, BLOCK), "blocks").toDF("dim", "block", "q_rows", "q_ids", "q_vectors")
-    # Every block meets every shard: a stated query set against all rows.
-    pairs = blocks.join(index.withColumnRenamed("part", "shard"), "dim")
+    index, shards = _pack(numbered, SHARD)
+    blocks, n_blocks = _pack(numbered.filter(F.coalesce(is_query, F.lit(False))), BLOCK)
+    index, blocks = scratch.keep(index, "index"), scratch.keep(blocks, "blocks")
+    # Every block meets every shard: a stated query set against all rows.  Both sides name the
+    # (block, lot of shards) they go to, so there is no join and no key that many of them share.
+    lots = -(-shards // LOT)
+    packed = ["rows", "ids", "vectors"]
+    left = index.select(
+        "dim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"), (F.col("part") % lots).alias("lot"), F.lit(False).alias("asks"), *packed
+    )
+    right = blocks.select(
+        "dim", F.col("part").alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lots - 1).cast("bigint"))).alias("lot"), F.lit(True).alias("asks"), *packed
+    )
 
     def score(table: pa.Table) -> pa.Table:
-        def array(column: str) -> np.ndarray:
-            return np.frombuffer(table.column(column)[0].as_py(), np.int64)
-
-        dim = table.column("dim")[0].as_py()
-        ids, q_ids, q_rows = array("ids"), array("q_ids"), array("q_rows")
-        vectors, queries = array("vectors").reshape(len(ids), dim), array("q_vectors").reshape(len(q_ids), dim)
-        tops = top_of_shard(ShardIndex.of(vectors), ids, queries, q_ids, k)
+        dim, asks = table.column("dim")[0].as_py(), table.column("asks").to_pylist()
+
+        def part(row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            rows, ids, vectors = (np.frombuffer(table.column(c)[row].as_py(), np.int64) for c in packed)
+            return rows, ids, vectors.reshape(len(ids), dim)
+
+        found: list[list[np.ndarray]] = []
+        q_rows = q_ids = np.zeros(0, np.int64)
+        if True in asks:
+            q_rows, q_ids, queries = part(asks.index(True))
+            found = [[] for _ in q_ids]
+            floor = np.full(len(q_ids), -np.inf)
+            for row in np.flatnonzero(~np.array(asks)):
+                _, ids, vectors = part(int(row))
+                for q, top in enumerate(top_of_shard(ShardIndex.of(vectors), ids, queries, q_ids, k, floor)):
+                    found[q].append(np.column_stack([ids[top[:, 0]], top[:, 1]]))
+                    kept = np.concatenate(found[q])
+                    found[q] = [kept[np.lexsort((kept[:, 0], -kept[:, 1]))[:k]]]
+                    if len(found[q][0]) == k:
+                        floor[q] = found[q][0][-1, 1]
+        tops = [np.concatenate(x) if x else np.zeros((0, 2), np.int64) for x in found]
         count = [len(t) for t in tops]
-        found = np.concatenate(tops) if tops else np.zeros((0, 2), np.int64)
+        every = np.concatenate(tops) if tops else np.zeros((0, 2), np.int64)
         return pa.table(
-            {
-                "q_row": np.repeat(q_rows, count),
-                "query_id": np.repeat(q_ids, count),
-                "vec_id": ids[found[:, 0]],
-                "score": found[:, 1],
-            }
+            {"q_row": np.repeat(q_rows, count), "query_id": np.repeat(q_ids, count), "vec_id": every[:, 0], "score": every[:, 1]}
         )
 
-    found = pairs.groupBy("dim", "block", "shard").applyInArrow(
+    found = left.unionByName(right).groupBy("dim", "block", "lot").applyInArrow(
         score, "q_row bigint, query_id bigint, vec_id bigint, score bigint"
     )
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")

@@ -4,7 +4,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyflow.llm.topk import ShardIndex, top_k, top_of_shard
+from tallyflow.llm import topk
+from tallyflow.llm.topk import LEVELS, ShardIndex, Work, top_k, top_of_shard
 
 
 def literal(rows, k, every):
@@ -53,3 +54,49 @@ def test_a_query_stops_on_proof_only():
         exact[row] = -(2**62)
         order = np.lexsort((ids, -exact))[:5]
         assert top[:, 0].tolist() == order.tolist() and top[:, 1].tolist() == exact[order].tolist()
+
+
+def test_segments_hold_every_posting_once():
+    vectors = np.random.default_rng(3).integers(-9, 9, (50, 4))
+    index = ShardIndex.of(vectors)
+    seen = {}
+    for level in range(LEVELS):
+        for dimension in range(8):
+            members, impacts = index.segment(level, dimension)
+            for m, x in zip(members.tolist(), impacts.tolist(), strict=True):
+                assert (m, dimension) not in seen
+                assert index.step[dimension] * level <= x + 1e-9 and (x <= index.step[dimension] * (level + 1) + 1e-9)
+                seen[m, dimension] = x + index.base[dimension]
+    both = np.hstack([vectors, -vectors])
+    assert seen == {(m, d): both[m, d] for m in range(50) for d in range(8)}
+
+
+def test_fewer_postings_than_all_are_read():
+    rng = np.random.default_rng(4)
+    vectors = rng.integers(-250, 250, (2000, 16))
+    vectors[:20] *= 3
+    ids, queries = np.arange(2000), vectors[:40]
+    alone, floored = Work(), Work()
+    tops = top_of_shard(ShardIndex.of(vectors), ids, queries, ids[:40], 5, work=alone)
+    floor = np.array([t[-1, 1] for t in tops], dtype=float)
+    assert alone.read < alone.of
+    # A shard without any good vector is given up earlier.
+    far = rng.integers(-50, 50, (2000, 16))
+    top_of_shard(ShardIndex.of(far), ids + 5000, queries, ids[:40], 5, floor, floored)
+    assert floored.read < 0.8 * floored.of
+
+
+def test_several_shards_blocks_and_lots(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 30)
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    monkeypatch.setattr(topk, "LOT", 2)
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1.0, -0.25, 0.0, 0.5]) for _ in range(5)]) for i in range(300)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out = top_k(table, F.col("vec_id") % 10 == 0)
+    assert got(out) == literal(rows, 5, 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Join" not in top_k(table, F.col("vec_id") % 10 == 0)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
