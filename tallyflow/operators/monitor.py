@@ -30,7 +30,7 @@ from tallyflow.operators.chains import reached
 from tallyflow.operators.joinsize import JoinSizeQuery
 from tallyflow.operators.lanes import lane_table
 from tallyflow.operators.segments import Segments, positions, running_products
-from tallyflow.operators.sketch import Projection, hashed
+from tallyflow.operators.sketch import Projection, hashed, sketch
 from tallyflow.session import cut_lineage
 
 
@@ -52,6 +52,8 @@ def slice_updates(stream: DataFrame, every: int, by: Sequence[str] = ("sid", "hi
     return stream.groupBy(*by, time_slice_of(every).alias("slice")).agg(F.count(F.lit(1)).alias("updates"))
 
 
+#: A slice before all others.
+_BEFORE = -(2**62)
 #: Slices after a reference that are looked at first, and how the span grows for those that found nothing.
 FIRST_SPAN = 16
 _GROWTH = 4
@@ -105,12 +107,15 @@ PUBLISH_SCHEMA = T.StructType(
 )
 
 
-def drift_publish(stream: DataFrame, proj: Projection, theta: float, sites: int, every: int) -> DataFrame:
+def drift_publish(
+    stream: DataFrame, proj: Projection, theta: float, sites: int, every: int, warm: DataFrame | None = None
+) -> DataFrame:
     """Per local stream, the slices at which its drift is published.
 
     The drift since the last publication is published, and starts again from
     zero, once its squared norm reaches ``theta^2/sites`` of the squared norm of
-    the local stream's whole sketch.  Published cells are listed sparsely.
+    the local stream's whole sketch.  Published cells are listed sparsely.  Records of ``warm`` count as
+    published before the first slice: they are part of the whole sketch and never of a drift.
     """
     key, limit = ["sid", "hid"], theta * theta / sites
     counts = numbered(slice_updates(stream, every), key, "t")
@@ -122,7 +127,11 @@ def drift_publish(stream: DataFrame, proj: Projection, theta: float, sites: int,
     cells = cut_lineage(cells.unionByName(idle).groupBy(*key, "t", "cell").agg(F.sum("c").alias("c")))
     ends = counts.groupBy(*key).agg(F.max("t").alias("end"))
     last = ends.agg(F.max("end")).first()[0] or 0
-    lane = cells.withColumn("d", F.lit(0))
+    lane = cells
+    if warm is not None:
+        start = sketch(warm, proj, key).select(*key, F.lit(0).cast("bigint").alias("t"), cell, "c")
+        lane = cells.unionByName(start.where("c <> 0"))
+    lane = lane.withColumn("d", F.lit(0))
     whole = running_products(lane, ["cell"], left="c", by=key, lanes=1, segments=Segments.fit(cells, ["t"]), merged=True)
     whole = cut_lineage(whole.select(*key, "t", F.col("p0").alias("total2")))
 
@@ -171,13 +180,18 @@ def published_cells(published: DataFrame, proj: Projection) -> DataFrame:
     )
 
 
-def published_estimate(published: DataFrame, proj: Projection, segments: Segments | None = None) -> DataFrame:
-    """The coordinator's self-join estimate after each slice with publications."""
+def published_estimate(
+    published: DataFrame, proj: Projection, segments: Segments | None = None, warm: DataFrame | None = None
+) -> DataFrame:
+    """The coordinator's self-join estimate after each slice with publications, from what ``warm`` told it on."""
     changes = published_cells(published, proj).groupBy("sid", "slice", "d", "b").agg(F.sum("c").alias("u"))
+    if warm is not None:
+        start = sketch(warm, proj).select("sid", F.lit(_BEFORE).cast("bigint").alias("slice"), "d", "b", F.col("c").alias("u"))
+        changes = changes.unionByName(start.where("u <> 0"))
     seg = segments or Segments.fit(published, ["slice"])
     out = running_products(changes, ["b"], by=["sid"], lanes=proj.depth, segments=seg, merged=True)
     lanes = [F.col(f"p{d}") for d in range(proj.depth)]
-    return out.select("sid", "slice", median_of(lanes).alias("estimate"))
+    return out.where(F.col("slice") > _BEFORE).select("sid", "slice", median_of(lanes).alias("estimate"))
 
 
 def publish_cost(published: DataFrame, proj: Projection, per_update: int = KEY_BYTES) -> DataFrame:
@@ -221,14 +235,15 @@ def monitor(
     rule: str = "any_site",
     warmup_slices: int = 1,
     exact: bool = True,
+    warm: DataFrame | None = None,
 ) -> DataFrame:
     """Per time slice: the anchored estimate, its bounds, the sites' guards and whether it re-anchored.
 
     ``any_site`` re-anchors when some site's guard is <= 0, ``sum`` when the sum
     of the guards falls below 1 % of ``sites`` times the anchor's guard.  The
-    first ``warmup_slices`` slices set the first anchor.
+    first ``warmup_slices`` slices set the first anchor; with ``warm``, its records do instead.
     """
-    return monitor_all(stream, [query], proj, sites, every, rule, warmup_slices, exact).drop("query")
+    return monitor_all(stream, [query], proj, sites, every, rule, warmup_slices, exact, warm).drop("query")
 
 
 def monitor_all(
@@ -240,6 +255,7 @@ def monitor_all(
     rule: str = "any_site",
     warmup_slices: int = 1,
     exact: bool = True,
+    warm: DataFrame | None = None,
 ) -> DataFrame:
     """``monitor`` of several queries over one pass of the stream, with column ``query`` (its text).
 
@@ -252,7 +268,7 @@ def monitor_all(
         raise ValueError("total error must exceed the sketch error")
     if len({q.is_selfjoin for q in queries}) != 1:
         raise ValueError("watch self-joins and joins in calls of their own")
-    run = _Monitor(proj, queries[0].is_selfjoin, sites, rule, warmup_slices, exact)
+    run = _Monitor(proj, queries[0].is_selfjoin, sites, rule, warmup_slices if warm is None else 0, exact)
     listed = [(i, str(q), s, k, q.beta) for i, q in enumerate(queries) for k, s in enumerate(q.operands)]
     spark = stream.sparkSession
     # The declared queries; two rows each at most.
@@ -267,7 +283,10 @@ def monitor_all(
     counts = cut_lineage(slice_updates(parts, every, ["q", "hid"]).join(slices, ["q", "slice"]).drop("slice"))
     # One row per declared query.
     ends = F.broadcast(ends.join(F.broadcast(watched.select("q", "query", "beta").distinct()), "q"))
-    anchors = cut_lineage(run.anchors(cells, ends))
+    first = None
+    if warm is not None:
+        first = sketch(warm.join(F.broadcast(watched.select("q", "sid", "operand")), "sid"), proj, ["q", "operand"])
+    anchors = cut_lineage(run.anchors(cells, ends, first))
     every_slice = ends.select("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("end"))).alias("a"), "end")
     bounds = cut_lineage(run.bounds(anchors, every_slice, ends))
     norms = cut_lineage(run.norms(anchors, bounds))
@@ -292,10 +311,13 @@ class _Monitor:
     warmup: int
     exact: bool
 
-    def anchors(self, cells: DataFrame, ends: DataFrame) -> DataFrame:
-        """Sketch of the whole stream after every slice: ``q, a, d, b, e1`` (and ``e2``)."""
+    def anchors(self, cells: DataFrame, ends: DataFrame, first: DataFrame | None) -> DataFrame:
+        """Sketch of the whole stream after every slice: ``q, a, d, b, e1`` (and ``e2``); ``first`` was there before."""
         key = ["q", "operand", "d", "b"]
-        changes = cells.groupBy(*key, "t").agg(F.sum("c").alias("c")).join(ends.select("q", "end"), "q")
+        changes = cells.groupBy(*key, "t").agg(F.sum("c").alias("c"))
+        if first is not None:
+            changes = changes.unionByName(first.select(*key, F.lit(0).cast("bigint").alias("t"), "c"))
+        changes = changes.join(ends.select("q", "end"), "q")
         w = Window.partitionBy(*key).orderBy("t")
         e = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
         until = F.coalesce(F.lead("t").over(w) - 1, F.col("end"))

@@ -86,13 +86,16 @@ def component_table(
         return "timeseries", series.select(F.col("ts").alias("time"), *order[1:], label, "estimate")
     proj, every = projection_of(component), component.get("every", 3600)
     sites = _sites(stream)
+    # Warm-up records set the first anchor and the first published total; without any, the first slice does.
+    live, warm = (stream.where(F.col("warmup") == w).drop("warmup") for w in (False, True))
+    warm = warm if warm.take(1) else None
     if kind == "TODS":
-        log = cut_lineage(drift_publish(stream.drop("warmup"), proj, component["theta"], sites, every))
-        est = published_estimate(log, proj).where(F.col("sid") == query.left)
+        log = cut_lineage(drift_publish(live, proj, component["theta"], sites, every, warm))
+        est = published_estimate(log, proj, warm=warm).where(F.col("sid") == query.left)
         return "timeseries", est.select((F.col("slice") * every).alias("time"), label, "estimate")
     if kind in GUARD_RULES:
         rule = GUARD_RULES[kind]
-        rounds = monitor(stream.drop("warmup"), query, proj, sites, every, rule)
+        rounds = monitor(live, query, proj, sites, every, rule, warm=warm)
         return "gm_comm_results", monitor_summary(rounds, query, proj, sites, rule)
     raise ValueError(f"unknown component type {kind!r}")
 

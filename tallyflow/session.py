@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "tallyflow", shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and the bench.  On a cluster the submitter supplies the session."""
+    """A session for tests, the bench and local work, with this package known to its workers.
+
+    On a cluster the submitter supplies the session, and installs the package or calls ``shipping.ship``.
+    """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -25,6 +28,9 @@ def local_session(cores: int | str = 8, app: str = "tallyflow", shuffle_partitio
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    from tallyflow.shipping import ship
+
+    ship(spark)
     return spark
 
 

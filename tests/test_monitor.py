@@ -76,6 +76,49 @@ def test_monitor_follows_its_rule(spark, rule):
         mn.monitor(frame(spark, ROWS), query, proj, sites, every, "never")
 
 
+def test_warm_up_records_set_the_first_anchor(spark):
+    proj, beta, sites, every = Projection(3, 60, seed=2), 0.8, 4, 10
+    query = JoinSizeQuery(1, beta=beta)
+    warm, live = [r for r in ROWS if r[4] < 60], [r for r in ROWS if r[4] >= 60]
+    got = mn.monitor(frame(spark, live), query, proj, sites, every, warm=frame(spark, warm)).orderBy("slice").collect()
+    cells = lambda rows: np.array(literal_sketch(proj, [(r[2], r[3]) for r in rows if r[0] == 1]), dtype=float)
+    anchor, drift, moves = cells(warm), {}, 0
+    for row in got:
+        for r in live:
+            if r[0] == 1 and r[4] // every == row["slice"]:
+                drift[r[1]] = drift.get(r[1], 0) + cells([r])
+        low, high = gm.bounds(float(np.median((anchor * anchor).sum(axis=1))), beta, proj.epsilon)
+        zeta = [gm.selfjoin(anchor + sites * drift.get(h, 0), anchor, low, high) for h in range(sites)]
+        assert row["zeta_min"] == pytest.approx(min(zeta)) and row["reanchored"] == (min(zeta) <= 0)
+        if row["reanchored"]:
+            anchor, drift, moves = anchor + sum(drift.values()), {}, moves + 1
+        assert row["round"] == moves
+        assert row["estimate"] == float(np.median((anchor * anchor).sum(axis=1)))
+    assert not got[0]["reanchored"]
+
+
+def test_warm_up_records_count_as_published(spark):
+    theta, sites = 0.5, 4
+    warm, live = [r for r in ROWS if r[4] < 60], [r for r in ROWS if r[4] >= 60]
+    expected, state = [], {}
+    for sid, hid, key, upd, _, _ in warm:
+        total, drift = state.get((sid, hid), (np.zeros(30), np.zeros(30)))
+        state[sid, hid] = (total + flat([(key, upd)]), drift)
+    for sid, hid, key, upd, ts, _ in live:
+        total, drift = state.get((sid, hid), (np.zeros(30), np.zeros(30)))
+        total, drift = total + flat([(key, upd)]), drift + flat([(key, upd)])
+        if drift @ drift >= theta**2 / sites * (total @ total):
+            expected.append((sid, hid, ts, float(drift @ drift)))
+            drift = np.zeros(30)
+        state[sid, hid] = (total, drift)
+    out = mn.drift_publish(frame(spark, live), PROJ, theta, sites, 1, frame(spark, warm))
+    assert collect(out, "sid", "hid", "slice", "drift2") == sorted(expected)
+    last = mn.published_estimate(mn.drift_publish(frame(spark, live), PROJ, 0.0, 4, 10, frame(spark, warm)), PROJ, warm=frame(spark, warm))
+    for row in last.groupBy("sid").agg(F.max_by("estimate", "slice").alias("e")).collect():
+        x = flat([(r[2], r[3]) for r in ROWS if r[0] == row["sid"]]).reshape(3, 10)
+        assert row["e"] == statistics.median((x * x).sum(axis=1))
+
+
 def test_error_bound_must_exceed_sketch_error(spark):
     with pytest.raises(ValueError):
         mn.monitor(frame(spark, ROWS), JoinSizeQuery(1, beta=0.5), Projection(3, 10), 4, 40)
