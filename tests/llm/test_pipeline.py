@@ -1,12 +1,18 @@
 """Every stage of the pipeline against a literal version, on its own input."""
 
+import math
+
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyflow.llm import mixing, quality_classifier
+from tallyflow.llm import quality_classifier
+from tallyflow.llm.common_words import common_hashes
+from tallyflow.llm.docstats import statistics
+from tallyflow.llm.native_sql import mixing_sql
 from tests.llm.helpers import cut_lines, near_components
 
 
@@ -30,14 +36,40 @@ def test_all_but_the_last_return_documents(stages):
         assert 0 < after.count() <= before.count()
 
 
-def test_quality_filter_keeps_what_the_model_accepts(spark, data, stages):
+def test_quality_filter_keeps_what_the_trees_accept(spark, data, stages):
+    """The fitted trees are walked node by node for every document."""
     before, after = stages[0]
-    model = quality_classifier.train(before, spark.read.parquet(f"{data}/labels.parquet"))
-    want = {r.doc_id for r in quality_classifier.score(before, model).collect() if r.score >= 0.3}
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    model = quality_classifier.train(before, labels)
+
+    def accepted(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        x = quality_classifier.features(statistics(raw, np.array([0, len(raw)]), common_hashes()))[0]
+        total = model.start
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        return 1 / (1 + math.exp(-total)) >= 0.3
+
+    want = {r.doc_id for r in before.collect() if accepted(r.text)}
     assert {r.doc_id for r in after.collect()} == want
-    clean = {r.doc_id for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.quality == 1}
-    kept = len(clean & want) / len(clean)
-    assert kept > 0.97
+    clean = {r.doc_id for r in labels.collect() if r.quality == 1}
+    assert len(clean & want) / len(clean) > 0.97
+
+
+def test_a_text_of_blanks_goes_through_all_stages(spark, data, tmp_path):
+    """A long run of white space ends no stage."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    long = "A sentence of some words that stands here. " * 40 + " " * 1_200_000 + "The end of it."
+    docs = docs.union(spark.createDataFrame([(10**7, long, "en", "web", len(long))], docs.schema))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        if name == "quality classifier":
+            continue
+        stage(spark, docs, data).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    assert docs.count() > 0
 
 
 def test_lines(stages):
@@ -49,7 +81,7 @@ def test_lines(stages):
 
 def test_near_copies(stages):
     before, after = stages[2]
-    groups = near_components([(r.doc_id, r.text) for r in before.collect()])
+    groups = near_components([(r.doc_id, r.text) for r in before.collect()], percent=80)
     assert {r.doc_id for r in after.collect()} == {d for d, (n, c) in groups.items() if d == c}
 
 
@@ -69,8 +101,11 @@ def test_near_copies_from_80_percent_on(spark, data, stages):
 
 
 def test_mixing(stages):
+    """Against the same rule in SQL, run by another engine."""
     before, after = stages[3]
-    want = {r.doc_id for r in mixing.mix(before).collect() if r.sampled}
+    con = duckdb.connect()
+    con.register("documents", before.toArrow())
+    want = {d for d, sampled in con.execute(f"SELECT doc_id, sampled FROM ({mixing_sql()})").fetchall() if sampled}
     assert {r.doc_id for r in after.collect()} == want
 
 

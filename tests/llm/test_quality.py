@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -42,6 +43,66 @@ def test_base_counts_of_whole_texts(spark, data):
     assert sum(r.kept for r in junk) <= 0.5 * len(junk)
 
 
+KINDS = [
+    "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "\t ", "\n\r", "", ".,;:!?-", "'\"`", "()[]{}", ""
+]
+
+
+def kind_of(c):
+    if ord(c) >= 128:
+        return 10 + len(c.encode()) - 2
+    found = [i for i, chars in enumerate(KINDS) if c in chars]
+    return found[0] if found else 5 if ord(c) < 32 or ord(c) == 127 else 9
+
+
+def distance(p, q):
+    if not sum(p) or not sum(q):
+        return 0.0
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m, strict=True) if x)
+    return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
+def literal_verdicts(rows):
+    """{doc_id: (class distance, word distance, kept)} by counting characters and words one by one."""
+    listed = sorted({w for line in COMMON_WORDS.values() for w in line.split()})
+    classes, commons, counts = {}, {}, {}
+    for d, text, _ in rows:
+        counts[d] = base_counts(text)
+        classes[d] = [0] * 13
+        for c in text or "":
+            classes[d][kind_of(c)] += 1
+        w = words(text, lower=True)
+        commons[d] = [w.count(x) for x in listed] + [sum(x not in listed for x in w)]
+    good = [(d, lang) for d, _, lang in rows if not counts[d][5]]
+    total = lambda table, ds: [sum(x) for x in zip(*(table[d] for d in ds), strict=True)]
+    everyone = total(classes, [d for d, _ in good])
+    out = {}
+    for d, _, lang in rows:
+        mine = [x for x, y in good if y == lang and lang is not None]
+        own = mine and (lang in COMMON_WORDS or sum(counts[x][0] for x in mine) >= 1000)
+        by_class = distance(classes[d], total(classes, mine) if own else everyone)
+        by_word = distance(commons[d], total(commons, mine)) if lang in COMMON_WORDS and mine else 0.0
+        n, failed = counts[d][0], counts[d][5]
+        out[d] = by_class, by_word, not failed and not (n >= 60 and by_class > 0.3) and not (n >= 150 and by_word > 0.3)
+    return out
+
+
+def test_verdicts_are_those_of_a_literal_version(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    rng = random.Random(9)
+    rows += [(10**6 + i, "".join(rng.choice("äöü#%123 \n") for _ in range(600)), rng.choice(["en", None, "xx"])) for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    want = literal_verdicts(rows)
+    got = {r.doc_id: r for r in score_quality(table).collect()}
+    for d, (by_class, by_word, kept) in want.items():
+        assert got[d].kept == kept
+        assert got[d].class_distance == pytest.approx(by_class, abs=1e-6) and got[d].word_distance == pytest.approx(by_word, abs=1e-6)
+    assert {k for *_, k in want.values()} == {True, False}
+
+
 def test_distance_and_its_guards():
     p = np.array([[1.0, 0, 0], [1, 1, 0], [0, 0, 0], [2, 2, 4]])
     q = np.array([[0.0, 1, 1], [2, 2, 0], [1, 1, 1], [1, 1, 2]])
