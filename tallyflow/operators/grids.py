@@ -48,6 +48,32 @@ def zip_with(a: DataFrame, b: DataFrame, order_a: Sequence[str], order_b: Sequen
     return x.drop(*shared).join(y, "_i").drop("_i")
 
 
+def _as_settings(grids: Sequence[DataFrame]) -> list[Column]:
+    """The settings of each grid as one struct; the structs have all grids' parameters, NULL where a grid lacks one."""
+    fields = {f.name: f.dataType for grid in reversed(grids) for f in grid.schema.fields}
+    return [
+        F.struct(*[(F.col(c) if c in grid.columns else F.lit(None)).cast(t).alias(c) for c, t in fields.items()]) for grid in grids
+    ]
+
+
+def cross_listed(name: str, *grids: DataFrame) -> DataFrame:
+    """One parameter with a list of settings, one of each grid, in every combination; as many rows as the product."""
+    first, *rest = [g.select(F.array(s).alias(f"_{i}")) for i, (g, s) in enumerate(zip(grids, _as_settings(grids), strict=True))]
+    for other in rest:
+        first = first.crossJoin(other)
+    return first.select(F.concat(*first.columns).alias(name))
+
+
+def zip_listed(name: str, *grids: tuple[DataFrame, Sequence[str]]) -> DataFrame:
+    """One parameter with a list of settings, one of each (grid, order) at the same place, up to the shortest grid's end."""
+    settings = _as_settings([g for g, _ in grids])
+    out = None
+    for i, ((grid, order), setting) in enumerate(zip(grids, settings, strict=True)):
+        placed = numbered(grid, order).select("_i", setting.alias(f"_{i}"))
+        out = placed if out is None else out.join(placed, "_i")
+    return out.select(F.array(*[c for c in out.columns if c != "_i"]).alias(name))
+
+
 def concat(a: DataFrame, b: DataFrame) -> DataFrame:
     """One grid after the other; parameters that one lacks are NULL there."""
     return a.unionByName(b, allowMissingColumns=True)

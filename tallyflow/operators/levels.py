@@ -217,7 +217,7 @@ def next_runs(nodes: DataFrame, runs: DataFrame, by: list[str], count: int, p: f
     return out.select(*[F.col(f"a.{c}").alias(c) for c in columns[:-1]], F.when(hit, F.col("a.target")).alias("target"))
 
 
-def entry_levels(runs: DataFrame, by: list[str], first: float | None, p: float, d: float) -> DataFrame:
+def entry_levels(runs: DataFrame, by: list[str], first: DataFrame | float | None, p: float, d: float) -> DataFrame:
     """``by…, _s0, entry``: the level in force when each of ``border_runs`` begins; null where there is none yet."""
     number = F.row_number().over(Window.partitionBy(*by, *([] if by else [F.lit(0)])).orderBy("_s0")).cast("bigint") - 1
     runs = cut_lineage(runs.withColumn("run", number))
@@ -227,9 +227,16 @@ def entry_levels(runs: DataFrame, by: list[str], first: float | None, p: float,
     records = runs.select(*by, "run", F.inline(F.arrays_zip("place", "value", "ends")))
     # Nodes: every record by its end level, and a start of its own where a first level is given.
     nodes = records.select(*by, "run", "place", F.col("ends").alias("level"))
+    root = nodes.where("run = 0 and place = 0")
     if first is not None:
-        start = runs.where("run = 0").select(*by, F.lit(-1).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("place"), F.lit(float(first)).alias("level"))
+        begins = runs.where("run = 0").select(*by)
+        if isinstance(first, DataFrame):
+            given = begins.alias("a").join(first.alias("b"), _equal("a", "b", by)).select(*[F.col(f"a.{c}").alias(c) for c in by], "first")
+        else:
+            given = begins.withColumn("first", F.lit(float(first)))
+        start = given.select(*by, F.lit(-1).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("place"), F.col("first").alias("level"))
         nodes = nodes.unionByName(start)
+        root = start.unionByName(root.alias("a").join(given.alias("b"), _equal("a", "b", by), "left_anti"))
     aimed = next_runs(nodes, runs, by, count + 2, p, d).where("target is not null")
     # The first record of the target outside the band.  Along a run's records both extremes only grow,
     # so the place is found by bisection in the run's arrays.
@@ -260,7 +267,6 @@ def entry_levels(runs: DataFrame, by: list[str], first: float | None, p: float,
                 )
 
     links = cut_lineage(met.mapInArrow(bisect, schema))
-    root = nodes.where("run = -1") if first is not None else nodes.where("run = 0 and place = 0")
     group = F.struct(*by).alias("g") if by else F.struct(F.lit(0).alias("all")).alias("g")
     here, there = F.struct("run", "place").alias("a"), F.struct(F.col("to_run").alias("run"), F.col("to_place").alias("place")).alias("b")
     # A link leads to a later run, so there are no more than runs.
@@ -273,15 +279,24 @@ def entry_levels(runs: DataFrame, by: list[str], first: float | None, p: float,
 
 
 def level_chain(
-    series: DataFrame, value: str, p: float, d: float, by: Sequence[str], first: float | None, segments: Segments | None = None
+    series: DataFrame, value: str, p: float, d: float, by: Sequence[str], first: DataFrame | float | None, segments: Segments | None = None
 ) -> DataFrame:
-    """Rows that become levels: ``by…, order…, level``.  See ``sampling.level_changed``."""
+    """Rows that become levels: ``by…, order…, level``.  See ``sampling.level_changed``.
+
+    ``first`` may be a table (by…, first) of the levels in force before; groups it lacks begin with their first value.
+    """
     by, order = list(by), order_columns(series)
     slim = series.select(*by, *order, F.col(value).cast("double").alias("level")).where("level is not null and not isnan(level)")
     tagged = (segments or Segments.fit(slim, [*by, *order])).tag(slim)
     entries = entry_levels(border_runs(tagged, by, order, p, d), by, first, p, d)
     # The level at the start of a run travels before the run's rows.
     carried = entries.where("entry is not null").select("_s0", *by, F.lit(0).alias("_live"), F.col("entry").alias("level"))
+    start = first
+    if isinstance(first, DataFrame):
+        heads = tagged.groupBy(*by).agg(F.min("_s0").alias("_s0"))
+        heads = heads.alias("a").join(first.alias("b"), _equal("a", "b", by))
+        given = heads.select("_s0", *[F.col(f"a.{c}").alias(c) for c in by], F.lit(0).alias("_live"), F.col("first").alias("level"))
+        carried, start = carried.unionByName(given).dropDuplicates(["_s0", *by]), None
     both = tagged.withColumn("_live", F.lit(1)).unionByName(carried, allowMissingColumns=True)
     placed = both.repartition(F.col("_s0")).sortWithinPartitions("_s0", *by, "_live", *order)
     names = [*by, *order, "level"]
@@ -295,7 +310,7 @@ def level_chain(
             for begin, end in _stretches(batch, keys):
                 now = tuple(batch.column(c)[begin].as_py() for c in range(keys))
                 if now != key:
-                    key, last = now, first
+                    key, last = now, start
                 part = batch.slice(begin, end - begin)
                 values = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
                 live = part.column(keys)[0].as_py()

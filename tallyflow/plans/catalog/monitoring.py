@@ -14,9 +14,9 @@ from tallyflow.operators.sampling import level_changed
 from tallyflow.plans.catalog.base import DAY, EV, PROJ, hashed_cte, query, seeds_cte, with_
 from tallyflow.plans.catalog.guarding import _BETA, _bilinear_sql, _high, _low
 from tallyflow.session import cut_lineage, shared_folder
-from tallyflow.sources.views import SITES, event_updates, events_stream, table
-from tallyflow.streaming.feeds import drain_batches, drain_to_table, replay, stream_files
-from tallyflow.streaming.levels import level_changes
+from tallyflow.sources.views import SITES, events_stream, table
+from tallyflow.streaming.feeds import drain_batches, replay
+from tallyflow.streaming.levels import LevelFilter
 from tallyflow.streaming.protocols import DriftPublisher, GuardedEstimate, StreamedJoinSize
 
 _THETA = 0.5
@@ -303,11 +303,6 @@ def gm_summary(spark, sf):
 # -- streaming ------------------------------------------------------------------------
 
 
-def _feed(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return event_updates(stream_files(spark, f"{sf}/events.parquet", schema))
-
-
 _VALUE_LEVELS = """s AS (SELECT sid, seq, ts, key AS f, row_number() OVER (PARTITION BY sid ORDER BY ts, seq) AS n FROM ev),
 c AS (SELECT sid, n, f AS last FROM s WHERE n = 1 UNION ALL
       SELECT sid, n, f FROM (
@@ -318,8 +313,11 @@ _LEVEL_ROWS = "SELECT s.sid, s.ts, s.seq, CAST(s.f AS DOUBLE) AS level FROM c JO
 
 @query("stream_level_changed", with_(EV, _VALUE_LEVELS, _LEVEL_ROWS))
 def stream_level_changed(spark, sf):
-    """Keys that leave the band around the last one shown, with streaming state."""
-    return drain_to_table(level_changes(_feed(spark, sf), "key", 0.5, 30.0))
+    """Keys that leave the band around the last one shown, over several micro-batches."""
+    stream, folder = _slices(spark, sf), shared_folder(spark)
+    levels = LevelFilter(spark, folder, stream.schema, "key", 0.5, 30.0)
+    drain_batches(stream, levels.handle, folder)
+    return levels.changes()
 
 
 @query("level_changed_values", with_(EV, _VALUE_LEVELS, _LEVEL_ROWS))

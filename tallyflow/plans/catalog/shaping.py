@@ -429,6 +429,31 @@ def grid_zip(spark, sf):
     return grids.zip_with(nations, sizes, ["n_nationkey"], ["size"])
 
 
+@query(
+    "grid_cross_listed",
+    """SELECT size, segment, n_nationkey FROM (SELECT DISTINCT p_size AS size FROM part), (SELECT DISTINCT c_mktsegment AS segment FROM customer),
+       (SELECT n_nationkey FROM nation)""",
+)
+def grid_cross_listed(spark, sf):
+    """Every combination of three grids as one list-valued parameter, taken apart again."""
+    nations = table(spark, sf, "nation").select("n_nationkey")
+    both = grids.cross_listed("runs", _sizes(spark, sf), _segments(spark, sf), nations)
+    pick = lambda i, c: F.col("runs")[i][c].alias(c)
+    return both.select(pick(0, "size"), pick(1, "segment"), pick(2, "n_nationkey"))
+
+
+@query(
+    "grid_zip_listed",
+    """SELECT n_nationkey, s AS size FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) a
+       JOIN (SELECT s, row_number() OVER (ORDER BY s) AS i FROM (SELECT DISTINCT p_size AS s FROM part)) b ON a.i = b.i""",
+)
+def grid_zip_listed(spark, sf):
+    """Settings at the same place as one list-valued parameter, up to the end of the shorter grid."""
+    nations = table(spark, sf, "nation").select("n_nationkey")
+    both = grids.zip_listed("runs", (nations, ["n_nationkey"]), (_sizes(spark, sf), ["size"]))
+    return both.select(F.col("runs")[0]["n_nationkey"].alias("n_nationkey"), F.col("runs")[1]["size"].alias("size"))
+
+
 @query(
     "grid_ops",
     """SELECT setting.size AS size, setting.segment AS segment, setting.weight AS weight FROM (

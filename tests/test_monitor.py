@@ -12,7 +12,7 @@ from tallyflow.operators.sampling import level_changed
 from tallyflow.operators.sketch import Projection
 from tallyflow.session import shared_folder
 from tallyflow.streaming.feeds import drain_batches, drain_to_table, stream_files
-from tallyflow.streaming.levels import level_changes
+from tallyflow.streaming.levels import LevelFilter
 from tallyflow.streaming.protocols import DriftPublisher, GuardedEstimate
 from tallyflow.streaming.windows import window_counts
 from tests.helpers import collect, frame, literal_sketch, random_updates
@@ -175,11 +175,23 @@ def feed(spark, folder):
     return stream_files(spark, folder, frame(spark, []).schema, files_per_trigger=1)
 
 
-def test_streaming_levels_equal_batch(spark):
-    folder = write_batches(spark, ROWS, 3)
-    got = collect(drain_to_table(level_changes(feed(spark, folder), "key", 0.2, 1.0)), "sid", "seq", "level")
+def test_streaming_levels_equal_batch(spark, monkeypatch):
+    """Over several micro-batches, each cut into several segments."""
+    folder, out = write_batches(spark, ROWS, 3), shared_folder(spark)
+    stream = feed(spark, folder)
+    levels = LevelFilter(spark, out, stream.schema, "key", 0.2, 1.0)
+    seen = []
+
+    def handle(batch, batch_id):
+        seen.append(batch_id)
+        levels.handle(batch, batch_id)
+        if batch_id == 1:
+            levels.handle(batch, batch_id)  # a replayed batch changes nothing
+
+    drain_batches(stream, handle, out)
     batch = level_changed(frame(spark, ROWS).select("sid", "ts", "seq", "key"), "key", 0.2, 1.0)
-    assert got == collect(batch, "sid", "seq", "level")
+    assert seen == [0, 1, 2]
+    assert collect(levels.changes(), "sid", "seq", "level") == collect(batch, "sid", "seq", "level")
 
 
 def test_streaming_window_counts_equal_batch(spark):
