@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes scanned at a time.
-SCAN_BYTES = 1 << 20
+SCAN_BYTES = 1 << 19
 
 U64 = np.uint64
 #: Modulus of the hashes, and two independent bases.
