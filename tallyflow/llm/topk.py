@@ -27,8 +27,11 @@ SHARD = 4096
 BLOCK = 512
 LEVELS = 16
 SCALE = 256
-#: Shards that a task goes through for one block of queries.
+#: Shards that a task goes through for one block of queries, and queries scored side by side.
 LOT = 8
+ABREAST = 128
+#: Steps after which a proof is tried; before the first of them too little has been met.
+CHECKED = (10, 7, 5, 4, 3, 2, 1, 0)
 
 PACKED = "dim int, part bigint, rows binary, ids binary, vectors binary"
 
@@ -78,6 +81,8 @@ class ShardIndex:
     #: Least value and step of each dimension.
     base: np.ndarray
     step: np.ndarray
+    levels: np.ndarray
+    bounds: dict[int, np.ndarray]
 
     @classmethod
     def of(cls, vectors: np.ndarray) -> ShardIndex:
@@ -90,7 +95,13 @@ class ShardIndex:
         segment = (LEVELS - 1 - levels) * wide + np.arange(wide)
         order = np.argsort(segment.ravel(), kind="stable")
         starts = np.searchsorted(segment.ravel()[order], np.arange(LEVELS * wide + 1))
-        return cls(vectors, order // wide, impacts.ravel()[order], starts, base, step)
+        return cls(vectors, order // wide, impacts.ravel()[order].astype(np.float32), starts, base, step, levels.astype(np.int8), {})
+
+    def unmet(self, level: int) -> np.ndarray:
+        """Upper bounds of the impacts below a level, 0 for those met already."""
+        if level not in self.bounds:
+            self.bounds[level] = np.where(self.levels < level, self.step * level, 0.0).astype(np.float32)
+        return self.bounds[level]
 
     def segment(self, level: int, dimension: int) -> tuple[np.ndarray, np.ndarray]:
         """Vectors, each once, and impacts of one segment."""
@@ -114,39 +125,54 @@ def top_of_shard(
 
     ``own`` is left out.  Vectors that cannot reach the query's ``floor``, a score that k others have, may be missing.
     """
+    out: list[np.ndarray] = []
+    for at in range(0, len(queries), ABREAST):
+        cut = slice(at, at + ABREAST)
+        out += _few_queries(index, ids, queries[cut], own[cut], k, None if floor is None else floor[cut], work)
+    return out
+
+
+def _few_queries(
+    index: ShardIndex, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray | None, work: Work | None
+) -> list[np.ndarray]:
+    """``top_of_shard`` for so few queries that a vector's scores stay together in the cache."""
     weights = np.hstack([np.maximum(queries, 0), np.maximum(-queries, 0)]).astype(np.float64)
     few = max(4 * k, len(ids) // 100)
     # Impacts count from the least value, so a score is this much more.
     offset = weights @ index.base
     known = np.full(len(queries), -np.inf) if floor is None else floor - offset
-    #: Bounds are floating-point sums of integers; this covers their rounding.
-    slack = 1e-9 * (1 + np.abs(weights).sum(axis=1) * (index.step.max(initial=0) * LEVELS + np.abs(index.base).max(initial=0)))
-    score = np.zeros((len(queries), len(ids)))
-    unmet = np.repeat((weights @ index.step)[:, None], len(ids), axis=1)
-    foreign = own[:, None] != ids[None, :]
+    #: Bounds are sums in single precision; this covers their rounding.
+    slack = 1e-5 * (1 + np.abs(weights).sum(axis=1) * (index.step.max(initial=0) * LEVELS + np.abs(index.base).max(initial=0)))
+    scaled = np.ascontiguousarray(weights.T, dtype=np.float32)
+    score = np.zeros((len(ids), len(queries)), dtype=np.float32)
+    foreign = ids[:, None] != own[None, :]
     possible: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
     active = np.arange(len(queries))
     for level in range(LEVELS - 1, -1, -1):
         for dimension in range(len(index.base)):
             members, impacts = index.segment(level, dimension)
-            asking = active[weights[active, dimension] > 0]
-            if not len(members) or not len(asking):
+            weight = scaled[dimension]
+            asking = int(np.count_nonzero(weight))
+            if not len(members) or not asking:
                 continue
-            cells, weight = np.ix_(asking, members), weights[asking, dimension][:, None]
-            score[cells] += weight * impacts
-            unmet[cells] -= weight * index.step[dimension]
+            score[members] += impacts[:, None] * weight
             if work is not None:
-                work.read += len(asking) * len(members)
-        upper = score[active] + np.maximum(unmet[active], 0) * level
-        lower = np.where(foreign[active], score[active], -np.inf)
-        best = np.partition(lower, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(active), -np.inf)
-        reach = (upper >= (np.maximum(best, known[active]) - slack[active])[:, None]) & foreign[active]
-        done = (reach.sum(axis=1) <= few) if level else np.ones(len(active), dtype=bool)
-        for row in np.flatnonzero(done):
-            possible[active[row]] = np.flatnonzero(reach[row])
-        active = active[~done]
-        if not len(active):
+                work.read += asking * len(members)
+        if level not in CHECKED:
+            continue
+        upper = score + index.unmet(level) @ scaled
+        lower = np.where(foreign, score, -np.inf)
+        best = np.partition(lower, -k, axis=0)[-k] if len(ids) > k else np.full(len(active), -np.inf)
+        reach = (upper >= (np.maximum(best, known[active]) - slack[active])[None, :]) & foreign
+        done = (reach.sum(axis=0) <= few) if level else np.ones(len(active), dtype=bool)
+        for column in np.flatnonzero(done):
+            possible[active[column]] = np.flatnonzero(reach[:, column])
+        # A query that has its proof reads no further segment.
+        if done.all():
             break
+        if done.any():
+            active = active[~done]
+            scaled, score, foreign = (np.ascontiguousarray(x[:, ~done]) for x in (scaled, score, foreign))
     if work is not None:
         work.of += int((weights > 0).sum()) * len(ids)
     out = []
