@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +61,22 @@ def uniform31(row_id: Column, *labels) -> Column:
     return _xorshift(x, 15)
 
 
+def uniform31_array(row_id: np.ndarray, *labels) -> np.ndarray:
+    """NumPy twin of :func:`uniform31`, for 64-bit row ids."""
+    x = row_id >> 31
+    x &= MASK31
+    x *= MIX_HI
+    x += row_id & MASK31
+    x += seed31(*labels)
+    x &= MASK31
+    for shift, factor in ((15, MIX_A), (14, MIX_B)):
+        x ^= x >> shift
+        x *= factor
+        x &= MASK31
+    x ^= x >> 15
+    return x
+
+
 def uniform_int(row_id: Column, high: int, *labels) -> Column:
     """Uniform integer in 1..high, high < 2**31."""
     return F.shiftright(uniform31(row_id, *labels) * F.lit(high).cast("bigint"), 31) + F.lit(1).cast("bigint")

@@ -7,7 +7,7 @@ A sketch has D rows of L counters.  Row d adds ``sign_d(key) * upd`` to counter
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -246,23 +246,32 @@ def seeds_table(spark, proj: Projection) -> DataFrame:
     return spark.createDataFrame(proj.seeds(), T.StructType(fields))
 
 
-def counters(proj: Projection):
-    """NumPy function (keys, counts) -> D x L counters."""
-    seeds = np.array([s[1:] for s in proj.seeds()], dtype=np.int64)
-    mask, width, depth, sign_bit = MASK31, proj.width, proj.depth, FAMILIES[proj.family]
+def _lane(proj: Projection, d: int):
+    """NumPy function: keys -> hash of row d whose remainder by the width is the bucket, and sign (+1/-1)."""
+    f, mask, sign_bit = np.array(proj.seeds()[d][1:], dtype=np.int64), MASK31, FAMILIES[proj.family]
 
     def fold(a, b, x):
         r = a * x + b
         high = r >> 31
         return ((high ^ r) if proj.family == "xor" else (high + r)) & mask
 
-    def count(key: np.ndarray, upd: np.ndarray) -> np.ndarray:
+    def lane(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.mod(key, mask)
-        out = np.zeros((depth, width), dtype=np.int64)
-        for d in range(depth):
-            f = seeds[d]
-            h = fold(fold(fold(x, f[2], f[3]), x, f[4]), x, f[5])
-            np.add.at(out[d], fold(f[0], f[1], x) % width, np.where((h >> sign_bit) & 1 == 1, upd, -upd))
+        h = fold(fold(fold(x, f[2], f[3]), x, f[4]), x, f[5])
+        return fold(f[0], f[1], x), 2 * ((h >> sign_bit) & 1) - 1
+
+    return lane
+
+
+def counters(proj: Projection):
+    """NumPy function (keys, counts) -> D x L counters."""
+    lanes = [_lane(proj, d) for d in range(proj.depth)]
+
+    def count(key: np.ndarray, upd: np.ndarray) -> np.ndarray:
+        out = np.zeros((proj.depth, proj.width), dtype=np.int64)
+        for row, lane in zip(out, lanes, strict=True):
+            h, sign = lane(key)
+            np.add.at(row, h % proj.width, sign * upd)
         return out
 
     return count
@@ -283,26 +292,48 @@ def agms_udaf(proj: Projection):
     return agms
 
 
-def selfjoin_estimates(freq: DataFrame, projections: Sequence[Projection], by: Sequence[str]) -> DataFrame:
+def selfjoin_estimates(parts: DataFrame, projections: Sequence[Projection], by: Sequence[str]) -> DataFrame:
     """Exact and estimated self-join size of every group under many projections: ``by…, n, exact, depth, width, estimate``.
 
-    For many groups with keys from a small domain (``freq`` has one row per group and key): each
-    group is shuffled once and hashed by NumPy for all sizes.
+    For many groups with keys from a small domain of numbers from 0: a row of ``parts`` holds some
+    ``keys`` of a group and their ``counts``, as arrays, and the rows of a group add up.  Each group
+    is shuffled once.  Row d of all projections of a seed has the same hashes, so they are computed once.
     """
-    by = list(by)
-    count = [(p.depth, p.width, counters(p)) for p in projections]
+    by, families = list(by), {}
+    for p in projections:
+        families.setdefault((p.seed, p.family), []).append(p)
+    shared = []
+    for some in families.values():
+        deepest = max(some, key=lambda p: p.depth)
+        widths = {w: max(p.depth for p in some if p.width == w) for w in {p.width for p in some}}
+        shared.append((some, widths, [_lane(deepest, d) for d in range(deepest.depth)]))
     more = "n bigint, exact double, depth int, width int, estimate double"
-    schema = T.StructType([*[freq.schema[c] for c in by], *T._parse_datatype_string(more).fields])
-
-    def run(table: pa.Table) -> pa.Table:
-        key, cnt = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "cnt"))
-        rows = []
-        for depth, width, f in count:
-            norms = (f(key, cnt).astype(np.float64) ** 2).sum(axis=1)
-            rows.append((int(cnt.sum()), float((cnt * cnt).sum()), depth, width, float(np.median(norms))))
-        columns = [pa.array([table.column(c)[0].as_py()] * len(rows), table.schema.field(c).type) for c in by]
+    schema = T.StructType([*[parts.schema[c] for c in by], *T._parse_datatype_string(more).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, group = np.zeros(0, dtype=np.int64), None
+        for batch in batches:
+            group = group or [batch.column(c).slice(0, 1) for c in by]
+            key, cnt = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("keys", "counts"))
+            total = np.pad(total, (0, max(0, int(key.max(initial=-1)) + 1 - len(total))))
+            np.add.at(total, key, cnt)
+        key = np.flatnonzero(total)
+        cnt = total[key].astype(np.float64)
+        n, exact, rows = int(total.sum()), float(cnt @ cnt), []
+        for some, widths, lanes in shared:
+            norms = {w: [] for w in widths}
+            for d, lane in enumerate(lanes):
+                h, sign = lane(key)
+                signed = sign * cnt
+                for w in (w for w, depth in widths.items() if d < depth):
+                    c = np.bincount(h % w, signed)
+                    norms[w].append(float(c @ c))
+            rows += [(n, exact, p.depth, p.width, float(np.median(norms[p.width][: p.depth]))) for p in some]
+        columns = [pa.array(g.to_pylist() * len(rows), g.type) for g in group]
         kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64())
         columns += [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.table(columns, names=schema.names)
+        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return freq.groupBy(*by).applyInArrow(run, schema)
+    # By number: the work of a group goes with its keys and sizes, not with its bytes.
+    tasks = 4 * parts.sparkSession.sparkContext.defaultParallelism
+    return parts.repartition(tasks, *by).groupBy(*by).applyInArrow(run, schema)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyflow.functions import bounds
-from tallyflow.functions.mixing import uniform31
 from tallyflow.operators import grids
 from tallyflow.operators import sketch as sk
 from tallyflow.operators.frequency import frequency_vector
@@ -22,6 +21,7 @@ from tallyflow.plans.catalog.base import (
     uniform_int_sql,
     with_,
 )
+from tallyflow.sources.generators import trial_counts
 from tallyflow.sources.views import events_stream, lineitem_stream, table
 
 _SK = sketch_cte("li", "sk")
@@ -306,20 +306,12 @@ def accuracy_sweep(spark, sf):
     """Failure rate of the estimate over trials, sketch sizes, key ranges and lengths, against its bound.
 
     A trial is a uniform stream with keys of its own.  Every record of ``events`` takes part in 1, 10
-    or all of the 100 trials of a setting, so lengths are n / 100, n / 10 and n.  Key counts of
-    all settings and trials are shuffled once by trial and hashed there for all sizes.
+    or all of the 100 trials of a setting, so lengths are n / 100, n / 10 and n.  Tasks count the
+    keys of all settings and trials; the counts are shuffled once by trial and hashed there for all sizes.
     """
-    events = table(spark, sf, "events").select("event_id")
-    settings = F.array(*[F.struct(F.lit(m).alias("max_key"), F.lit(f).alias("share")) for m in _SWEEP_KEYS for f in _SWEEP_SHARES])
-    rows = events.select("event_id", F.inline(settings))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("share") - 1)).alias("i"))
-    trial = (F.col("event_id") + F.col("i") * F.expr(f"{_SWEEP_TRIALS} div share")) % _SWEEP_TRIALS
-    name = ((F.col("event_id") * 1000003 + F.col("max_key")) * 101 + F.col("share")) * _SWEEP_TRIALS + F.col("i")
-    rows = rows.select("max_key", "share", trial.cast("int").alias("trial"), name.cast("bigint").alias("id"))
-    key = F.shiftright(uniform31(F.col("id"), _SWEEP_SEED, "key") * F.col("max_key").cast("bigint"), 31) + 1
-    by = ["max_key", "share", "trial"]
-    freq = rows.groupBy(*by, key.alias("key")).agg(F.count(F.lit(1)).alias("cnt"))
-    found = sk.selfjoin_estimates(freq, _SWEEP_SIZES, by)
+    ids = table(spark, sf, "events").select(F.col("event_id").alias("id"))
+    counts = trial_counts(ids, _SWEEP_KEYS, _SWEEP_SHARES, _SWEEP_TRIALS, _SWEEP_SEED)
+    found = sk.selfjoin_estimates(counts, _SWEEP_SIZES, ["max_key", "share", "trial"])
     size = F.concat_ws("x", "depth", "width")
     limits = {f"{p.depth}x{p.width}": (p.epsilon / 3, p.failure_probability) for p in _SWEEP_SIZES}
     epsilon, bound = (F.create_map(*[F.lit(v) for k, x in limits.items() for v in (k, x[i])])[size] for i in (0, 1))

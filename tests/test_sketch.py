@@ -1,8 +1,12 @@
+import math
 import statistics
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyflow.functions.mixing import uniform31, uniform31_array
 from tallyflow.operators import sketch as sk
 from tallyflow.operators import vectors
 from tallyflow.operators.frequency import (
@@ -12,6 +16,8 @@ from tallyflow.operators.frequency import (
 )
 from tallyflow.operators.sampling import spread_choice
 from tallyflow.operators.segments import Segments
+from tallyflow.plans.catalog import QUERIES
+from tallyflow.sources.generators import trial_counts
 from tests.helpers import cell, collect, frame, literal_sketch, random_updates
 
 PROJ = sk.Projection(5, 23, seed=3)
@@ -176,3 +182,54 @@ def test_udaf_knows_both_hash_families(spark):
     assert not proj.compatible(sk.Projection(3, 11, seed=2))
     with pytest.raises(ValueError):
         sk.Projection(3, 11, family="none")
+
+
+def test_array_hash_is_the_column_hash(spark):
+    ids = [0, 1, 99, 2**31 - 1, 2**31, 2**40 + 3, 2**62 + 5, -1, -(2**33)]
+    want = spark.createDataFrame([(i, v) for i, v in enumerate(ids)], "i int, v bigint").select("i", uniform31(F.col("v"), 11, "key"))
+    assert [v for _, v in sorted(want.collect())] == uniform31_array(np.array(ids, dtype=np.int64), 11, "key").tolist()
+
+
+def test_trial_counts_are_those_of_all_records(spark):
+    ids, ranges, shares, trials = [*range(-45, 250), 7, 7, 10**8 + 1], (6, 40), (1, 5, 10), 10
+    want = Counter()
+    for e in ids:
+        for m in ranges:
+            for share in shares:
+                for i in range(share):
+                    trial = int(math.fmod(e + i * (trials // share), trials))
+                    name = np.array([((e * 1000003 + m) * 101 + share) * trials + i])
+                    want[m, share, trial, int(uniform31_array(name, 3, "key")[0] * m >> 31) + 1] += 1
+    df = spark.createDataFrame([(e,) for e in [*ids, None]], "id bigint")
+    for block in (50, 4_000_000):
+        got = Counter()
+        for r in trial_counts(df, ranges, shares, trials, 3, block).collect():
+            for key, n in zip(r["keys"], r["counts"], strict=True):
+                got[r["max_key"], r["share"], r["trial"], key] += n
+        assert got == want
+
+
+def test_trials_pass_on_counts_not_records(spark, data):
+    # 60,000 records in 3 streams of 5 keys each: a block passes on 15 counts at most.
+    parts = trial_counts(spark.range(20_000), (5,), (3,), 3, 1).agg(F.count(F.lit(1)), F.sum(F.size("keys"))).first()
+    blocks = spark.sparkContext.defaultParallelism
+    assert parts[0] <= blocks * 3 and parts[1] <= blocks * 3 * 5
+    plan = QUERIES["accuracy_sweep"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_estimates_under_many_projections_are_the_literal_ones(spark):
+    projections = [sk.Projection(d, w, seed=s, family=f) for d, w, s, f in
+                   [(1, 7, 1, "xor"), (3, 7, 1, "xor"), (5, 19, 1, "xor"), (4, 19, 2, "xor"), (3, 7, 1, "sum")]]
+    parts = [("a", [1, 4, 900], [3, 1, 2]), ("b", [0], [5]), ("a", [4, 17], [6, 2]), ("a", [], [])]
+    groups = {"a": {1: 3, 4: 7, 900: 2, 17: 2}, "b": {0: 5}}
+    df = spark.createDataFrame(parts, "g string, keys array<int>, counts array<int>")
+    got = sk.selfjoin_estimates(df, projections, ["g"]).collect()
+    want = []
+    for g, counts in groups.items():
+        for p in projections:
+            rows = [(0, 0, k, n, i, i) for i, (k, n) in enumerate(counts.items())]
+            cells = dense(p, sk.sketch(frame(spark, rows), p).drop("sid"))
+            estimate = statistics.median(sum(c * c for c in row) for row in cells)
+            want.append((g, sum(counts.values()), sum(n * n for n in counts.values()), p.depth, p.width, estimate))
+    assert sorted(tuple(r) for r in got) == sorted(want)
