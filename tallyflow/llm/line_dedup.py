@@ -10,7 +10,10 @@ them only (an insertion).  So each line emits its variants as hashed keys; lines
 share one are joined to the earliest of them, and the distance is verified on the words.
 
 Most lines have no such partner.  Within one edit either the first or the last half of
-two lines is the same, so only lines that share a half with another one emit variants.
+two lines is the same, so only lines that share a half with another one emit variants, and
+only those without a word outside of that half.  Lengths lie in bands, and the halves of all
+lines of a band have half the words of its shortest line; so a line has two halves, and the
+shortest lines of a band also have the two that longer lines of the band before would have.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
@@ -62,41 +66,75 @@ def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[order], rows[order]
 
 
-def line_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit halves of a cryptographic digest of each line's words, in lower case, one blank between them.
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[SPACE] = 32
+_PLAIN[65:91] += 32
 
-    A line reaches from the start of its first word to the end of its last; lines ascend.
+
+def bands(most: int, least: int) -> np.ndarray:
+    """The least numbers of words of the bands of lengths up to ``most``; each is a quarter longer than the one before."""
+    low = [max(least, 1)]
+    while low[-1] <= most:
+        low.append(max(low[-1] + 1, low[-1] * 5 // 4))
+    return np.array(low, dtype=np.int64)
+
+
+def band_halves(n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines of ``n`` words: the band, the words of a half there and in the band before, and whether they have those too.
+
+    Bands count from 0, and shorter lines are in band -1.
     """
-    blank = SPACE[data]
-    kept = ~blank
-    kept[1:] |= blank[1:] & ~blank[:-1]
-    place = np.zeros(len(data) + 1, dtype=np.int64)
-    np.cumsum(kept, out=place[1:])
-    text = np.where(blank, np.uint8(32), data)[kept]
-    text[(text >= 65) & (text <= 90)] += np.uint8(32)
-    raw = text.tobytes()
-    spans = zip(place[starts].tolist(), place[ends].tolist(), strict=True)
-    digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in spans)
-    halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
-    return halves[:, 0].copy(), halves[:, 1].copy()
+    low = bands(int(n.max(initial=0)), least)
+    band = np.searchsorted(low, n, side="right") - 1
+    before = np.maximum(band - 1, 0)
+    return band, low[band] // 2, low[before] // 2, (band > 0) & (n == low[band])
+
+
+def plain_lines(data: np.ndarray, at: np.ndarray, stop: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All words in lower case with one blank after each, and where they start and end there.
+
+    Words of two rows may have no blank between them.  Entry i of the ends is of word i - 1.
+    """
+    kept = ~SPACE[data]
+    inner = stop[stop < len(data)]
+    kept[inner] = True
+    apart = np.zeros(len(at), dtype=np.int64)
+    apart[: len(inner)] = SPACE[data[inner]]
+    length = stop - at
+    begins = np.zeros(len(at) + 1, dtype=np.int64)
+    np.cumsum(length + apart, out=begins[1:])
+    ends = np.concatenate(([0], begins[:-1] + length))
+    return _PLAIN[data[kept]].tobytes(), begins, ends
+
+
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Cryptographic digests of ``raw[starts[i]:ends[i]]``, a row of 64-bit numbers each."""
+    hashed, spans = hashlib.blake2b, zip(starts.tolist(), ends.tolist(), strict=True)
+    out = b"".join([hashed(raw[a:b], digest_size=size).digest() for a, b in spans])
+    return np.frombuffer(out, "<u8").reshape(-1, size // 8)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def half_keys(words: np.ndarray, first: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Four keys per line, by its halves as the shorter and as the longer of two lines; and which of them hold."""
+def half_keys(
+    raw: bytes, begins: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray, least: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Four keys per line of the words ``first`` to ``last``, and which of them hold.
+
+    The first and last half of the line's band, then those of the band before, as the longer of two lines.
+    """
     n = last - first
-    keys, valid = [], []
-    for shorter in (n, n - 1):
-        head = np.maximum(shorter // 2, 0)
-        tail = np.maximum(shorter - head, 0)
-        for kind, (a, b) in enumerate(((first, first + head), (last - tail, last))):
-            tag = mix64((shorter * 2 + kind).astype(np.uint64) + U64(1))
-            keys.append(mix64(range_hashes(words, a, b) ^ tag))
-            valid.append(shorter >= least)
-    return np.column_stack(keys), np.column_stack(valid)
+    band, half, before, both = band_halves(n, least)
+    keys, valid = np.zeros((len(n), 4), dtype=np.uint64), np.zeros((len(n), 4), dtype=bool)
+    for kind, (size, of, holds) in enumerate(((half, band, band >= 0), (before, band - 1, both))):
+        a, z, w, of = first[holds], last[holds], size[holds], of[holds]
+        for side, (start, end) in enumerate(((a, a + w), (z - w, z))):
+            tag = mix64((of * 2 + side).astype(np.uint64) + U64(1))
+            keys[holds, 2 * kind + side] = mix64(digests(raw, begins[start], ends[end], 8)[:, 0] ^ tag)
+            valid[holds, 2 * kind + side] = True
+    return keys, valid
 
 
 def occurrences(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -106,26 +144,26 @@ def occurrences(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
         for batch in batches:
             for row, end, data, offsets in slices(batch.column(3)):
                 starts, rows = line_starts(data, offsets)
-                words, _ = word_hashes(data, offsets, lower=True)
                 at, stop = word_spans(data, offsets)
+                raw, begins, ends = plain_lines(data, at, stop)
                 first = np.searchsorted(at, starts)
                 last = np.append(first[1:], len(at))
                 number = np.arange(len(starts)) - np.searchsorted(rows, rows)
                 full = last > first
                 first, last, rows, number = first[full], last[full], rows[full], number[full]
-                keys, valid = half_keys(words, first, last, least)
+                keys, valid = half_keys(raw, begins, ends, first, last, least)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], np.cumsum(valid.sum(axis=1)))), pa.int32()), _signed(keys[valid])
                 )
                 take = pa.array(rows)
-                k1, k2 = line_digests(data, at[first], stop[last - 1])
+                k = digests(raw, begins[first], ends[last], 16)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c)[row:end].take(take) for c in range(3)]
                     + [
                         pa.array(number, pa.int32()),
                         pa.array(last - first, pa.int32()),
-                        _signed(k1),
-                        _signed(k2),
+                        _signed(k[:, 0]),
+                        _signed(k[:, 1]),
                         lists,
                     ],
                     names=[*PLACE, "words", "k1", "k2", "halves"],
@@ -146,55 +184,72 @@ def distinct_lines(found: DataFrame) -> DataFrame:
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """First places of lines that share a half with another line, as lists of line numbers per document."""
-    halves = lines.select("first", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    places = halves.join(shared, "half", "left_semi").select("first.*").distinct()
-    return places.groupBy("no_id", "doc_id", "text_hash").agg(F.collect_list("line").alias("lines"))
-
-
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_BLANKS = {c: 32 for c in range(9, 14)}
-
-
-def line_text(line: str) -> str:
-    """The words of a line, in lower case, with one blank between them."""
-    return " ".join(w for w in line.translate(_LOWER).translate(_BLANKS).split(" ") if w)
+    """First places of lines that share a half with another line, per document as 4 * line + kind of the half."""
+    halves = lines.select("first", F.posexplode("halves").alias("kind", "half"))
+    # Distinct keys on the hashed side: no task holds more of them than its share.
+    shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half").hint("shuffle_hash")
+    places = halves.join(shared, "half", "left_semi").select(
+        "first.no_id", "first.doc_id", "first.text_hash", (F.col("first.line").cast("bigint") * 4 + F.col("kind")).alias("mark")
+    )
+    return places.groupBy("no_id", "doc_id", "text_hash").agg(F.collect_list("mark").alias("marks"))
 
 
 def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Place and words of every candidate line."""
+    """Place, digest and words of every candidate line, and the kinds of halves it shares, as bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, (text, numbers) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
-                lines, numbers = text.as_py().split("\n"), sorted(set(numbers.as_py()))
-                one = pa.array([row] * len(numbers))
+            for row, (text, marks) in enumerate(zip(batch.column(3).cast(pa.binary()), batch.column(4), strict=True)):
+                lines, kinds = text.as_py().split(b"\n"), {}
+                for mark in sorted(set(marks.as_py())):
+                    kinds[mark >> 2] = kinds.get(mark >> 2, 0) | 1 << (mark & 3)
+                # Bytes have the blanks and the lower case of lines.
+                words = [b" ".join(lines[i].lower().split()) for i in kinds]
+                k = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in words]), "<u8").reshape(-1, 2)
+                one = pa.array([row] * len(kinds))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).take(one) for c in range(3)]
-                    + [pa.array(numbers, pa.int32()), pa.array([line_text(lines[i]) for i in numbers], pa.string())],
-                    names=[*PLACE, "content"],
+                    + [
+                        pa.array(list(kinds), pa.int32()),
+                        pa.array(words, pa.binary()).cast(pa.string()),
+                        pa.array(list(kinds.values()), pa.int32()),
+                        _signed(k[:, 0]),
+                        _signed(k[:, 1]),
+                    ],
+                    names=[*PLACE, "content", "kinds", "k1", "k2"],
                 )
 
-    joined = _named(docs).join(wanted, ["no_id", "doc_id", "text_hash"])
+    joined = _named(docs).join(wanted.hint("shuffle_hash"), ["no_id", "doc_id", "text_hash"])
     # Repeated rows give the same lines again.
     return (
-        joined.select("no_id", "doc_id", "text_hash", "text", "lines")
-        .mapInArrow(run, "no_id boolean, doc_id bigint, text_hash bigint, line int, content string")
+        joined.select("no_id", "doc_id", "text_hash", "text", "marks")
+        .mapInArrow(
+            run, "no_id boolean, doc_id bigint, text_hash bigint, line int, content string, kinds int, k1 bigint, k2 bigint"
+        )
         .dropDuplicates(PLACE)
     )
 
 
-def variants(texts: DataFrame) -> DataFrame:
-    """Hashed variants of each candidate: itself (``at`` = -1) and itself without word ``at``."""
+def variants(texts: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """Hashed variants of each candidate: itself (``at`` = -1) and itself without word ``at``.
+
+    Another line within one edit that shares the first half differs after it only, and before the last half if it
+    shares that one; both lines share the half, so both leave out the words there.  A line stands whole for longer ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            shares = batch.column(5).to_numpy()
             for row, end, data, offsets in slices(batch.column(4), 1 << 18):
                 words, rows = word_hashes(data, offsets, lower=True)
                 n = np.diff(rows)
+                _, half, before, _ = band_halves(n, least)
                 of = np.repeat(np.arange(len(n)), n + 1)
                 at = np.arange(len(of)) - (rows[:-1] + np.arange(len(n)))[of] - 1
+                kinds, half, before = shares[row:end][of], half[of], before[of]
+                wanted = np.where(at < half, kinds & 2, kinds & 1) | np.where(at < before, kinds & 8, kinds & 4)
+                wanted = np.where(at < 0, kinds & 3, wanted) > 0
+                of, at = of[wanted], at[wanted]
                 first, last = rows[:-1][of], rows[1:][of]
                 keys = [range_hashes(words, first, last, first + at, which) for which in (0, 1)]
                 take = pa.array(of)
@@ -204,12 +259,18 @@ def variants(texts: DataFrame) -> DataFrame:
                     names=[*PLACE, "v1", "v2", "at"],
                 )
 
-    return texts.mapInArrow(
+    return texts.select(*PLACE, "content", "kinds").mapInArrow(
         run,
         "no_id boolean, doc_id bigint, text_hash bigint, line int, v1 bigint, v2 bigint, at int",
     )
 
 
+def shared_variants(emitted: DataFrame) -> DataFrame:
+    """The variants whose hash occurs more than once; few do."""
+    shared = emitted.groupBy("v1").agg(F.count("*").alias("n")).filter("n > 1").select("v1")
+    return emitted.join(shared.hint("shuffle_hash"), "v1", "left_semi")
+
+
 def within_one_edit(a: list, b: list) -> bool:
     """Whether one insertion, deletion or replacement at most turns ``a`` into ``b``."""
     if abs(len(a) - len(b)) > 1:
@@ -252,26 +313,45 @@ def partners(emitted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose words are within one edit."""
+    """Digests of the lines whose leader's words are within one edit of theirs."""
 
     @F.pandas_udf(BooleanType())
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([within_one_edit(x.split(" "), y.split(" ")) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    mine = texts.select(_place().alias("me"), F.col("content").alias("mine"))
+    mine = texts.select(_place().alias("me"), F.col("content").alias("mine"), "k1", "k2")
     other = texts.select(_place().alias("lead"), F.col("content").alias("other"))
-    return pairs.join(mine, "me").join(other, "lead").filter(close("mine", "other")).select("me", "lead")
-
+    return pairs.join(mine, "me").join(other, "lead").filter(close("mine", "other")).select("k1", "k2")
+
+
+def cut_lines(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the rows without the lines ``numbers`` of ``rows``."""
+    starts, of = line_starts(data, offsets)
+    firsts = np.searchsorted(of, np.arange(len(offsets)))
+    stays = np.ones(len(starts), dtype=bool)
+    stays[firsts[rows] + numbers] = False
+    kept = np.repeat(stays, np.diff(np.append(starts, len(data))))
+    # A line ends with its line feed, but for the last one: where that goes, the last to stay loses its own.
+    lasts = firsts[1:] - 1
+    where = np.flatnonzero(stays)
+    ahead = np.searchsorted(where, firsts)
+    short = ~stays[lasts] & (np.diff(ahead) > 0)
+    kept[starts[where[ahead[1:][short] - 1] + 1] - 1] = False
+    place = np.zeros(len(data) + 1, dtype=np.int64)
+    np.cumsum(kept, out=place[1:])
+    return data[kept], place[offsets]
 
-@F.pandas_udf(StringType())
-def _without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
-    def cut(t: str | None, numbers: list | None) -> str | None:
-        if t is None or numbers is None:
-            return t
-        out = set(numbers)
-        return "\n".join(line for i, line in enumerate(t.split("\n")) if i not in out)
 
-    return pd.Series([cut(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+@F.arrow_udf(StringType())
+def _without_lines(text: pa.Array, gone: pa.Array) -> pa.Array:
+    parts = [pa.array([], pa.large_string())]
+    for row, end, data, offsets in slices(text):
+        lists = gone[row:end]
+        sizes = pc.list_value_length(lists).fill_null(0).to_numpy()
+        rows = np.repeat(np.arange(end - row), sizes)
+        data, offsets = cut_lines(data, offsets, rows, lists.flatten().to_numpy())
+        parts.append(pa.LargeStringArray.from_buffers(end - row, pa.py_buffer(offsets), pa.py_buffer(data)))
+    return pa.concat_arrays(parts).cast(text.type)
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -290,27 +370,32 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     found = scratch.keep(occurrences(docs, least_words), "occurrences")
     lines = scratch.keep(distinct_lines(found), "lines")
     texts = scratch.keep(candidate_texts(docs, candidates(lines)), "texts")
-    emitted = scratch.keep(variants(texts), "variants")
-    near = scratch.keep(verified(partners(emitted), texts), "near")
-    scratch.drop(emitted, texts)
-    repeated = lines.join(near.select(F.col("me").alias("first"), F.lit(True).alias("near")), "first", "left").filter(
-        (F.col("n") > 1) | F.col("near")
-    )
+    emitted = scratch.keep(variants(texts, least_words), "variants")
+    shared = scratch.keep(shared_variants(emitted), "shared")
+    scratch.drop(emitted)
+    near = scratch.keep(verified(partners(shared), texts), "near")
+    scratch.drop(shared, texts)
+    first = lines.schema["first"].dataType
+    repeated = lines.filter("n > 1").select("k1", "k2", "first").unionAll(near.select("k1", "k2", F.lit(None).cast(first)))
     gone = scratch.keep(
         found.select("k1", "k2", *PLACE)
-        .join(repeated.select("k1", "k2", "first", "near"), ["k1", "k2"])
-        .filter(F.col("near") | (F.col("first") != _place()))
+        .join(repeated.hint("shuffle_hash"), ["k1", "k2"])
+        .filter(F.col("first").isNull() | (F.col("first") != _place()))
         .groupBy("no_id", "doc_id", "text_hash")
         .agg(F.collect_set("line").alias("gone")),
         "gone",
     )
     scratch.drop(found, lines, near)
     keyed = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], *_key_columns())
-    joined = keyed.join(gone.toDF("_no_id", "_doc_id", "_text_hash", "_gone"), ["_no_id", "_doc_id", "_text_hash"], "left")
-    lines_of = F.size(F.split("text", "\n", -1))
+    cut = gone.toDF("_no_id", "_doc_id", "_text_hash", "_gone").hint("shuffle_hash")
+    joined = keyed.join(cut, ["_no_id", "_doc_id", "_text_hash"], "left")
+    text = F.col("text").cast("string")
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    # Texts that stay whole are not sent to Python.
+    shorter = _without_lines(F.when(F.col("_gone").isNotNull(), text), "_gone")
     return (
-        joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(lines_of).cast("bigint"))
+        joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(breaks + 1).cast("bigint"))
         .withColumn("n_removed", F.greatest(F.size("_gone"), F.lit(0)).cast("bigint"))
-        .withColumn("text", _without_lines("text", "_gone"))
+        .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(shorter))
         .drop("_no_id", "_doc_id", "_text_hash", "_gone")
     )
